@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonframe.functions.arrays import has_nan, nonzero_count, record_score, relu_max, to_levels, unit_scaled
+from axonframe.functions.draws import draw
 from axonframe.operators.scale import join_sized, top_rows
 from axonframe.schemas import NEURON
 from axonframe.session import cut_lineage
@@ -37,7 +38,7 @@ def record_index(acts: DataFrame, seed: int = SEED) -> DataFrame:
         "seq_id",
         F.size("activations").alias("n_values"),
         record_score(F.col("activations")).alias("score"),
-        F.xxhash64(F.lit(seed), *NEURON, "seq_id").alias("draw"),
+        draw(seed, *NEURON, "seq_id").alias("draw"),
     )
 
 
@@ -135,7 +136,7 @@ def fetch_records(acts: DataFrame, picks: DataFrame, seed: int = SEED) -> DataFr
     keyed = (
         join_sized(acts, bounds, NEURON)
         .withColumn("_score", score)
-        .withColumn("_draw", F.xxhash64(F.lit(seed), *NEURON, "seq_id"))
+        .withColumn("_draw", draw(seed, *NEURON, "seq_id"))
     )
     in_top = (F.col("_score") > F.col("weakest.score")) | (
         (F.col("_score") == F.col("weakest.score"))
