@@ -143,18 +143,16 @@ def previous_value(
     """
     if depth == 0:
         return df.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
-    part = f"_chunk{depth}"
-    chunked = df.withColumn(part, F.expr(f"`{order}` div {chunk}"))
+    part, last, before, first = (f"_{name}{depth}" for name in ("chunk", "last", "before", "first"))
+    chunked = df.withColumn(part, F.floor(F.col(order) / chunk))
     inside = Window.partitionBy(*keys, part).orderBy(order)
-    lagged = chunked.withColumn(out, F.lag(value).over(inside)).withColumn(
-        "_first", F.row_number().over(inside) == 1
-    )
-    last = chunked.groupBy(*keys, part).agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("_last"))
-    before = previous_value(last, keys, part, "_last", "_before", chunk, depth - 1)
+    lagged = chunked.withColumn(out, F.lag(value).over(inside)).withColumn(first, F.row_number().over(inside) == 1)
+    ends = chunked.groupBy(*keys, part).agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias(last))
+    linked = previous_value(ends, keys, part, last, before, chunk, depth - 1).select(*keys, part, before)
     return (
-        lagged.join(before.select(*keys, part, "_before"), [*keys, part], "left")
-        .withColumn(out, F.when(F.col("_first"), F.col("_before.v")).otherwise(F.col(out)))
-        .drop(part, "_first", "_before")
+        lagged.join(linked, [*keys, part], "left")
+        .withColumn(out, F.when(F.col(first), F.col(f"{before}.v")).otherwise(F.col(out)))
+        .drop(part, first, before)
     )
 
 

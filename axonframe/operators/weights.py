@@ -76,6 +76,27 @@ def scaled(vectors: DataFrame, gains: DataFrame | None) -> DataFrame:
     ).drop("gain")
 
 
+def _block_counts(rows: DataFrame, block: int) -> DataFrame:
+    """Blocks per layer: one row per layer of the model."""
+    return rows.groupBy("layer").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+
+
+def _sent(rows: DataFrame, meetings: DataFrame, layer: str, blocks: str, other: str, other_blocks: str) -> DataFrame:
+    """Each row once per block it meets: own layer, own block, other layer, other block, row."""
+    partners = (
+        meetings.select(F.col(layer).alias("layer"), F.col(blocks).alias("_blocks"), F.col(other).alias("_other"),
+                        F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1)).alias("_other_block"))
+        .groupBy("layer", "_blocks")
+        .agg(F.collect_list(F.struct("_other", "_other_block")).alias("_partners"))
+    )
+    own = F.pmod(F.xxhash64("neuron"), F.col("_blocks")).alias("_block")
+    return (
+        join_sized(rows, partners, ["layer"])
+        .select("layer", own, F.explode("_partners").alias("_p"), "neuron", "vector")
+        .select(F.col("layer").alias("_own"), "_block", "_p._other", "_p._other_block", "layer", "neuron", "vector")
+    )
+
+
 def strongest_connections(
     outgoing: DataFrame,
     incoming: DataFrame,
@@ -90,35 +111,22 @@ def strongest_connections(
     ``later_layers_only`` a source connects to targets of higher layers.  ``direction`` is
     'output' seen from the source and 'input' seen from the target.
 
-    Blocks never exceed ``block`` rows (neurons are cut by number, so a wide layer becomes
-    many blocks), and each source block is sent once to every target block it meets.
+    A layer is cut by hash into blocks of about ``block`` rows, so a wide layer becomes many
+    blocks, and each block is sent once to every block it meets.
     """
     sources = outgoing.select("layer", F.col("neuron").cast("bigint").alias("neuron"), "vector")
     targets = scaled(incoming, gains).select("layer", F.col("neuron").cast("bigint").alias("neuron"), "vector")
-    number = F.expr(f"neuron div {block}")
-    blocks = targets.select(F.col("layer").alias("to_layer"), number.alias("to_block")).distinct()
-    lowest, highest = targets.agg(F.min("layer"), F.max("layer")).first()
+    source_blocks, target_blocks = _block_counts(sources, block), _block_counts(targets, block)
+    lowest, highest = target_blocks.agg(F.min("layer"), F.max("layer")).first()
     start = F.col("layer") + 1 if later_layers_only else F.lit(lowest)
-    reached = F.when(start <= F.lit(highest), F.sequence(start, F.lit(highest)))
     meetings = (
-        sources.select("layer", number.alias("block"))
-        .distinct()
-        .withColumn("to_layer", F.explode(reached))
-        .join(blocks, "to_layer")
-        .select("layer", "block", "to_layer", "to_block")
+        source_blocks.withColumn("to_layer", F.explode(F.when(start <= highest, F.sequence(start, F.lit(highest)))))
+        .join(target_blocks.select(F.col("layer").alias("to_layer"), F.col("blocks").alias("to_blocks")), "to_layer")
     )
     pair = ["_l", "_b", "_tl", "_tb"]
-    left = (
-        join_sized(sources.withColumn("block", number), meetings, ["layer", "block"])
-        .select(F.col("layer").alias("_l"), F.col("block").alias("_b"), F.col("to_layer").alias("_tl"),
-                F.col("to_block").alias("_tb"), "layer", "neuron", "vector")
-    )
-    renamed = meetings.select(
-        F.col("layer").alias("_l"), F.col("block").alias("_b"), F.col("to_layer").alias("layer"), F.col("to_block").alias("block")
-    )
-    right = (
-        join_sized(targets.withColumn("block", number), renamed, ["layer", "block"])
-        .select("_l", "_b", F.col("layer").alias("_tl"), F.col("block").alias("_tb"), "layer", "neuron", "vector")
+    left = _sent(sources, meetings, "layer", "blocks", "to_layer", "to_blocks").toDF(*pair, *NEURON, "vector")
+    right = _sent(targets, meetings, "to_layer", "to_blocks", "layer", "blocks").toDF(
+        "_tl", "_tb", "_l", "_b", *NEURON, "vector"
     )
     # Both sides may come from one table; fresh names keep their columns apart.
     left, right = (side.select(*[F.col(c).alias(c) for c in [*pair, *NEURON, "vector"]]) for side in (left, right))

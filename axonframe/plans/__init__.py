@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from axonframe.plans import record_queries, score_queries  # noqa: F401
+from axonframe.plans import corpus_queries, prompt_queries, record_queries, score_queries  # noqa: F401
 from axonframe.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

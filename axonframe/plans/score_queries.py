@@ -184,7 +184,7 @@ def gains(spark, sf):
 
 def connections(spark, sf):
     rows = vectors(spark, sf)
-    return weights.strongest_connections(rows, rows, gains(spark, sf), 10, block=64)
+    return weights.strongest_connections(rows, rows, gains(spark, sf), 10)
 
 
 CONNECTION_COLUMNS = ["direction", *NEURON, "rank", "to_layer", "to_neuron"]
@@ -218,7 +218,7 @@ for _sign in ("positive", "negative"):
 def token_weights(spark, sf):
     rows = vectors(spark, sf)
     words = rows.select(F.col("neuron").alias("token_id"), F.concat(F.lit("v"), F.col("neuron").cast("string")).alias("token"), "vector")
-    found = weights.token_connections(rows, words, gains(spark, sf), 5, block=64)
+    found = weights.token_connections(rows, words, gains(spark, sf), 5)
     return found.select(*NEURON, "sign", "rank", "token", F.round("weight", 6).alias("weight"))
 
 
