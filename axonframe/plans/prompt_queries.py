@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from axonframe.functions import text as tx
 from axonframe.functions.arrays import to_levels
 from axonframe.operators import prompts, responses, tokens
-from axonframe.operators.records import with_levels
+from axonframe.operators.records import neuron_records, select_neurons, with_levels
+from axonframe.operators.splits import one_split
 from axonframe.plans.fixtures import acts
-from axonframe.plans.registry import ACTS, LEVELS, TOPS, VALS, query, quoted as q
+from axonframe.plans.record_queries import K
+from axonframe.plans.registry import ACTS, LEVELS, TOPS, VALS, query, sql_heap
+from axonframe.plans.registry import quoted as q
 from axonframe.schemas import NEURON
 
 PREFIX = prompts.EXPLANATION_PREFIX
@@ -67,19 +70,25 @@ def render_token_list(spark, sf):
     return acts(spark, sf).select(*NEURON, "seq_id", tx.quoted_tokens(F.col("tokens")).alias("listed"))
 
 
-# Prompts.  The examples are the first sequences of two neurons; every neuron's own records
-# are all its sequences below 4, in order.
-EXAMPLES_SQL = """ex AS (SELECT neuron AS example_no, list(struct_pack(t := tokens, a := activations) ORDER BY seq_id) AS records,
-  CASE neuron WHEN 0 THEN 'vowels' ELSE 'numbers' END AS explanation FROM acts WHERE layer = 0 AND neuron < 2 AND seq_id < 2 GROUP BY neuron)"""
+# Prompts.  Every neuron shows its train split: positions 0, 4, 8 of its twelve top records.  The
+# examples are the first two of these of two neurons.
+TRAIN = f"""scored AS (SELECT *, list_max(activations) AS score FROM acts),
+{sql_heap("scored", K, keep="seq_id, score, tokens, activations")},
+sized AS (SELECT *, rank - 1 AS p, count(*) OVER (PARTITION BY layer, neuron) // 4 AS each FROM heap),
+train AS (SELECT layer, neuron, p // 4 AS position, tokens, activations FROM sized WHERE p % 4 = 0 AND p < each * 4)"""
+EXAMPLES_SQL = f"""{TRAIN},
+ex AS (SELECT neuron AS example_no, list(struct_pack(t := tokens, a := activations) ORDER BY position) AS records,
+  CASE neuron WHEN 0 THEN 'vowels' ELSE 'numbers' END AS explanation FROM train WHERE layer = 0 AND neuron < 2 AND position < 2 GROUP BY neuron)"""
 
 
-def split_lists(spark, sf, size):
-    rows = acts(spark, sf).where(F.col("seq_id") < size).withColumn("position", F.col("seq_id"))
-    return prompts.record_lists(rows)
+def train_lists(spark, sf):
+    kept = neuron_records(acts(spark, sf), K, 0, None)
+    return prompts.record_lists(one_split(kept, "train"))
 
 
 def examples(spark, sf):
-    rows = split_lists(spark, sf, 2).where((F.col("layer") == 0) & (F.col("neuron") < 2))
+    base = select_neurons(acts(spark, sf), [0], [0, 1])
+    rows = prompts.record_lists(one_split(neuron_records(base, K, 0, None), "train"), 2)
     return rows.select(
         F.col("neuron").alias("example_no"), "records",
         F.when(F.col("neuron") == 0, "vowels").otherwise("numbers").alias("explanation"),
@@ -102,8 +111,8 @@ bodies AS (
     sum(len(list_filter(l, lambda v: v <> 0))) / CAST(sum(len(l)) AS DOUBLE) AS share
   FROM lev GROUP BY ALL)"""
 OWNED = """owned AS (
-  SELECT layer AS key_layer, neuron AS key_neuron, list(struct_pack(t := tokens, a := activations) ORDER BY seq_id) AS records
-  FROM acts WHERE seq_id < 4 GROUP BY ALL
+  SELECT layer AS key_layer, neuron AS key_neuron, list(struct_pack(t := tokens, a := activations) ORDER BY position) AS records
+  FROM train GROUP BY ALL
   UNION ALL SELECT -1, example_no, records FROM ex)"""
 
 
@@ -126,12 +135,12 @@ def _explain_sql(lead: str, answer: str, mark: str) -> str:
 
 @query("explain_prompts", _explain_sql(q(f" {PREFIX}"), "''", "''"))
 def explain_prompts(spark, sf):
-    return prompts.explain_prompts(split_lists(spark, sf, 4), examples(spark, sf), "none").select(*NEURON, "prompt")
+    return prompts.explain_prompts(train_lists(spark, sf), examples(spark, sf), "none").select(*NEURON, "prompt")
 
 
 @query("explain_prompts_instruction", _explain_sql("''", q(f" {PREFIX}"), q(f"{prompts.END_OF_PROMPT} {PREFIX}")))
 def explain_prompts_instruction(spark, sf):
-    return prompts.explain_prompts(split_lists(spark, sf, 4), examples(spark, sf), "instruction_following").select(*NEURON, "prompt")
+    return prompts.explain_prompts(train_lists(spark, sf), examples(spark, sf), "instruction_following").select(*NEURON, "prompt")
 
 
 @query(
@@ -144,7 +153,7 @@ def explain_prompts_instruction(spark, sf):
     UNION ALL SELECT layer, neuron, 0, 'system', {q(prompts.EXPLAIN_SYSTEM)} FROM own""",
 )
 def explain_messages(spark, sf):
-    found = prompts.explain_prompts(split_lists(spark, sf, 4), examples(spark, sf), "harmony_v4")
+    found = prompts.explain_prompts(train_lists(spark, sf), examples(spark, sf), "harmony_v4")
     rows = found.select(*NEURON, F.posexplode("prompt").alias("position", "m"))
     return rows.select(*NEURON, "position", "m.role", "m.content").where(~F.col("position").isin(1, 3))
 
