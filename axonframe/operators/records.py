@@ -8,6 +8,7 @@ selected records are fetched afterwards through one small row of bounds per neur
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,53 +107,54 @@ def bucketed(index: DataFrame, boundaries: DataFrame) -> DataFrame:
     return joined.withColumn("bucket", quantile_bucket(F.col("score"), F.col("quantile_boundaries")))
 
 
+def with_bounds(picks: DataFrame) -> DataFrame:
+    """One row per neuron: the ranges of score, arrival and draw in which its picks lie."""
+    top = F.col("kind") == "top"
+    sampled = F.col("kind") == "random"
+    inside = F.collect_list(
+        F.when(F.col("kind") == "quantile", F.struct("low", "high", F.col("drawn").alias("drawn")))
+    )
+    per_list = picks.groupBy(*NEURON, "kind", "bucket").agg(
+        F.min(F.struct("score", "seq_id")).alias("weakest"),
+        F.max_by("seq_id", F.struct(-F.col("score"), F.col("seq_id"))).alias("last"),
+        F.max("draw").alias("drawn"),
+        F.first("low").alias("low"),
+        F.first("high").alias("high"),
+    )
+    return per_list.groupBy(*NEURON).agg(
+        F.max(F.when(top, F.col("weakest"))).alias("weakest"),
+        F.max(F.when(top, F.col("last"))).alias("last"),
+        F.max(F.when(sampled, F.col("drawn"))).alias("drawn"),
+        inside.alias("buckets"),
+    )
+
+
 def fetch_records(acts: DataFrame, picks: DataFrame, seed: int = SEED) -> DataFrame:
-    """Attach tokens and activations to picked records (layer, neuron, kind, bucket, rank, seq_id).
+    """Attach tokens and activations to picks (layer, neuron, kind, bucket, rank, seq_id, score,
+    draw, low, high).
 
     The big table is not shuffled.  One row of bounds per neuron, joined after a size check,
-    lets through exactly the score range of the top picks and the hash ranges of the samples;
+    lets through exactly the score range of the top picks and the draw ranges of the samples;
     the survivors, about as many as the picks, are then matched by key.
     """
-    top = F.col("kind") == "top"
-    sampled = F.col("kind") == "random"
-    ranges = (
-        picks.where(F.col("kind") != "quantile")
-        .groupBy(*NEURON)
-        .agg(
-            F.min(F.when(top, F.struct("score", "seq_id"))).alias("weakest"),
-            F.max_by("seq_id", F.when(top, F.struct(-F.col("score"), F.col("seq_id")))).alias("last"),
-            F.max(F.when(sampled, F.col("draw"))).alias("drawn"),
-        )
-    )
-    per_bucket = (
-        picks.where(F.col("kind") == "quantile")
-        .groupBy(*NEURON, "bucket")
-        .agg(F.max("draw").alias("drawn"), F.min("low").alias("low"), F.max("high").alias("high"))
-        .groupBy(*NEURON)
-        .agg(F.collect_list(F.struct("low", "high", "drawn")).alias("buckets"))
-    )
-    bounds = ranges.join(per_bucket, NEURON, "full")
-    score = record_score(F.col("activations"))
+    score, drawn = F.col("_score"), F.col("_draw")
     keyed = (
-        join_sized(acts, bounds, NEURON)
-        .withColumn("_score", score)
+        join_sized(acts, with_bounds(picks), NEURON)
+        .withColumn("_score", record_score(F.col("activations")))
         .withColumn("_draw", draw(seed, *NEURON, "seq_id"))
     )
-    in_top = (F.col("_score") > F.col("weakest.score")) | (
-        (F.col("_score") == F.col("weakest.score"))
-        & F.col("seq_id").between(F.col("weakest.seq_id"), F.col("last"))
+    weakest = F.col("weakest.score")
+    in_top = (score > weakest) | (
+        (score == weakest) & F.col("seq_id").between(F.col("weakest.seq_id"), F.col("last"))
     )
     in_bucket = F.exists(
         "buckets",
-        lambda b: (F.col("_draw") <= b["drawn"])
-        & (b["low"].isNull() | (F.col("_score") >= b["low"]))
-        & (b["high"].isNull() | (F.col("_score") < b["high"])),
-    )
-    wanted = (
-        F.coalesce(in_top, F.lit(False))
-        | F.coalesce(F.col("_draw") <= F.col("drawn"), F.lit(False))
-        | F.coalesce(in_bucket, F.lit(False))
+        lambda b: (drawn <= b["drawn"])
+        & (b["low"].isNull() | (score >= b["low"]))
+        & (b["high"].isNull() | (score < b["high"])),
     )
+    no = F.lit(False)
+    wanted = F.coalesce(in_top, no) | F.coalesce(drawn <= F.col("drawn"), no) | F.coalesce(in_bucket, no)
     survivors = keyed.where(wanted).select(*NEURON, "seq_id", "tokens", "activations")
     return picks.drop("low", "high", "draw").join(survivors, [*NEURON, "seq_id"])
 
@@ -170,28 +172,29 @@ def neuron_records(
     Two passes over the arrays: one builds the index, one fetches the retained records.
     """
     index = cut_lineage(record_index(acts, seed))
-    none = F.lit(None)
-    parts = [
-        top_picks(index, k).withColumn("kind", F.lit("top")),
-        sample_picks(index, sample_size).withColumn("kind", F.lit("random")),
-    ]
-    picks = [p.withColumns({"bucket": none.cast("int"), "low": none.cast("double"), "high": none.cast("double")}) for p in parts]
+    edges = {"bucket": F.lit(None).cast("int"), "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")}
+    lists = []
+    if k > 0:
+        lists.append(top_picks(index, k).withColumn("kind", F.lit("top")).withColumns(edges))
+    if sample_size > 0:
+        lists.append(sample_picks(index, sample_size).withColumn("kind", F.lit("random")).withColumns(edges))
     if quantiles:
         boundaries = cut_lineage(quantile_boundaries(index, quantiles))
         drawn = sample_picks(bucketed(index, boundaries), per_quantile, [*NEURON, "bucket"])
-        edge = lambda at: F.get("quantile_boundaries", at)
-        picks.append(
+        lists.append(
             join_sized(drawn, boundaries, NEURON)
-            .withColumns({
-                "kind": F.lit("quantile"),
-                "low": edge(F.col("bucket") - 1),
-                "high": edge(F.col("bucket")),
-            })
+            .withColumns(
+                {
+                    "kind": F.lit("quantile"),
+                    "low": F.get("quantile_boundaries", F.col("bucket") - 1),
+                    "high": F.get("quantile_boundaries", F.col("bucket")),
+                }
+            )
             .drop("quantile_boundaries")
         )
-    chosen = picks[0]
-    for other in picks[1:]:
-        chosen = chosen.unionByName(other)
+    if not lists:
+        raise ValueError("nothing to retain: k, sample_size and quantiles are all empty")
+    chosen = reduce(DataFrame.unionByName, lists)
     return fetch_records(acts, cut_lineage(chosen), seed).select(
         *NEURON, "kind", "bucket", "rank", "seq_id", "score", "tokens", "activations"
     )

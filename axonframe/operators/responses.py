@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from axonframe.functions.arrays import let
 from axonframe.functions.text import FRAME_OPEN, HIDDEN, PLAIN_END
 from axonframe.operators.prompts import FORMATS
 from axonframe.schemas import SIMULATED_SCALE, check_choice
@@ -22,8 +23,12 @@ def level_probabilities(top_logprobs: Column) -> Column:
     """Map from level to normalised probability; keys that are no level are dropped."""
     valid = F.map_filter(top_logprobs, lambda token, _: token.isin(*LEVEL_TOKENS))
     weights = F.transform_values(F.transform_keys(valid, lambda token, _: token.cast("int")), lambda _, lp: F.exp(lp))
-    total = F.aggregate(F.map_values(weights), F.lit(0.0), lambda a, b: a + b)
-    return F.transform_values(weights, lambda _, w: F.try_divide(w, total))
+
+    def normalised(w: Column) -> Column:
+        total = F.aggregate(F.map_values(w), F.lit(0.0), lambda a, b: a + b)
+        return let(total, lambda t: F.transform_values(w, lambda _, x: F.try_divide(x, t)))
+
+    return let(weights, normalised)
 
 
 def expected_level(probabilities: Column) -> Column:
@@ -35,11 +40,13 @@ def expected_level(probabilities: Column) -> Column:
 
 def token_estimate(top_logprobs: Column) -> Column:
     """Expected level, levels and probabilities of one position."""
-    p = level_probabilities(top_logprobs)
-    return F.struct(
-        expected_level(p).alias("expected"),
-        F.transform(F.map_keys(p), lambda k: k.cast("double")).alias("values"),
-        F.map_values(p).alias("probs"),
+    return let(
+        level_probabilities(top_logprobs),
+        lambda p: F.struct(
+            expected_level(p).alias("expected"),
+            F.transform(F.map_keys(p), lambda k: k.cast("double")).alias("values"),
+            F.map_values(p).alias("probs"),
+        ),
     )
 
 
@@ -156,26 +163,41 @@ def align_response(choice: Column, text: Column, tokens: Column) -> Column:
     scoring_start = F.when(
         F.contains(text, F.lit(START_MARK)), F.length(text) - after_last - len(START_MARK)
     ).otherwise(-1)
-    places = F.filter(
-        F.transform(seen, lambda _, i: i),
-        lambda i: (i >= 2)
-        & (F.get(seen, i) == HIDDEN)
-        & (F.get(seen, i - 1) == "\t")
-        & (F.get(log["text_offset"], i) >= scoring_start),
+    places = let(
+        scoring_start,
+        lambda begin: F.filter(
+            F.transform(seen, lambda _, i: i),
+            lambda i: (i >= 2)
+            & (F.get(seen, i) == HIDDEN)
+            & (F.get(seen, i - 1) == "\t")
+            & (F.get(log["text_offset"], i) >= begin),
+        ),
+    )
+    return let(
+        F.slice(places, 1, F.greatest(F.size(tokens), F.lit(1))), lambda used: _aligned(used, log, tokens)
     )
-    used = F.slice(places, 1, F.greatest(F.size(tokens), F.lit(1)))
+
+
+def _aligned(used: Column, log: Column, tokens: Column) -> Column:
+    """Estimates at the places ``used``, one per token."""
+    seen = log["tokens"]
 
     def estimate(place: Column, k: Column) -> Column:
         wanted = F.get(tokens, k)
         before = F.get(seen, place - 2)
-        merged = _merged_back(seen, place - 2, wanted)
         nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-        usable = (before == wanted) | (F.endswith(merged["text"], wanted) & (merged["used"] > 1))
-        folded = F.endswith(merged["text"], wanted) & F.contains(before, F.lit("\n"))
         broken = F.raise_error(F.concat(F.lit("response does not match token "), k.cast("string"), F.lit(": "), wanted))
-        return token_estimate(
-            F.when(usable, F.get(log["top_logprobs"], place)).when(folded, nothing).otherwise(broken.cast("map<string,double>"))
-        )
+
+        def from_pieces(merged: Column) -> Column:
+            ends = F.endswith(merged["text"], wanted)
+            return (
+                F.when(ends & (merged["used"] > 1), F.get(log["top_logprobs"], place))
+                .when(ends & F.contains(before, F.lit("\n")), nothing)
+                .otherwise(broken.cast("map<string,double>"))
+            )
+
+        pieces = let(_merged_back(seen, place - 2, wanted), from_pieces)
+        return token_estimate(F.when(before == wanted, F.get(log["top_logprobs"], place)).otherwise(pieces))
 
     estimates = F.transform(used, estimate)
     last = F.when(F.size(used) > 0, F.element_at(used, -1)).otherwise(F.lit(1))
@@ -187,7 +209,6 @@ def align_response(choice: Column, text: Column, tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, checked).otherwise(F.slice(estimates, 1, 0))
 
 
-
 def parse_echo_responses(responses: DataFrame, fmt: str = "instruction_following") -> DataFrame:
     """responses: keys, tokens, response -> one simulated sequence per row."""
     choice = F.get("response.choices", F.lit(0))

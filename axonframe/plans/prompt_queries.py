@@ -14,6 +14,7 @@ from axonframe.plans.record_queries import K
 from axonframe.plans.registry import ACTS, LEVELS, TOPS, VALS, query, sql_heap
 from axonframe.plans.registry import quoted as q
 from axonframe.schemas import NEURON
+from axonframe.session import cut_lineage
 
 PREFIX = prompts.EXPLANATION_PREFIX
 BASE = f"WITH {ACTS}, {TOPS}, {LEVELS}"
@@ -196,8 +197,8 @@ def simulate_prompts(spark, sf):
     return found.select(*NEURON, "seq_id", "prompt")
 
 
-def token_example(spark, sf):
-    return examples(spark, sf).where(F.col("example_no") == 0).select("records", F.lit(3).alias("token_index"))
+def token_example(shown):
+    return shown.where(F.col("example_no") == 0).select("records", F.lit(3).alias("token_index"))
 
 
 LAST = lambda n, e, t: (
@@ -216,7 +217,8 @@ LAST = lambda n, e, t: (
       {LAST("4", "'neuron ' || neuron", "all_tokens[1:pos + 1]")} || {q(prompts.END_OF_PROMPT)}) AS digest FROM asked, head, one""",
 )
 def single_token_prompts(spark, sf):
-    found = prompts.single_token_prompts(sequences(spark, sf), examples(spark, sf), token_example(spark, sf))
+    shown = cut_lineage(examples(spark, sf))
+    found = prompts.single_token_prompts(sequences(spark, sf), shown, token_example(shown))
     return found.select(*NEURON, "seq_id", "pos", F.md5("prompt").alias("digest"))
 
 

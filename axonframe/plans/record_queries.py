@@ -30,7 +30,7 @@ def fetched(spark, sf, kind, **sizes):
     found = records.neuron_records(table, **sizes).where(F.col("kind") == kind)
     return found.select(
         *NEURON, "rank", "seq_id", "score", F.array_join("tokens", " ").alias("tokens"),
-        F.round(F.aggregate("activations", F.lit(0.0), lambda a, b: a + b), 6).alias("total"), "bucket",
+        (F.round(F.aggregate("activations", F.lit(0.0), lambda a, b: a + b), 6) + 0.0).alias("total"), "bucket",
     )
 
 
@@ -38,7 +38,7 @@ def fetched(spark, sf, kind, **sizes):
     "topk_records",
     f"""WITH {ACTS}, {COARSE}, {SCORED}, {sql_heap("scored", K, keep="seq_id, score, tokens, activations")}
     SELECT layer, neuron, rank, seq_id, score, array_to_string(tokens, ' ') AS tokens,
-           round(list_sum(activations), 6) AS total FROM heap""",
+           round(list_sum(activations), 6) + 0.0 AS total FROM heap""",
 )
 def topk_records(spark, sf):
     return fetched(spark, sf, "top", k=K, sample_size=0, quantiles=None).drop("bucket")
@@ -49,7 +49,7 @@ def topk_records(spark, sf):
     f"""WITH {ACTS}, {COARSE}, {SCORED}, drawn AS (
       SELECT *, row_number() OVER (PARTITION BY layer, neuron ORDER BY {sql_draw(1234, "layer", "neuron", "seq_id")}, seq_id) AS rank FROM scored)
     SELECT layer, neuron, rank, seq_id, score, array_to_string(tokens, ' ') AS tokens,
-           round(list_sum(activations), 6) AS total FROM drawn WHERE rank <= {N}""",
+           round(list_sum(activations), 6) + 0.0 AS total FROM drawn WHERE rank <= {N}""",
 )
 def hash_sample(spark, sf):
     return fetched(spark, sf, "random", k=0, sample_size=N, quantiles=None).drop("bucket")
@@ -81,7 +81,7 @@ def buckets(spark, sf):
     f"""WITH {ACTS}, {COARSE}, {SCORED}, {BOUNDS}, {BUCKETS}, drawn AS (
       SELECT *, row_number() OVER (PARTITION BY layer, neuron, bucket ORDER BY {sql_draw(1234, "layer", "neuron", "seq_id")}, seq_id) AS rank FROM buckets)
     SELECT layer, neuron, bucket, rank, seq_id, score, array_to_string(tokens, ' ') AS tokens,
-           round(list_sum(activations), 6) AS total FROM drawn WHERE rank <= 3""",
+           round(list_sum(activations), 6) + 0.0 AS total FROM drawn WHERE rank <= 3""",
 )
 def quantile_sample(spark, sf):
     return fetched(spark, sf, "quantile", k=0, sample_size=0, per_quantile=3)

@@ -56,23 +56,23 @@ def written_tree(spark, sf):
 @query(
     "neuron_json_records",
     f"""WITH {ACTS}, {COARSE}, {SCORED}, {BOUNDS}, {RECORD_ROWS}
-    SELECT layer, neuron, kind, bucket, rank, array_to_string(tokens, ' ') AS tokens, round(list_sum(activations), 6) AS total FROM lists""",
+    SELECT layer, neuron, kind, bucket, rank, array_to_string(tokens, ' ') AS tokens, round(list_sum(activations), 6) + 0.0 AS total FROM lists""",
 )
 def neuron_json_records(spark, sf):
     rows = neurons.record_rows(written_tree(spark, sf))
     total = F.aggregate("activations", F.lit(0.0), lambda a, b: a + b)
-    return rows.select(*NEURON, "kind", "bucket", "rank", F.array_join("tokens", " ").alias("tokens"), F.round(total, 6).alias("total"))
+    return rows.select(*NEURON, "kind", "bucket", "rank", F.array_join("tokens", " ").alias("tokens"), (F.round(total, 6) + 0.0).alias("total"))
 
 
 @query(
     "neuron_json_stats",
     f"""WITH {ACTS}, {COARSE}, {SCORED}, {BOUNDS}, v AS (SELECT layer, neuron, unnest(activations) AS a FROM coarse),
-    m AS (SELECT layer, neuron, round(avg(a), 6) AS mean, round(var_samp(a), 6) AS variance FROM v GROUP BY ALL)
+    m AS (SELECT layer, neuron, round(avg(a), 6) + 0.0 AS mean, round(var_samp(a), 6) AS variance FROM v GROUP BY ALL)
     SELECT layer, neuron, layer AS layer_index, neuron AS neuron_index, mean, variance, q50, q999 FROM m JOIN bounds USING (layer, neuron)""",
 )
 def neuron_json_stats(spark, sf):
     return written_tree(spark, sf).select(
-        *NEURON, "neuron_id.layer_index", "neuron_id.neuron_index", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"),
+        *NEURON, "neuron_id.layer_index", "neuron_id.neuron_index", (F.round("mean", 6) + 0.0).alias("mean"), F.round("variance", 6).alias("variance"),
         F.get("quantile_boundaries", F.lit(0)).alias("q50"), F.get("quantile_boundaries", F.lit(3)).alias("q999"),
     )
 
@@ -365,12 +365,12 @@ def finished_state(spark, sf):
 
 @query(
     "events_running_stats",
-    f"""WITH {EVENT_ACTS} SELECT layer, neuron, count(*) AS n_values, round(avg(score), 6) AS mean, round(var_samp(score), 6) AS variance FROM ev GROUP BY ALL""",
+    f"""WITH {EVENT_ACTS} SELECT layer, neuron, count(*) AS n_values, round(avg(score), 8) AS mean, round(var_samp(score), 6) AS variance FROM ev GROUP BY ALL""",
 )
 def events_running_stats(spark, sf):
     stats = finished_state(spark, sf).read("stats")
     return stats.select(
-        *NEURON, "n_values", F.round("mean", 6).alias("mean"), F.when(~F.isnan("variance"), F.round("variance", 6)).alias("variance")
+        *NEURON, "n_values", F.round("mean", 8).alias("mean"), F.when(~F.isnan("variance"), F.round("variance", 6)).alias("variance")
     )
 
 

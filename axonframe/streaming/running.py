@@ -94,7 +94,8 @@ def start_progress(
     stream: DataFrame, out_path: str, checkpoint_path: str, time: str = "ts", late: str = "1 minute", every: str = "1 minute", **trigger
 ) -> StreamingQuery:
     """Records per time window.  Each batch writes the windows it changed under its own number."""
-    counts = stream.withWatermark(time, late).groupBy(F.window(time, every)).agg(F.count("*").alias("n"))
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    counts = timed.withWatermark(time, late).groupBy(F.window(time, every)).agg(F.count("*").alias("n"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.select(F.col("window.start").alias("minute"), "n").write.mode("overwrite").parquet(
