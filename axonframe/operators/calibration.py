@@ -12,7 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axonframe.operators.scale import TREE_FANOUT, join_sized
+from axonframe.functions.arrays import let
+from axonframe.operators.scale import BROADCAST_BYTES, TREE_FANOUT, fits, join_sized
 from axonframe.operators.scoring import EXPLANATION, paired_values
 from axonframe.schemas import NEURON_SCALE
 from axonframe.session import cut_lineage
@@ -67,32 +68,29 @@ def calibrate(sims: DataFrame, calibration: DataFrame | None, method: str | Cali
     return out.drop(*extra).withColumn("scale", F.lit(NEURON_SCALE))
 
 
-def _ranked_values(values: DataFrame, column: str) -> DataFrame:
-    """Distinct values per explanation with the positions [first, last] they take when sorted.
+SIDE = [*EXPLANATION, "side"]
+
+
+def _ranked_values(values: DataFrame) -> DataFrame:
+    """Distinct values per (explanation, side) with the positions [first, last] they take when sorted.
 
     Duplicates are counted before the shuffle.  Distinct values are split by sketched cut
     points, so a heavy explanation is sorted piece by piece and not by one task.
     """
-    counts = values.where(F.col(column).isNotNull()).groupBy(*EXPLANATION, F.col(column).alias("v")).agg(
-        F.count("*").alias("n")
-    )
-    share = [i / 64 for i in range(1, 64)]
-    cuts = counts.groupBy(*EXPLANATION).agg(F.percentile_approx("v", share, 1000).alias("cuts"))
-    pieces = join_sized(counts, cuts, EXPLANATION).withColumn(
-        "piece", F.size(F.filter("cuts", lambda c: F.col("v") > c))
-    )
-    totals = pieces.groupBy(*EXPLANATION, "piece").agg(F.sum("n").alias("total"))
-    earlier = Window.partitionBy(*EXPLANATION).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *EXPLANATION, "piece", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("offset")
-    )
-    inside = Window.partitionBy(*EXPLANATION, "piece").orderBy("v")
+    both = [F.struct(F.lit(side).alias("side"), F.col(column).alias("v")) for side, column in (("x", "p"), ("y", "r"))]
+    sides = values.select(*EXPLANATION, F.inline(F.array(*both)))
+    counts = cut_lineage(sides.where(F.col("v").isNotNull()).groupBy(*SIDE, "v").agg(F.count("*").alias("n")))
+    pieces = _with_piece(counts, counts, SIDE, "v")
+    totals = pieces.groupBy(*SIDE, "piece").agg(F.sum("n").alias("total"))
+    earlier = Window.partitionBy(*SIDE).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*SIDE, "piece", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(*SIDE, "piece").orderBy("v")
     upto = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return (
         pieces.withColumn("_upto", upto)
-        .join(offsets, [*EXPLANATION, "piece"])
+        .join(offsets, [*SIDE, "piece"])
         .select(
-            *EXPLANATION,
+            *SIDE,
             "v",
             (F.col("offset") + F.col("_upto") - F.col("n")).alias("first"),
             (F.col("offset") + F.col("_upto") - 1).alias("last"),
@@ -100,6 +98,17 @@ def _ranked_values(values: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _with_piece(rows: DataFrame, points: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Number each value by the sketched cut points of ``points`` that lie below it.
+
+    The cut points are one small row per key.
+    """
+    share = [i / 64 for i in range(1, 64)]
+    cuts = points.groupBy(*keys).agg(F.percentile_approx(value, share, 1000).alias("cuts"))
+    number = F.size(F.filter("cuts", lambda c: F.col(value) > c))
+    return join_sized(rows, cuts, keys).withColumn("piece", number).drop("cuts")
+
+
 def _value_at(sorted_values: DataFrame, positions: DataFrame, at: str, out: str) -> DataFrame:
     """Look up the value at a sorted position.
 
@@ -127,10 +136,9 @@ def fit_percentiles(paired: DataFrame) -> DataFrame:
     One row per distinct simulated value ``x``: the real values at its first and at its last
     sorted position.
     """
-    values = cut_lineage(paired_values(paired))
-    xs = _ranked_values(values, "p")
-    ys = _ranked_values(values, "r")
-    knots = xs.select(*EXPLANATION, F.col("v").alias("x"), "first", "last")
+    ranked = cut_lineage(_ranked_values(paired_values(paired)))
+    ys = ranked.where(F.col("side") == "y").drop("side")
+    knots = ranked.where(F.col("side") == "x").select(*EXPLANATION, F.col("v").alias("x"), "first", "last")
     return _value_at(ys, _value_at(ys, knots, "first", "y_first"), "last", "y_last").select(
         *EXPLANATION, "x", "y_first", "y_last"
     )
@@ -144,7 +152,6 @@ def apply_percentiles(values: DataFrame, knots: DataFrame, value: str = "value",
     sorted pass per (explanation, piece) finds the neighbours; neighbours in other pieces come
     from a table with one row per piece.
     """
-    knots = cut_lineage(knots)
     wanted = values.select(*EXPLANATION, F.col(value).alias("x")).distinct()
     none = F.lit(None).cast("double")
     knot = F.struct(F.col("x").alias("x"), F.col("y_first").alias("y_first"), F.col("y_last").alias("y_last"))
@@ -155,14 +162,7 @@ def apply_percentiles(values: DataFrame, knots: DataFrame, value: str = "value",
             F.when(F.lit(False), F.struct(none.alias("x"), none.alias("y_first"), none.alias("y_last"))).alias("knot"),
         )
     )
-    cuts = knots.groupBy(*EXPLANATION).agg(
-        F.percentile_approx("x", [i / 64 for i in range(1, 64)], 1000).alias("cuts")
-    )
-    pieces = cut_lineage(
-        join_sized(both, cuts, EXPLANATION)
-        .withColumn("piece", F.size(F.filter("cuts", lambda c: F.col("x") > c)))
-        .drop("cuts")
-    )
+    pieces = cut_lineage(_with_piece(both, knots, EXPLANATION, "x"))
     ends = pieces.where(F.col("knot").isNotNull()).groupBy(*EXPLANATION, "piece").agg(
         F.min_by("knot", "x").alias("low_end"), F.max_by("knot", "x").alias("high_end")
     )
@@ -200,26 +200,48 @@ def apply_percentiles(values: DataFrame, knots: DataFrame, value: str = "value",
     return values.join(mapped, [*EXPLANATION, value], "left")
 
 
-def calibrate_percentiles(sims: DataFrame, calibration: DataFrame) -> DataFrame:
+def interpolated(knots: Column, value: Column) -> Column:
+    """One value between sorted knots (x, y_first, y_last), clamped at both ends."""
+
+    def place(below: Column) -> Column:
+        u, o = F.get(knots, below - 1), F.get(knots, below)
+        slope = F.try_divide(o["y_first"] - u["y_last"], o["x"] - u["x"])
+        return (
+            F.when(below == 0, o["y_first"])
+            .when((below == F.size(knots)) | (u["x"] == value), u["y_last"])
+            .otherwise(u["y_last"] + slope * (value - u["x"]))
+        )
+
+    return let(F.size(F.filter(knots, lambda k: k["x"] <= value)), place)
+
+
+def calibrate_percentiles(sims: DataFrame, calibration: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Percentile matching applied to ``expected`` and, if present, to every distribution value.
 
-    Each sequence gets a map from its own distinct values to calibrated ones, so the arrays
-    are rewritten in place; empty arrays stay empty.
+    Calibration splits are small, so their knots normally fit: they become one array per
+    explanation, are broadcast, and arrays are mapped in place.  Larger knot tables are
+    matched by a distributed as-of join; then each sequence gets a map from its own distinct
+    values to calibrated ones.  Empty arrays stay empty.
     """
     has_distribution = "dist_values" in sims.columns
-    present = F.concat("expected", F.flatten("dist_values")) if has_distribution else F.col("expected")
-    values = sims.select(*EXPLANATION, "seq_id", F.explode(F.array_distinct(present)).alias("value"))
-    lookup = (
-        apply_percentiles(values, fit_percentiles(calibration))
-        .groupBy(*EXPLANATION, "seq_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("value", "calibrated"))).alias("_map"))
-    )
-    mapped = lambda x: F.element_at("_map", x)
-    out = (
-        sims.join(lookup, [*EXPLANATION, "seq_id"], "left")
-        .withColumn("uncalibrated", F.col("expected"))
-        .withColumn("expected", F.transform("expected", mapped))
-    )
+    knots = cut_lineage(fit_percentiles(calibration))
+    if fits(knots, limit):
+        lists = knots.groupBy(*EXPLANATION).agg(
+            F.array_sort(F.collect_list(F.struct("x", "y_first", "y_last"))).alias("_fit")
+        )
+        joined = sims.join(F.broadcast(lists), EXPLANATION)
+        mapped = lambda x: interpolated(F.col("_fit"), x)
+    else:
+        present = F.concat("expected", F.flatten("dist_values")) if has_distribution else F.col("expected")
+        values = sims.select(*EXPLANATION, "seq_id", F.explode(F.array_distinct(present)).alias("value"))
+        lookup = (
+            apply_percentiles(values, knots)
+            .groupBy(*EXPLANATION, "seq_id")
+            .agg(F.map_from_entries(F.collect_list(F.struct("value", "calibrated"))).alias("_fit"))
+        )
+        joined = sims.join(lookup, [*EXPLANATION, "seq_id"], "left")
+        mapped = lambda x: F.element_at("_fit", x)
+    out = joined.withColumn("uncalibrated", F.col("expected")).withColumn("expected", F.transform("expected", mapped))
     if has_distribution:
         out = out.withColumn("dist_values", F.transform("dist_values", lambda d: F.transform(d, mapped)))
-    return out.drop("_map").withColumn("scale", F.lit(NEURON_SCALE))
+    return out.drop("_fit").withColumn("scale", F.lit(NEURON_SCALE))

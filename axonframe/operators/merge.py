@@ -23,6 +23,22 @@ from axonframe.schemas import NEURON
 _KIND_ORDER = {"top": 0, "random": 1, "quantile": 2}
 
 
+_KEPT = [*NEURON, "seq_id", "score", "tokens", "activations", "kind", "rank"]
+
+
+def merge_lists(top: DataFrame, drawn: DataFrame, k: int, sample_size: int, seed: int = SEED) -> DataFrame:
+    """Bounded lists from candidates (layer, neuron, seq_id, score, tokens, activations).
+
+    Trimming starts before the shuffle, so a candidate table of any size is reduced to at
+    most 2k (or sample_size) rows per neuron and task.
+    """
+    strongest = heap_order(top.where(F.size("activations") > 0), k).withColumn("kind", F.lit("top"))
+    sampled = top_rows(
+        drawn.withColumn("draw", draw(seed, *NEURON, "seq_id")), NEURON, [F.col("draw"), F.col("seq_id")], sample_size
+    ).withColumn("kind", F.lit("random"))
+    return strongest.select(*_KEPT).unionByName(sampled.select(*_KEPT))
+
+
 def merge_exact(
     records: DataFrame, stats: DataFrame, k: int = TOP_K, sample_size: int = SAMPLE_SIZE, seed: int = SEED
 ) -> tuple[DataFrame, DataFrame]:
@@ -32,17 +48,11 @@ def merge_exact(
     moments.  A record retained twice counts once.  Hash samples of shards merge into the
     hash sample of the whole.  Returns (records, moments).
     """
-    seen = records.where(F.col("kind").isin("top", "random")).withColumn(
-        "draw", draw(seed, *NEURON, "seq_id")
-    ).withColumn("n_values", F.size("activations"))
-    kept = [*NEURON, "seq_id", "score", "tokens", "activations"]
-    distinct = lambda kind: seen.where(F.col("kind") == kind).dropDuplicates([*NEURON, "seq_id"])
-    top = heap_order(distinct("top").where(F.col("n_values") > 0), k).withColumn("kind", F.lit("top"))
-    drawn = top_rows(distinct("random"), NEURON, [F.col("draw"), F.col("seq_id")], sample_size).withColumn(
-        "kind", F.lit("random")
-    )
-    merged = top.select(*kept, "kind", "rank").unionByName(drawn.select(*kept, "kind", "rank"))
-    return merged, merge_moments(stats)
+    def distinct(kind: str) -> DataFrame:
+        rows = records.where(F.col("kind") == kind).drop("rank", "kind")
+        return rows.dropDuplicates([*NEURON, "seq_id"])
+
+    return merge_lists(distinct("top"), distinct("random"), k, sample_size, seed), merge_moments(stats)
 
 
 def merge_retained(
@@ -65,7 +75,6 @@ def merge_retained(
         }
     ).drop("rank")
     fed = fed.withColumn("draw", draw(seed, *NEURON, *[f"arrival.{part}" for part in ("shard", "kind", "bucket", "rank")]))
-    kept = [*NEURON, "seq_id", "score", "tokens", "activations", "kind", "rank"]
     top = heap_order(fed.where(F.col("n_values") > 0), k, arrival="arrival").withColumn("kind", F.lit("top"))
     drawn = top_rows(fed, NEURON, [F.col("draw"), F.col("arrival")], sample_size).withColumn("kind", F.lit("random"))
-    return top.select(*kept).unionByName(drawn.select(*kept)), moments(fed)
+    return top.select(*_KEPT).unionByName(drawn.select(*_KEPT)), moments(fed)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from axonframe.functions.arrays import has_nan, nonzero_count, record_score, relu_max, to_levels, unit_scaled
 from axonframe.functions.draws import draw
-from axonframe.operators.scale import join_sized, top_rows
+from axonframe.operators.scale import BROADCAST_BYTES, fits, join_sized, top_rows
 from axonframe.schemas import NEURON
 from axonframe.session import cut_lineage
 
@@ -129,17 +129,22 @@ def with_bounds(picks: DataFrame) -> DataFrame:
     )
 
 
-def fetch_records(acts: DataFrame, picks: DataFrame, seed: int = SEED) -> DataFrame:
+def fetch_records(acts: DataFrame, picks: DataFrame, seed: int = SEED, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Attach tokens and activations to picks (layer, neuron, kind, bucket, rank, seq_id, score,
-    draw, low, high).
+    draw, low, high; a written table).
 
-    The big table is not shuffled.  One row of bounds per neuron, joined after a size check,
-    lets through exactly the score range of the top picks and the draw ranges of the samples;
-    the survivors, about as many as the picks, are then matched by key.
+    The big table is not shuffled.  If the picks fit, they are broadcast.  Otherwise one row
+    of bounds per neuron lets through exactly the score range of the top picks and the draw
+    ranges of the samples, and only the survivors, about as many as the picks, are matched by
+    key.
     """
+    named = picks.drop("low", "high", "draw")
+    rows = acts.select(*NEURON, "seq_id", "tokens", "activations")
+    if fits(named, limit):
+        return rows.join(F.broadcast(named), [*NEURON, "seq_id"])
     score, drawn = F.col("_score"), F.col("_draw")
     keyed = (
-        join_sized(acts, with_bounds(picks), NEURON)
+        join_sized(rows, with_bounds(picks), NEURON, limit=limit)
         .withColumn("_score", record_score(F.col("activations")))
         .withColumn("_draw", draw(seed, *NEURON, "seq_id"))
     )
@@ -156,7 +161,7 @@ def fetch_records(acts: DataFrame, picks: DataFrame, seed: int = SEED) -> DataFr
     no = F.lit(False)
     wanted = F.coalesce(in_top, no) | F.coalesce(drawn <= F.col("drawn"), no) | F.coalesce(in_bucket, no)
     survivors = keyed.where(wanted).select(*NEURON, "seq_id", "tokens", "activations")
-    return picks.drop("low", "high", "draw").join(survivors, [*NEURON, "seq_id"])
+    return survivors.join(named, [*NEURON, "seq_id"])
 
 
 def neuron_records(

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from axonframe.session import cut_lineage
 
@@ -53,12 +54,17 @@ def top_rows(
     return short.withColumn(rank_col, F.row_number().over(final)).where(F.col(rank_col) <= n)
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Size of a (checkpointed) frame as JSON text, an upper proxy for its size in memory."""
-    row = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).agg(
-        (F.coalesce(F.sum("b"), F.lit(0)) + 64 * F.count("*")).alias("b")
-    )
-    return int(row.first()["b"])
+def fits(df: DataFrame, limit: int) -> bool:
+    """Whether a written table stays below ``limit`` bytes in memory.
+
+    Rows of numbers have a known width, so the row count from the file footers decides.
+    Otherwise rows are counted as JSON text plus 64 bytes.
+    """
+    widths = [8 if isinstance(f.dataType, T.NumericType | T.BooleanType) else None for f in df.schema.fields]
+    if None not in widths:
+        return df.count() * (64 + sum(widths)) <= limit
+    text = F.octet_length(F.to_json(F.struct("*"))) + 64
+    return (df.agg(F.sum(text).alias("size")).first()["size"] or 0) <= limit
 
 
 def join_sized(
@@ -75,7 +81,7 @@ def join_sized(
     adaptive execution splits skewed partitions of ``big``.
     """
     stored = cut_lineage(small)
-    if measured_bytes(stored) <= limit:
+    if fits(stored, limit):
         stored = F.broadcast(stored)
     return big.join(stored, on=list(on), how=how)
 
@@ -104,7 +110,7 @@ def prefix_sum(
 
     def level(rows: DataFrame, row_key: str, row_weight: str, out_col: str, depth: int) -> DataFrame:
         """Offsets for rows whose keys are below ``fanout ** depth``."""
-        bucket = f"_b{depth}"
+        bucket, total, offset = f"_bucket{depth}", f"_total{depth}", f"_offset{depth}"
         bucketed = rows.withColumn(bucket, F.expr(f"`{row_key}` div {fanout}"))
         inside = (
             Window.partitionBy(bucket)
@@ -114,13 +120,13 @@ def prefix_sum(
         running = F.coalesce(F.sum(row_weight).over(inside), F.lit(0)).cast("bigint")
         if depth == 1:
             return bucketed.withColumn(out_col, running).drop(bucket)
-        totals = bucketed.groupBy(bucket).agg(F.sum(row_weight).alias("_w"))
-        offsets = level(totals, bucket, "_w", "_offset", depth - 1).select(bucket, "_offset")
+        totals = bucketed.groupBy(bucket).agg(F.sum(row_weight).alias(total))
+        offsets = level(totals, bucket, total, offset, depth - 1).select(bucket, offset)
         return (
             bucketed.withColumn(out_col, running)
             .join(offsets, bucket)
-            .withColumn(out_col, F.col(out_col) + F.col("_offset"))
-            .drop(bucket, "_offset")
+            .withColumn(out_col, F.col(out_col) + F.col(offset))
+            .drop(bucket, offset)
         )
 
     return level(df, key, weight, out, levels)

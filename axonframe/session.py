@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +13,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows are costly per byte here (arrays, prompts), so small partitions keep more cores busy.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     # Ranked shortlists of up to this many rows per key are trimmed before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -39,12 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="axonframe-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the shared folder once, so later stages do not recompute it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame once as a table in the shared folder and read it back.
+
+    Later stages start from the files: nothing is computed twice, a lost executor costs only
+    its own tasks, and the planner knows the table's real size.
+    """
+    path = f"{shared_dir(df.sparkSession)}/axonframe-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

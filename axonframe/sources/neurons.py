@@ -21,18 +21,19 @@ from axonframe.schemas import (
     TOKEN_WEIGHTS,
 )
 
-_PATH = r"(?:layer=)?([0-9]+)/(?:neuron=)?([0-9]+)(?:\.jsonl?|/[^/]*)$"
+# <layer>/<neuron>.json, or layer=<layer>/neuron=<neuron>/<any file>
+_PLAIN = r"/([0-9]+)/([0-9]+)\.jsonl?$"
+_KEYED = r"/layer=([0-9]+)/neuron=([0-9]+)/[^/]*$"
 
 
 def _lines(spark: SparkSession, path: str, pattern: str | None, whole: bool) -> DataFrame:
-    reader = spark.read.option("wholetext", str(whole).lower()).option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     file = F.col("_metadata.file_path")
-    return reader.text(path).select(
-        F.regexp_extract(file, _PATH, 1).alias("_l"), F.regexp_extract(file, _PATH, 2).alias("_n"),
-        file.alias("file"), "value",
-    ).where((F.col("_l") != "") & (F.col("_n") != ""))
+    part = lambda group: F.concat(F.regexp_extract(file, _PLAIN, group), F.regexp_extract(file, _KEYED, group))
+    rows = reader.text(path, wholetext=whole).select(part(1).alias("_l"), part(2).alias("_n"), file.alias("file"), "value")
+    return rows.where((F.col("_l") != "") & (F.col("_n") != ""))
 
 
 def _keyed(lines: DataFrame) -> DataFrame:
@@ -208,11 +209,26 @@ def to_neuron_records(records: DataFrame, stats: DataFrame, boundaries: DataFram
     )
 
 
-def write_neuron_records(neurons: DataFrame, path: str) -> None:
-    """Write ``<path>/neurons/layer=<l>/neuron=<n>/``, one JSON line per neuron.
+def write_neuron_records(neurons: DataFrame, path: str, one_file_each: bool = True) -> None:
+    """Write one JSON object per neuron below ``<path>/neurons``.
 
-    Undefined moments are NULL in the rows and are written as JSON null.
+    The default gives one folder and file per neuron, ``layer=<l>/neuron=<n>/``.  For many
+    neurons use ``one_file_each=False``: JSON lines per layer, as many files as there are
+    tasks.  Undefined moments are NULL in the rows and are written as JSON null.
     """
     fields = [c for c in neurons.columns if c not in NEURON]
     text = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    neurons.select(*NEURON, text.alias("value")).write.partitionBy(*NEURON).mode("overwrite").text(f"{path}/neurons")
+    folders = NEURON if one_file_each else ["layer"]
+    rows = neurons.select(*folders, text.alias("value"))
+    rows.write.partitionBy(*folders).mode("overwrite").text(f"{path}/neurons")
+
+
+def read_neuron_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Neuron records from JSON lines; the key comes from the record itself."""
+    wrong = F.raise_error(F.concat(F.lit("not a neuron record: "), F.col("_metadata.file_path")))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    data = F.from_json("value", NEURON_RECORD)
+    valid = F.when(data["neuron_id"].isNotNull(), data).otherwise(wrong).alias("data")
+    return lines.select(valid).select(
+        F.col("data.neuron_id.layer_index").alias("layer"), F.col("data.neuron_id.neuron_index").alias("neuron"), "data.*"
+    )

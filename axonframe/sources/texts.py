@@ -116,7 +116,7 @@ def taxonomy_rows(objects: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    return taxonomy_rows(spark.read.option("wholetext", "true").text(path))
+    return taxonomy_rows(spark.read.text(path, wholetext=True))
 
 
 def puzzle_rows(objects: DataFrame, column: str = "value") -> DataFrame:

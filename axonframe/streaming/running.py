@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from axonframe.operators.merge import merge_exact
-from axonframe.operators.records import fetch_records, moments, record_index, sample_picks, top_picks
+from axonframe.functions.arrays import record_score
+from axonframe.operators.merge import merge_lists
+from axonframe.operators.records import merge_moments, moments
 from axonframe.schemas import NEURON
-from axonframe.session import cut_lineage
 
 VERSIONS_KEPT = 2
 
@@ -54,27 +54,25 @@ class StateFolder:
             self._fs.delete(self._to_path(f"{self._path}/v={old}"), True)
 
 
-def batch_summary(acts: DataFrame, k: int, sample_size: int) -> tuple[DataFrame, DataFrame]:
-    """Retained records and moments of one bounded batch."""
-    index = cut_lineage(record_index(acts))
-    none = {"bucket": F.lit(None).cast("int"), "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")}
-    top = top_picks(index, k).withColumn("kind", F.lit("top")).withColumns(none)
-    drawn = sample_picks(index, sample_size).withColumn("kind", F.lit("random")).withColumns(none)
-    picks = cut_lineage(top.unionByName(drawn))
-    return fetch_records(acts, picks).drop("bucket"), moments(acts).select(*NEURON, "n_values", "mean", "m2")
-
-
 def update_state(state: StateFolder, batch: DataFrame, batch_id: int, k: int, sample_size: int) -> None:
-    """Fold one batch into the state.  A batch that is already in the state is skipped."""
+    """Fold one batch into the state.  A batch that is already in the state is skipped.
+
+    The kept lists and the batch compete for the same places, so one job per table suffices.
+    """
     latest = state.latest()
     if latest is not None and batch_id <= latest:
         return
-    records, stats = batch_summary(batch, k, sample_size)
+    fresh = batch.select(
+        *NEURON, "seq_id", record_score(F.col("activations")).alias("score"), "tokens", "activations"
+    )
+    top = drawn = fresh
+    stats = moments(batch).select(*NEURON, "n_values", "mean", "m2")
     if latest is not None:
-        records = state.read("records", latest).unionByName(records)
+        kept = state.read("records", latest)
+        top = kept.where(F.col("kind") == "top").drop("kind", "rank").unionByName(fresh)
+        drawn = kept.where(F.col("kind") == "random").drop("kind", "rank").unionByName(fresh)
         stats = state.read("stats", latest).select(*NEURON, "n_values", "mean", "m2").unionByName(stats)
-    merged, merged_stats = merge_exact(records, stats, k, sample_size)
-    state.write(batch_id, {"records": merged, "stats": merged_stats})
+    state.write(batch_id, {"records": merge_lists(top, drawn, k, sample_size), "stats": merge_moments(stats)})
 
 
 def start_running_summary(
