@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.functions.text import is_blank, strip
-from axonframe.operators.scale import prefix_sum
+from axonframe.operators.scale import TREE_FANOUT, prefix_sum
 
 Tokenizer = Callable[[Column], Column]
 
@@ -59,11 +59,16 @@ def token_windows(
     """
     step = check_window(length, stride, context)
     capped = max_sequences is not None and max_sequences > 0
+    # Texts travel once, as text, to the bucket their position is computed in; counting and
+    # cutting both start from that exchange.
+    bucket = F.expr(f"_order div {TREE_FANOUT}")
     tokens = (
         usable_texts(docs, text)
-        .select(F.col(order).cast("bigint").alias("_order"), tokenizer(F.col(text)).alias("_tokens"))
-        .where(F.size("_tokens") > 0)
-        .withColumn("_n", F.size("_tokens"))
+        .select(F.col(order).cast("bigint").alias("_order"), F.col(text).alias("_text"))
+        .where(bucket.isNotNull())
+        .repartition(bucket)
+        .withColumn("_tokens", tokenizer(F.col("_text")))
+        .select("_order", "_tokens", F.size("_tokens").alias("_n"))
     )
     highest = docs.agg(F.max(F.col(order).cast("bigint"))).first()[0]
     placed = prefix_sum(tokens, "_order", "_n", "_start", max_key=highest or 0)

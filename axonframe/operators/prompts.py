@@ -30,6 +30,7 @@ from axonframe.schemas import MESSAGES, NEURON, check_choice
 # Prompt formats, context sizes and the texts the prompts are made of.
 FORMATS = ("none", "instruction_following", "harmony_v4")
 CONTEXT_SIZES = (2049, 4097)
+SIMULATION_TYPES = ("all_at_once", "one_at_a_time", "no_logprobs")
 END_OF_PROMPT = "<|endofprompt|>"
 EXPLANATION_PREFIX = "the main thing this neuron does is find"
 LOOKING_FOR = "This neuron is looking for"
@@ -327,6 +328,11 @@ def simulate_prompts(sequences: DataFrame, examples: DataFrame, fmt: str = "inst
     return sequences.withColumn("messages", prompt).withColumn("prompt", finish(F.col("messages"), fmt))
 
 
+def _nonempty(explanation: Column) -> Column:
+    """An empty explanation fails the job."""
+    return F.when(explanation == "", F.raise_error(F.lit("empty explanation")).cast("string")).otherwise(explanation)
+
+
 def _last_token(number: int, explanation: Column, tokens: Column) -> Column:
     return F.concat(
         F.lit("\n"), _about(number, strip(explanation)), F.lit("\nText:\n"), F.array_join(tokens, ""),
@@ -369,7 +375,7 @@ def single_token_prompts(
     )
     positions = F.transform("tokens", lambda _, i: i)
     return (
-        sequences.where(F.col("explanation") != "")
+        sequences.withColumn("explanation", _nonempty(F.col("explanation")))
         .withColumn("pos", F.explode(positions))
         .withColumn("_seen", upto(F.col("tokens"), F.col("pos")))
         .withColumn("messages", F.concat(_literal(turns), own))
@@ -407,12 +413,19 @@ def plain_prompts(sequences: DataFrame, examples: DataFrame, fmt: str = "harmony
         "user", F.concat(_about(len(rows) + 1, F.col("explanation")), F.lit("\n\n"), ask(F.lit(1), F.col("tokens")))
     )
     return (
-        sequences.where(F.col("explanation") != "")
+        sequences.withColumn("explanation", _nonempty(F.col("explanation")))
         .withColumn("messages", F.concat(_literal(turns), F.array(own)))
         .withColumn("prompt", finish(F.col("messages"), fmt))
     )
 
 
+def simulation_prompts(sequences: DataFrame, kind: str, examples: DataFrame, **options) -> DataFrame:
+    """Prompts of one simulation kind: all tokens at once, one token at a time, or plain."""
+    check_choice("simulation type", kind, SIMULATION_TYPES)
+    render = dict(zip(SIMULATION_TYPES, (simulate_prompts, single_token_prompts, plain_prompts)))
+    return render[kind](sequences, examples, **options)
+
+
 def explanations_from(completions: Column, numbered_list: bool = False, final_period: bool = False) -> Column:
     """Explanations in an array of completions: list items, or the completions themselves."""
     if numbered_list:

@@ -102,8 +102,8 @@ def quantile_bucket(score: Column, boundaries: Column) -> Column:
     return F.size(F.filter(boundaries, lambda b: score >= b))
 
 
-def bucketed(index: DataFrame, boundaries: DataFrame) -> DataFrame:
-    joined = join_sized(index, boundaries, NEURON)
+def bucketed(index: DataFrame, boundaries: DataFrame, written: bool = False) -> DataFrame:
+    joined = join_sized(index, boundaries, NEURON, written=written)
     return joined.withColumn("bucket", quantile_bucket(F.col("score"), F.col("quantile_boundaries")))
 
 
@@ -185,9 +185,9 @@ def neuron_records(
         lists.append(sample_picks(index, sample_size).withColumn("kind", F.lit("random")).withColumns(edges))
     if quantiles:
         boundaries = cut_lineage(quantile_boundaries(index, quantiles))
-        drawn = sample_picks(bucketed(index, boundaries), per_quantile, [*NEURON, "bucket"])
+        drawn = sample_picks(bucketed(index, boundaries, written=True), per_quantile, [*NEURON, "bucket"])
         lists.append(
-            join_sized(drawn, boundaries, NEURON)
+            join_sized(drawn, boundaries, NEURON, written=True)
             .withColumns(
                 {
                     "kind": F.lit("quantile"),

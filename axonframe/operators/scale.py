@@ -73,14 +73,15 @@ def join_sized(
     on: Sequence[str],
     how: str = "inner",
     limit: int = BROADCAST_BYTES,
+    written: bool = False,
 ) -> DataFrame:
     """Join that broadcasts ``small`` only after measuring it.
 
-    ``small`` is written to the shared folder first, so the measurement and the join read the
-    same rows and neither recomputes them.  Above the limit the join is shuffled on ``on`` and
+    ``small`` is written to the shared folder first (unless it is ``written`` already), so the
+    measurement and the join read the same rows and neither recomputes them.  Above the limit the join is shuffled on ``on`` and
     adaptive execution splits skewed partitions of ``big``.
     """
-    stored = cut_lineage(small)
+    stored = small if written else cut_lineage(small)
     if fits(stored, limit):
         stored = F.broadcast(stored)
     return big.join(stored, on=list(on), how=how)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from axonframe.functions.text import is_blank, split_numbered, strip, without_final_period
 from axonframe.operators import corpus, labels, prompts, responses
+from axonframe.operators.plugins import activations_with, simulate_with
 from axonframe.operators.scale import previous_value
-from axonframe.plans.fixtures import table
-from axonframe.plans.registry import query, quoted
+from axonframe.plans.fixtures import acts, table
+from axonframe.plans.registry import ACTS, query, quoted
 
 END = quoted(prompts.END_OF_PROMPT)
 
@@ -314,3 +315,42 @@ def logprob_expected_value(spark, sf):
 )
 def numbered_items(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(split_numbered(F.col("text"))).alias("n_items"))
+
+
+# A caller's function over corpus windows: neuron n of two reacts to words of length n + 3.
+def _word_lengths(batch):
+    import pandas as pd
+
+    parts = []
+    for neuron in range(2):
+        values = [[float(len(t) == neuron + 3) * (1 + i % 4) for i, t in enumerate(tokens)] for tokens in batch["tokens"]]
+        parts.append(batch.assign(layer=0, neuron=neuron, activations=values))
+    return pd.concat(parts)[["layer", "neuron", "seq_id", "tokens", "activations"]]
+
+
+@query(
+    "plugin_activations",
+    f"""WITH {STREAM}, placed AS (SELECT p // 64 AS seq_id, p % 64 AS i, token FROM stream),
+    n AS (SELECT unnest([0::BIGINT, 1]) AS neuron)
+    SELECT CAST(0 AS BIGINT) AS layer, neuron, seq_id, sum(CASE WHEN length(token) = neuron + 3 THEN 1 + i % 4 ELSE 0 END)::DOUBLE AS total
+    FROM placed, n GROUP BY neuron, seq_id HAVING count(*) = 64""",
+)
+def plugin_activations(spark, sf):
+    windows = corpus.token_windows(table(spark, sf, "documents"), 64)
+    found = activations_with(windows, _word_lengths)
+    return found.select("layer", "neuron", "seq_id", F.aggregate("activations", F.lit(0.0), lambda a, b: a + b).alias("total"))
+
+
+@query(
+    "plugin_simulator",
+    f"""WITH {ACTS}, v AS (SELECT layer, neuron, seq_id, unnest(tokens) AS t FROM acts)
+    SELECT layer, neuron, CAST(0 AS BIGINT) AS explanation_id, seq_id, sum(least(10, CAST(substr(t, 2) AS INT)))::DOUBLE AS total, 'simulated_normalized_activations' AS scale
+    FROM v GROUP BY layer, neuron, seq_id""",
+)
+def plugin_simulator(spark, sf):
+    sequences = acts(spark, sf).select(
+        "layer", "neuron", F.lit(0).alias("explanation_id"), "seq_id", F.lit("labels").alias("explanation"), "tokens"
+    )
+    found = simulate_with(sequences, lambda tokens, _: [[float(min(10, int(t[1:]))) for t in ts] for ts in tokens])
+    total = F.aggregate("expected", F.lit(0.0), lambda a, b: a + b)
+    return found.select("layer", "neuron", "explanation_id", "seq_id", total.alias("total"), "scale")

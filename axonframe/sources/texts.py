@@ -86,6 +86,20 @@ def read_texts(spark: SparkSession, path: str, fmt: str = "parquet", column: str
     return table.withColumnRenamed(name, "text").where(F.col("text").isNotNull() & ~is_blank(F.col("text")))
 
 
+def stream_texts(spark: SparkSession, path: str, fmt: str, schema: str, column: str = "text") -> DataFrame:
+    """The same as an unbounded stream of new files; row ranges are refused on it."""
+    table = spark.readStream.format(fmt).schema(schema).load(path)
+    return table.withColumnRenamed(column, "text").where(F.col("text").isNotNull() & ~is_blank(F.col("text")))
+
+
+def read_objects(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON object per file, of any shape, as VARIANT; more than one line fails the job."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = F.filter(F.split("value", "\n"), lambda line: F.length(line) > 0)
+    many = F.raise_error(F.concat(F.lit("expected one line in "), F.col("file"))).cast("string")
+    return rows.select("file", F.parse_json(F.when(F.size(lines) == 1, F.get(lines, F.lit(0))).otherwise(many)).alias("data"))
+
+
 def read_labels(spark: SparkSession, path: str, key: str = "Argument ID") -> DataFrame:
     """Zero/one label columns as integers, keyed by ``argument_id``."""
     table = read_tsv(spark, path)

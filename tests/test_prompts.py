@@ -277,3 +277,11 @@ def test_new_requests(spark):
     assert fresh.count() == 2
     answered = fresh.where("n = 1")
     assert [r["n"] for r in prompts.new_requests(rows, answered, ["model", "n"]).collect()] == [2]
+
+
+def test_simulation_kinds(spark, examples):
+    assert prompts.simulation_prompts(sequence(spark), "all_at_once", examples).first()["prompt"] == SIMULATE
+    with pytest.raises(ValueError):
+        prompts.simulation_prompts(sequence(spark), "at_random", examples)
+    with pytest.raises(Exception, match="empty explanation"):
+        prompts.plain_prompts(sequence(spark, ""), examples).collect()

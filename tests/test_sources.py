@@ -196,3 +196,17 @@ def test_generic_texts(spark, tmp_path):
     assert [r["text"] for r in texts.read_texts(spark, f"{tmp_path}/t.txt", "text").collect()] == ["x", " y"]
     with pytest.raises(ValueError):
         texts.read_texts(spark, f"{tmp_path}/t.json", "json", "other")
+
+
+def test_objects_and_text_streams(spark, tmp_path):
+    write(f"{tmp_path}/o/1.json", '{"a": {"b": [1, 2]}}\n')
+    row = texts.read_objects(spark, f"{tmp_path}/o").select(F.variant_get("data", "$.a.b[1]", "int")).first()
+    assert row[0] == 2
+    write(f"{tmp_path}/o/2.json", '{"a": 1}\n{"a": 2}\n')
+    with pytest.raises(Exception, match="expected one line"):
+        texts.read_objects(spark, f"{tmp_path}/o").collect()
+    write(f"{tmp_path}/s/1.json", '{"text": " x "}\n{"text": " "}\n')
+    stream = texts.stream_texts(spark, f"{tmp_path}/s", "json", "text STRING")
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True)
+    query.start(f"{tmp_path}/out").awaitTermination()
+    assert [r["text"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [" x "]
