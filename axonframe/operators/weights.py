@@ -89,7 +89,8 @@ def _sent(rows: DataFrame, meetings: DataFrame, layer: str, blocks: str, other:
         .groupBy("layer", "_blocks")
         .agg(F.collect_list(F.struct("_other", "_other_block")).alias("_partners"))
     )
-    own = F.pmod(F.xxhash64("neuron"), F.col("_blocks")).alias("_block")
+    # Both sides of the later cogroup need the same key types: block numbers are INT everywhere.
+    own = F.pmod(F.xxhash64("neuron"), F.col("_blocks")).cast("int").alias("_block")
     return (
         join_sized(rows, partners, ["layer"])
         .select("layer", own, F.explode("_partners").alias("_p"), "neuron", "vector")

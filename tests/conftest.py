@@ -12,7 +12,9 @@ from axonframe.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+           # Small data would end up in one partition and hide partitioning mistakes.
+           "spark.sql.adaptive.coalescePartitions.enabled": "false"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
