@@ -281,13 +281,16 @@ def with_unit_scale(acts: DataFrame, at_zero: float = 0.0) -> DataFrame:
 
 
 def run_summary(acts: DataFrame) -> DataFrame:
-    """One row: neurons, layers, sequences and records seen."""
-    per_neuron = acts.groupBy(*NEURON).agg(F.count("*").alias("n"))
-    neurons = per_neuron.agg(
+    """One row: neurons, layers, sequences and records seen.
+
+    Neurons and sequences are deduplicated separately, each before its own shuffle.
+    """
+    neurons = acts.groupBy(*NEURON).agg(F.count("*").alias("n")).agg(
         F.count("*").alias("neurons"), F.countDistinct("layer").alias("layers"), F.sum("n").alias("records")
     )
     sequences = acts.select("seq_id").distinct().agg(F.count("*").alias("sequences"))
-    return neurons.join(sequences)
+    parts = neurons.unionByName(sequences, allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in ("neurons", "layers", "records", "sequences")])
 
 
 def check_layers(spark_layers: int, wanted: Sequence[int] | None) -> list[int]:

@@ -170,7 +170,8 @@ def exact_percentiles(
 
     Counts per equal-width bin find the bin that holds each wanted order statistic; that bin
     is split again until it holds at most ``small`` rows, and only those are ranked.  The
-    driver sees bin counts and order statistics, never the rows.
+    driver sees bin counts and order statistics, never the rows.  The frame is scanned once
+    per step: pass a written table if it is costly to compute.
     """
     stats = df.agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).first()
     n = stats["n"]

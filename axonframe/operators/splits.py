@@ -35,11 +35,10 @@ def split_records(records: DataFrame, per_split: int | None = None) -> DataFrame
         parts.append(
             dealt.where(position < F.col("_each") * stride)
             .withColumn("split", F.get(F.array(*[F.lit(s) for s in splits]), (position % stride).cast("int")))
-            .withColumn("position", F.floor(position / stride) + (F.lit(0) if kind == "top" else F.lit(1_000_000_000)))
             .drop("_size", "_each")
         )
     both = parts[0].unionByName(parts[1])
-    order = Window.partitionBy(*NEURON, "split").orderBy("position")
+    order = Window.partitionBy(*NEURON, "split").orderBy(F.col("kind") != "top", "rank")
     return both.withColumn("position", F.row_number().over(order) - 1)
 
 

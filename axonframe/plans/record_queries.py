@@ -11,6 +11,7 @@ from axonframe.operators.scale import exact_percentiles
 from axonframe.plans.fixtures import acts, coarse
 from axonframe.plans.registry import ACTS, COARSE, LEVELS, TOPS, VALS, query, sql_draw, sql_heap
 from axonframe.schemas import NEURON
+from axonframe.session import cut_lineage
 
 K, N = 12, 8
 SCORED = "scored AS (SELECT *, list_max(activations) AS score FROM coarse)"
@@ -185,7 +186,8 @@ def run_summary(spark, sf):
 )
 def run_diff_percentiles(spark, sf):
     base = acts(spark, sf)
-    found = exact_percentiles(run_differences(base, coarse(base)), "gap", [0.5, 0.9, 0.99, 0.999])
+    gaps = cut_lineage(run_differences(base, coarse(base)))
+    found = exact_percentiles(gaps, "gap", [0.5, 0.9, 0.99, 0.999])
     return spark.createDataFrame([tuple(round(x, 6) for x in found)], "p50 DOUBLE, p90 DOUBLE, p99 DOUBLE, p999 DOUBLE")
 
 
