@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,3 +25,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from axonframe.llm.ngram_join import ngram_join
 
     return ngram_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from axonframe.llm.substring_dedup import substring_dedup
+
+    found = substring_dedup(documents(spark, sf_dir))
+    return found.select(F.col("row_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
