@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import PATTERN
+from public_tokenizers import path as vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,3 +35,22 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = substring_dedup(documents(spark, sf_dir))
     return found.select(F.col("row_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from axonframe.llm.packing import pack
+
+    return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), 1024, 0)
+
+
+@query
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from axonframe.llm.bpe import bpe_decode, bpe_encode
+
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    found = bpe_decode(bpe_encode(documents(spark, sf_dir), ranks, PATTERN), ranks)
+    return found.select(
+        F.col("row_id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
