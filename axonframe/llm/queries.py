@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import PATTERN
 from public_tokenizers import path as vocabulary
@@ -54,3 +54,19 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row_id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from axonframe.llm.pii import BASE, find_pii, spans_text
+
+    found = find_pii(documents(spark, sf_dir)).select(F.col("row_id").alias("doc_id"), "spans")
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, BASE), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("highest_score"),
+    )
