@@ -70,3 +70,40 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *map(count, BASE), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"),
         F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("highest_score"),
     )
+
+
+@query
+def op10_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from axonframe.llm.vafile import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
+
+
+SQL["op10_va_file"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM whole),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM scores QUALIFY rank <= 5
+"""
+
+
+@query
+def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from axonframe.llm.spotsigs import edited_fingerprints
+
+    return edited_fingerprints(documents(spark, sf_dir)).withColumnRenamed("row_id", "doc_id")
+
+
+# Fingerprints cannot be written in SQL, but the edited texts can: the tests compare these columns.
+OP6_EDITED_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS following FROM documents)
+SELECT doc_id, length(text) AS n_chars,
+  sha256(substr(text, 1, length(text) - length(text) // 4) || substr(following, 1, length(text) // 4)) AS edited_sha256
+FROM d
+"""
