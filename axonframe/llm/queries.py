@@ -107,3 +107,26 @@ SELECT doc_id, length(text) AS n_chars,
   sha256(substr(text, 1, length(text) - length(text) // 4) || substr(following, 1, length(text) // 4)) AS edited_sha256
 FROM d
 """
+
+
+#: Documents are rejected when they are more likely toxic than not.
+REJECTED = 0.5
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from axonframe.llm.toxicity import severity, toxicity_model
+
+    docs = documents(spark, sf_dir)
+    found = severity(docs, toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return found.select(
+        F.col("row_id").alias("doc_id"), "expected_severity", F.col("grade").cast("bigint").alias("grade"), "p_toxic",
+        (F.col("p_toxic") >= REJECTED).cast("bigint").alias("toxic"),
+    )
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from axonframe.llm.license_scan import license_scan
+
+    return license_scan(documents(spark, sf_dir)).withColumnRenamed("row_id", "doc_id")
