@@ -132,8 +132,12 @@ def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, id_col: str = "do
     columns are ignored; an empty table gives no rows.
     """
     source = docs.select(F.col(id_col).alias("row_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    text = F.col("text")
-    return source.select("row_id", "text", F.array_sort(F.concat(*[_spans(k, i, text) for i, k in enumerate(kinds)])).alias("spans"))
+    return source.select("row_id", "text", pii_spans(F.col("text"), kinds).alias("spans"))
+
+
+def pii_spans(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
+    """The spans of a text that is not null."""
+    return F.array_sort(F.concat(*[_spans(k, i, text) for i, k in enumerate(kinds)]))
 
 
 def masked(text: Column, spans: Column) -> Column:

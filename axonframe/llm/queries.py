@@ -130,3 +130,36 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from axonframe.llm.license_scan import license_scan
 
     return license_scan(documents(spark, sf_dir)).withColumnRenamed("row_id", "doc_id")
+
+
+@query
+def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as response records against a replica with planted faults: one flipped character, a cut, lost records."""
+    from axonframe.llm.merkle import audit, manifest, warc_record
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    block = warc_record(F.col("url"), F.col("html"))
+    kept = pages.where("page_id % 499 <> 17")
+    harmed = (
+        F.when(F.expr("page_id % 487 = 5"), F.concat(F.lit("#"), F.expr("substring(html, 2)")))
+        .when(F.expr("page_id % 491 = 11"), F.expr("substring(html, 1, length(html) div 2)")).otherwise(F.col("html"))
+    )
+    replica = manifest(kept.withColumn("html", harmed), "page_id", block)
+    return audit(manifest(pages, "page_id", block), replica).withColumnRenamed("id", "page_id")
+
+
+_RECORD = "'WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: ' || url || '\r\nContent-Length: ' || strlen(html) || '\r\n\r\n' || html || '\r\n\r\n'"
+_ENTRIES = f"""SELECT page_id, page_id // 4096 AS file, CAST(strlen(block) AS BIGINT) AS size, sha256(block) AS digest,
+    CAST(coalesce(sum(strlen(block)) OVER (PARTITION BY page_id // 4096 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM (SELECT page_id, {_RECORD} AS block FROM"""
+SQL["op2_merkle_audit"] = f"""
+WITH a AS ({_ENTRIES} pages)),
+harmed AS (
+  SELECT page_id, url, CASE WHEN page_id % 487 = 5 THEN '#' || substr(html, 2) WHEN page_id % 491 = 11 THEN substr(html, 1, length(html) // 2) ELSE html END AS html
+  FROM pages WHERE page_id % 499 <> 17),
+b AS ({_ENTRIES} harmed))
+SELECT page_id, a.file, a.start, a.start + a.size AS stop,
+  CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest <> b.digest THEN 'changed' ELSE 'moved' END AS kind,
+  a.digest AS expected, b.digest AS found
+FROM a LEFT JOIN b USING (page_id) WHERE b.digest IS NULL OR a.digest <> b.digest OR a.start <> b.start
+"""

@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from axonframe.session import shared_dir
 
-#: Rows per Arrow batch.  Texts can be long, so batches are kept far below Spark's 10 000 rows.
-BATCH_ROWS = 2000
+#: Arrow batches that Python tasks read: bounded by bytes, so that narrow rows come in many and long texts in few.
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 65_536
 
 
 class Scratch:
@@ -37,14 +39,18 @@ class Scratch:
             self.spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python tasks read, unless the user has chosen a size."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the user has chosen other sizes than Spark's."""
+    for key, default, chosen in (
+        ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(BATCH_BYTES)),
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", str(BATCH_ROWS)),
+    ):
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, chosen)
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    small_batches(df.sparkSession)
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -186,6 +186,20 @@ def _scored(model: OrdinalModel):
     return run
 
 
+def accepted(docs: DataFrame, model: OrdinalModel, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are above grade 0 with a probability below ``limit``."""
+    known = {int(f): i for i, f in enumerate(model.features)}
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        reader = Reader(known)
+        for batch in batches:
+            score = [float(np.log1p(counts) @ model.weights[found]) for found, counts in map(reader.of, text_rows(batch.column(at)))]
+            yield batch.filter(pa.array(model.above(np.array(score, np.float64))[:, 0] < limit))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row_id, expected_severity, grade, p_toxic (above grade 0), one row per input row, no shuffle.
 
