@@ -17,8 +17,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,11 +25,11 @@ from pyspark.sql import functions as F
 from axonframe.llm.components import components
 from axonframe.llm.signature_tree import Forest, bitmap, united
 from axonframe.llm.tables import Scratch, map_batches, utf8_rows
-from axonframe.llm.words import WordHashes, mix, set_key, shingle_set
+from axonframe.llm.words import WordHashes, Words, set_key, shingle_sets
 
-#: Classes gathered for one tree, and hashes gathered for one cell of exact sets (24 MB).
+#: Classes gathered for one tree, and hashes gathered for one cell of exact sets (40 MB).
 BLOCK = 2048
-CELL_HASHES = 3_000_000
+CELL_HASHES = 5_000_000
 
 #: N-grams ordered by their frequency; all others come before them.  A bound of 1 MB.
 FREQUENT = 65_536
@@ -43,9 +41,8 @@ _PROFILE = "doc_id BIGINT, n BIGINT, k BIGINT, map BINARY, shingle BIGINT, seen
 _BLOCKS = "kind STRING, block BIGINT, k BIGINT, other BIGINT"
 
 
-def _sets(batch: pa.RecordBatch, hashes: WordHashes, length: int) -> Iterator[np.ndarray]:
-    for text in utf8_rows(batch.column(1)):
-        yield shingle_set(hashes.of(text.lower().split()), length)
+def _sets(batch: pa.RecordBatch, hashes: WordHashes, length: int) -> list[np.ndarray]:
+    return shingle_sets(Words([text.lower() for text in utf8_rows(batch.column(1))], hashes), length)
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -57,7 +54,7 @@ def _profile(length: int):
         hashes = WordHashes()
         names = ["doc_id", "n", "k", "map", "shingle", "seen"]
         for batch in batches:
-            sets = list(_sets(batch, hashes, length))
+            sets = _sets(batch, hashes, length)
             none = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
@@ -116,7 +113,7 @@ def _blocks(batches):
     names = ["kind", "block", "k", "other"]
 
     def table(kind, block, k, other):
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(k)), pa.array(block, pa.int64()), pa.array(k, pa.int64()), pa.array(other, pa.int64())], names)
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(k), pa.string()), pa.array(block, pa.int64()), pa.array(k, pa.int64()), pa.array(other, pa.int64())], names)
 
     def rows(shingle, salt, k):
         edge = np.flatnonzero((shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])) + 1
@@ -223,7 +220,7 @@ def _exact_sets(length: int):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            sets = list(_sets(batch, hashes, length))
+            sets = _sets(batch, hashes, length)
             wanted = batch.column(2).to_pylist()
             keep = [i for i, s in enumerate(sets) if len(s) and set_key(s) == wanted[i]]
             yield pa.RecordBatch.from_arrays([

@@ -36,7 +36,7 @@ def bitmap(values: np.ndarray) -> bytes:
 
 
 def folded(maps: list[bytes]) -> np.ndarray:
-    """Bitmaps as equal rows of 64-bit words.  Longer ones are halved by OR, which keeps the bound."""
+    """Bitmaps as equal rows of 64-bit words.  Longer ones are folded by OR, which keeps the bound."""
     width = min(map(len, maps))
     rows = np.empty((len(maps), width // 8), np.uint64)
     for i, raw in enumerate(maps):
@@ -58,11 +58,14 @@ class Level:
             np.maximum.reduceat(self.high, at), np.maximum.reduceat(self.surplus, at), np.append(self.start[:-1][at], self.start[-1]),
         )
 
-    def possible(self, rows: np.ndarray, columns: np.ndarray, percent: int) -> np.ndarray:
-        """Which of rows x columns may hold a pair with 100 * common >= percent * united."""
+    def possible(self, rows: np.ndarray, columns: np.ndarray, percent: int, limit: int) -> np.ndarray:
+        """Which of rows x columns may hold a pair with 100 * common >= percent * united.
+
+        One set of the pair must not be larger than ``limit``.
+        """
         low_a, low_b = self.low[rows][:, None], self.low[columns][None, :]
         high_a, high_b = self.high[rows][:, None], self.high[columns][None, :]
-        near = (100 * high_b >= percent * low_a) & (100 * high_a >= percent * low_b)
+        near = (100 * high_b >= percent * low_a) & (100 * high_a >= percent * low_b) & (np.minimum(low_a, low_b) <= limit)
         i, j = np.nonzero(near)
         if not len(i):
             return near
@@ -102,17 +105,31 @@ def united(
 ) -> None:
     """Unite in ``forest`` all pairs of sets that may be (or, with ``accept``, are) similar enough.
 
-    ``sizes`` ascend.  Pairs of nodes are visited from the root down; a pair is left when its
-    bound is too low or when all leaves below are united already.  ``accept`` decides on pairs
-    of leaves that pass the bound and are not united yet.
+    ``sizes`` ascend, ``percent`` is over 50.  Similar sets have bitmaps of equal or neighbouring
+    widths, so there is a tree for each width and the next, and no bitmap is folded more than
+    once.  ``accept`` decides on pairs of leaves that pass the bound and are not united yet.
     """
-    bits = folded(maps)
     sizes = np.asarray(sizes, np.int64)
+    widths = np.array([len(m) for m in maps])
+    for width in np.unique(widths).tolist():
+        at = np.flatnonzero((widths == width) | (widths == 2 * width))
+        if len(at) > 1:
+            limit = int(sizes[widths == width].max())
+            _united_tree(at, sizes[at], folded([maps[i] for i in at]), percent, limit, forest, accept)
+
+
+def _united_tree(at, sizes, bits, percent, limit, forest, accept) -> None:
+    """One tree over the sets at positions ``at``.
+
+    Pairs of nodes are visited from the root down; a pair is left when its bound is too low or
+    when all leaves below are united already.
+    """
     surplus = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     levels = [Level(bits, sizes, sizes, surplus, np.arange(len(sizes) + 1))]
     levels.append(levels[0].above(LEAVES))
     while len(levels[-1].low) > 1:
         levels.append(levels[-1].above(FAN))
+    places = at.tolist()
 
     def children(depth: int, node: int) -> np.ndarray:
         fan = LEAVES if depth == 1 else FAN
@@ -121,23 +138,21 @@ def united(
     def one(depth: int, a: int, b: int) -> bool:
         """Whether all leaves below two nodes are united."""
         start = levels[depth].start
-        roots = forest.roots(start[a], start[a + 1])
-        if a != b:
-            roots = np.concatenate([roots, forest.roots(start[b], start[b + 1])])
-        return bool((roots == roots[0]).all())
+        root = forest.find(places[start[a]])
+        return all(forest.find(places[i]) == root for node in {a, b} for i in range(start[node], start[node + 1]))
 
     def visit(depth: int, a: int, b: int) -> None:
         if one(depth, a, b):
             return
         rows, columns = children(depth, a), children(depth, b)
-        pairs = levels[depth - 1].possible(rows, columns, percent)
+        pairs = levels[depth - 1].possible(rows, columns, percent, limit)
         if a == b:
             pairs &= np.triu(np.ones_like(pairs), k=1 if depth == 1 else 0)
         for i, j in zip(*(x.tolist() for x in np.nonzero(pairs))):
             if depth > 1:
                 visit(depth - 1, int(rows[i]), int(columns[j]))
             else:
-                i, j = int(rows[i]), int(columns[j])
+                i, j = places[rows[i]], places[columns[j]]
                 if forest.find(i) != forest.find(j) and (accept is None or accept(i, j)):
                     forest.unite(i, j)
 

@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from axonframe.llm.tables import map_batches, utf8_rows
-from axonframe.llm.words import WordHashes, mix
+from axonframe.llm.words import WordHashes, Words, mix
 
 #: Counters of a sketch row are kept and merged in chunks of 2^16.
 CHUNK_BITS = 16
@@ -34,30 +35,10 @@ ROWS = 2
 NO_ID = (1 << 63) - 1
 
 
-def _joined(a: np.ndarray, b: np.ndarray, gap: int) -> np.ndarray:
-    """Hashes of runs made of a run of ``a`` and the run of ``b`` that starts ``gap`` later."""
-    n = min(len(a), len(b) - gap)
-    return mix(mix(a[:n]) + b[gap : gap + n]) if n > 0 else np.zeros(0, np.uint64)
-
-
-def runs_of(words: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all runs of ``length`` words, by doubling."""
-    n = len(words) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    power, size, out, done = words, 1, None, 0
-    rest = length
-    while rest:
-        if rest & 1:
-            out, done = (power, size) if out is None else (_joined(out, power, done), done + size)
-        rest >>= 1
-        if rest:
-            power, size = _joined(power, power, size), 2 * size
-    return out[:n]
-
-
 def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     """``pick`` (np.minimum or np.maximum) over every ``width`` consecutive values."""
+    if len(values) < width:
+        return values[:0]
     out, size = values, 1
     while 2 * size <= width:
         out, size = pick(out[: len(out) - size], out[size:]), 2 * size
@@ -66,20 +47,25 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 class Windows:
-    """The windows of one text: their hashes, and the run each has chosen."""
+    """All windows of several texts: where they start, their hashes, and the run each has chosen."""
 
-    def __init__(self, words: np.ndarray, length: int):
+    def __init__(self, words: Words, length: int):
         half = max(1, length // 2)
-        self.hashes = runs_of(words, length)
-        self.chosen = np.zeros(0, np.uint64)
-        self.counted = np.zeros(0, np.uint64)
-        if len(self.hashes):
-            width = length - half + 1
-            runs = runs_of(words, half)
-            self.chosen = sliding(runs, width, np.minimum)
-            # A run is counted if a window that holds it has chosen its hash.
-            ends = np.zeros(width - 1, np.uint64)
-            self.counted = runs[sliding(np.concatenate([ends, self.chosen, ends]), width, np.maximum) == runs]
+        width = length - half + 1
+        runs = mix(words.runs(half))
+        hashes = words.runs(length)
+        chosen = sliding(runs, width, np.minimum)
+        inside = np.zeros(len(words.hashes) + 1, np.int32)
+        long = words.counts >= length
+        np.add.at(inside, words.begins[long], 1)
+        np.add.at(inside, words.stops[long] - length + 1, -1)
+        valid = np.cumsum(inside[:-1])[: len(hashes)] > 0
+        self.starts = np.flatnonzero(valid)
+        self.hashes, self.chosen = hashes[self.starts], chosen[self.starts]
+        # A run is counted if a window that holds it has chosen its hash.
+        ends = np.zeros(width - 1, np.uint64)
+        reach = sliding(np.concatenate([ends, np.where(valid, chosen, np.uint64(0)), ends]), width, np.maximum)
+        self.counted = runs[reach == runs]
 
 
 def _counters(runs: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -111,15 +97,13 @@ def _sketch(length: int, bits: int):
     def run(batches):
         hashes, found, size = WordHashes(), [], 0
         for batch in batches:
-            for text in utf8_rows(batch.column(0)):
-                counted = Windows(hashes.of(text.split()), length).counted
-                if len(counted):
-                    found.append(counted)
-                    size += len(counted)
+            counted = Windows(Words(utf8_rows(batch.column(0)), hashes), length).counted
+            found.append(counted)
+            size += len(counted)
             if size > flush:
                 yield from rows(found)
                 found, size = [], 0
-        if found:
+        if size:
             yield from rows(found)
 
     return run
@@ -162,52 +146,58 @@ def _occurrences(length: int, bits: int, sketch):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            ids, parts = batch.column(1).to_numpy(), []
-            for text in utf8_rows(batch.column(0)):
-                windows = Windows(hashes.of(text.split()), length)
-                parts.append(np.unique(windows.hashes[_repeated(windows, sketch.value, bits)]))
+            ids = batch.column(1).to_numpy()
+            words = Words(utf8_rows(batch.column(0)), hashes)
+            windows = Windows(words, length)
+            at = np.flatnonzero(_repeated(windows, sketch.value, bits))
+            text, found = words.text_of(windows.starts[at]), windows.hashes[at]
+            edge = np.append(0, np.flatnonzero(text[1:] != text[:-1]) + 1) if len(text) else np.zeros(0, np.int64)
+            parts = [np.unique(part) for part in np.split(found, edge[1:])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.repeat(ids, [len(p) for p in parts]))], ["window", "id"]
+                [pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(ids[text[edge]], [len(p) for p in parts] if len(edge) else []))],
+                ["window", "id"],
             )
 
     return run
 
 
 def _removed(length: int, bits: int, sketch):
-    """(text, owned windows, ...) to the kept words and how many went."""
+    """(text, id, owned windows, rest) to the kept words and how many went."""
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
             owned = batch.column(2)
-            kept_texts, counts, gone = [], [], []
-            for i, text in enumerate(utf8_rows(batch.column(0))):
-                words = text.split()
-                windows = Windows(hashes.of(words), length)
-                at = np.flatnonzero(_repeated(windows, sketch.value, bits))
-                if len(at):
-                    own = owned[i].values
-                    own = np.zeros(0, np.uint64) if own is None else np.sort(own.to_numpy().view(np.uint64))
-                    found = windows.hashes[at]
-                    first = np.zeros(len(found), bool)
-                    first[np.unique(found, return_index=True)[1]] = True
-                    if len(own):
-                        first &= own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found
-                    else:
-                        first[:] = False
-                    starts = at[~first]
-                    cover = np.zeros(len(words) + 1, np.int32)
-                    cover[starts] += 1
-                    np.add.at(cover, starts + length, -1)
-                    keep = np.cumsum(cover[:-1]) == 0
-                    kept = list(compress(words, keep.tolist()))
+            words = Words(utf8_rows(batch.column(0)), hashes)
+            windows = Windows(words, length)
+            at = np.flatnonzero(_repeated(windows, sketch.value, bits))
+            text = words.text_of(windows.starts[at])
+            edge = np.append(0, np.flatnonzero(text[1:] != text[:-1]) + 1) if len(text) else np.zeros(0, np.int64)
+            cover = np.zeros(len(words.hashes) + 1, np.int32)
+            for i, places in zip(text[edge].tolist(), np.split(at, edge[1:])):
+                found = windows.hashes[places]
+                kept = np.zeros(len(found), bool)
+                kept[np.unique(found, return_index=True)[1]] = True
+                own = owned[i].values
+                if own is None or not len(own):
+                    kept[:] = False
                 else:
-                    kept = words
-                kept_texts.append(b" ".join(kept).decode())
-                counts.append(len(words))
-                gone.append(len(words) - len(kept))
+                    own = np.sort(own.to_numpy().view(np.uint64))
+                    kept &= own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found
+                starts = windows.starts[places[~kept]]
+                cover[starts] += 1
+                cover[starts + length] -= 1
+            keep = np.cumsum(cover[:-1]) == 0
+            gone = np.zeros(len(words.counts) + 1, np.int64)
+            gone[1:] = np.append(0, np.cumsum(~keep))[words.stops]
+            gone = np.diff(gone)
+            flags = keep.tolist()
+            texts = []
+            for a, b, n in zip(words.begins.tolist(), words.stops.tolist(), gone.tolist()):
+                own = words.words[a:b]
+                texts.append(b" ".join(compress(own, flags[a:b]) if n else own))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept_texts, pa.string())],
-                ["row_id", "n_words", "n_removed", "kept_text"],
+                [batch.column(1), pa.array(words.counts), pa.array(gone), pa.array(texts, pa.binary()).cast(pa.string()), batch.column(0), batch.column(3)],
+                ["row_id", "n_words", "n_removed", "kept_text", "text", "rest"],
             )
 
     return run
@@ -238,19 +228,26 @@ def substring_dedup(docs: DataFrame, length: int = 20, id_col: str = "doc_id", t
 
     Earlier means a smaller id, or the same document and an earlier start.  Windows are judged
     on the input.  Words are runs of non-white-space (ASCII) characters, unchanged.  Returns one
-    row per input row: row_id, n_words, n_removed, kept_text (kept words joined by one space).
-    A null text has no words; texts shorter than a window lose nothing.  Rows that share an id
-    keep what only they share; rows without id come after all others and count as one document.
-    Other columns are ignored; an empty table gives no rows.  Hashes have 64 bits.
+    row per input row: row_id, n_words, n_removed, kept_text (kept words joined by one space),
+    text (as it was) and rest, a struct of the row's other columns.  A null text has no words; texts
+    shorter than a window lose nothing.  Rows that share an id keep what only they share; rows
+    without id come after all others and count as one document.  An empty table gives no rows.
+    Hashes have 64 bits.
     """
+    others = [F.col(c) for c in docs.columns if c != text_col]
+    rest = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
     source = docs.select(
-        F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id")
+        F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), rest.alias("rest")
     )
     bits = sketch_bits(source, "text")
     sketch = merged_sketch(source.select("text"), length, bits)
-    seen = map_batches(source, _occurrences(length, bits, sketch), "window BIGINT, id BIGINT")
+    seen = map_batches(source.select("text", "id"), _occurrences(length, bits, sketch), "window BIGINT, id BIGINT")
     owners = seen.groupBy("window").agg(F.min("id").alias("id"))
     owned = owners.groupBy("id").agg(F.collect_list("window").alias("owned"))
-    joined = source.join(owned.hint("shuffle_hash"), "id", "left").select("text", "id", "owned")
-    result = map_batches(joined, _removed(length, bits, sketch), "row_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_text STRING")
+    joined = source.join(owned.hint("shuffle_hash"), "id", "left").select("text", "id", "owned", "rest")
+    schema = T.StructType([
+        T.StructField("row_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+        T.StructField("kept_text", T.StringType()), T.StructField("text", T.StringType()), joined.schema["rest"],
+    ])
+    result = map_batches(joined, _removed(length, bits, sketch), schema)
     return result.withColumn("row_id", F.when(F.col("row_id") != NO_ID, F.col("row_id")))

@@ -1,4 +1,4 @@
-"""64-bit hashes of words, of runs of words and of sets, computed with numpy per document."""
+"""64-bit hashes of words, of runs of words and of sets, computed with numpy for many texts at once."""
 
 from __future__ import annotations
 
@@ -44,26 +44,69 @@ def mix(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
-    """The hash of every run of ``length`` consecutive words; none if there are fewer words."""
-    n = len(words) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = words[:n].copy()
-    for i in range(1, length):
-        out = mix(out) + words[i : n + i]
-    return mix(out)
-
-
-def shingle_set(words: np.ndarray, length: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles.  Fewer words than ``length`` make one shingle."""
-    if not len(words):
-        return words
-    return np.unique(run_hashes(words, min(length, len(words))) ^ np.uint64(min(length, len(words))))
+#: An odd multiplier: the weight of a word's place in a run.
+PLACE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Words:
+    """The words of several texts in one array, and where each text ends.
+
+    Hashes of runs are weighted sums of word hashes, taken from running totals; runs that cross
+    the end of a text are computed like others and must be left out by ``starts``.
+    """
+
+    def __init__(self, texts: list[bytes], hashes: WordHashes):
+        words: list[bytes] = []
+        counts = []
+        for text in texts:
+            own = text.split()
+            words += own
+            counts.append(len(own))
+        self.words = words
+        self.counts = np.array(counts, np.int64)
+        self.stops = np.cumsum(self.counts)
+        self.begins = self.stops - self.counts
+        self.hashes = hashes.of(words)
+        powers = np.full(len(words) + 1, PLACE)
+        powers[:1] = 1
+        self.totals = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(self.hashes * np.cumprod(powers)[:-1], out=self.totals[1:])
+        powers[1:] = np.uint64(pow(int(PLACE), -1, 1 << 64))
+        self.back = np.cumprod(powers)[:-1]
+
+    def runs(self, length: int) -> np.ndarray:
+        """The hash of the run of ``length`` words from each place (none from the last ones)."""
+        n = max(0, len(self.hashes) - length + 1)
+        return (self.totals[length : length + n] - self.totals[:n]) * self.back[:n]
+
+    def whole(self, text: int) -> np.ndarray:
+        """The hash of all words of a text that has words, as an array of one."""
+        a, b = self.begins[text], self.stops[text]
+        return (self.totals[b : b + 1] - self.totals[a : a + 1]) * self.back[a : a + 1]
+
+    def text_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.stops, places, "right")
+
+
+def shingle_sets(words: Words, length: int) -> list[np.ndarray]:
+    """Sorted hashes of each text's distinct shingles.  Fewer words than ``length`` make one shingle."""
+    runs = mix(words.runs(length))
+    sets = []
+    for text, (a, n) in enumerate(zip(words.begins.tolist(), words.counts.tolist())):
+        if n >= length:
+            found = np.sort(runs[a : a + n - length + 1])
+            fresh = np.empty(len(found), bool)
+            fresh[0] = True
+            np.not_equal(found[1:], found[:-1], out=fresh[1:])
+            sets.append(found[fresh])
+        elif n:
+            sets.append(mix(words.whole(text) + np.uint64(n)))
+        else:
+            sets.append(np.zeros(0, np.uint64))
+    return sets
 
 
 def set_key(values: np.ndarray) -> int:
-    """One signed 64-bit number for a set of hashes."""
-    mixed = mix(values)
-    both = np.array([np.bitwise_xor.reduce(mixed), mixed.sum(dtype=np.uint64), len(values)], np.uint64)
-    return int(mix(both[:1] + mix(both[1:2] + mix(both[2:])))[0].astype(np.int64))
+    """One signed 64-bit number for a sorted set of hashes."""
+    key = xxhash.xxh3_64_intdigest(values.tobytes())
+    return key - (1 << 64) if key >> 63 else key
