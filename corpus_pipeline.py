@@ -1,17 +1,76 @@
-"""The corpus pipeline: toxicity, near copies, repeated passages, personal data, packing."""
+"""The corpus pipeline: toxicity, near copies, repeated passages, personal data, packing.
+
+Every stage takes (spark, docs, sf_dir).  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from axonframe.llm.ngram_join import ngram_join
+from axonframe.llm.packing import pack
+from axonframe.llm.pii import masked, pii_spans
+from axonframe.llm.queries import REJECTED, vocabulary
+from axonframe.llm.substring_dedup import substring_dedup
+from axonframe.llm.tables import Scratch
+from axonframe.llm.toxicity import accepted, toxicity_model
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not more likely toxic than not."""
+    model = toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return accepted(docs, model, REJECTED)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies, the document with the smallest id.  Rows without id stay."""
+    found = ngram_join(docs)
+    copies = found.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(copies.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without windows of 20 words that start earlier in the corpus; other texts unchanged."""
+    found = substring_dedup(docs)
+    changed = F.col("n_removed") > 0
+    new = {
+        "text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")),
+        "n_chars": F.when(changed, F.length("kept_text").cast("bigint")).otherwise(F.col("rest.n_chars")),
+    }
+    return found.select(*[new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with each span of personal data replaced by its kind."""
+    spans = docs.withColumn("pii spans", pii_spans(F.coalesce("text", F.lit(""))))
+    hidden = spans.withColumn("text", masked(F.col("text"), F.col("pii spans")))
+    changed = F.size("pii spans") > 0
+    new = {"n_chars": F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))}
+    return hidden.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 tokens."""
+    return pack(docs, vocabulary("byte_bpe_50k.json"), 1024, 0)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("repeated_passages", drop_repeated_passages),
+    ("personal_data", mask_personal_data),
+    ("packing", pack_tokens),
+]
 
 #: The stages learn a model, search near copies and tokenise: no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result but the last is written and read again."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
