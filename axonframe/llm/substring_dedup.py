@@ -62,6 +62,9 @@ class Windows:
         valid = np.cumsum(inside[:-1])[: len(hashes)] > 0
         self.starts = np.flatnonzero(valid)
         self.hashes, self.chosen = hashes[self.starts], chosen[self.starts]
+        if not len(self.starts):
+            self.counted = runs[:0]
+            return
         # A run is counted if a window that holds it has chosen its hash.
         ends = np.zeros(width - 1, np.uint64)
         reach = sliding(np.concatenate([ends, np.where(valid, chosen, np.uint64(0)), ends]), width, np.maximum)
