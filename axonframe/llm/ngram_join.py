@@ -31,11 +31,11 @@ from axonframe.llm.words import WordHashes, Words, set_key, shingle_sets
 BLOCK = 2048
 CELL_HASHES = 5_000_000
 
-#: N-grams ordered by their frequency; all others come before them.  A bound of 1 MB.
-FREQUENT = 65_536
+#: N-grams ordered by their frequency; all others come before them.  A bound of 2 MB.
+FREQUENT = 131_072
 
 #: An n-gram is counted where so many documents of an Arrow batch share it.
-SHARED = 4
+SHARED = 3
 
 _PROFILE = "doc_id BIGINT, n BIGINT, k BIGINT, map BINARY, shingle BIGINT, seen BIGINT"
 _BLOCKS = "kind STRING, block BIGINT, k BIGINT, other BIGINT"
@@ -328,10 +328,9 @@ def ngram_join(docs: DataFrame, length: int = 5, percent: int = 80, id_col: str
     owners = profile.where("n is not null").select("doc_id", "n", "k", "map")
     frequent = (
         profile.where("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen"))
-        .orderBy(F.desc("seen"), "shingle").limit(FREQUENT).collect()
+        .orderBy(F.desc("seen"), "shingle").limit(FREQUENT).toArrow()
     )
-    shingles = np.array([r["shingle"] for r in frequent], np.int64).view(np.uint64)
-    counts = np.array([r["seen"] for r in frequent], np.int64)
+    shingles, counts = _signed(frequent["shingle"].to_numpy()).view(np.uint64), frequent["seen"].to_numpy()
     order = np.argsort(shingles)
     heads = map_batches(source, _prefixes(length, percent, shingles[order], counts[order]), "shingle BIGINT, salt INT, k BIGINT, n BIGINT")
     found = map_batches(
