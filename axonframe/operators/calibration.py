@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonframe.functions.arrays import let
-from axonframe.operators.scale import BROADCAST_BYTES, TREE_FANOUT, fits, join_sized
+from axonframe.operators.scale import BROADCAST_BYTES, TREE_FANOUT, fits, join_sized, ranked_counts, with_piece
 from axonframe.operators.scoring import EXPLANATION, paired_values
-from axonframe.schemas import NEURON_SCALE
+from axonframe.schemas import NEURON_SCALE, check_choice
 from axonframe.session import cut_lineage
 
 
@@ -42,6 +42,13 @@ CALIBRATORS = {
     "none": Calibrator(None, lambda value: value),
     "linear": Calibrator(fit_linear, apply_linear),
 }
+METHODS = (*CALIBRATORS, "percentile")
+
+
+def _required(fitted: Column, mapped: Column) -> Column:
+    """``mapped`` where calibration records exist; otherwise the job fails."""
+    names = F.concat_ws(" ", *[F.col(c).cast("string") for c in EXPLANATION])
+    return F.when(fitted, mapped).otherwise(F.raise_error(F.concat(F.lit("no calibration records for explanation "), names)))
 
 
 def calibrate(sims: DataFrame, calibration: DataFrame | None, method: str | Calibrator = "linear") -> DataFrame:
@@ -49,19 +56,28 @@ def calibrate(sims: DataFrame, calibration: DataFrame | None, method: str | Cali
 
     ``calibration`` holds paired calibration records.  The parameters are one row per
     explanation and are joined after a size check.  The unit tag changes even when nothing
-    is fitted; probabilities stay as they are; the input is kept as ``uncalibrated``.
+    is fitted; probabilities stay as they are; the input is kept as ``uncalibrated``.  An
+    explanation without calibration records fails, whatever the method.
     """
+    if method == "percentile":
+        if calibration is None:
+            raise ValueError("this calibrator has to be fitted on calibration records")
+        return calibrate_percentiles(sims, calibration)
+    if isinstance(method, str):
+        check_choice("method", method, METHODS)
     chosen = CALIBRATORS[method] if isinstance(method, str) else method
     with_parameters = sims
     extra: list[str] = []
+    fitted = F.lit(True)
     if chosen.fit is not None:
         if calibration is None:
             raise ValueError("this calibrator has to be fitted on calibration records")
-        parameters = chosen.fit(calibration)
+        parameters = chosen.fit(calibration).withColumn("_fitted", F.lit(True))
         extra = [c for c in parameters.columns if c not in EXPLANATION]
-        with_parameters = join_sized(sims, parameters, EXPLANATION)
+        with_parameters = join_sized(sims, parameters, EXPLANATION, how="left")
+        fitted = F.coalesce("_fitted", F.lit(False))
     out = with_parameters.withColumn("uncalibrated", F.col("expected")).withColumn(
-        "expected", F.transform("expected", chosen.apply)
+        "expected", _required(fitted, F.transform("expected", chosen.apply))
     )
     if "dist_values" in sims.columns:
         out = out.withColumn("dist_values", F.transform("dist_values", lambda d: F.transform(d, chosen.apply)))
@@ -74,59 +90,36 @@ SIDE = [*EXPLANATION, "side"]
 def _ranked_values(values: DataFrame) -> DataFrame:
     """Distinct values per (explanation, side) with the positions [first, last] they take when sorted.
 
-    Duplicates are counted before the shuffle.  Distinct values are split by sketched cut
-    points, so a heavy explanation is sorted piece by piece and not by one task.
+    Duplicates are counted before the shuffle.
     """
     both = [F.struct(F.lit(side).alias("side"), F.col(column).alias("v")) for side, column in (("x", "p"), ("y", "r"))]
     sides = values.select(*EXPLANATION, F.inline(F.array(*both)))
     counts = cut_lineage(sides.where(F.col("v").isNotNull()).groupBy(*SIDE, "v").agg(F.count("*").alias("n")))
-    pieces = _with_piece(counts, counts, SIDE, "v")
-    totals = pieces.groupBy(*SIDE, "piece").agg(F.sum("n").alias("total"))
-    earlier = Window.partitionBy(*SIDE).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*SIDE, "piece", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy(*SIDE, "piece").orderBy("v")
-    upto = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        pieces.withColumn("_upto", upto)
-        .join(offsets, [*SIDE, "piece"])
-        .select(
-            *SIDE,
-            "v",
-            (F.col("offset") + F.col("_upto") - F.col("n")).alias("first"),
-            (F.col("offset") + F.col("_upto") - 1).alias("last"),
-        )
-    )
-
-
-def _with_piece(rows: DataFrame, points: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Number each value by the sketched cut points of ``points`` that lie below it.
-
-    The cut points are one small row per key.
-    """
-    share = [i / 64 for i in range(1, 64)]
-    cuts = points.groupBy(*keys).agg(F.percentile_approx(value, share, 1000).alias("cuts"))
-    number = F.size(F.filter("cuts", lambda c: F.col(value) > c))
-    return join_sized(rows, cuts, keys).withColumn("piece", number).drop("cuts")
+    return ranked_counts(counts, SIDE, "v")
 
 
 def _value_at(sorted_values: DataFrame, positions: DataFrame, at: str, out: str) -> DataFrame:
     """Look up the value at a sorted position.
 
-    Every value is listed once per block of positions it covers, so the lookup is an equi-join
-    on (explanation, block) with at most ``TREE_FANOUT`` candidates per block.
+    A value that covers many positions appears once, at its first one.  Blocks hold the values
+    that begin in them; a block also knows the last value that began before it.  So a position
+    meets at most the values of its own block, however often one value occurs.
     """
-    covering = sorted_values.select(
-        *EXPLANATION,
-        F.col("v").alias(out),
-        F.col("first").alias("_from"),
-        F.col("last").alias("_to"),
-        F.explode(F.expr(f"sequence(first div {TREE_FANOUT}, last div {TREE_FANOUT})")).alias("_block"),
+    block = lambda c: F.expr(f"`{c}` div {TREE_FANOUT}")
+    begun = sorted_values.select(*EXPLANATION, F.col("v").alias(out), F.col("first").alias("_from"), F.col("last").alias("_to"), block("first").alias("_block"))
+    # A value that covers whole blocks after its own: one row per run of blocks, met by the blocks that are asked for.
+    asked = positions.select(*EXPLANATION, block(at).alias("_block")).distinct()
+    marks = begun.groupBy(*EXPLANATION, "_block").agg(F.max_by(F.struct(out, "_from", "_to"), "_from").alias("_mark"))
+    before = Window.partitionBy(*EXPLANATION).orderBy("_block", F.col("_mark").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(None).cast(marks.schema["_mark"].dataType)
+    carried = marks.unionByName(asked.withColumn("_mark", none)).withColumn("_mark", F.when(F.col("_mark").isNull(), F.last("_mark", ignorenulls=True).over(before)))
+    reached = asked.join(carried, [*EXPLANATION, "_block"]).where(f"_mark._to >= _block * {TREE_FANOUT} and _mark._from < _block * {TREE_FANOUT}").select(
+        *EXPLANATION, "_block", F.col(f"_mark.{out}").alias(out), F.col("_mark._from").alias("_from"), F.col("_mark._to").alias("_to")
     )
-    wanted = positions.withColumn("_block", F.expr(f"`{at}` div {TREE_FANOUT}"))
+    covering = begun.unionByName(reached.select(*begun.columns))
     return (
-        wanted.join(covering, [*EXPLANATION, "_block"])
-        .where(F.col(at).between(F.col("_from"), F.col("_to")))
-        .drop("_block", "_from", "_to")
+        positions.withColumn("_block", block(at)).join(covering, [*EXPLANATION, "_block"])
+        .where(F.col(at).between(F.col("_from"), F.col("_to"))).drop("_block", "_from", "_to")
     )
 
 
@@ -162,7 +155,7 @@ def apply_percentiles(values: DataFrame, knots: DataFrame, value: str = "value",
             F.when(F.lit(False), F.struct(none.alias("x"), none.alias("y_first"), none.alias("y_last"))).alias("knot"),
         )
     )
-    pieces = cut_lineage(_with_piece(both, knots, EXPLANATION, "x"))
+    pieces = cut_lineage(with_piece(both, knots, EXPLANATION, "x"))
     ends = pieces.where(F.col("knot").isNotNull()).groupBy(*EXPLANATION, "piece").agg(
         F.min_by("knot", "x").alias("low_end"), F.max_by("knot", "x").alias("high_end")
     )
@@ -221,7 +214,8 @@ def calibrate_percentiles(sims: DataFrame, calibration: DataFrame, limit: int =
     Calibration splits are small, so their knots normally fit: they become one array per
     explanation, are broadcast, and arrays are mapped in place.  Larger knot tables are
     matched by a distributed as-of join; then each sequence gets a map from its own distinct
-    values to calibrated ones.  Empty arrays stay empty.
+    values to calibrated ones.  Empty arrays stay empty.  An explanation without calibration
+    records fails, whichever way is taken.
     """
     has_distribution = "dist_values" in sims.columns
     knots = cut_lineage(fit_percentiles(calibration))
@@ -229,7 +223,7 @@ def calibrate_percentiles(sims: DataFrame, calibration: DataFrame, limit: int =
         lists = knots.groupBy(*EXPLANATION).agg(
             F.array_sort(F.collect_list(F.struct("x", "y_first", "y_last"))).alias("_fit")
         )
-        joined = sims.join(F.broadcast(lists), EXPLANATION)
+        joined = sims.join(F.broadcast(lists), EXPLANATION, "left").withColumn("_fitted", F.col("_fit").isNotNull())
         mapped = lambda x: interpolated(F.col("_fit"), x)
     else:
         present = F.concat("expected", F.flatten("dist_values")) if has_distribution else F.col("expected")
@@ -239,9 +233,10 @@ def calibrate_percentiles(sims: DataFrame, calibration: DataFrame, limit: int =
             .groupBy(*EXPLANATION, "seq_id")
             .agg(F.map_from_entries(F.collect_list(F.struct("value", "calibrated"))).alias("_fit"))
         )
-        joined = sims.join(lookup, [*EXPLANATION, "seq_id"], "left")
+        present = knots.select(*EXPLANATION, F.lit(True).alias("_fitted")).distinct()
+        joined = sims.join(lookup, [*EXPLANATION, "seq_id"], "left").join(present, EXPLANATION, "left").withColumn("_fitted", F.coalesce("_fitted", F.lit(False)))
         mapped = lambda x: F.element_at("_fit", x)
-    out = joined.withColumn("uncalibrated", F.col("expected")).withColumn("expected", F.transform("expected", mapped))
+    out = joined.withColumn("uncalibrated", F.col("expected")).withColumn("expected", _required(F.col("_fitted"), F.transform("expected", mapped)))
     if has_distribution:
         out = out.withColumn("dist_values", F.transform("dist_values", lambda d: F.transform(d, mapped)))
-    return out.drop("_fit").withColumn("scale", F.lit(NEURON_SCALE))
+    return out.drop("_fit", "_fitted").withColumn("scale", F.lit(NEURON_SCALE))

@@ -62,16 +62,18 @@ def token_windows(
     # Texts travel once, as text, to the bucket their position is computed in; counting and
     # cutting both start from that exchange.
     bucket = F.expr(f"_order div {TREE_FANOUT}")
+    key = F.col(order).cast("bigint")
+    low, high = docs.agg(F.min(key), F.max(key)).first()
+    null = F.raise_error(F.lit(f"{order} must not be null")).cast("bigint")
+    place = F.when(key.isNull(), null).otherwise(key - (low or 0))
     tokens = (
         usable_texts(docs, text)
-        .select(F.col(order).cast("bigint").alias("_order"), F.col(text).alias("_text"))
-        .where(bucket.isNotNull())
+        .select(place.alias("_order"), F.col(text).alias("_text"))
         .repartition(bucket)
         .withColumn("_tokens", tokenizer(F.col("_text")))
         .select("_order", "_tokens", F.size("_tokens").alias("_n"))
     )
-    highest = docs.agg(F.max(F.col(order).cast("bigint"))).first()[0]
-    placed = prefix_sum(tokens, "_order", "_n", "_start", max_key=highest or 0)
+    placed = prefix_sum(tokens, "_order", "_n", "_start", limits=(0, (high or 0) - (low or 0)))
     if capped:
         placed = placed.where(F.col("_start") < (max_sequences - 1) * step + length)
 

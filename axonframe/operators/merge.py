@@ -62,8 +62,10 @@ def merge_retained(
 
     ``records`` has a ``shard`` column.  Records arrive shard by shard: top list, random
     list, then quantile samples.  A record in two lists counts twice, and the moments
-    describe the retained records only.  Returns (records, moments).
+    describe the retained records only.  Records read from files have no seq_id; then the
+    result has none.  Returns (records, moments).
     """
+    columns = [c for c in _KEPT if c != "seq_id" or c in records.columns]
     kind = F.create_map(*[F.lit(x) for pair in _KIND_ORDER.items() for x in pair])
     fed = records.withColumns(
         {
@@ -77,4 +79,4 @@ def merge_retained(
     fed = fed.withColumn("draw", draw(seed, *NEURON, *[f"arrival.{part}" for part in ("shard", "kind", "bucket", "rank")]))
     top = heap_order(fed.where(F.col("n_values") > 0), k, arrival="arrival").withColumn("kind", F.lit("top"))
     drawn = top_rows(fed, NEURON, [F.col("draw"), F.col("arrival")], sample_size).withColumn("kind", F.lit("random"))
-    return top.select(*_KEPT).unionByName(drawn.select(*_KEPT)), moments(fed)
+    return top.select(*columns).unionByName(drawn.select(*columns)), moments(fed)

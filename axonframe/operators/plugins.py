@@ -7,32 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from axonframe.schemas import SIMULATED_SCALE
-
-#: tokens and explanations of a batch -> expected levels of each sequence
-Simulator = Callable[[pd.Series, pd.Series], list[list[float]]]
-
 #: sequence ids and tokens of a batch -> rows (layer, neuron, seq_id, tokens, activations)
 ActivationSource = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def simulate_with(sequences: DataFrame, simulator: Simulator) -> DataFrame:
-    """Simulations from a function instead of stored responses.
-
-    ``sequences``: layer, neuron, explanation_id, seq_id, explanation, tokens.
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            expected = simulator(batch["tokens"], batch["explanation"])
-            yield batch.drop(columns="explanation").assign(expected=expected, scale=SIMULATED_SCALE)
-
-    needed = sequences.select("layer", "neuron", "explanation_id", "seq_id", "explanation", "tokens")
-    return needed.mapInPandas(
-        run,
-        "layer INT, neuron INT, explanation_id INT, seq_id BIGINT, tokens ARRAY<STRING>, expected ARRAY<DOUBLE>, scale STRING",
-    )
-
-
 def activations_with(sequences: DataFrame, source: ActivationSource) -> DataFrame:
     """An activation table from a function that scores sequences (seq_id, tokens)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -73,9 +73,6 @@ LAST_ACTIVATION = (
     "\n\nLast token activation, considering the token in the context in which it appeared in the text:\n"
 )
 
-#: More examples than this do not belong into a prompt.
-MAX_EXAMPLES = 100
-
 TokenCounter = Callable[[Column], Column]
 
 
@@ -163,11 +160,8 @@ def _records_top(records: Column) -> Column:
 
 
 def _collected(examples: DataFrame, *columns: Column) -> list:
-    """Rendered examples in order.  A prompt holds a handful, so more than that is an error."""
-    rows = examples.orderBy("example_no").select(*columns).limit(MAX_EXAMPLES + 1).collect()
-    if len(rows) > MAX_EXAMPLES:
-        raise ValueError(f"more than {MAX_EXAMPLES} examples")
-    return rows
+    """Rendered examples in order.  All of them are part of every prompt, so one prompt holds them."""
+    return examples.orderBy("example_no").select(*columns).collect()
 
 
 def _explain_request(records: Column, number: Column, fmt: str, repeat_nonzero: bool, several: int | None, shown: int) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from axonframe.functions.arrays import has_nan, nonzero_count, record_score, relu_max, to_levels, unit_scaled
 from axonframe.functions.draws import draw
-from axonframe.operators.scale import BROADCAST_BYTES, fits, join_sized, top_rows
+from axonframe.operators.scale import BROADCAST_BYTES, fits, join_sized, ranked_counts, top_rows
 from axonframe.schemas import NEURON
 from axonframe.session import cut_lineage
 
@@ -84,16 +84,24 @@ def sample_picks(index: DataFrame, n: int = SAMPLE_SIZE, keys: Sequence[str] = N
     )
 
 
-def quantile_boundaries(
-    index: DataFrame, probabilities: Sequence[float] = QUANTILES, accuracy: int = 100_000
-) -> DataFrame:
-    """Score quantiles per neuron from a mergeable sketch of bounded size.
+def quantile_boundaries(index: DataFrame, probabilities: Sequence[float] = QUANTILES) -> DataFrame:
+    """Exact score quantiles per neuron: the smallest score that at least that share of records does not exceed.
 
-    Each boundary is a score that occurs.  It is exact while a neuron has at most ``accuracy``
-    records; beyond that its rank is off by at most records / accuracy.
+    Each boundary is a score that occurs.  Equal scores are counted before the shuffle, and a
+    heavy neuron is sorted in pieces.  Records without a score are left out.
     """
-    return index.groupBy(*NEURON).agg(
-        F.percentile_approx("score", [float(p) for p in probabilities], accuracy).alias("quantile_boundaries")
+    scored = index.where(F.col("score").isNotNull())
+    counts = cut_lineage(scored.groupBy(*NEURON, "score").agg(F.count("*").alias("n")))
+    ranked = ranked_counts(counts, NEURON, "score")
+    totals = counts.groupBy(*NEURON).agg(F.sum("n").alias("_records"))
+
+    def boundary(p: float) -> Column:
+        # The number of records up to the boundary, at least one.
+        place = F.greatest(F.lit(1), F.col("_records") - F.floor(F.col("_records") - F.lit(p) * F.col("_records")))
+        return F.max(F.when((F.col("first") < place) & (place <= F.col("last") + 1), F.col("score")))
+
+    return join_sized(ranked, totals, NEURON).groupBy(*NEURON).agg(
+        F.array(*[boundary(float(p)) for p in probabilities]).alias("quantile_boundaries")
     )
 
 
@@ -250,9 +258,11 @@ def merge_moments(stats: DataFrame, keys: Sequence[str] = NEURON) -> DataFrame:
 
 
 def max_activations(acts: DataFrame) -> DataFrame:
-    """Largest activation per neuron, plain and clamped at 0."""
+    """Largest activation per neuron, plain and clamped at 0.  A neuron without any activation fails."""
+    largest = F.max(F.array_max("activations"))
+    none = F.raise_error(F.concat_ws(" ", F.lit("no activations of neuron"), *[F.first(k).cast("string") for k in NEURON])).cast("double")
     return acts.groupBy(*NEURON).agg(
-        F.max(F.array_max("activations")).alias("max_activation"),
+        F.when(largest.isNull(), none).otherwise(largest).alias("max_activation"),
         relu_max(F.col("activations")).alias("relu_max"),
     )
 

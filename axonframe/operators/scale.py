@@ -93,32 +93,36 @@ def prefix_sum(
     weight: str,
     out: str = "start",
     fanout: int = TREE_FANOUT,
-    max_key: int | None = None,
+    limits: tuple[int | None, int | None] | None = None,
 ) -> DataFrame:
     """Exclusive running total of ``weight`` over the global order of an integer ``key``.
 
     A tree of bucket totals replaces the single-task window: level i groups keys by
-    ``key div fanout^i``, so no window partition ever holds more than ``fanout`` rows (as
-    keys are unique).  Input rows are shuffled once, by their lowest bucket.
+    ``key div fanout^i``, so no window partition ever holds more than ``fanout`` rows.  Keys may
+    be negative.  A NULL or repeated key fails, as its place would be arbitrary.  Input rows are
+    shuffled once, by their lowest bucket.  ``limits`` spares a scan if the smallest and the
+    largest key are known.
     """
+    min_key, max_key = limits or df.agg(F.min(key), F.max(key)).first()
     if max_key is None:
-        max_key = df.agg(F.max(key)).first()[0]
-    if max_key is None:
-        return df.withColumn(out, F.lit(0).cast("bigint"))
+        min_key = max_key = 0
+    null = F.raise_error(F.lit(f"{key} must not be null")).cast("bigint")
+    shifted = F.when(F.col(key).isNull(), null).otherwise(F.col(key) - min(0, min_key))
     levels = 1
-    while max_key >= fanout**levels:
+    while max_key - min(0, min_key) >= fanout**levels:
         levels += 1
 
     def level(rows: DataFrame, row_key: str, row_weight: str, out_col: str, depth: int) -> DataFrame:
         """Offsets for rows whose keys are below ``fanout ** depth``."""
         bucket, total, offset = f"_bucket{depth}", f"_total{depth}", f"_offset{depth}"
         bucketed = rows.withColumn(bucket, F.expr(f"`{row_key}` div {fanout}"))
-        inside = (
-            Window.partitionBy(bucket)
-            .orderBy(row_key)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
+        ordered = Window.partitionBy(bucket).orderBy(row_key)
+        inside = ordered.rowsBetween(Window.unboundedPreceding, -1)
         running = F.coalesce(F.sum(row_weight).over(inside), F.lit(0)).cast("bigint")
+        if depth == levels:
+            again = F.lag(row_key).over(ordered) == F.col(row_key)
+            message = F.concat(F.lit(f"{key} must be unique: "), F.col(row_key).cast("string"))
+            running = F.when(again, F.raise_error(message).cast("bigint")).otherwise(running)
         if depth == 1:
             return bucketed.withColumn(out_col, running).drop(bucket)
         totals = bucketed.groupBy(bucket).agg(F.sum(row_weight).alias(total))
@@ -130,7 +134,9 @@ def prefix_sum(
             .drop(bucket, offset)
         )
 
-    return level(df, key, weight, out, levels)
+    if min_key >= 0 and limits:
+        return level(df, key, weight, out, levels)
+    return level(df.withColumn("_place", shifted), "_place", weight, out, levels).drop("_place")
 
 
 def previous_value(
@@ -163,6 +169,48 @@ def previous_value(
     )
 
 
+#: Distinct values that one sorted piece should hold, and the most pieces of a key.
+PIECE_ROWS = 100_000
+MOST_PIECES = 4096
+
+
+def with_piece(rows: DataFrame, points: DataFrame, keys: Sequence[str], value: str, pieces: int = 64) -> DataFrame:
+    """Number each value by the sketched cut points of ``points`` that lie below it.
+
+    The cut points are one small row per key.
+    """
+    share = [i / pieces for i in range(1, pieces)]
+    cuts = points.groupBy(*keys).agg(F.percentile_approx(value, share, 16 * pieces).alias("_cuts"))
+    number = F.size(F.filter("_cuts", lambda c: F.col(value) > c))
+    return join_sized(rows, cuts, keys).withColumn("piece", number).drop("_cuts")
+
+
+def ranked_counts(counts: DataFrame, keys: Sequence[str], value: str, weight: str = "n") -> DataFrame:
+    """Distinct values with the positions [first, last], from 0, that they take when sorted.
+
+    ``counts``: a written table with one row per key and distinct value.  Values are split by
+    sketched cut points, so a heavy key is sorted piece by piece and not by one task; the
+    number of pieces follows the rows.
+    """
+    wanted = min(MOST_PIECES, max(64, -(-counts.count() // PIECE_ROWS)))
+    pieces = with_piece(counts, counts, keys, value, wanted)
+    totals = pieces.groupBy(*keys, "piece").agg(F.sum(weight).alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "piece", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, "piece").orderBy(value)
+    upto = F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        pieces.withColumn("_upto", upto)
+        .join(offsets, [*keys, "piece"])
+        .select(
+            *keys,
+            value,
+            (F.col("_offset") + F.col("_upto") - F.col(weight)).alias("first"),
+            (F.col("_offset") + F.col("_upto") - 1).alias("last"),
+        )
+    )
+
+
 def exact_percentiles(
     df: DataFrame, value: str, probabilities: Sequence[float], bins: int = 4096, small: int = 1_000_000
 ) -> list[float]:

@@ -20,15 +20,16 @@ def token_values(acts: DataFrame) -> DataFrame:
     )
 
 
-def token_averages(acts: DataFrame, listed: int = LISTED) -> DataFrame:
-    """Mean activation per token, the highest ``listed`` of each neuron, highest first.
-
-    Values are averaged map-side first; a frequent token sends one row per task.
-    """
-    means = token_values(acts).groupBy(*NEURON, "token").agg(
+def token_means(acts: DataFrame) -> DataFrame:
+    """Mean activation of every token.  Values are averaged map-side first; a frequent token sends one row per task."""
+    return token_values(acts).groupBy(*NEURON, "token").agg(
         F.avg("activation").alias("avg_activation"), F.count("activation").alias("n")
     )
-    return top_rows(means, NEURON, [F.col("avg_activation").desc(), F.col("token")], listed)
+
+
+def token_averages(acts: DataFrame, listed: int = LISTED) -> DataFrame:
+    """The ``listed`` tokens of each neuron with the highest mean activation, highest first."""
+    return top_rows(token_means(acts), NEURON, [F.col("avg_activation").desc(), F.col("token")], listed)
 
 
 def shown_tokens(table: DataFrame, shown: int = SHOWN, seed: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from axonframe.functions.text import is_blank, split_numbered, strip, without_final_period
 from axonframe.operators import corpus, labels, prompts, responses
-from axonframe.operators.plugins import activations_with, simulate_with
+from axonframe.operators.plugins import activations_with
 from axonframe.operators.scale import previous_value
 from axonframe.plans.fixtures import acts, table
 from axonframe.plans.registry import ACTS, query, quoted
@@ -274,29 +274,27 @@ def final_period(spark, sf):
 
 @query(
     "request_dedupe",
-    """SELECT DISTINCT role, left(text, 1) AS first_char, length(text) % 10 AS size FROM conversations
-    WHERE (role, left(text, 1), length(text) % 10) NOT IN (SELECT role, left(text, 1), length(text) % 10 FROM conversations WHERE turn = 1)""",
+    """SELECT role, text, count(*) AS asked FROM (SELECT DISTINCT role, text FROM conversations
+      WHERE (role, text) NOT IN (SELECT role, text FROM conversations WHERE turn = 1)) GROUP BY ALL""",
 )
 def request_dedupe(spark, sf):
-    rows = table(spark, sf, "conversations").select(
-        "turn", "role", F.substring("text", 1, 1).alias("first_char"), (F.length("text") % 10).alias("size")
-    )
-    key = ["role", "first_char", "size"]
+    key = ["role", "text"]
+    rows = table(spark, sf, "conversations").select("turn", *key)
     answered = prompts.new_requests(rows.where(F.col("turn") == 1).select(*key), None, key)
-    return prompts.new_requests(rows.select(*key), answered, key).select(*key)
+    return prompts.new_requests(rows.select(*key), answered, key).groupBy(*key).agg(F.count("*").alias("asked"))
 
 
-# Log probabilities: the first twelve embedding values of a vector, at levels 0..10 and a stray token.
+# Log probabilities: the embedding values of a vector, at levels 0..10 and stray tokens beyond.
 @query(
     "logprob_expected_value",
-    """WITH lp AS (SELECT vec_id, unnest(range(12)) AS level, unnest(embedding[1:12]) AS x FROM embeddings),
+    """WITH lp AS (SELECT vec_id, unnest(range(len(embedding))) AS level, unnest(embedding) AS x FROM embeddings),
     w AS (SELECT vec_id, level, exp(-abs(CAST(x AS DOUBLE)) * 10.0::DOUBLE) AS w FROM lp WHERE level <= 10 AND (level + vec_id) % 3 <> 0)
     SELECT vec_id, round(sum(level * w) / sum(w), 6) AS expected, count(*) AS n_levels, round(max(w) / sum(w), 6) AS top_probability FROM w GROUP BY vec_id""",
 )
 def logprob_expected_value(spark, sf):
     pairs = F.filter(
         F.transform(
-            F.slice("embedding", 1, 12),
+            "embedding",
             lambda x, i: F.struct(i.cast("string").alias("k"), (-F.abs(x.cast("double")) * 10.0).alias("v"), i.alias("i")),
         ),
         lambda p: (p["i"] + F.col("vec_id")) % 3 != 0,
@@ -339,18 +337,3 @@ def plugin_activations(spark, sf):
     windows = corpus.token_windows(table(spark, sf, "documents"), 64)
     found = activations_with(windows, _word_lengths)
     return found.select("layer", "neuron", "seq_id", F.aggregate("activations", F.lit(0.0), lambda a, b: a + b).alias("total"))
-
-
-@query(
-    "plugin_simulator",
-    f"""WITH {ACTS}, v AS (SELECT layer, neuron, seq_id, unnest(tokens) AS t FROM acts)
-    SELECT layer, neuron, CAST(0 AS BIGINT) AS explanation_id, seq_id, sum(least(10, CAST(substr(t, 2) AS INT)))::DOUBLE AS total, 'simulated_normalized_activations' AS scale
-    FROM v GROUP BY layer, neuron, seq_id""",
-)
-def plugin_simulator(spark, sf):
-    sequences = acts(spark, sf).select(
-        "layer", "neuron", F.lit(0).alias("explanation_id"), "seq_id", F.lit("labels").alias("explanation"), "tokens"
-    )
-    found = simulate_with(sequences, lambda tokens, _: [[float(min(10, int(t[1:]))) for t in ts] for ts in tokens])
-    total = F.aggregate("expected", F.lit(0.0), lambda a, b: a + b)
-    return found.select("layer", "neuron", "explanation_id", "seq_id", total.alias("total"), "scale")

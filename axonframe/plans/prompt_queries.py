@@ -144,19 +144,24 @@ def explain_prompts_instruction(spark, sf):
     return prompts.explain_prompts(train_lists(spark, sf), examples(spark, sf), "instruction_following").select(*NEURON, "prompt")
 
 
+_ASKED = _ask_sql("(key_neuron + 1)", f"chr(10) || 'Explanation of neuron ' || (key_neuron + 1) || ' behavior:' || {q(f' {PREFIX}')}")
+
+
 @query(
     "explain_messages",
     f"""WITH {ACTS}, {EXAMPLES_SQL}, {OWNED}, {RENDERED},
-    own AS (SELECT key_layer AS layer, key_neuron AS neuron, {_ask_sql("3", "chr(10) || 'Explanation of neuron 3 behavior:" + f" {PREFIX}'")} AS content FROM bodies WHERE key_layer >= 0)
+    own AS (SELECT key_layer AS layer, key_neuron AS neuron, {_ask_sql("3", "chr(10) || 'Explanation of neuron 3 behavior:" + f" {PREFIX}'")} AS content FROM bodies WHERE key_layer >= 0),
+    shown AS (SELECT key_neuron, {_ASKED} AS content FROM bodies WHERE key_layer = -1)
     SELECT layer, neuron, CAST(5 AS BIGINT) AS position, 'user' AS role, content FROM own
     UNION ALL SELECT layer, neuron, 4, 'assistant', ' numbers.' FROM own
+    UNION ALL SELECT layer, neuron, 1 + 2 * key_neuron, 'user', shown.content FROM own, shown
     UNION ALL SELECT layer, neuron, 2, 'assistant', ' vowels.' FROM own
     UNION ALL SELECT layer, neuron, 0, 'system', {q(prompts.EXPLAIN_SYSTEM)} FROM own""",
 )
 def explain_messages(spark, sf):
     found = prompts.explain_prompts(train_lists(spark, sf), examples(spark, sf), "harmony_v4")
     rows = found.select(*NEURON, F.posexplode("prompt").alias("position", "m"))
-    return rows.select(*NEURON, "position", "m.role", "m.content").where(~F.col("position").isin(1, 3))
+    return rows.select(*NEURON, "position", "m.role", "m.content")
 
 
 TABLE = """means AS (SELECT layer, neuron, token, avg(a) AS avg_activation FROM vals GROUP BY ALL),

@@ -289,19 +289,21 @@ listed AS (
   SELECT *, row_number() OVER (PARTITION BY layer, neuron, shard ORDER BY score DESC, seq_id) AS by_score,
          row_number() OVER (PARTITION BY layer, neuron, shard ORDER BY {sql_draw(1234, "layer", "neuron", "seq_id")}, seq_id) AS by_draw FROM scored),
 fed AS (
-  SELECT layer, neuron, seq_id, score, activations, shard * 1000 + by_score AS arrival FROM listed WHERE by_score <= 5
-  UNION ALL SELECT layer, neuron, seq_id, score, activations, shard * 1000 + 500 + by_draw FROM listed WHERE by_draw <= 4)"""
+  SELECT layer, neuron, seq_id, score, activations, shard * 1000 + by_score AS arrival, shard, 0 AS kind_no, 0 AS bucket, by_score AS place FROM listed WHERE by_score <= 5
+  UNION ALL SELECT layer, neuron, seq_id, score, activations, shard * 1000 + 500 + by_draw, shard, 1, 0, by_draw FROM listed WHERE by_draw <= 4)"""
 
 
 @query(
     "merge_retained",
-    f"""{RETAINED_SQL}, {sql_heap("fed", 5, arrival="arrival")}
-    SELECT layer, neuron, rank, seq_id, score FROM heap""",
+    f"""{RETAINED_SQL}, {sql_heap("fed", 5, arrival="arrival")},
+    drawn AS (SELECT *, row_number() OVER (PARTITION BY layer, neuron ORDER BY {sql_draw(1234, "layer", "neuron", "shard", "kind_no", "bucket", "place")}, arrival) AS rank FROM fed)
+    SELECT layer, neuron, 'top' AS kind, rank, seq_id, score FROM heap
+    UNION ALL SELECT layer, neuron, 'random', rank, seq_id, score FROM drawn WHERE rank <= 4""",
 )
 def merge_retained(spark, sf):
     kept, _ = shard_records(spark, sf, 5, 4)
     merged, _ = merge.merge_retained(kept, 5, 4)
-    return merged.where(F.col("kind") == "top").select(*NEURON, F.col("rank").cast("bigint").alias("rank"), "seq_id", "score")
+    return merged.select(*NEURON, "kind", F.col("rank").cast("bigint").alias("rank"), "seq_id", "score")
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from axonframe.operators import page, records, scoring, tokens
 from axonframe.operators.corpus import chain_splits
+from axonframe.operators.scale import top_rows
 from axonframe.plans.fixtures import acts, sims, table
 from axonframe.plans.record_queries import BOUNDS, K, N, SCORED
 from axonframe.plans.registry import ACTS, COARSE, LEVELS, PAIRS, SIMS, TOPS, VALS, query, sql_draw, sql_heap
@@ -32,7 +33,7 @@ buckets AS (
   SELECT layer, neuron, seq_id, tokens, activations, CAST((score >= q50)::INT + (score >= q90)::INT + (score >= q99)::INT + (score >= q999)::INT AS BIGINT) AS bucket
   FROM scored JOIN bounds USING (layer, neuron)),
 by_bucket AS (
-  SELECT *, dense_rank() OVER (PARTITION BY layer, neuron ORDER BY bucket) - 1 AS place,
+  SELECT *, bucket AS place,
          row_number() OVER (PARTITION BY layer, neuron, bucket ORDER BY {sql_draw(1234, "layer", "neuron", "seq_id")}, seq_id) AS rank FROM buckets),
 lists AS (
   SELECT layer, neuron, 'top' AS kind, CAST(NULL AS BIGINT) AS bucket, rank, tokens, activations FROM heap
@@ -154,23 +155,20 @@ def token_average_json(spark, sf):
 )
 def token_weight_json(spark, sf):
     """Token lists by sign, written in the weight summary format and read back."""
-    means = tokens.token_averages(acts(spark, sf), 1_000_000)
-    item = F.struct("avg_activation", "token")
-    lists = means.groupBy(*NEURON).agg(F.collect_list(item).alias("all"))
+    means = tokens.token_means(acts(spark, sf))
 
     def side(sign):
-        order = lambda a, b: (
-            F.when(sign * a["avg_activation"] > sign * b["avg_activation"], -1)
-            .when(sign * a["avg_activation"] < sign * b["avg_activation"], 1)
-            .when(a["token"] < b["token"], -1).otherwise(1)
-        )
-        best = F.slice(F.array_sort("all", order), 1, 4)
-        return F.struct(best["token"].alias("tokens"), best["avg_activation"].alias("strengths"))
-
-    up, down = side(1), side(-1)
+        order = F.col("avg_activation").desc() if sign > 0 else F.col("avg_activation").asc()
+        best = top_rows(means, NEURON, [order, F.col("token")], 4)
+        items = F.array_sort(F.collect_list(F.struct("rank", "token", "avg_activation")))
+        name = "up" if sign > 0 else "down"
+        return best.groupBy(*NEURON).agg(items.alias("i")).select(
+            *NEURON, F.struct(F.col("i.token").alias("tokens"), F.col("i.avg_activation").alias("strengths")).alias(name))
+
+    lists = side(1).join(side(-1), NEURON)
     whole = F.struct(
-        up.alias("input_positive"), down.alias("input_negative"), up.alias("output_positive"), down.alias("output_negative"),
-        F.lit("WeightBasedSummaryOfNeuron").alias("dataclass_name"),
+        F.col("up").alias("input_positive"), F.col("down").alias("input_negative"), F.col("up").alias("output_positive"),
+        F.col("down").alias("output_negative"), F.lit("WeightBasedSummaryOfNeuron").alias("dataclass_name"),
     )
     folder = new_folder(spark)
     lists.select(*NEURON, F.to_json(whole).alias("value")).write.partitionBy(*NEURON).text(folder)
@@ -265,12 +263,12 @@ for _fmt in ("parquet", "json"):
 
 @query(
     "taxonomy_json",
-    """SELECT r_name AS level2, substr(n_name, 1, 8) AS level1, n_name AS phrase FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    """SELECT r_name AS level2, n_name AS level1, n_name AS phrase FROM nation JOIN region ON n_regionkey = r_regionkey""",
 )
 def taxonomy_json(spark, sf):
     """Regions, groups of nations and nations as one nested JSON object."""
     joined = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    inner = joined.groupBy("r_name", F.substring("n_name", 1, 8).alias("g")).agg(F.collect_list("n_name").alias("p"))
+    inner = joined.groupBy("r_name", F.col("n_name").alias("g")).agg(F.collect_list("n_name").alias("p"))
     per_region = inner.groupBy("r_name").agg(F.map_from_entries(F.collect_list(F.struct("g", "p"))).alias("m"))
     return texts.taxonomy_rows(per_region.select(F.to_json(F.create_map("r_name", "m")).alias("value")))
 
@@ -356,11 +354,11 @@ def event_acts(stream):
     )
 
 
-def finished_state(spark, sf):
+def finished_stream(spark, sf):
     folder = new_folder(spark)
     stream = event_acts(event_stream(spark, sf, folder))
-    running.start_running_summary(stream, f"{folder}/state", f"{folder}/checkpoint", 5, 3).awaitTermination()
-    return running.StateFolder(spark, f"{folder}/state")
+    running.start_running_summary(stream, f"{folder}/out", f"{folder}/checkpoint", 5, 3).awaitTermination()
+    return f"{folder}/out"
 
 
 @query(
@@ -368,7 +366,7 @@ def finished_state(spark, sf):
     f"""WITH {EVENT_ACTS} SELECT layer, neuron, count(*) AS n_values, round(avg(score), 8) AS mean, round(var_samp(score), 6) AS variance FROM ev GROUP BY ALL""",
 )
 def events_running_stats(spark, sf):
-    stats = finished_state(spark, sf).read("stats")
+    stats = running.read_stats(spark, finished_stream(spark, sf))
     return stats.select(
         *NEURON, "n_values", F.round("mean", 8).alias("mean"), F.when(~F.isnan("variance"), F.round("variance", 6)).alias("variance")
     )
@@ -382,7 +380,7 @@ def events_running_stats(spark, sf):
     UNION ALL SELECT layer, neuron, 'random', rank, seq_id, score FROM drawn WHERE rank <= 3""",
 )
 def events_running_records(spark, sf):
-    return finished_state(spark, sf).read("records").select(*NEURON, "kind", "rank", "seq_id", "score")
+    return running.read_records(spark, finished_stream(spark, sf), 5, 3).select(*NEURON, "kind", "rank", "seq_id", "score")
 
 
 @query("events_per_minute", "SELECT date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY ALL")

@@ -176,7 +176,8 @@ def read_related(spark: SparkSession, path: str) -> DataFrame:
 def to_neuron_records(records: DataFrame, stats: DataFrame, boundaries: DataFrame | None = None) -> DataFrame:
     """Nest retained records and moments into one row per neuron, ready for export.
 
-    A neuron's retained lists are bounded by their sizes, so a row stays small.
+    A neuron's retained lists are bounded by their sizes, so a row stays small.  Quantile
+    lists lie at their bucket's position; empty buckets give empty lists.
     """
     item = F.struct("rank", "tokens", "activations")
     lists = records.groupBy(*NEURON, "kind", "bucket").agg(
@@ -186,9 +187,10 @@ def to_neuron_records(records: DataFrame, stats: DataFrame, boundaries: DataFram
         ).alias("items")
     )
     only = lambda kind: F.first(F.when(F.col("kind") == kind, F.col("items")), ignorenulls=True)
-    by_bucket = F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "quantile", F.struct("bucket", "items")))), lambda b: b["items"]
-    )
+    # A list for every bucket up to the last one there may be; readers go by the position.
+    none = F.array().cast("array<struct<tokens:array<string>,activations:array<double>>>")
+    found = F.map_from_entries(F.collect_list(F.when(F.col("kind") == "quantile", F.struct("bucket", "items"))))
+    by_bucket = F.struct(found.alias("lists"), F.max(F.when(F.col("kind") == "quantile", F.col("bucket"))).alias("last"))
     wide = lists.groupBy(*NEURON).agg(only("top").alias("_top"), only("random").alias("_random"), by_bucket.alias("_buckets"))
     joined = stats.join(wide, NEURON, "left")
     if boundaries is not None:
@@ -201,7 +203,10 @@ def to_neuron_records(records: DataFrame, stats: DataFrame, boundaries: DataFram
         *NEURON,
         F.struct(F.col("layer").alias("layer_index"), F.col("neuron").alias("neuron_index")).alias("neuron_id"),
         F.coalesce("_random", empty).alias("random_sample"),
-        F.when(F.size("_buckets") > 0, F.col("_buckets")).alias("random_sample_by_quantile"),
+        F.when(F.col("_buckets.last").isNotNull(), F.transform(
+            F.sequence(F.lit(0), F.coalesce(F.size("quantile_boundaries"), F.col("_buckets.last"))),
+            lambda b: F.coalesce(F.try_element_at("_buckets.lists", b), none),
+        )).alias("random_sample_by_quantile"),
         "quantile_boundaries",
         *[defined(c).alias(c) for c in ("mean", "variance", "skewness", "kurtosis")],
         F.coalesce("_top", empty).alias("most_positive_activation_records"),

@@ -1,8 +1,9 @@
 """Per-neuron summaries and progress counts over a stream of activation records.
 
 A stream has the columns of an activation table (layer, neuron, seq_id, tokens, activations),
-with seq_id growing in arrival order.  State is a versioned Parquet table in a shared folder:
-bounded per neuron, replaced as a whole by each batch, and safe under replay.
+with seq_id growing in arrival order.  Each batch writes its own partial results below its
+batch number, so its cost follows the batch and a replayed batch replaces itself.  Readers
+merge the partial results with the operators that merge shards.
 """
 
 from __future__ import annotations
@@ -12,97 +13,66 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from axonframe.functions.arrays import record_score
+from axonframe.functions.draws import draw
 from axonframe.operators.merge import merge_lists
-from axonframe.operators.records import merge_moments, moments
+from axonframe.operators.records import SEED, merge_moments, moments
+from axonframe.operators.scale import top_rows
 from axonframe.schemas import NEURON
 
-VERSIONS_KEPT = 2
 
+def write_batch(batch: DataFrame, path: str, batch_id: int, k: int, sample_size: int, seed: int = SEED) -> None:
+    """The strongest records, sample and moments of one batch, in place of what the batch wrote before.
 
-class StateFolder:
-    """Numbered versions of a set of tables; a version counts once its commit mark exists."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self._spark = spark
-        self._path = path
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._to_path = hadoop.Path
-        self._fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        root = self._to_path(self._path)
-        if not self._fs.exists(root):
-            return []
-        names = [status.getPath().getName() for status in self._fs.listStatus(root)]
-        numbers = [int(n[2:]) for n in names if n.startswith("v=")]
-        return sorted(n for n in numbers if self._fs.exists(self._to_path(f"{self._path}/v={n}/_committed")))
-
-    def latest(self) -> int | None:
-        versions = self._versions()
-        return versions[-1] if versions else None
-
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        number = self.latest() if version is None else version
-        return self._spark.read.parquet(f"{self._path}/v={number}/{table}")
-
-    def write(self, version: int, tables: dict[str, DataFrame]) -> None:
-        """Write all tables, then the commit mark, then drop versions no reader can need."""
-        for name, table in tables.items():
-            table.write.mode("overwrite").parquet(f"{self._path}/v={version}/{name}")
-        self._fs.create(self._to_path(f"{self._path}/v={version}/_committed"), True).close()
-        for old in self._versions()[:-VERSIONS_KEPT]:
-            self._fs.delete(self._to_path(f"{self._path}/v={old}"), True)
-
-
-def update_state(state: StateFolder, batch: DataFrame, batch_id: int, k: int, sample_size: int) -> None:
-    """Fold one batch into the state.  A batch that is already in the state is skipped.
-
-    The kept lists and the batch compete for the same places, so one job per table suffices.
+    The 2k strongest are kept, the earliest first: from these of all batches the bounded heap of
+    one pass follows exactly, ties included.
     """
-    latest = state.latest()
-    if latest is not None and batch_id <= latest:
-        return
-    fresh = batch.select(
-        *NEURON, "seq_id", record_score(F.col("activations")).alias("score"), "tokens", "activations"
-    )
-    top = drawn = fresh
-    stats = moments(batch).select(*NEURON, "n_values", "mean", "m2")
-    if latest is not None:
-        kept = state.read("records", latest)
-        top = kept.where(F.col("kind") == "top").drop("kind", "rank").unionByName(fresh)
-        drawn = kept.where(F.col("kind") == "random").drop("kind", "rank").unionByName(fresh)
-        stats = state.read("stats", latest).select(*NEURON, "n_values", "mean", "m2").unionByName(stats)
-    state.write(batch_id, {"records": merge_lists(top, drawn, k, sample_size), "stats": merge_moments(stats)})
+    kept = batch.persist()
+    fresh = kept.select(*NEURON, "seq_id", record_score(F.col("activations")).alias("score"), "tokens", "activations")
+    strongest = top_rows(fresh.where(F.size("activations") > 0), NEURON, [F.col("score").desc(), F.col("seq_id")], 2 * k)
+    drawn = fresh.withColumn("_draw", draw(seed, *NEURON, "seq_id"))
+    sampled = top_rows(drawn, NEURON, [F.col("_draw"), F.col("seq_id")], sample_size).drop("_draw")
+    both = strongest.withColumn("kind", F.lit("top")).unionByName(sampled.withColumn("kind", F.lit("random")))
+    both.write.mode("overwrite").parquet(f"{path}/records/batch={batch_id}")
+    moments(kept).select(*NEURON, "n_values", "mean", "m2").write.mode("overwrite").parquet(f"{path}/stats/batch={batch_id}")
+    kept.unpersist()
 
 
 def start_running_summary(
-    stream: DataFrame, state_path: str, checkpoint_path: str, k: int = 100, sample_size: int = 50, **trigger
+    stream: DataFrame, path: str, checkpoint_path: str, k: int = 100, sample_size: int = 50, **trigger
 ) -> StreamingQuery:
     """Keep moments, top records and a uniform sample per neuron up to date."""
-    state = StateFolder(stream.sparkSession, state_path)
     return (
         stream.writeStream.option("checkpointLocation", checkpoint_path)
-        .foreachBatch(lambda batch, batch_id: update_state(state, batch, batch_id, k, sample_size))
+        .foreachBatch(lambda batch, batch_id: write_batch(batch, path, batch_id, k, sample_size))
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def read_records(spark: SparkSession, path: str, k: int = 100, sample_size: int = 50) -> DataFrame:
+    """Top records and sample over all batches; ``k`` and ``sample_size`` at most those of the batches."""
+    rows = spark.read.parquet(f"{path}/records")
+    side = lambda kind: rows.where(F.col("kind") == kind).drop("kind", "rank", "batch")
+    return merge_lists(side("top"), side("random"), k, sample_size)
+
+
+def read_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Moments over all batches."""
+    return merge_moments(spark.read.parquet(f"{path}/stats").drop("batch"))
+
+
 def start_progress(
-    stream: DataFrame, out_path: str, checkpoint_path: str, time: str = "ts", late: str = "1 minute", every: str = "1 minute", **trigger
+    stream: DataFrame, out_path: str, checkpoint_path: str, time: str = "ts", every: str = "1 minute", **trigger
 ) -> StreamingQuery:
-    """Records per time window.  Each batch writes the windows it changed under its own number."""
+    """Records per time window.  Each batch writes its own counts, so no row is too late."""
     timed = stream.withColumn(time, F.col(time).cast("timestamp"))
-    counts = timed.withWatermark(time, late).groupBy(F.window(time, every)).agg(F.count("*").alias("n"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select(F.col("window.start").alias("minute"), "n").write.mode("overwrite").parquet(
-            f"{out_path}/batch={batch_id}"
-        )
+        counts = batch.groupBy(F.window(time, every).alias("w")).agg(F.count("*").alias("n"))
+        counts.select(F.col("w.start").alias("minute"), "n").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return (
-        counts.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint_path)
+        timed.writeStream.option("checkpointLocation", checkpoint_path)
         .foreachBatch(write)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -110,5 +80,5 @@ def start_progress(
 
 
 def read_progress(spark: SparkSession, out_path: str) -> DataFrame:
-    """The newest count of every window, and its rate per minute."""
-    return spark.read.parquet(out_path).groupBy("minute").agg(F.max_by("n", "batch").alias("n"))
+    """The count of every window over all batches."""
+    return spark.read.parquet(out_path).groupBy("minute").agg(F.sum("n").alias("n"))

@@ -84,3 +84,14 @@ def test_join_sized_broadcasts_only_below_the_limit(spark):
     assert "ResolvedHint (strategy=broadcast)" in near._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" not in far._jdf.queryExecution().analyzed().toString()
     assert sorted(near.collect()) == sorted(far.collect())
+
+
+def test_prefix_sum_of_negative_null_and_repeated_keys(spark):
+    keys = list(range(-3000, 100))
+    df = spark.createDataFrame([(k, 1) for k in keys], "k BIGINT, w INT").repartition(4)
+    found = {r["k"]: r["start"] for r in scale.prefix_sum(df, "k", "w", fanout=16).collect()}
+    assert found == {k: i for i, k in enumerate(keys)}
+    with pytest.raises(Exception, match="must not be null"):
+        scale.prefix_sum(df.unionByName(spark.createDataFrame([(None, 1)], "k BIGINT, w INT")), "k", "w").collect()
+    with pytest.raises(Exception, match="must be unique"):
+        scale.prefix_sum(df.unionByName(spark.createDataFrame([(5, 1)], "k BIGINT, w INT")), "k", "w").collect()

@@ -130,3 +130,27 @@ def test_calibration_needs_a_fit(spark):
     with pytest.raises(ValueError):
         calibration.calibrate(table, None, "linear")
     assert calibration.calibrate(table, None, "none").first()["expected"] == [1.0]
+
+
+@pytest.mark.parametrize("method", ["linear", "percentile"])
+def test_explanations_without_calibration_records_fail(spark, method):
+    both = pairs(spark, [(0, [2, 4, 6], [1, 2, 3]), (1, [1, 1, 5], [1, 2, 3])])
+    fitted = both.where("explanation_id = 0")
+    assert len(calibration.calibrate(both, both, method).collect()) == both.count()
+    with pytest.raises(Exception, match="no calibration records"):
+        calibration.calibrate(both, fitted, method).collect()
+    if method == "percentile":
+        with pytest.raises(Exception, match="no calibration records"):
+            calibration.calibrate_percentiles(both, fitted, limit=0).collect()
+
+
+def test_one_value_with_most_of_the_rows(spark):
+    rng = np.random.default_rng(4)
+    real = np.where(rng.random(6000) < 0.9, 0.0, rng.random(6000)).tolist()
+    simulated = np.where(rng.random(6000) < 0.9, 0.0, rng.integers(1, 400, 6000) / 10).tolist()
+    knots = calibration.fit_percentiles(pairs(spark, [(0, real, simulated)])).collect()
+    xs, ys = sorted(simulated), sorted(real)
+    for row in knots:
+        first, last = np.searchsorted(xs, row["x"]), np.searchsorted(xs, row["x"], "right") - 1
+        assert (row["y_first"], row["y_last"]) == (ys[first], ys[last])
+    assert len(knots) == len(set(xs))

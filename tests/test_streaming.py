@@ -19,42 +19,31 @@ def expected(table):
     return sorted(map(tuple, kept.select("kind", "layer", "neuron", "rank", "seq_id").collect()))
 
 
-def found(state):
-    return sorted(map(tuple, state.read("records").select("kind", "layer", "neuron", "rank", "seq_id").collect()))
+def found(spark, path):
+    kept = running.read_records(spark, path, 4, 3)
+    return sorted(map(tuple, kept.select("kind", "layer", "neuron", "rank", "seq_id").collect()))
 
 
-def test_batches_equal_one_pass_and_replays_are_skipped(spark, rows, tmp_path):
-    state = running.StateFolder(spark, str(tmp_path / "state"))
+def test_batches_equal_one_pass_and_replays_replace_themselves(spark, rows, tmp_path):
+    path = str(tmp_path / "out")
     batches = [rows.where(F.floor(F.col("seq_id") / 20) == b) for b in range(3)]
     for number, batch in enumerate(batches):
-        running.update_state(state, batch, number, 4, 3)
-        running.update_state(state, batch, number, 4, 3)
-    running.update_state(state, batches[0], 0, 4, 3)
-    assert state.latest() == 2
-    assert found(state) == expected(rows)
-    stats = {r["neuron"]: r for r in state.read("stats").collect()}
+        running.write_batch(batch.limit(5), path, number, 4, 3)  # a batch that was cut short
+        running.write_batch(batch, path, number, 4, 3)
+    running.write_batch(batches[0], path, 0, 4, 3)
+    assert found(spark, path) == expected(rows)
+    stats = {r["neuron"]: r for r in running.read_stats(spark, path).collect()}
     for row in records.moments(rows).collect():
         assert stats[row["neuron"]]["n_values"] == 60
         assert stats[row["neuron"]]["variance"] == pytest.approx(row["variance"])
 
 
-def test_an_unfinished_version_is_not_read(spark, rows, tmp_path):
-    state = running.StateFolder(spark, str(tmp_path / "state"))
-    running.update_state(state, rows.where("seq_id < 30"), 0, 4, 3)
-    # A batch that died before its commit mark was written.
-    rows.limit(1).write.parquet(str(tmp_path / "state" / "v=1" / "records"))
-    assert state.latest() == 0
-    running.update_state(state, rows.where("seq_id >= 30"), 1, 4, 3)
-    assert found(state) == expected(rows)
-
-
 def test_stream_with_many_files(spark, rows, tmp_path):
     for b in range(4):
         rows.where(F.floor(F.col("seq_id") / 15) == b).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    running.start_running_summary(stream, str(tmp_path / "state"), str(tmp_path / "cp"), 4, 3).awaitTermination()
-    state = running.StateFolder(spark, str(tmp_path / "state"))
-    assert state.latest() == 3 and found(state) == expected(rows)
+    running.start_running_summary(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 4, 3).awaitTermination()
+    assert found(spark, str(tmp_path / "out")) == expected(rows)
 
 
 def test_progress(spark, tmp_path):
@@ -62,6 +51,15 @@ def test_progress(spark, tmp_path):
     for b in range(2):
         times.where(F.col("id") % 2 == b).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(times.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    running.start_progress(stream, str(tmp_path / "out"), str(tmp_path / "cp"), late="1 hour").awaitTermination()
+    running.start_progress(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = running.read_progress(spark, str(tmp_path / "out"))
     assert got.agg(F.sum("n")).first()[0] == 100 and got.count() == 12
+
+
+def test_very_late_rows_are_counted(spark, tmp_path):
+    times = spark.range(50).select(F.timestamp_seconds(1_000_000 - F.col("id") * 3600).alias("ts"))
+    for b in range(5):
+        times.where(F.floor((F.unix_timestamp("ts") - 1_000_000) / -36000) == b).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(times.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    running.start_progress(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert running.read_progress(spark, str(tmp_path / "out")).agg(F.sum("n")).first()[0] == 50
