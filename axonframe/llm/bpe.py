@@ -25,7 +25,7 @@ from axonframe.llm.tables import map_batches, text_rows
 #: Characters of text gathered for one replay.
 CORPUS_CHARS = 12_000_000
 
-_NONE = np.int64(1 << 40)
+_NONE = np.int32(2**31 - 1)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,17 +39,17 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.bytes_ranks = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.bytes_ranks = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [
             (ranks[token[:i]] << 32 | ranks[token[i:]], rank)
             for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks
         ]
         pairs.sort()
         self.keys = np.array([key for key, _ in pairs], np.int64)
-        self.merged = np.array([rank for _, rank in pairs], np.int64)
+        self.merged = np.array([rank for _, rank in pairs], np.int32)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.merged[at], _NONE)
 
@@ -64,23 +64,23 @@ class MergeReplay:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
-    def words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word.  Words must be different and not empty."""
-        known = [self.ranks.get(word) for word in words]
-        rest = [word for word, rank in zip(words, known) if rank is None]
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian 32-bit numbers.  Words must be different and not empty."""
+        ranks = self.ranks
+        rest = [word for word in words if word not in ranks]
         replayed = iter(self._replay(rest)) if rest else iter(())
-        return [next(replayed) if rank is None else np.array([rank], np.int64) for rank in known]
+        return [ranks[word].to_bytes(4, "little") if word in ranks else next(replayed) for word in words]
 
-    def _replay(self, words: list[bytes]) -> list[np.ndarray]:
+    def _replay(self, words: list[bytes]) -> list[bytes]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.cumsum(lengths) - lengths
         token = self.bytes_ranks[np.frombuffer(b"".join(words), np.uint8)]
         size = len(token)
-        after = np.arange(1, size + 1)
+        after = np.arange(1, size + 1, dtype=np.int32)
         after[starts + lengths - 1] = -1
-        before = np.arange(-1, size - 1)
+        before = np.arange(-1, size - 1, dtype=np.int32)
         before[starts] = -1
-        rank_at = np.full(size, _NONE)
+        rank_at = np.full(size, _NONE, np.int32)
         alive = np.ones(size, bool)
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
@@ -110,11 +110,11 @@ class MergeReplay:
                     index[rank] = [places[a:b]]
                     heapq.heappush(heap, rank)
 
-        enter(np.arange(size), -1)
+        enter(np.arange(size, dtype=np.int32), -1)
         while heap:
             rank = heapq.heappop(heap)
             lists = index.pop(rank)
-            at = np.unique(np.concatenate(lists)) if len(lists) > 1 else np.sort(lists[0])
+            at = _sorted(np.concatenate(lists))
             at = at[rank_at[at] == rank]
             if len(at) > 1 and (after[at[:-1]] == at[1:]).any():
                 chosen, taken = [], -1  # Overlapping pairs: the leftmost first.
@@ -122,10 +122,15 @@ class MergeReplay:
                     if place != taken:
                         chosen.append(place)
                         taken = end
-                at = np.array(chosen)
+                at = np.array(chosen, np.int32)
             if not len(at):
                 continue
             gone = after[at]
+            # Leftmost first: between two neighbouring merges a pair of a lower rank may show up.
+            near = np.flatnonzero(after[gone[:-1]] == at[1:])
+            if len(near):
+                low = near[self.pair_ranks(np.full(len(near), rank, np.int32), token[at[near + 1]]) < rank]
+                odd.update(np.searchsorted(starts, at[low], "right").tolist())
             token[at] = rank
             alive[gone] = False
             rank_at[gone] = _NONE
@@ -137,15 +142,24 @@ class MergeReplay:
             left = before[at]
             left = left[left >= 0]
             rank_at[left] = _NONE
-            enter(np.unique(np.concatenate([at, left])), rank)
-        ids = token[alive]
-        counts = np.add.reduceat(alive.astype(np.int64), starts)
-        out = np.split(ids, np.cumsum(counts)[:-1])
+            enter(_sorted(np.concatenate([at, left])), rank)
+        raw = token[alive].astype("<i4").tobytes()
+        stops = np.cumsum(4 * np.add.reduceat(alive.astype(np.int64), starts)).tolist()
+        out = [raw[a:b] for a, b in zip([0, *stops], stops)]
         for i in odd:
-            out[i - 1] = np.array(self.one(words[i - 1]), np.int64)
+            out[i - 1] = np.array(self.one(words[i - 1]), "<i4").tobytes()
         return out
 
 
+def _sorted(places: np.ndarray) -> np.ndarray:
+    """Different places, ascending."""
+    places.sort()
+    fresh = np.empty(len(places), bool)
+    fresh[:1] = True
+    np.not_equal(places[1:], places[:-1], out=fresh[1:])
+    return places[fresh]
+
+
 class ChunkEncoder:
     """Chunks of text to packed ids, through their different words."""
 
@@ -154,10 +168,10 @@ class ChunkEncoder:
 
     def __call__(self, chunks: list[str]) -> Iterator[bytes]:
         words = [self.find(chunk) for chunk in chunks]
-        different = sorted({word for found in words for word in found})
-        ids = self.replay.words([word.encode() for word in different])
-        packed = {word: found.astype("<i4").tobytes() for word, found in zip(different, ids)}
-        return (b"".join([packed[word] for word in found]) for found in words)
+        different = list({word for found in words for word in found})
+        packed = dict(zip(different, self.replay.words([word.encode() for word in different])))
+        del different
+        return (packed[found[0]] if len(found) == 1 else b"".join([packed[word] for word in found]) for found in words)
 
 
 def _lists(packed: list[bytes]) -> pa.Array:

@@ -42,7 +42,7 @@ def test_replay_equals_word_by_word():
         words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 25))).encode() for _ in range(200)})
         replay = MergeReplay(ranks)
         for word, ids in zip(words, replay.words(words)):
-            assert ids.tolist() == ([ranks[word]] if word in ranks else replay.one(word)), word
+            assert np.frombuffer(ids, "<i4").tolist() == ([ranks[word]] if word in ranks else replay.one(word)), word
 
 
 def test_odd_rows(make_docs):
