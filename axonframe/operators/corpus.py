@@ -9,7 +9,7 @@ import re
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonframe.functions.text import is_blank, strip
@@ -114,8 +114,11 @@ class RowRange(NamedTuple):
     end: int | None
 
 
-def parse_range(spec: str) -> RowRange | None:
-    """Read "name[start:end]" with row counts; None for plain names and percent ranges."""
+def parse_range(spec: str, total: int | None = None) -> RowRange | None:
+    """Read "name[start:end]"; None for plain names.
+
+    Percent ranges become row counts of a corpus of ``total`` rows, rounded to the nearest row.
+    """
     match = re.fullmatch(r"([^\[]*)\[([^:\]]*):?([^\]]*)\]", spec)
     if match is None:
         return None
@@ -124,10 +127,18 @@ def parse_range(spec: str) -> RowRange | None:
     if any(percent):
         if not all(percent):
             raise ValueError(f"a range must not mix percent and counts: {spec}")
-        return None
+        if total is None:
+            return None
+        start, end = (str(round(float(part[:-1]) * total / 100)) if part else "" for part in (start, end))
     return RowRange(name, int(float(start)) if start else 0, int(float(end)) if end else None)
 
 
+def spec_slice(docs: DataFrame, spec: str, order: str = "doc_id") -> DataFrame:
+    """The rows that "name[start:end]" stands for, in counts or percent; all rows for a plain name."""
+    wanted = parse_range(spec, docs.count() if "%" in spec else None)
+    return with_row_index(docs, order) if wanted is None else row_slice(docs, wanted.start, wanted.end, order)
+
+
 def row_slice(docs: DataFrame, start: int = 0, end: int | None = None, order: str = "doc_id") -> DataFrame:
     """Rows [start, end) of the corpus order; both ends are clamped, an empty range is empty."""
     if docs.isStreaming:
@@ -176,3 +187,14 @@ def chain_splits(parts: Sequence[DataFrame], order: str = "row_no") -> DataFrame
     if chained is None:
         raise ValueError("at least one split is needed")
     return chained
+
+
+def with_corpus_order(chained: DataFrame, split: str = "split_no", row: str = "row_no", out: str = "corpus_no") -> DataFrame:
+    """One integer key for the order (split, row): the rows of later splits follow those of earlier ones.
+
+    Only one row per split is gathered.  Negative row numbers keep their place.
+    """
+    sizes = chained.groupBy(split).agg(F.min(row).alias("_low"), (F.max(row) - F.min(row) + 1).alias("_rows"))
+    before = Window.orderBy(split).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(split, (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_low")).alias("_offset"))
+    return chained.join(F.broadcast(offsets), split).withColumn(out, F.col(row) + F.col("_offset")).drop("_offset")

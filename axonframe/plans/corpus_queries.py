@@ -58,6 +58,14 @@ def row_index(spark, sf):
     return corpus.with_row_index(table(spark, sf, "documents").select("doc_id"))
 
 
+@query(
+    "percent_slice",
+    f"WITH {INDEXED} SELECT doc_id, row_index FROM indexed WHERE row_index >= round(0.125 * (SELECT count(*) FROM documents)) AND row_index < round(0.5 * (SELECT count(*) FROM documents))",
+)
+def percent_slice(spark, sf):
+    return corpus.spec_slice(table(spark, sf, "documents").select("doc_id"), "corpus[12.5%:50%]")
+
+
 @query("corpus_slice", f"WITH {INDEXED} SELECT doc_id, row_index, lang, length(text) AS n FROM indexed WHERE row_index >= 100")
 def corpus_slice(spark, sf):
     wanted = corpus.parse_range("train[100:]")

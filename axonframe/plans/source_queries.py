@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from axonframe.operators import page, records, scoring, tokens
-from axonframe.operators.corpus import chain_splits
+from axonframe.operators.corpus import chain_splits, token_windows, with_corpus_order
 from axonframe.operators.scale import top_rows
 from axonframe.plans.fixtures import acts, sims, table
 from axonframe.plans.record_queries import BOUNDS, K, N, SCORED
@@ -204,7 +204,7 @@ def related_json(spark, sf):
 
 @query(
     "labelled_tsv",
-    """WITH shown AS (SELECT doc_id, lang, trim(replace(text, chr(10), ' ')) AS premise FROM documents)
+    """WITH shown AS (SELECT doc_id, lang, trim(text, ' ' || chr(10) || chr(9)) AS premise FROM documents)
     SELECT CASE WHEN lang = (SELECT min(lang) FROM documents) THEN 0::BIGINT ELSE 1 END AS split_no, md5(premise) AS digest, count(*) AS n
     FROM shown WHERE premise <> '' GROUP BY ALL""",
 )
@@ -215,7 +215,7 @@ def labelled_tsv(spark, sf):
     first = docs.agg(F.min("lang")).first()[0]
     rows = docs.select(
         "lang", F.col("doc_id").cast("string").alias("Argument ID"), F.lit("c").alias("Conclusion"), F.lit("in favor of").alias("Stance"),
-        F.concat(F.lit("  "), F.replace(F.col("text"), F.lit("\n"), F.lit(" "))).alias("Premise"),
+        F.concat(F.lit("  "), F.col("text")).alias("Premise"),
     )
     for name, part in (("a.tsv", rows.where(F.col("lang") == first)), ("b.tsv", rows.where(F.col("lang") != first))):
         part.drop("lang").write.option("sep", "\t").option("header", "true").option("quote", '"').option("escape", '"').option(
@@ -225,6 +225,27 @@ def labelled_tsv(spark, sf):
     return found.groupBy("split_no", F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "labelled_windows",
+    r"""WITH shown AS (SELECT doc_id % 2 AS split_no, doc_id, list_filter(regexp_split_to_array(text, '[ \n\t]+'), lambda t: t <> '') AS tokens FROM documents),
+    flat AS (SELECT split_no, doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM shown),
+    stream AS (SELECT token, row_number() OVER (ORDER BY split_no, doc_id, i) - 1 AS p FROM flat)
+    SELECT p // 64 AS seq_id, string_agg(token, ' ' ORDER BY p) AS tokens FROM stream GROUP BY ALL HAVING count(*) = 64""",
+)
+def labelled_windows(spark, sf):
+    """Texts with line breaks in two labelled splits, read in list order and cut into windows."""
+    folder = new_folder(spark)
+    rows = table(spark, sf, "documents").select(
+        "doc_id", F.col("doc_id").cast("string").alias("Argument ID"), F.lit("c").alias("Conclusion"), F.lit("in favor of").alias("Stance"),
+        F.col("text").alias("Premise"),
+    )
+    for part, name in enumerate(("a.tsv", "b.tsv")):
+        side = rows.where(F.col("doc_id") % 2 == part).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").drop("doc_id")
+        side.write.option("sep", "\t").option("header", "true").option("quote", '"').option("escape", '"').option("quoteAll", "true").csv(f"{folder}/{name}")
+    found = with_corpus_order(texts.read_labelled_texts(spark, folder, ["a.tsv", "b.tsv"]))
+    return token_windows(found, 64, order="corpus_no").select("seq_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 @query("label_tsv", "SELECT CAST(doc_id AS VARCHAR) AS argument_id, quality::BIGINT AS quality, toxic::BIGINT AS toxic FROM labels")
 def label_tsv(spark, sf):
     folder = new_folder(spark)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,10 +25,14 @@ ARCHIVE_STAMP = "yyyyMMddHHmmss"
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated UTF-8 text with a header; all columns are strings."""
+    """Tab-separated UTF-8 text with a header; all columns are strings.
+
+    Quoted fields may hold line breaks.  A line break then does not show where a row ends, so a
+    file is read by one task; large corpora should come in several files.
+    """
     return (
         spark.read.option("sep", "\t").option("header", "true").option("quote", '"').option("escape", '"')
-        .option("encoding", "UTF-8").csv(path)
+        .option("multiLine", "true").option("encoding", "UTF-8").csv(path)
     )
 
 
@@ -44,7 +48,8 @@ def read_labelled_texts(
 ) -> DataFrame:
     """Stripped, non-blank texts of the listed files: split_no, row_no, text.
 
-    Files keep their list order; ``row_no`` grows with the position in the file.  A missing
+    Files keep their list order; ``row_no`` is the position in the split (its files by name), with
+    gaps where texts are blank.  A missing
     file or column is an error before anything is read.
     """
     parts = None
@@ -58,15 +63,18 @@ def read_labelled_texts(
         part = cut_lineage(
             table.select(
                 F.lit(number).alias("split_no"),
-                F.col("_metadata.file_block_start").alias("_block"),
+                F.col("_metadata.file_path").alias("_file"),
                 F.monotonically_increasing_id().alias("_id"),
                 strip(text).alias("text"),
             )
         )
-        first = part.groupBy("_block").agg(F.min("_id").alias("_first"))
+        # One row per file of the split.
+        files = part.groupBy("_file").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
+        before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+        files = files.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
         part = (
-            join_sized(part, first, ["_block"])
-            .select("split_no", (F.col("_block") + F.col("_id") - F.col("_first")).alias("row_no"), "text")
+            join_sized(part, files, ["_file"])
+            .select("split_no", (F.col("_offset") + F.col("_id") - F.col("_first")).alias("row_no"), "text")
             .where(F.col("text") != "")
         )
         parts = part if parts is None else parts.unionByName(part)

@@ -123,6 +123,12 @@ def test_labelled_texts(spark, tmp_path):
         texts.read_labelled_texts(spark, str(tmp_path), ["a.tsv"], "Summary")
 
 
+def test_quoted_line_breaks_are_kept(spark, tmp_path):
+    write(f"{tmp_path}/a.tsv", HEADER + 'A1\tc\tagainst\t"one\ntwo"\nA2\tc\tagainst\tthree\n')
+    found = texts.read_labelled_texts(spark, str(tmp_path), ["a.tsv"]).orderBy("row_no").collect()
+    assert [(r["row_no"], r["text"]) for r in found] == [(0, "one\ntwo"), (1, "three")]
+
+
 def test_row_order_survives_file_splits(spark, tmp_path):
     lines = [f"A{i}\tc\tagainst\tp{i}" for i in range(5000)]
     write(f"{tmp_path}/a.tsv", HEADER + "\n".join(lines) + "\n")
