@@ -50,6 +50,18 @@ _windows("corpus_windows_stride", 64, 48)
 _windows("corpus_windows_gap", 64, 80)
 _windows("corpus_windows_capped", 128, 128, 1000)
 
+@query(
+    "corpus_windows_letters",
+    """WITH flat AS (SELECT doc_id, unnest(string_split(text, '')) AS token, unnest(range(length(text))) AS i FROM documents WHERE trim(text) <> ''),
+    stream AS (SELECT token, row_number() OVER (ORDER BY doc_id, i) - 1 AS p FROM flat)
+    SELECT p // 256 AS seq_id, md5(string_agg(token, '' ORDER BY p)) AS digest FROM stream GROUP BY ALL HAVING count(*) = 256""",
+)
+def corpus_windows_letters(spark, sf):
+    """A caller's own tokeniser: single characters."""
+    found = corpus.token_windows(table(spark, sf, "documents"), 256, tokenizer=lambda text: F.split(text, ""))
+    return found.select("seq_id", F.md5(F.array_join("tokens", "")).alias("digest"))
+
+
 INDEXED = "indexed AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents)"
 
 

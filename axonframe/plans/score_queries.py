@@ -72,6 +72,17 @@ def linear_calibration(spark, sf):
     return calibration.fit_linear(paired(spark, sf)).select(*EXPLANATION, F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
+@query(
+    "custom_score",
+    f"{BASE} SELECT layer, neuron, explanation_id, round(max(abs(r - p / 10)), 6) AS worst, round(avg(p - r), 6) AS bias FROM pairs GROUP BY layer, neuron, explanation_id",
+)
+def custom_score(spark, sf):
+    """A caller's own score functions."""
+    own = {"worst": lambda r, p: F.max(F.abs(r - p / 10)), "bias": lambda r, p: F.avg(p - r)}
+    return scoring.score_explanations(paired(spark, sf), own).select(*EXPLANATION, *[F.round(c, 6).alias(c) for c in own])
+
+
+
 def flat(calibrated):
     zipped = F.arrays_zip("uncalibrated", "expected")
     return calibrated.select(*EXPLANATION, "seq_id", "scale", F.posexplode(zipped).alias("pos", "z")).select(

@@ -282,6 +282,52 @@ for _fmt in ("parquet", "json"):
     _corpus(_fmt)
 
 
+@query(
+    "text_scan_text",
+    "SELECT md5(line) AS digest, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line, ' ' || chr(9) || chr(13)) <> '' GROUP BY ALL",
+)
+def text_scan_text(spark, sf):
+    """Plain text files: every line is a text."""
+    folder = new_folder(spark)
+    table(spark, sf, "documents").select("text").write.text(folder)
+    return texts.read_texts(spark, folder, "text").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
+
+
+@query("text_stream", "SELECT doc_id, md5(text) AS digest FROM documents WHERE trim(text) <> ''")
+def text_stream(spark, sf):
+    """New files of texts as a stream, written on as they come."""
+    folder = new_folder(spark)
+    table(spark, sf, "documents").select("doc_id", "text").repartition(3).write.json(f"{folder}/in")
+    stream = texts.stream_texts(spark, f"{folder}/in", "json", "doc_id BIGINT, text STRING")
+    digests = stream.select("doc_id", F.md5("text").alias("digest"))
+    digests.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out", "parquet").awaitTermination()
+    return spark.read.schema("doc_id BIGINT, digest STRING").parquet(f"{folder}/out")
+
+
+@query("json_objects", "SELECT 'n' || n_nationkey AS name, n_name AS text, CAST(n_regionkey AS BIGINT) AS region FROM nation")
+def json_objects(spark, sf):
+    """One object of any shape per file."""
+    folder = new_folder(spark)
+    rows = table(spark, sf, "nation").withColumn("key", F.concat(F.lit("n"), F.col("n_nationkey").cast("string")))
+    value = F.to_json(F.struct(F.struct(F.col("key").alias("name")).alias("id"), F.array("n_name").alias("texts"), F.col("n_regionkey").alias("region")))
+    rows.select("key", value.alias("value")).write.partitionBy("key").text(folder)
+    data = F.col("data")
+    return texts.read_objects(spark, folder).select(
+        F.variant_get(data, "$.id.name", "string").alias("name"), F.variant_get(data, "$.texts[0]", "string").alias("text"),
+        F.variant_get(data, "$.region", "bigint").alias("region"),
+    )
+
+
+@query(
+    "neuron_exists",
+    f"WITH {EDGES} SELECT layer, neuron, neuron % 3 <> 0 AS present FROM n",
+)
+def neuron_exists(spark, sf):
+    """Which of all neurons have a record, asked for at once."""
+    wanted = table(spark, sf, "embeddings").select(F.col("label").cast("int").alias("layer"), F.col("vec_id").alias("neuron"))
+    return neurons.with_presence(wanted, wanted.where(F.col("neuron") % 3 != 0))
+
+
 @query(
     "taxonomy_json",
     """SELECT r_name AS level2, n_name AS level1, n_name AS phrase FROM nation JOIN region ON n_regionkey = r_regionkey""",

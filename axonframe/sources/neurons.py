@@ -78,6 +78,12 @@ def neuron_exists(neurons: DataFrame, layer: int, neuron: int) -> bool:
     return not neurons.where((F.col("layer") == layer) & (F.col("neuron") == neuron)).isEmpty()
 
 
+def with_presence(wanted: DataFrame, neurons: DataFrame) -> DataFrame:
+    """Add ``present``: whether a wanted neuron has a record.  One job for any number of neurons."""
+    there = neurons.select(*NEURON, F.lit(True).alias("present")).distinct()
+    return wanted.join(there, NEURON, "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
 def read_explanations(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """One row per neuron from the first line of its file.
 
