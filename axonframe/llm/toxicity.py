@@ -16,19 +16,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axonframe.llm.tables import Scratch, map_batches, text_rows
-from axonframe.llm.words import REMEMBERED
+from axonframe.llm.tables import Scratch, map_batches, text_rows, utf8_rows
+from axonframe.llm.words import REMEMBERED, WordHashes, Words, mix, shingle_sets
 
 #: Labelled documents (about half of them from each side) and features, at most.
 SAMPLE = 16_000
 FEATURES = 4_096
 
 #: A feature needs so many documents of the sample, and a z-score of its spread.
-SUPPORT = 5
-SPREAD = 4.0
+SUPPORT = 8
+SPREAD = 5.0
 
 #: Letters of a head.
 HEAD = 5
@@ -157,7 +157,7 @@ def fit_ordinal(sample: DataFrame, features: np.ndarray | None = None, steps: in
         # Each threshold's own logistic loss, with shared weights.
         error = (p - above) / n
         by_row = error.sum(axis=1)
-        grad_w = np.bincount(at, weights=value * by_row[row], minlength=len(w)) + penalty * w / max(1, len(w)) ** 0.5
+        grad_w = np.bincount(at, weights=value * by_row[row], minlength=len(w)) + penalty * w
         by_level = -error.sum(axis=0)
         grad_gaps = np.exp(gaps) * np.cumsum(by_level[::-1])[::-1][1:]
         grad = np.concatenate([grad_w, [by_level.sum()], grad_gaps])
@@ -214,17 +214,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) ->
     """(text, toxic) of at most ``bound`` labelled documents, picked by a hash of their id.
 
     Up to half are toxic, the rest are not.  Documents without text, and labels that are null or
-    contradict each other, are left out.
+    contradict each other, are left out.  Copies would make any word of their text look telling,
+    so of documents that share one of two smallest hashes of word triples one is kept.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("high"))
     marks = marks.where("toxic = high").drop("high").withColumn("draw", F.xxhash64("doc_id"))
     picked = None
     for side in (marks.where("toxic > 0"), marks.where("toxic = 0")):
-        part = side.orderBy("draw", "doc_id").limit(bound // 2).select(F.col("doc_id").alias("label_id"), "toxic")
+        part = side.orderBy("draw", "doc_id").limit(bound // 2).select(F.col("doc_id").alias("label_id"), "toxic", "draw")
         picked = part if picked is None else picked.unionByName(part)
-    # At most ``bound`` rows of two numbers.
-    met = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
-    return met.where("text is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
+    # At most ``bound`` rows of three numbers.
+    met = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).where("text is not null")
+    found = map_batches(met.select("text", F.col("toxic").cast("int").alias("toxic"), "draw"), _smallest, "text STRING, toxic INT, draw BIGINT, m0 BIGINT, m1 BIGINT")
+    for name in ("m0", "m1"):
+        order = Window.partitionBy(name).orderBy("draw", "text")
+        found = found.withColumn("turn", F.row_number().over(order)).where("turn = 1").drop("turn")
+    return found.select("text", "toxic")
+
+
+def _smallest(batches):
+    """Adds the smallest of two hashes of each text's word triples."""
+    hashes = WordHashes()
+    for batch in batches:
+        words = Words([text.lower() for text in utf8_rows(batch.column(0))], hashes)
+        sets = shingle_sets(words, 3)
+        least = [[int(mix(s + np.uint64(seed)).min().view(np.int64)) if len(s) else seed for s in sets] for seed in range(2)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least[0], pa.int64()), pa.array(least[1], pa.int64())], ["text", "toxic", "draw", "m0", "m1"])
 
 
 def graded(sample: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
