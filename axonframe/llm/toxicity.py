@@ -129,7 +129,7 @@ def choose_features(sample: DataFrame) -> np.ndarray:
     return np.array(sorted(r["feature"] for r in best.select("feature").collect()), np.int64)
 
 
-def fit_ordinal(sample: DataFrame, features: np.ndarray | None = None, steps: int = 2000, rate: float = 0.05, penalty: float = 1e-4) -> OrdinalModel:
+def fit_ordinal(sample: DataFrame, features: np.ndarray | None = None, steps: int = 800, rate: float = 0.1, penalty: float = 1e-4) -> OrdinalModel:
     """Fit on (text, grade) with grades 0, 1, 2, ...; the caller bounds the sample.
 
     Only the chosen features of the sample reach the driver.  Grades are renumbered without
