@@ -109,24 +109,27 @@ class Index:
 def aligned(template: np.ndarray, text: np.ndarray, begin: int) -> tuple[int, int, int]:
     """(matched words, first, last place) of the best common subsequence near the diagonal at ``begin``."""
     m, width = len(template), 2 * BAND + 1
-    # best[o]: (matched, -first, last) with the text place i + begin + o - BAND for template place i.
-    best = [(0, 0, -1)] * (width + 1)
+    none = (0, begin, begin - 1)
+
+    def better(cell: tuple[int, int, int]) -> tuple[int, int, int]:
+        """More words first, then a start close to the diagonal, then an early end."""
+        return cell[0], -abs(cell[1] - begin), -cell[2]
+
+    # best[o]: (matched, first, last) with the text place i + begin + o - BAND for template place i.
+    best = [none] * (width + 1)
     for i in range(m):
         row = []
-        left = (0, 0, -1)
+        left = none
         for o in range(width):
             at = begin + i + o - BAND
-            up = best[o + 1] if o + 1 < width else (0, 0, -1)
-            cell = max(up, left)
+            cell = max(best[o + 1], left, key=better)
             if 0 <= at < len(text) and text[at] == template[i]:
                 n, first, _ = best[o]
-                step = (n + 1, first if n else -at, at)
-                cell = max(cell, step, key=lambda c: (c[0], c[1], -c[2]))
+                cell = max(cell, (n + 1, first if n else at, at), key=better)
             row.append(cell)
             left = cell
-        best = [*row, (0, 0, -1)]
-    n, first, last = max(best, key=lambda c: (c[0], c[1], -c[2]))
-    return n, -first, last
+        best = [*row, none]
+    return max(best, key=better)
 
 
 def matches(text: str, index: Index, hasher: Hasher, coverage: float) -> list[tuple[str, float, int, int, int]]:

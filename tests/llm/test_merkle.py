@@ -12,7 +12,7 @@ def audited(spark, a, b):
 
 def test_locates_every_fault(spark):
     a = [(i, f"payload {i}") for i in list(range(-100, 9000, 3)) + [10**15, 10**15 + 1]]
-    b = [(i, p + "!" if i in (50, 8999) else p[:-1] + "#" if i in (-100, 4097, 10**15) else p) for i, p in a if i not in (2, 5000)] + [(77, "new")]
+    b = [(i, p + "!" if i in (50, 8999) else p[:-1] + "#" if i in (-100, 4097, 10**15) else p) for i, p in a if i not in (2, 5000)] + [(78, "new")]
     place = {}
     for i, p in sorted(a):
         start = max((place[j][1] for j in [place.get(("last", i // 4096), None)] if j is not None), default=0)
@@ -32,7 +32,7 @@ def test_locates_every_fault(spark):
             want[str(i)] = "changed"
         elif place[i][0] != place[("b", i)]:
             want[str(i)] = "moved"
-    want["77"] = "extra"
+    want["78"] = "extra"
     assert kinds == want
     rows = audited(spark, a, b)
     assert ("50", "changed", *place[50]) in rows
