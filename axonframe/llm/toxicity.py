@@ -6,7 +6,8 @@ for all thresholds, which ascend.  The expected severity is the sum of these pro
 Features are words and their five-letter heads (which catch inflected and compounded forms),
 weighted by log(1 + count).  The model is fitted on at most ``SAMPLE`` labelled documents, and
 holds at most ``FEATURES`` features, chosen there by how unevenly they are spread over the
-grades.  Every document is scored whole.
+grades.  The two sides are sampled at their own rates; each row weighs as many labels as it
+stands for, so the probabilities are those of the whole table.  Every document is scored whole.
 """
 
 from __future__ import annotations
@@ -109,8 +110,8 @@ def _counted(known: dict[int, int]):
         for batch in batches:
             rows = [reader.of(text) for text in text_rows(batch.column(0))]
             yield pa.RecordBatch.from_arrays([
-                batch.column(1), pa.array([f.astype("<i4").tobytes() for f, _ in rows], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in rows], pa.binary()),
-            ], ["grade", "at", "counts"])
+                batch.column(1), batch.column(2), pa.array([f.astype("<i4").tobytes() for f, _ in rows], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in rows], pa.binary()),
+            ], ["grade", "weight", "at", "counts"])
 
     return run
 
@@ -132,12 +133,13 @@ def choose_features(sample: DataFrame) -> np.ndarray:
 def fit_ordinal(sample: DataFrame, features: np.ndarray | None = None, steps: int = 800, rate: float = 0.1, penalty: float = 1e-4) -> OrdinalModel:
     """Fit on (text, grade) with grades 0, 1, 2, ...; the caller bounds the sample.
 
-    Only the chosen features of the sample reach the driver.  Grades are renumbered without
+    A column ``weight``, if there is one, says how many documents each row stands for.  Only the chosen features of the sample reach the driver.  Grades are renumbered without
     gaps.  With fewer than two grades the model has no features and predicts grade 0.
     """
     features = choose_features(sample) if features is None else features
     known = {int(f): i for i, f in enumerate(features)}
-    rows = map_batches(sample.select("text", "grade"), _counted(known), "grade INT, at BINARY, counts BINARY").collect() if known else []
+    weight = F.col("weight").cast("double") if "weight" in sample.columns else F.lit(1.0).alias("weight")
+    rows = map_batches(sample.select("text", "grade", weight), _counted(known), "grade INT, weight DOUBLE, at BINARY, counts BINARY").collect() if known else []
     grades = np.array([r["grade"] for r in rows], np.int64)
     levels, y = np.unique(grades, return_inverse=True)
     if len(levels) < 2:
@@ -149,13 +151,15 @@ def fit_ordinal(sample: DataFrame, features: np.ndarray | None = None, steps: in
     w, base, gaps = np.zeros(len(features)), 0.0, np.zeros(len(levels) - 2)
     above = (y[:, None] > np.arange(len(levels) - 1)[None, :]).astype(np.float64)
     n = len(rows)
+    share = np.array([r["weight"] for r in rows], np.float64)
+    share = (share / share.sum())[:, None]
     moment = [np.zeros(len(w) + 1 + len(gaps)) for _ in range(2)]
     for step in range(1, steps + 1):
         thresholds = base + np.append(0, np.cumsum(np.exp(gaps)))
         score = np.bincount(row, weights=value * w[at], minlength=n)
         p = 1 / (1 + np.exp(np.clip(thresholds[None, :] - score[:, None], -50, 50)))
         # Each threshold's own logistic loss, with shared weights.
-        error = (p - above) / n
+        error = (p - above) * share
         by_row = error.sum(axis=1)
         grad_w = np.bincount(at, weights=value * by_row[row], minlength=len(w)) + penalty * w
         by_level = -error.sum(axis=0)
@@ -211,25 +215,28 @@ def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of at most ``bound`` labelled documents, picked by a hash of their id.
+    """(text, toxic, weight) of at most ``bound`` labelled documents, picked by a hash of their id.
 
-    Up to half are toxic, the rest are not.  Documents without text, and labels that are null or
+    Up to half are toxic, up to half are not.  The weight is the number of labels of the row's side
+    over the number picked of them, 1 if all are.  Documents without text, and labels that are null or
     contradict each other, are left out.  Copies would make any word of their text look telling,
     so of documents that share one of two smallest hashes of word triples one is kept.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("high"))
     marks = marks.where("toxic = high").drop("high").withColumn("draw", F.xxhash64("doc_id"))
-    picked = None
-    for side in (marks.where("toxic > 0"), marks.where("toxic = 0")):
-        part = side.orderBy("draw", "doc_id").limit(bound // 2).select(F.col("doc_id").alias("label_id"), "toxic", "draw")
+    sides = marks.agg(F.count_if(F.expr("toxic > 0")).alias("toxic"), F.count_if(F.expr("toxic = 0")).alias("other")).first()
+    picked, most = None, bound // 2
+    for side, labelled in ((marks.where("toxic > 0"), sides["toxic"]), (marks.where("toxic = 0"), sides["other"])):
+        weight = F.lit(labelled / most if labelled > most > 0 else 1.0)
+        part = side.orderBy("draw", "doc_id").limit(most).select(F.col("doc_id").alias("label_id"), "toxic", "draw", weight.alias("weight"))
         picked = part if picked is None else picked.unionByName(part)
-    # At most ``bound`` rows of three numbers.
+    # At most ``bound`` rows of four numbers.
     met = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).where("text is not null")
-    found = map_batches(met.select("text", F.col("toxic").cast("int").alias("toxic"), "draw"), _smallest, "text STRING, toxic INT, draw BIGINT, m0 BIGINT, m1 BIGINT")
+    found = map_batches(met.select("text", F.col("toxic").cast("int").alias("toxic"), "draw", "weight"), _smallest, "text STRING, toxic INT, draw BIGINT, weight DOUBLE, m0 BIGINT, m1 BIGINT")
     for name in ("m0", "m1"):
         order = Window.partitionBy(name).orderBy("draw", "text")
         found = found.withColumn("turn", F.row_number().over(order)).where("turn = 1").drop("turn")
-    return found.select("text", "toxic")
+    return found.select("text", "toxic", "weight")
 
 
 def _smallest(batches):
@@ -239,7 +246,7 @@ def _smallest(batches):
         words = Words([text.lower() for text in utf8_rows(batch.column(0))], hashes)
         sets = shingle_sets(words, 3)
         least = [[int(mix(s + np.uint64(seed)).min().view(np.int64)) if len(s) else seed for s in sets] for seed in range(2)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least[0], pa.int64()), pa.array(least[1], pa.int64())], ["text", "toxic", "draw", "m0", "m1"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least[0], pa.int64()), pa.array(least[1], pa.int64())], ["text", "toxic", "draw", "weight", "m0", "m1"])
 
 
 def graded(sample: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
@@ -252,19 +259,21 @@ def graded(sample: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
     stored = scratch.write(sample.withColumnRenamed("toxic", "grade"), "sample")
     features = choose_features(stored)
     one_sided = _toxic_side(stored, features)
-    counted = map_batches(stored.select("text", "grade"), _hits(one_sided), "text STRING, grade INT")
+    counted = map_batches(stored.select("text", "grade", "weight"), _hits(one_sided), "text STRING, grade INT, weight DOUBLE")
     return counted, features
 
 
 def _toxic_side(sample: DataFrame, features: np.ndarray) -> set[int]:
-    """Whole-word features with more documents above grade 0 than below."""
+    """Features with more documents above grade 0 than not, each row weighed."""
     known = {int(f): i for i, f in enumerate(features)}
     if not known:
         return set()
     counts = map_batches(sample.select("text", (F.col("grade") > 0).cast("bigint").alias("above")), _seen, _SEEN)
     wanted = sample.sparkSession.createDataFrame([(f,) for f in known], "feature BIGINT")
     counts = counts.join(F.broadcast(wanted), "feature").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_above").alias("n_above"))
-    return {r["feature"] for r in counts.where("2 * n_above > n").collect()}
+    # All rows of a side weigh the same.
+    above, other = sample.agg(F.max(F.when(F.col("grade") > 0, F.col("weight"))), F.max(F.when(F.col("grade") == 0, F.col("weight")))).first()
+    return {r["feature"] for r in counts.where(F.col("n_above") * above > (F.col("n") - F.col("n_above")) * other).collect()}
 
 
 def _hits(toxic: set[int]):
@@ -276,7 +285,7 @@ def _hits(toxic: set[int]):
             texts = text_rows(batch.column(0))
             hits = [int(reader.of(text)[1].sum()) for text in texts]
             grades = [0 if not grade else 1 + (n > 4) + (n > 12) for grade, n in zip(batch.column(1).to_pylist(), hits)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(grades, pa.int32())], ["text", "grade"])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(grades, pa.int32()), batch.column(2)], ["text", "grade", "weight"])
 
     return run
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from axonframe.llm.license_scan import TEMPLATES, license_scan
-from axonframe.llm.toxicity import OrdinalModel, accepted, choose_features, fit_ordinal, severity, toxicity_model
+from axonframe.llm.toxicity import OrdinalModel, accepted, choose_features, fit_ordinal, labelled_sample, severity, toxicity_model
 
 WORDS = [a + b for a in ("river", "stone", "cloud", "lamp", "green") for b in ("", "s", "ly", "ish", "er", "ing")]
 
@@ -46,6 +46,28 @@ def test_labels_to_decisions(spark, make_docs):
     assert accepted(docs, model).columns == docs.columns
 
 
+def test_bounded_sample_rejects_like_all_labels(spark, make_docs):
+    rng = random.Random(3)
+    texts, toxic = [], []
+    for _ in range(4000):
+        # Words that both sides use: documents with two or three of them are near the border.
+        words = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(30)]
+        mild = rng.choice((0, 0, 0, 0, 1, 2, 3, 4))
+        words[:mild] = ["vile", "nasty", "rotten", "foul"][:mild]
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        toxic.append(int(rng.random() < (0.01, 0.05, 0.2, 0.4, 0.9)[mild]))
+    docs = make_docs(texts)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id BIGINT, toxic INT")
+    scores = [{r.row_id: r.p_toxic for r in severity(docs, toxicity_model(docs, labels, bound)).collect()} for bound in (600, 8000)]
+    dropped = [{i for i, p in found.items() if p >= 0.5} for found in scores]
+    assert len(dropped[1]) > 300
+    assert len(dropped[0] ^ dropped[1]) <= len(dropped[1]) // 10, [len(d) for d in dropped]
+    assert abs(np.mean(list(scores[0].values())) - np.mean(toxic)) < 0.03
+    sample = labelled_sample(docs, labels, 600)
+    assert abs(sample.where("toxic = 0").agg(F.sum("weight")).first()[0] / toxic.count(0) - 1) < 0.05
+
+
 def test_no_labels_and_odd_rows(spark, make_docs):
     empty = spark.createDataFrame([], "doc_id BIGINT, quality INT, toxic INT")
     docs = make_docs([(1, None), (None, ""), (1, "x " * 5000), (2, "a")]).withColumn("row_id", F.lit("q")).withColumn("grade", F.lit(5))
