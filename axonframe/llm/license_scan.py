@@ -1,14 +1,15 @@
-"""License notices in texts: winnowed fingerprints pick candidates, banded alignment confirms them.
+"""License notices in texts: anchor words pick candidates, banded alignment confirms them.
 
-Templates and texts become bare lower-case words.  Every three words have a hash; winnowing keeps
-the smallest of each two neighbours, so any four common words in a row share a kept hash.  An
-inverted index of the templates' hashes, whose size is bounded by the templates, finds template,
-place and diagonal.  Around the hits of one diagonal, a banded alignment counts the template's
-words that occur in order, and reports coverage and span.
+Templates and texts become bare lower-case words.  If ``m - k`` of a template's ``m`` words may be
+missing, one of any ``m - k + 1`` of them is in each match; the rarest are its anchors.  An
+inverted index of the anchors, whose size is bounded by the templates, finds template, place and
+diagonal, and so misses no match.  Where the longest common subsequence near a hit is long enough,
+a banded alignment counts the template's words that occur in order, and reports coverage and span.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.llm.tables import map_batches, text_rows
-from axonframe.llm.words import REMEMBERED, mix
+from axonframe.llm.words import REMEMBERED
 
 #: Opening or notice lines of common licenses.
 TEMPLATES = {
@@ -33,7 +34,11 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 
-GRAM, WINDOW = 3, 2
+#: Words that are common in texts of any kind; an anchor is one of them only if there are too few others.
+COMMON = frozenset(
+    "a all an and any are as at be by can do following for free from general in is it of on open or other provided public software "
+    "source terms that the this to under use version with without work you copy person form following hereby license licensed".split()
+)
 
 #: Words by which an alignment may leave its diagonal, to either side.
 BAND = 8
@@ -65,45 +70,87 @@ class Hasher:
         return np.array([self.slots.hashes[i] for i in at.tolist()], np.uint64)[back] if len(words) else np.zeros(0, np.uint64)
 
 
-def winnowed(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kept gram hashes and where they start.  Texts shorter than a gram are one gram."""
-    n = len(hashes)
-    if not n:
-        return hashes, np.zeros(0, np.int64)
-    grams = hashes[: max(1, n - GRAM + 1)].copy()
-    for i in range(1, min(GRAM, n)):
-        grams = mix(grams) + hashes[i : i + len(grams)]
-    grams = mix(grams)
-    if len(grams) < WINDOW:
-        return grams, np.arange(len(grams))
-    view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    at = np.unique(np.arange(len(view)) + view.argmin(axis=1))
-    return grams[at], at
+def needed_words(size: int, coverage: float) -> int:
+    return max(1, math.ceil(coverage * size - 1e-9))
+
+
+def _masks(words: list[int]) -> dict[int, int]:
+    """For each word, a bit at each of its places."""
+    masks: dict[int, int] = {}
+    for i, word in enumerate(words):
+        masks[word] = masks.get(word, 0) | 1 << i
+    return masks
+
+
+def _common(masks: dict[int, int], m: int, words: list[int]) -> tuple[int, int]:
+    """Length of the longest common subsequence with a template of ``m`` words, and the first place that completes it."""
+    # Bit-parallel: the zero bits of v count matched words.
+    full = v = (1 << m) - 1
+    best, last = 0, -1
+    for i, word in enumerate(words):
+        mask = masks.get(word)
+        if mask is None:
+            continue
+        some = v & mask
+        if some:
+            v = ((v + some) | (v - some)) & full
+            n = m - v.bit_count()
+            if n > best:
+                best, last = n, i
+    return best, last
 
 
 class Index:
-    """Inverted index of the templates' kept hashes."""
+    """Inverted index of the templates' anchors."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], coverage: float = 0.8):
         hasher = Hasher()
         self.names = sorted(templates)
         self.words = []
         for name in self.names:
             hashes = hasher.of(templates[name].split())
             self.words.append(hashes[hashes != 0])
-        kept = [winnowed(w) for w in self.words]
-        keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in kept)])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.template = np.repeat(np.arange(len(kept)), [len(k) for k, _ in kept])[order]
-        self.place = np.concatenate([np.zeros(0, np.int64), *(a for _, a in kept)])[order]
+        self.needed = [needed_words(len(w), coverage) for w in self.words]
+        self.masks = [_masks(w.tolist()) for w in self.words]
+        usual = set(hasher.of(sorted(COMMON)).tolist())
+        words, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]), return_counts=True)
+        often = dict(zip(words.tolist(), counts.tolist()))
+        anchors = []
+        for i, w in enumerate(self.words):
+            rarest = sorted(range(len(w)), key=lambda p: (int(w[p]) in usual, often[int(w[p])], p))
+            anchors += [(int(w[p]), i, p) for p in rarest[: len(w) - self.needed[i] + 1]]
+        anchors.sort()
+        self.keys = np.array([k for k, _, _ in anchors], np.uint64)
+        self.template = np.array([t for _, t, _ in anchors], np.int64)
+        self.place = np.array([p for _, _, p in anchors], np.int64)
 
     def hits(self, hashes: np.ndarray) -> list[tuple[int, int]]:
-        """(template, place in the text where it would begin) of each common kept hash."""
-        keys, at = winnowed(hashes)
-        low, high = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
+        """(template, place in the text where it would begin) of each anchor in the text."""
+        low, high = np.searchsorted(self.keys, hashes), np.searchsorted(self.keys, hashes, "right")
         some = np.flatnonzero(high > low)
-        return [(int(self.template[j]), int(at[i] - self.place[j])) for i in some.tolist() for j in range(int(low[i]), int(high[i]))]
+        return [(int(self.template[j]), int(i - self.place[j])) for i in some.tolist() for j in range(int(low[i]), int(high[i]))]
+
+    def found(self, hashes: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """Template to (-matched, first, last) of its matches; they may overlap."""
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        words: list[int] = []
+        for template, begin in sorted(set(self.hits(hashes))):
+            words = words or hashes.tolist()
+            size, needed = len(self.words[template]), self.needed[template]
+            # An alignment that holds the anchor may have its diagonal up to BAND beside it.
+            most, _ = _common(self.masks[template], size, words[max(0, begin - 2 * BAND) : max(0, begin + size + 2 * BAND)])
+            if most < needed:
+                continue
+            best = (0, 0, 0)
+            for off in sorted(range(-BAND, BAND + 1), key=abs):
+                n, first, last = aligned(self.words[template], hashes, begin + off)
+                if n > best[0]:
+                    best = (n, first, last)
+                if n == most:
+                    break
+            if best[0] >= needed:
+                out.setdefault(template, []).append((-best[0], *best[1:]))
+        return out
 
 
 def aligned(template: np.ndarray, text: np.ndarray, begin: int) -> tuple[int, int, int]:
@@ -132,21 +179,13 @@ def aligned(template: np.ndarray, text: np.ndarray, begin: int) -> tuple[int, in
     return max(best, key=better)
 
 
-def matches(text: str, index: Index, hasher: Hasher, coverage: float) -> list[tuple[str, float, int, int, int]]:
+def matches(text: str, index: Index, hasher: Hasher) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, matched words, start, stop) of one text, by start; spans of one license do not overlap."""
     hashes = hasher.of(text.split())
     places = np.flatnonzero(hashes)
     bare = hashes[places]
-    hits = index.hits(bare) if len(bare) else []
-    if not hits:
-        return []
-    found = {}
+    found = index.found(bare)
     spans = None
-    for template, begin in sorted(set(hits)):
-        words = index.words[template]
-        n, first, last = aligned(words, bare, begin)
-        if n >= coverage * len(words):
-            found.setdefault(template, []).append((-n, first, last))
     out = []
     for template, options in found.items():
         taken: list[tuple[int, int]] = []
@@ -161,9 +200,9 @@ def matches(text: str, index: Index, hasher: Hasher, coverage: float) -> list[tu
 
 def _scan(templates: dict[str, str], coverage: float):
     def run(batches):
-        index, hasher = Index(templates), Hasher()
+        index, hasher = Index(templates, coverage), Hasher()
         for batch in batches:
-            rows = [(i, *found) for i, text in enumerate(text_rows(batch.column(1))) for found in matches(text, index, hasher, coverage)]
+            rows = [(i, *found) for i, text in enumerate(text_rows(batch.column(1))) for found in matches(text, index, hasher)]
             columns = list(zip(*rows)) if rows else [()] * 6
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from axonframe.llm.license_scan import TEMPLATES, license_scan
+from axonframe.llm.license_scan import TEMPLATES, Hasher, Index, aligned, license_scan
 from axonframe.llm.toxicity import OrdinalModel, accepted, choose_features, fit_ordinal, labelled_sample, severity, toxicity_model
 
 WORDS = [a + b for a in ("river", "stone", "cloud", "lamp", "green") for b in ("", "s", "ly", "ish", "er", "ing")]
@@ -110,3 +110,31 @@ def test_license_odd_rows(make_docs):
     rows = license_scan(docs).collect()
     assert sorted((str(r.row_id), r.start, r.matched) for r in rows) == [("3", 0, 5), ("3", 32, 5), ("4", 40_000, 5), ("None", 0, 5)]
     assert license_scan(make_docs([])).count() == 0
+
+
+def test_license_edits_reach_the_alignment():
+    index, hasher = Index(TEMPLATES), Hasher()
+    around = "river stone cloud lamp".split()
+    for at, name in enumerate(index.names):
+        words = TEMPLATES[name].split()
+        edits = [words]
+        for i in range(len(words)):
+            edits += [words[:i] + words[i + 1 :], words[:i] + ["changed"] + words[i + 1 :], words[:i] + ["added"] + words[i:]]
+        # One more word before each: no two words of the template are neighbours.
+        edits.append([w for word in words for w in ("added", word)][: 2 * 8])
+        for edit in edits:
+            hashes = hasher.of([*around, *edit, *around])
+            hashes = hashes[hashes != 0]
+            plain = max(aligned(index.words[at], hashes, begin)[0] for begin in range(2, 8))
+            found = index.found(hashes).get(at, [])
+            assert bool(found) == (plain >= 0.8 * len(index.words[at])), (name, edit)
+            assert not found or -min(found)[0] >= plain
+
+
+def test_short_license_edits(make_docs):
+    docs = make_docs([
+        "Released under MIT License", "Licensed under the Apach License, Version 2.0", "Released under the terms of the MIT License",
+        "Licensed under a CC BY-NC 4.0", "Released now under some the good MIT old License", "under the License",
+    ])
+    found = {r.row_id: (r.license, r.matched) for r in license_scan(docs).collect()}
+    assert found == {0: ("MIT", 4), 1: ("Apache-2.0", 6), 2: ("MIT", 5), 3: ("CC-BY-NC-4.0", 5), 4: ("MIT", 5)}
