@@ -1,15 +1,19 @@
-"""License notices in texts: anchor words pick candidates, banded alignment confirms them.
+"""License notices and whole license texts: anchor words pick candidates, banded alignment confirms them.
 
 Templates and texts become bare lower-case words.  If ``m - k`` of a template's ``m`` words may be
 missing, one of any ``m - k + 1`` of them is in each match; the rarest are its anchors.  An
 inverted index of the anchors, whose size is bounded by the templates, finds template, place and
 diagonal, and so misses no match.  Where the longest common subsequence near a hit is long enough,
 a banded alignment counts the template's words that occur in order, and reports coverage and span.
+
+Templates of more than ``LONG`` words are whole texts.  A text that lacks their words, however ordered,
+is passed over; in others the longest common subsequence is taken exactly, by windows.
 """
 
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 
 import numpy as np
@@ -34,6 +38,57 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 
+#: Further notices, of which some differ by one word, and names.  Names of up to four words need every word.
+NOTICES = {
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "LGPL-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
+    "AGPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+    "AGPL-network": (
+        "Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users "
+        "interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the "
+        "Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge"
+    ),
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC-BY-NC-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    "CC-BY-4.0-name": "CC BY 4.0",
+    "CC-BY-SA-4.0-name": "CC BY-SA 4.0",
+    "CC-BY-ND-4.0-name": "CC BY-ND 4.0",
+    "CC-BY-NC-SA-4.0-name": "CC BY-NC-SA 4.0",
+    "CC-BY-NC-ND-4.0-name": "CC BY-NC-ND 4.0",
+    "CC0-1.0-name": "CC0 1.0",
+    "LGPL-name": "Lesser General Public License",
+    "LGPL-2.0-name": "Library General Public License",
+    "AGPL-name": "Affero General Public License",
+    "GNU-LGPL-name": "GNU LGPL",
+    "GNU-AGPL-name": "GNU AGPL",
+    "ISC-name": "ISC License",
+    "Unlicense-name": "The Unlicense",
+    "BSL-1.0-name": "Boost Software License",
+    "EPL-name": "Eclipse Public License",
+    "EUPL-name": "European Union Public Licence",
+    "OFL-name": "SIL Open Font License",
+    "AFL-name": "Academic Free License",
+    "MS-PL-name": "Microsoft Public License",
+    "Artistic-2.0-name": "Artistic License 2.0",
+}
+
+#: Licenses whose whole text is a template, named with "-text" (files in ``licenses``).
+WHOLE = (
+    "0BSD", "AFL-2.1", "Apache-2.0", "Artistic-1.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-SA-4.0", "CC0-1.0",
+    "EPL-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0",
+    "OFL-1.1", "PSF-2.0", "Unicode-3.0", "Unlicense", "WTFPL", "Zlib",
+)
+
+#: Templates of more words are whole texts.
+LONG = 40
+
+#: A line that names the license of a file; several identifiers may be joined.
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9][\w.+-]*\)*(?:[ \t]+(?:AND|OR|WITH|and|or|with)[ \t]+\(*[A-Za-z0-9][\w.+-]*\)*)*)")
+
 #: Words that are common in texts of any kind; an anchor is one of them only if there are too few others.
 COMMON = frozenset(
     "a all an and any are as at be by can do following for free from general in is it of on open or other provided public software "
@@ -70,6 +125,12 @@ class Hasher:
         return np.array([self.slots.hashes[i] for i in at.tolist()], np.uint64)[back] if len(words) else np.zeros(0, np.uint64)
 
 
+def all_templates() -> dict[str, str]:
+    """The notices and the whole texts."""
+    texts = {f"{name}-text": pkgutil.get_data("axonframe.llm", f"licenses/{name}.txt").decode("utf-8") for name in WHOLE}
+    return {**TEMPLATES, **NOTICES, **texts}
+
+
 def needed_words(size: int, coverage: float) -> int:
     return max(1, math.ceil(coverage * size - 1e-9))
 
@@ -179,30 +240,126 @@ def aligned(template: np.ndarray, text: np.ndarray, begin: int) -> tuple[int, in
     return max(best, key=better)
 
 
-def matches(text: str, index: Index, hasher: Hasher) -> list[tuple[str, float, int, int, int]]:
+class Wholes:
+    """Templates of whole texts, with an index from words to how often each template has them."""
+
+    def __init__(self, templates: dict[str, str], coverage: float):
+        hasher = Hasher()
+        self.names = sorted(templates)
+        self.words, self.masks, self.backward, rows = [], [], [], []
+        for i, name in enumerate(self.names):
+            hashes = hasher.of(templates[name].split())
+            hashes = hashes[hashes != 0]
+            self.words.append(np.unique(hashes, return_counts=True))
+            rows.append((*self.words[-1], np.full(len(self.words[-1][0]), i)))
+            self.masks.append(_masks(hashes.tolist()))
+            self.backward.append(_masks(hashes[::-1].tolist()))
+        self.sizes = np.array([int(counts.sum()) for _, counts in self.words], np.int64)
+        self.needed = np.array([needed_words(int(m), coverage) for m in self.sizes], np.int64)
+        keys, counts, of = (np.concatenate(c) for c in zip(*rows)) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.argsort(keys, kind="stable")
+        keys, self.counts, self.of = keys[order], counts[order], of[order]
+        self.keys, self.low = np.unique(keys, return_index=True)
+        self.high = np.append(self.low[1:], len(keys))
+
+    def possible(self, bare: np.ndarray) -> list[int]:
+        """Templates of whose words the text has enough, in any order."""
+        if not len(self.keys) or len(bare) < self.needed.min():
+            return []
+        words, counts = np.unique(bare, return_counts=True)
+        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
+        known = self.keys[at] == words
+        at, counts = at[known], counts[known]
+        size = self.high[at] - self.low[at]
+        entry = np.arange(size.sum()) + np.repeat(self.low[at] - (np.cumsum(size) - size), size)
+        common = np.bincount(self.of[entry], weights=np.minimum(self.counts[entry], np.repeat(counts, size)), minlength=len(self.names))
+        return np.flatnonzero(common >= self.needed).tolist()
+
+    def found(self, template: int, bare: np.ndarray) -> list[tuple[int, int, int]]:
+        """(-matched, first, last) of each window that covers enough of the template.
+
+        A window is half as long again as the template, and any stretch a quarter longer than it
+        lies in one.
+        """
+        m, (words, wanted) = int(self.sizes[template]), self.words[template]
+        slack = max(BAND, m // 4)
+        at = np.minimum(np.searchsorted(words, bare), len(words) - 1)
+        at = np.where(words[at] == bare, at, len(words))
+        out = set()
+        for begin in range(0, max(1, len(bare) - m + slack), slack):
+            end = begin + m + 2 * slack
+            counts = np.bincount(at[begin:end], minlength=len(words) + 1)[: len(words)]
+            if np.minimum(counts, wanted).sum() < self.needed[template]:
+                continue
+            window = bare[begin:end].tolist()
+            n, last = _common(self.masks[template], m, window)
+            if n >= self.needed[template]:
+                _, back = _common(self.backward[template], m, window[last::-1])
+                out.add((-n, begin + last - back, begin + last))
+        return sorted(out)
+
+
+def _told_apart(rows: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
+    """Without those of which another license has more words, or all in all a larger share, in nearly the same span."""
+    rows = sorted(rows, key=lambda r: (r[3], r[4]))
+    worse = set()
+    for i, (name, share, n, first, last) in enumerate(rows):
+        for j in range(i + 1, len(rows)):
+            other = rows[j]
+            if other[3] > last:
+                break
+            common, either = min(last, other[4]) - other[3] + 1, max(last, other[4]) - first + 1
+            if other[0] != name and common >= 0.8 * either and (n, share) != (other[2], other[1]):
+                worse.add(i if (n, share) < (other[2], other[1]) else j)
+    return [r for i, r in enumerate(rows) if i not in worse]
+
+
+def tags(text: str) -> list[tuple[str, float, int, int, int]]:
+    """A row for each license that an SPDX line names; the span is the whole tag."""
+    out = []
+    for tag in SPDX.finditer(text) if "SPDX-License-Identifier:" in text else ():
+        names = [w.strip("()") for w in tag.group(1).split()]
+        out.extend((name, 1.0, len(tag.group().split()), *tag.span()) for name in dict.fromkeys(names) if name.upper() not in ("AND", "OR", "WITH"))
+    return out
+
+
+def matches(text: str, index: Index, hasher: Hasher, wholes: Wholes) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, matched words, start, stop) of one text, by start; spans of one license do not overlap."""
     hashes = hasher.of(text.split())
     places = np.flatnonzero(hashes)
     bare = hashes[places]
-    found = index.found(bare)
-    spans = None
+    found, large = index.found(bare), wholes.possible(bare)
+    if not found and not large:
+        return []
+    ranked = [(index.names[t], len(index.words[t]), sorted(set(options))) for t, options in found.items()]
+    # Of whole texts, the closest stretches first: a window may reach into a second copy.
+    ranked += [(wholes.names[t], int(wholes.sizes[t]), sorted(wholes.found(t, bare), key=lambda o: (3 * o[0] + o[2] - o[1], o))) for t in large]
     out = []
-    for template, options in found.items():
+    for name, size, options in ranked:
         taken: list[tuple[int, int]] = []
-        for n, first, last in sorted(set(options)):
+        for n, first, last in options:
             if all(last < a or first > b for a, b in taken):
                 taken.append((first, last))
-                spans = spans or [m.span() for m in re.finditer(r"\S+", text)]
-                start, stop = spans[places[first]][0], spans[places[last]][1]
-                out.append((index.names[template], -n / len(index.words[template]), -n, start, stop))
+                out.append((name, -n / size, -n, first, last))
+    if not out:
+        return []
+    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    out = [(name, share, n, spans[places[first]][0], spans[places[last]][1]) for name, share, n, first, last in _told_apart(out)]
     return sorted(out, key=lambda r: (r[3], r[0], r[4]))
 
 
-def _scan(templates: dict[str, str], coverage: float):
+def _scan(templates, tagged: bool, coverage: float):
     def run(batches):
-        index, hasher = Index(templates, coverage), Hasher()
+        short, long = {}, {}
+        for name, text in templates.value.items():
+            (long if sum(any(map(str.isalnum, w)) for w in text.split()) > LONG else short)[name] = text
+        index, wholes, hasher = Index(short, coverage), Wholes(long, coverage), Hasher()
+
+        def rows_of(text):
+            return matches(text, index, hasher, wholes) + (tags(text) if tagged else [])
+
         for batch in batches:
-            rows = [(i, *found) for i, text in enumerate(text_rows(batch.column(1))) for found in matches(text, index, hasher)]
+            rows = [(i, *found) for i, text in enumerate(text_rows(batch.column(1))) for found in rows_of(text)]
             columns = list(zip(*rows)) if rows else [()] * 6
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
@@ -214,12 +371,15 @@ def _scan(templates: dict[str, str], coverage: float):
 def license_scan(
     docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """License notices: row_id, license, coverage (share of the template's words), matched, start, stop.
+    """License notices, whole license texts and SPDX lines: row_id, license, coverage (share of the template's words), matched, start, stop.
 
-    One row per notice; positions are code points of the text, the stop exclusive.  A text may
-    hold several notices, also of one license; those do not overlap.  Null and empty texts have
+    One row per notice or text; positions are code points of the text, the stop exclusive.  A text may
+    hold several notices, also of one license; those do not overlap.  Where two templates match
+    nearly the same stretch, the one with more words in it is reported, then the one with the
+    larger share; ties are both reported.  An SPDX line gives a row per identifier.  Null and empty texts have
     none.  Repeated rows and null ids are kept; other columns are ignored; an empty table gives
-    no rows.  ``templates`` (name to text) must fit in memory.
+    no rows.  ``templates`` (name to text) must fit in memory; with given ones, SPDX lines are not looked for.
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(source, _scan(TEMPLATES if templates is None else templates, coverage), _SCHEMA)
+    shared = docs.sparkSession.sparkContext.broadcast(all_templates() if templates is None else templates)
+    return map_batches(source, _scan(shared, templates is None, coverage), _SCHEMA)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from axonframe.llm.license_scan import TEMPLATES, Hasher, Index, aligned, license_scan
+from axonframe.llm.license_scan import NOTICES, TEMPLATES, Hasher, Index, aligned, all_templates, license_scan
 from axonframe.llm.toxicity import OrdinalModel, accepted, choose_features, fit_ordinal, labelled_sample, severity, toxicity_model
 
 WORDS = [a + b for a in ("river", "stone", "cloud", "lamp", "green") for b in ("", "s", "ly", "ish", "er", "ing")]
@@ -113,10 +113,11 @@ def test_license_odd_rows(make_docs):
 
 
 def test_license_edits_reach_the_alignment():
-    index, hasher = Index(TEMPLATES), Hasher()
+    templates = {**TEMPLATES, **NOTICES}
+    index, hasher = Index(templates), Hasher()
     around = "river stone cloud lamp".split()
     for at, name in enumerate(index.names):
-        words = TEMPLATES[name].split()
+        words = templates[name].split()
         edits = [words]
         for i in range(len(words)):
             edits += [words[:i] + words[i + 1 :], words[:i] + ["changed"] + words[i + 1 :], words[:i] + ["added"] + words[i:]]
@@ -138,3 +139,32 @@ def test_short_license_edits(make_docs):
     ])
     found = {r.row_id: (r.license, r.matched) for r in license_scan(docs).collect()}
     assert found == {0: ("MIT", 4), 1: ("Apache-2.0", 6), 2: ("MIT", 5), 3: ("CC-BY-NC-4.0", 5), 4: ("MIT", 5)}
+
+
+def test_whole_license_texts(make_docs):
+    rng = random.Random(6)
+    wholes = {name: text for name, text in all_templates().items() if name.endswith("-text")}
+    assert len(wholes) >= 25
+    texts, want = [], []
+    for name, text in sorted(wholes.items()):
+        words = text.split()
+        for _ in range(len(words) // 40):
+            words[rng.randrange(len(words))] = "changed"
+        before, after = ([rng.choice(WORDS) for _ in range(rng.randrange(400))] for _ in range(2))
+        texts.append(" ".join([*before, *words, *after]))
+        want.append((name, len(" ".join(before)) + bool(before), len(" ".join(words))))
+    found = license_scan(make_docs(texts)).collect()
+    for i, (name, start, size) in enumerate(want):
+        rows = [r for r in found if r.row_id == i and r.license.endswith("-text")]
+        assert [r.license for r in rows] == [name], (name, rows)
+        assert 0.9 < rows[0].coverage <= 1 and abs(rows[0].start - start) <= 40 and abs(rows[0].stop - rows[0].start - size) <= 80
+
+
+def test_license_copies_names_and_tags(make_docs):
+    mit = all_templates()["MIT-text"].strip()
+    docs = make_docs([mit + "\n\n" + mit, "# SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) */", "under the GNU Lesser General Public License", "Dual: ISC License, CC0 1.0 or The Unlicense"])
+    rows = license_scan(docs).collect()
+    assert sorted((r.start, r.stop) for r in rows if r.license == "MIT-text") == [(0, len(mit)), (len(mit) + 2, 2 * len(mit) + 2)]
+    assert {r.license for r in rows if r.row_id == 1} == {"MIT", "GPL-2.0-only", "Classpath-exception-2.0"}
+    assert {r.license for r in rows if r.row_id == 2} == {"LGPL-name"}
+    assert {r.license for r in rows if r.row_id == 3} == {"ISC-name", "CC0-1.0-name", "Unlicense-name"}
