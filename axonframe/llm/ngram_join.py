@@ -216,6 +216,17 @@ def _runs(batches):
         yield from split(pa.Table.from_batches(held).combine_chunks())
 
 
+def _keyed(length: int):
+    """(doc_id, text) with the key of the text's set, where it has one."""
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            keys = [set_key(s) if len(s) else None for s in _sets(batch, hashes, length)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["doc_id", "text", "k"])
+
+    return run
+
+
 def _exact_sets(length: int):
     def run(batches):
         hashes = WordHashes()
@@ -347,6 +358,11 @@ def ngram_join(docs: DataFrame, length: int = 5, percent: int = 80, id_col: str
     groups = components(tree_links.unionByName(stars), scratch, "groups").withColumnRenamed("node", "k").withColumnRenamed("root", "g")
     wanted = groups.join(classes.select("k", "first_id"), "k").select("first_id", "k")
     texts = source.join(wanted, source["doc_id"] == wanted["first_id"]).select("doc_id", "text", "k")
+    # Classes of which no row has an id: one text each, by the key of its set.
+    nameless = map_batches(source.where("doc_id is null and text is not null"), _keyed(length), "doc_id BIGINT, text STRING, k BIGINT")
+    nameless = nameless.where("k is not null").groupBy("k").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    nameless = nameless.join(wanted.where("first_id is null").select("k"), "k", "left_semi")
+    texts = texts.unionByName(nameless)
     sets = scratch.write(map_batches(texts, _exact_sets(length), "k BIGINT, n BIGINT, items BINARY").dropDuplicates(["k"]), "sets")
     links = _group_links(sets, groups, percent, scratch)
     final = components(links, scratch, "final").withColumnRenamed("node", "k")

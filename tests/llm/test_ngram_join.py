@@ -67,6 +67,20 @@ def test_odd_rows(make_docs, spark):
     assert {(r.doc_id, r.component_id) for r in ngram_join(clash).collect()} == {(0, 0), (1, 0)}
 
 
+def test_near_copies_without_id(make_docs):
+    words = [f"w{i}" for i in range(100)]
+
+    def changed(*places):
+        return " ".join("changed" + str(i) if i in places else w for i, w in enumerate(words))
+
+    # Two documents that only a row without id connects, and near copies none of which has an id.
+    other = [f"v{i}" for i in range(60)]
+    rows = [(7, changed(10, 30)), (None, changed(30)), (3, changed(30, 60, 80)), (None, " ".join(other)), (None, " ".join(["x", *other]))]
+    assert result(make_docs(rows[:1] + rows[2:3])) == {(7, 96, 7), (3, 96, 3)}
+    found = [(r.doc_id, r.component_id) for r in ngram_join(make_docs(rows)).collect()]
+    assert sorted(found, key=str) == sorted([(7, 3), (None, 3), (3, 3), (None, None), (None, None)], key=str)
+
+
 def test_trees_lose_no_pair():
     rng = np.random.default_rng(3)
     sets = []
