@@ -107,7 +107,8 @@ def _blocks(batches):
     """Runs of equal (shingle, salt), sorted, to blocks of different classes.
 
     A run of up to BLOCK classes is named after its members, so that equal blocks meet again.
-    Longer or salted runs link each class to the run's first class instead, row by row.
+    Longer or salted runs, and those that come in parts, link each class to the run's first class
+    instead, row by row.
     """
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     names = ["kind", "block", "k", "other"]
@@ -115,14 +116,15 @@ def _blocks(batches):
     def table(kind, block, k, other):
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(k), pa.string()), pa.array(block, pa.int64()), pa.array(k, pa.int64()), pa.array(other, pa.int64())], names)
 
-    def rows(shingle, salt, k):
+    def rows(shingle, salt, k, in_parts):
+        """``in_parts``: the first run is a part of a longer one."""
         edge = np.flatnonzero((shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])) + 1
         starts, stops = np.append(0, edge), np.append(edge, len(k))
         wanted = (stops - starts > 1) | (salt[starts] >= 0)
         block_of, block_k, star, star_k, hot, hot_k = [], [], [], [], [], []
         for a, b in zip(starts[wanted].tolist(), stops[wanted].tolist()):
             own = np.unique(k[a:b])
-            if salt[a] >= 0 or len(own) > BLOCK:
+            if salt[a] >= 0 or len(own) > BLOCK or in_parts and a == 0:
                 hot.append(shingle[a])
                 hot_k.append(own[0])
                 star.append(np.full(len(own) - 1, own[0]))
@@ -141,6 +143,7 @@ def _blocks(batches):
     def whole():
         return [np.concatenate([h[i] for h in held]) for i in range(3)]
 
+    in_parts = False
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -149,15 +152,17 @@ def _blocks(batches):
         last = np.flatnonzero((shingle != shingle[-1]) | (salt != salt[-1]))
         cut = last[-1] + 1 if len(last) else 0
         if cut:
-            yield from rows(shingle[:cut], salt[:cut], k[:cut])
+            yield from rows(shingle[:cut], salt[:cut], k[:cut], in_parts)
+            in_parts = False
         elif len(k) > 8 * BLOCK:
             # A long run: link what has come, go on with its first class.
-            yield from rows(shingle, salt, k)
+            in_parts = True
+            yield from rows(shingle, salt, k, in_parts)
             cut = len(k) - 1
             k[-1] = k.min()
         held = [(shingle[cut:], salt[cut:], k[cut:])]
     if held:
-        yield from rows(*whole())
+        yield from rows(*whole(), in_parts)
 
 
 def _candidates(percent: int):

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import axonframe.llm.ngram_join as ngram
@@ -81,6 +82,28 @@ def test_near_copies_without_id(make_docs):
     assert sorted(found, key=str) == sorted([(7, 3), (None, 3), (3, 3), (None, None), (None, None)], key=str)
 
 
+def test_run_longer_than_a_batch_with_few_classes():
+    size = 8 * ngram.BLOCK + 1
+    keys = np.sort(np.concatenate([np.repeat(np.arange(9), size // 3 + 1)]))
+    keys = np.concatenate([keys, [3, 4]])
+    shingle = np.concatenate([np.full(len(keys) - 2, 5), [6, 6]])
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(shingle[i : i + size]), pa.array(np.full(len(keys[i : i + size]), -1, np.int32)), pa.array(keys[i : i + size])], ["shingle", "salt", "k"])
+        for i in range(0, len(keys), size)
+    ]
+    assert len(batches) > 2
+    out = [r for b in ngram._blocks(iter(batches)) for r in b.to_pylist()]
+    assert {r["k"] for r in out if r["kind"] == "block"} == {3, 4}
+    forest = Forest(9)
+    for r in out:
+        if r["kind"] == "star":
+            forest.unite(r["k"], r["other"])
+    hot = [r["k"] for r in out if r["kind"] == "hot"]
+    for k in hot:
+        forest.unite(hot[0], k)
+    assert len(set(forest.roots(0, 9).tolist())) == 1
+
+
 def test_trees_lose_no_pair():
     rng = np.random.default_rng(3)
     sets = []
