@@ -163,3 +163,72 @@ SELECT page_id, a.file, a.start, a.start + a.size AS stop,
   a.digest AS expected, b.digest AS found
 FROM a LEFT JOIN b USING (page_id) WHERE b.digest IS NULL OR a.digest <> b.digest OR a.start <> b.start
 """
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as leaves; a replica in which every third text (by the id's checksum) has lost its capitals."""
+    from axonframe.llm.butterfly import dataset_manifest, folded, siblings_text
+
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text"))
+    claimed = [*map(F.col, ("doc_id", "source", "lang", "n_chars")), tampered]
+    found = dataset_manifest(documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"], claimed=claimed)
+    found = found.withColumn("folded_root", folded(F.col("claimed"), F.col("proof")))
+    return found.select(
+        F.col("row_id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings_text(F.col("proof")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def _op12_sql(inside: int = 8, between: int = 3) -> str:
+    """Levels inside a language and between languages; 8 and 3 suffice for 16 million documents in each of 512 languages."""
+    def field(name: str) -> str:
+        return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || {name}, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    def levels(name: str, first: str, count: int) -> list[str]:
+        parts, nodes = [], first
+        for k in range(count):
+            parts.append(f"""{name}{k} AS MATERIALIZED (SELECT g, i // 8 AS run, any_value(n) AS n, list(h ORDER BY i) AS hs
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM ({nodes})) GROUP BY g, i // 8)""")
+            nodes = f"SELECT g, run AS i, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {name}{k}"
+        return [*parts, f"{name}_top AS MATERIALIZED ({nodes})"]
+
+    def climb(name: str, at: str, first: str, count: int, group: str) -> list[str]:
+        parts, before = [], first
+        for k in range(count):
+            o = f"({at} // {8**k} % 8)"
+            left, right = f"array_to_string(hs[1:{o}], '')", f"array_to_string(hs[{o} + 2:], '')"
+            parts.append(f"""{name}_at{k} AS (SELECT d.* EXCLUDE (folded, siblings),
+  CASE WHEN n = 1 THEN folded ELSE sha256({left} || folded || {right}) END AS folded,
+  CASE WHEN n = 1 THEN siblings ELSE siblings || {left} || {right} END AS siblings
+  FROM {before} d JOIN {name}{k} r ON r.g = {group} AND r.run = {at} // {8 ** (k + 1)})""")
+            before = f"{name}_at{k}"
+        return parts
+
+    parts = [
+        """crc AS (SELECT list(list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))""",
+        """sums AS (SELECT documents.*, xor(list_reduce(
+    list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS sum FROM documents, crc)""",
+        f"""hashed AS (SELECT doc_id, lang, {leaf('text')} AS leaf, {leaf('claim')} AS claimed
+  FROM (SELECT *, CASE WHEN sum % 3 = 0 THEN translate(text, '{_UPPER}', '{_LOWER}') ELSE text END AS claim FROM sums))""",
+        """d AS MATERIALIZED (SELECT doc_id, leaf, claimed AS folded, '' AS siblings, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed)""",
+        *levels("a", "SELECT g, pos AS i, leaf AS h FROM d", inside),
+        *levels("b", "SELECT 0 AS g, g AS i, h FROM a_top", between),
+        *climb("a", "pos", "d", inside, "d.g"),
+        *climb("b", "d.g", f"a_at{inside - 1}", between, "0"),
+    ]
+    return f"""WITH {', '.join(parts)}
+SELECT doc_id, leaf, a_top.h AS subroot, b_top.h AS root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = b_top.h AS verified
+FROM b_at{between - 1} d JOIN a_top ON a_top.g = d.g CROSS JOIN b_top"""
+
+
+SQL["op12_manifest"] = _op12_sql()
