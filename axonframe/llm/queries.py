@@ -232,3 +232,12 @@ FROM b_at{between - 1} d JOIN a_top ON a_top.g = d.g CROSS JOIN b_top"""
 
 
 SQL["op12_manifest"] = _op12_sql()
+
+
+@query
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from axonframe.llm.langid import held_out, identify, prototypes
+
+    docs = documents(spark, sf_dir)
+    model = prototypes(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    return identify(docs, model).select(F.col("row_id").alias("doc_id"), held_out(F.col("row_id")).alias("held_out"), "lang_pred", "score")
