@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axonframe.llm.tables import map_batches, utf8_rows
+from axonframe.llm.tables import map_batches, text_pieces, utf8_rows
 from axonframe.llm.words import WordHashes, Words, mix
 
 #: Counters of a sketch row are kept and merged in chunks of 2^16.
@@ -100,12 +100,13 @@ def _sketch(length: int, bits: int):
     def run(batches):
         hashes, found, size = WordHashes(), [], 0
         for batch in batches:
-            counted = Windows(Words(utf8_rows(batch.column(0)), hashes), length).counted
-            found.append(counted)
-            size += len(counted)
-            if size > flush:
-                yield from rows(found)
-                found, size = [], 0
+            for texts in text_pieces(batch.column(0)):
+                counted = Windows(Words(utf8_rows(texts), hashes), length).counted
+                found.append(counted)
+                size += len(counted)
+                if size > flush:
+                    yield from rows(found)
+                    found, size = [], 0
         if size:
             yield from rows(found)
 
@@ -144,64 +145,70 @@ def _repeated(windows: Windows, sketch: list[np.ndarray], bits: int) -> np.ndarr
     return out
 
 
+def _estimated(texts: pa.Array, hashes: WordHashes, length: int, bits: int, sketch):
+    """The words of texts, their windows, and those estimated repeated as (text, their places among the windows)."""
+    words = Words(utf8_rows(texts), hashes)
+    windows = Windows(words, length)
+    at = np.flatnonzero(_repeated(windows, sketch.value, bits))
+    text = words.text_of(windows.starts[at])
+    edge = np.append(0, np.flatnonzero(text[1:] != text[:-1]) + 1) if len(text) else np.zeros(0, np.int64)
+    return words, windows, list(zip(text[edge].tolist(), np.split(at, edge[1:])))
+
+
 def _occurrences(length: int, bits: int, sketch):
     """(window, id) of estimated windows, once per document."""
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            ids = batch.column(1).to_numpy()
-            words = Words(utf8_rows(batch.column(0)), hashes)
-            windows = Windows(words, length)
-            at = np.flatnonzero(_repeated(windows, sketch.value, bits))
-            text, found = words.text_of(windows.starts[at]), windows.hashes[at]
-            edge = np.append(0, np.flatnonzero(text[1:] != text[:-1]) + 1) if len(text) else np.zeros(0, np.int64)
-            parts = [np.unique(part) for part in np.split(found, edge[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(ids[text[edge]], [len(p) for p in parts] if len(edge) else []))],
-                ["window", "id"],
-            )
+            ids, row = batch.column(1).to_numpy(), 0
+            for texts in text_pieces(batch.column(0)):
+                _, windows, repeated = _estimated(texts, hashes, length, bits, sketch)
+                parts = [np.unique(windows.hashes[places]) for _, places in repeated]
+                owner = np.repeat(ids[[row + i for i, _ in repeated]], [len(p) for p in parts]) if parts else ids[:0]
+                row += len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(owner)], ["window", "id"])
 
     return run
 
 
 def _removed(length: int, bits: int, sketch):
     """(text, id, owned windows, rest) to the kept words and how many went."""
+    def piece(texts, owned, hashes):
+        words, windows, repeated = _estimated(texts, hashes, length, bits, sketch)
+        cover = np.zeros(len(words.hashes) + 1, np.int32)
+        for i, places in repeated:
+            found = windows.hashes[places]
+            kept = np.zeros(len(found), bool)
+            kept[np.unique(found, return_index=True)[1]] = True
+            own = owned[i].values
+            if own is None or not len(own):
+                kept[:] = False
+            else:
+                own = np.sort(own.to_numpy().view(np.uint64))
+                kept &= own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found
+            starts = windows.starts[places[~kept]]
+            cover[starts] += 1
+            cover[starts + length] -= 1
+        keep = np.cumsum(cover[:-1]) == 0
+        gone = np.diff(np.append(0, np.append(0, np.cumsum(~keep))[words.stops]))
+        flags = keep.tolist()
+        new = []
+        for a, b, n in zip(words.begins.tolist(), words.stops.tolist(), gone.tolist()):
+            own = words.words[a:b]
+            new.append(b" ".join(compress(own, flags[a:b]) if n else own))
+        return words.counts, gone, pa.array(new, pa.binary()).cast(pa.string())
+
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            owned = batch.column(2)
-            words = Words(utf8_rows(batch.column(0)), hashes)
-            windows = Windows(words, length)
-            at = np.flatnonzero(_repeated(windows, sketch.value, bits))
-            text = words.text_of(windows.starts[at])
-            edge = np.append(0, np.flatnonzero(text[1:] != text[:-1]) + 1) if len(text) else np.zeros(0, np.int64)
-            cover = np.zeros(len(words.hashes) + 1, np.int32)
-            for i, places in zip(text[edge].tolist(), np.split(at, edge[1:])):
-                found = windows.hashes[places]
-                kept = np.zeros(len(found), bool)
-                kept[np.unique(found, return_index=True)[1]] = True
-                own = owned[i].values
-                if own is None or not len(own):
-                    kept[:] = False
-                else:
-                    own = np.sort(own.to_numpy().view(np.uint64))
-                    kept &= own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found
-                starts = windows.starts[places[~kept]]
-                cover[starts] += 1
-                cover[starts + length] -= 1
-            keep = np.cumsum(cover[:-1]) == 0
-            gone = np.zeros(len(words.counts) + 1, np.int64)
-            gone[1:] = np.append(0, np.cumsum(~keep))[words.stops]
-            gone = np.diff(gone)
-            flags = keep.tolist()
-            texts = []
-            for a, b, n in zip(words.begins.tolist(), words.stops.tolist(), gone.tolist()):
-                own = words.words[a:b]
-                texts.append(b" ".join(compress(own, flags[a:b]) if n else own))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(words.counts), pa.array(gone), pa.array(texts, pa.binary()).cast(pa.string()), batch.column(0), batch.column(3)],
-                ["row_id", "n_words", "n_removed", "kept_text", "text", "rest"],
-            )
+            row = 0
+            for texts in text_pieces(batch.column(0)):
+                part = batch.slice(row, len(texts))
+                row += len(texts)
+                counts, gone, kept = piece(texts, part.column(2), hashes)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1), pa.array(counts), pa.array(gone), kept, texts, part.column(3)], ["row_id", "n_words", "n_removed", "kept_text", "text", "rest"]
+                )
 
     return run
 

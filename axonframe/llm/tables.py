@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -15,6 +17,9 @@ from axonframe.session import shared_dir
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 65_536
 
+#: Text whose words are in memory at once, where a batch is worked off in pieces.
+PIECE_BYTES = 1 << 20
+
 
 class Scratch:
     """Tables written once to the shared folder and read back.
@@ -54,6 +59,18 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, schema)
 
 
+def text_pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a text column with about ``PIECE_BYTES`` each; a longer text is one by itself."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes.astype(np.int64))
+    start = 0
+    while start < len(texts):
+        reach = (ends[start - 1] if start else 0) + PIECE_BYTES
+        stop = max(start + 1, int(np.searchsorted(ends, reach, "right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
 def utf8_rows(column: pa.Array) -> list[bytes]:
     """Each text as UTF-8 bytes; a null text is empty."""
     return [b"" if text is None else text for text in column.cast(pa.binary()).to_pylist()]
