@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -204,15 +205,51 @@ def _encoder(path: str, pattern: str):
     return run
 
 
+class Vocabulary:
+    """The bytes of all tokens in one buffer; ids are decoded by copying ranges of it."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        ordered = sorted(ranks.items(), key=lambda item: item[1])
+        self.buffer = np.frombuffer(b"".join(token for token, _ in ordered), np.uint8)
+        lengths = np.array([len(token) for token, _ in ordered], np.int64)
+        names = np.array([rank for _, rank in ordered], np.int64)
+        self.lengths = np.full(names[-1] + 1, -1, np.int64)
+        self.starts = np.zeros(names[-1] + 1, np.int64)
+        self.lengths[names] = lengths
+        self.starts[names] = np.cumsum(lengths) - lengths
+
+    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The joined bytes of the ids, and the number of bytes of each."""
+        known = (ids >= 0) & (ids < len(self.lengths))
+        lengths = self.lengths[np.where(known, ids, 0)]
+        if not known.all() or (lengths < 0).any():
+            raise KeyError(f"id {ids[~known | (lengths < 0)][0]} is not in the rank file")
+        ends = np.cumsum(lengths)
+        # The place of each output byte in the buffer: its token's start plus its number in the token.
+        at = np.repeat(self.starts[ids] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        return self.buffer[at].tobytes(), lengths
+
+
+#: Ids decoded at once.
+DECODED = 1 << 18
+
+
 def _decoder(path: str):
     def run(batches):
-        tokens = {rank: token for token, rank in read_ranks(path).items()}
+        vocabulary = Vocabulary(read_ranks(path))
         for batch in batches:
             ids = batch.column(1)
-            texts = []
-            for i in range(len(ids)):
-                found = ids[i].values
-                texts.append(None if found is None else b"".join(map(tokens.__getitem__, found.to_pylist())))
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            parts, sizes = [], [np.zeros(1, np.int64)]
+            for a in range(0, len(flat), DECODED):
+                raw, lengths = vocabulary.decode(flat[a : a + DECODED])
+                parts.append(raw)
+                sizes.append(lengths)
+            ends = np.cumsum(np.concatenate(sizes))  # Bytes before each id.
+            counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            stops = ends[np.append(0, np.cumsum(counts))].tolist()
+            raw, present = b"".join(parts), ids.is_valid().to_pylist()
+            texts = [raw[a:b] if some else None for a, b, some in zip(stops, stops[1:], present)]
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.binary())], ["row_id", "ids", "decoded"])
 
     return run
