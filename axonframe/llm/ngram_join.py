@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from axonframe.llm.components import components
 from axonframe.llm.signature_tree import Forest, bitmap, united
-from axonframe.llm.tables import Scratch, map_batches, utf8_rows
+from axonframe.llm.tables import Scratch, map_batches, text_pieces, utf8_rows
 from axonframe.llm.words import WordHashes, Words, set_key, shingle_sets
 
 #: Classes gathered for one tree, and hashes gathered for one cell of exact sets (40 MB).
@@ -42,7 +42,10 @@ _BLOCKS = "kind STRING, block BIGINT, k BIGINT, other BIGINT"
 
 
 def _sets(batch: pa.RecordBatch, hashes: WordHashes, length: int) -> list[np.ndarray]:
-    return shingle_sets(Words([text.lower() for text in utf8_rows(batch.column(1))], hashes), length)
+    sets = []
+    for texts in text_pieces(batch.column(1)):
+        sets += shingle_sets(Words([text.lower() for text in utf8_rows(texts)], hashes), length)
+    return sets
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -333,8 +336,8 @@ def ngram_join(docs: DataFrame, length: int = 5, percent: int = 80, id_col: str
     id reachable by links, itself included), set_key (equal sets have equal keys; null without
     n-grams).  Words are runs of non-white-space (ASCII) characters; A-Z count as a-z.  A text
     with fewer words than ``length`` is one n-gram; a null, empty or blank text has none and is
-    linked with nothing.  Other columns are ignored.  Rows that repeat an id keep their own
-    sizes and share links.  A row without id gets its component's smallest id, or null.
+    linked with nothing.  Other columns are ignored.  Rows that repeat an id are
+    rows of their own, each with its own size and component.  A row without id gets its component's smallest id, or null.
     Hashes have 64 bits.  An empty table gives no rows.
     """
     spark = docs.sparkSession
