@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonframe.functions.text import is_blank, strip
+from axonframe.operators.ordered import covering, layout, ordered_windows, with_row_numbers
 from axonframe.operators.scale import TREE_FANOUT, prefix_sum
 
 Tokenizer = Callable[[Column], Column]
@@ -52,13 +53,23 @@ def token_windows(
     """Windows of ``length`` tokens over the concatenation of all texts, in corpus order.
 
     Window k covers the stream positions [k * stride, k * stride + length); an incomplete
-    last window is dropped.  Each document finds its own start position from a tree of token
+    last window is dropped.  If the corpus is stored in order, its windows are cut
+    where the texts lie, and a cap leaves out what is behind it (``ordered_windows``).
+    Otherwise each document finds its own start position from a tree of token
     totals and cuts its share of every window it touches.  Windows that lie inside one
     document are complete at once; only the pieces at document ends are shuffled, at most
     ``length`` tokens per window.
     """
     step = check_window(length, stride, context)
     capped = max_sequences is not None and max_sequences > 0
+
+    def own_tokens() -> Column:
+        found = tokenizer(F.col(text))
+        return F.when(F.col(text).isNotNull() & ~is_blank(F.col(text)), found).otherwise(F.expr("cast(array() as array<string>)"))
+
+    in_place = ordered_windows(docs, order, own_tokens, length, step, max_sequences if capped else None)
+    if in_place is not None:
+        return in_place
     # Texts travel once, as text, to the bucket their position is computed in; counting and
     # cutting both start from that exchange.
     bucket = F.expr(f"_order div {TREE_FANOUT}")
@@ -103,7 +114,13 @@ def token_windows(
 
 
 def with_row_index(docs: DataFrame, order: str = "doc_id") -> DataFrame:
-    """Dense row number from 0 in the corpus order, without a global sort."""
+    """Dense row number from 0 in the corpus order, without a global sort.
+
+    Rows of a corpus that is stored in order are numbered where they lie.
+    """
+    runs = layout(docs, order)
+    if runs is not None:
+        return with_row_numbers(docs, runs, order, "row_index")
     numbered = docs.withColumn("_one", F.lit(1))
     return prefix_sum(numbered, order, "_one", "row_index").drop("_one")
 
@@ -143,7 +160,11 @@ def row_slice(docs: DataFrame, start: int = 0, end: int | None = None, order: st
     """Rows [start, end) of the corpus order; both ends are clamped, an empty range is empty."""
     if docs.isStreaming:
         raise ValueError("row ranges need a bounded corpus; this one is a stream")
-    indexed = with_row_index(docs, order)
+    runs = layout(docs, order)
+    if runs is None:
+        indexed = with_row_index(docs, order)
+    else:  # Runs outside the range are not read.
+        indexed = with_row_numbers(*covering(docs, runs, order, max(start, 0), end), order, "row_index")
     inside = F.col("row_index") >= max(start, 0)
     if end is not None:
         inside = inside & (F.col("row_index") < max(end, 0))
@@ -167,8 +188,9 @@ def percent_ranges(shards: int, low: float = 0.0, high: float = 100.0) -> list[t
 
 def with_shard(docs: DataFrame, shards: int, order: str = "doc_id") -> DataFrame:
     """Add ``shard_id`` so that shards are consecutive row ranges of equal size."""
-    indexed = with_row_index(docs, order)
-    total = docs.count()
+    runs = layout(docs, order)
+    indexed = with_row_index(docs, order) if runs is None else with_row_numbers(docs, runs, order, "row_index")
+    total = docs.count() if runs is None else sum(r.rows for r in runs)
     base, extra = divmod(total, shards)
     if base == 0:
         raise ValueError(f"cannot cut {total} rows into {shards} shards")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from axonframe.functions.text import is_blank, strip
-from axonframe.operators import corpus
+from axonframe.operators import corpus, ordered
 
 
 def model(docs, length, stride, cap):
@@ -33,6 +33,72 @@ def test_windows_equal_a_sequential_pass(docs, length, stride, cap):
     assert {r["seq_id"]: r["tokens"] for r in found} == model(texts, length, stride or length, cap or None)
 
 
+@pytest.fixture(scope="module", params=["one file a partition", "packed files"])
+def stored(request, spark, docs, tmp_path_factory):
+    """The same texts, stored in order: files of very different sizes, one of blank texts only."""
+    _, texts, ids = docs
+    folder = str(tmp_path_factory.mktemp("stored") / "docs")
+    edges = [0, 1, 2, 40, 43, 43 + 60, 160, len(ids)]
+    for n, (a, b) in enumerate(zip(edges, edges[1:])):
+        rows = [(i, " \n " if n == 3 else t) for i, t in zip(ids[a:b], texts[a:b])]
+        spark.createDataFrame(rows, "doc_id BIGINT, text STRING").coalesce(1).write.mode("append").parquet(f"{folder}/part={n}")
+    left = [" " if 40 <= i < 43 else t for i, t in enumerate(texts)]
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g" if request.param != "packed files" else "1k")
+    spark.conf.set("spark.sql.files.minPartitionNum", "2")
+    yield spark.read.parquet(folder).drop("part"), left, ids
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+@pytest.mark.parametrize("length,stride,cap", [(8, None, None), (8, 3, None), (5, 11, None), (1, 1, None), (2, 5, None), (8, 3, 37), (8, 8, 1), (64, 64, 0), (300, 7, None)])
+def test_windows_of_a_stored_corpus_are_cut_in_place(stored, length, stride, cap, monkeypatch):
+    table, texts, _ = stored
+    runs = ordered.layout(table, "doc_id")
+    assert len(runs) == 7 and (len({r.part for r in runs}) < 4) == (table.rdd.getNumPartitions() < 4)
+    monkeypatch.setattr(ordered, "TOKENS", 50)
+    frame = corpus.token_windows(table, length, stride, cap)
+    assert {r["seq_id"]: r["tokens"] for r in frame.collect()} == model(texts, length, stride or length, cap or None)
+
+
+def plan(frame, capsys):
+    capsys.readouterr()
+    frame.explain("formatted")
+    return capsys.readouterr().out
+
+
+def test_no_text_is_shuffled(stored, capsys):
+    table, _, ids = stored
+    shown = plan(corpus.row_slice(table, 10, 60), capsys)
+    assert "Exchange hash" not in shown and "Exchange range" not in shown and "Exchange Round" not in shown
+    assert f"LessThanOrEqual(doc_id,{ids[102]})" in shown  # Later partitions are not read.
+    shown = plan(corpus.token_windows(table, 8, 8), capsys)
+    assert shown.count("hashpartitioning(seq_id") == 1 and "_text" not in shown
+    shown = plan(corpus.token_windows(table, 8, 8, 3), capsys)
+    assert "LessThanOrEqual(doc_id" in shown
+
+
+def test_changed_partitions_are_noticed(spark, stored):
+    table, _, ids = stored
+    parts = ordered.layout(table, "doc_id")
+    moved = [r._replace(first=r.first - 1) if i == 2 else r for i, r in enumerate(parts)]
+    with pytest.raises(Exception, match="changed between two passes"):
+        ordered.with_row_numbers(table, moved, "doc_id", "n").collect()
+    with pytest.raises(Exception, match="changed between two passes"):
+        ordered.with_row_numbers(table, parts[:-1], "doc_id", "n").collect()
+
+
+def test_row_numbers_of_a_stored_corpus(spark, stored):
+    table, _, ids = stored
+    assert [r["row_index"] for r in corpus.with_row_index(table).orderBy("doc_id").collect()] == list(range(len(ids)))
+    for start, end in ((0, None), (0, 1), (1, 41), (42, 170), (100, 10**6), (len(ids), None), (7, 7)):
+        found = corpus.row_slice(table, start, end).orderBy("row_index").collect()
+        assert [(r["doc_id"], r["row_index"]) for r in found] == list(zip(ids, range(len(ids))))[start:end]
+    shards = corpus.with_shard(table, 4).groupBy("shard_id").count().orderBy("shard_id").collect()
+    assert [r["count"] for r in shards] == [b - a for a, b in corpus.shard_ranges(len(ids), 4)]
+    empty = spark.createDataFrame([], "doc_id BIGINT, text STRING")
+    assert corpus.with_row_index(empty).count() == corpus.token_windows(empty, 4).count() == corpus.row_slice(empty, 0, 5).count() == 0
+
+
 def test_row_index_slices_and_shards(docs):
     table, _, ids = docs
     assert [r["doc_id"] for r in corpus.row_slice(table, 10, 25).orderBy("row_index").collect()] == ids[10:25]
