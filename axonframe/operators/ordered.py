@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +36,10 @@ CHANGED = "the partitions of the input changed between two passes: write it as a
 #: Runs in one input partition; with more the corpus does not count as stored in order.
 MOST_RUNS = 1024
 
-_LAYOUT = "part INT, run INT, first BIGINT, last BIGINT, rows BIGINT"
+_LAYOUT = "part INT, run INT, first BIGINT, last BIGINT, rows BIGINT, marks ARRAY<BIGINT>"
+
+#: Rows that a capped scan counts first.
+FIRST_ROWS = 1024
 _EDGES = f"{_LAYOUT}, tokens BIGINT, head ARRAY<STRING>, tail ARRAY<STRING>"
 
 
@@ -48,6 +52,7 @@ class Run(NamedTuple):
     last: int
     rows: int
     before: int
+    marks: tuple[int, ...] = ()  # The keys of rows 1, 2, 4, 8, ...
 
 
 def _split(batches) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -75,19 +80,24 @@ def _split(batches) -> Iterator[tuple[int, pa.RecordBatch]]:
 
 
 def _known(found: dict[int, list[int]]) -> dict[str, pa.Array]:
-    """Run number to [first, last, rows], as columns."""
+    """Run number to [first, last, rows, marks], as columns."""
     part = TaskContext.get().partitionId()
     columns = {"part": [part] * len(found), "run": list(found), "first": [f[0] for f in found.values()], "last": [f[1] for f in found.values()]}
     types = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
-    return {**{k: pa.array(v, t) for (k, v), t in zip(columns.items(), types)}, "rows": pa.array([f[2] for f in found.values()], pa.int64())}
+    return {
+        **{k: pa.array(v, t) for (k, v), t in zip(columns.items(), types)},
+        "rows": pa.array([f[2] for f in found.values()], pa.int64()), "marks": pa.array([f[3] for f in found.values()], pa.list_(pa.int64())),
+    }
 
 
 def _see(found: dict[int, list[int]], run: int, piece: pa.RecordBatch) -> None:
     if run < 0:
-        found[run] = [None, None, 0]
+        found[run] = [None, None, 0, []]
         return
     keys = piece.column(0)
-    own = found.setdefault(run, [keys[0].as_py(), None, 0])
+    own = found.setdefault(run, [keys[0].as_py(), None, 0, []])
+    while 1 << len(own[3]) <= own[2] + len(keys):
+        own[3].append(keys[(1 << len(own[3])) - 1 - own[2]].as_py())
     own[1], own[2] = keys[-1].as_py(), own[2] + len(keys)
 
 
@@ -106,7 +116,7 @@ def _runs(rows: Sequence, weight: str) -> list[Run] | None:
     if any(a["last"] >= b["first"] for a, b in pairwise(rows)):
         return None
     before = [0, *accumulate(r[weight] for r in rows)]
-    return [Run(*(r[c] for c in ("part", "run", "first", "last", "rows")), n) for r, n in zip(rows, before)]
+    return [Run(*(r[c] for c in ("part", "run", "first", "last", "rows")), n, tuple(r["marks"])) for r, n in zip(rows, before)]
 
 
 def key_of(order: str) -> Column:
@@ -134,8 +144,8 @@ def _table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame
     return F.broadcast(table) if 128 * len(rows) <= BROADCAST_BYTES else table
 
 
-def with_row_numbers(docs: DataFrame, runs: list[Run], order: str, out: str) -> DataFrame:
-    """Number the rows of an ordered input where they lie, from the rows before each run."""
+def _with_run(docs: DataFrame, runs: list[Run]) -> DataFrame:
+    """Adds ``_run`` (start, first, last, rows, before; null if unknown) and ``_at``, the row's number in it."""
     by_part: dict[int, list[Run]] = {}
     for run in sorted(runs):
         by_part.setdefault(run.part, []).append(run)
@@ -147,14 +157,19 @@ def with_row_numbers(docs: DataFrame, runs: list[Run], order: str, out: str) ->
     number = F.monotonically_increasing_id()
     placed = docs.withColumn("_at", number).withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
     own = F.element_at(F.filter("_runs", lambda r: r["start"] <= F.col("_at")), -1)
-    joined = placed.join(table, "_part", "left").withColumn("_run", own)
-    key, at = key_of(order), F.col("_at") - F.col("_run.start")
+    found = placed.join(table, "_part", "left").withColumn("_run", own)
+    return found.withColumn("_at", F.col("_at") - F.col("_run.start")).drop("_part", "_runs")
+
+
+def with_row_numbers(docs: DataFrame, runs: list[Run], order: str, out: str) -> DataFrame:
+    """Number the rows of an ordered input where they lie, from the rows before each run."""
+    key, at = key_of(order), F.col("_at")
     wrong = (
         F.col("_run").isNull() | (at >= F.col("_run.rows"))
         | ((at == 0) & (key != F.col("_run.first"))) | ((at == F.col("_run.rows") - 1) & (key != F.col("_run.last")))
     )
     place = F.when(wrong, F.raise_error(F.lit(CHANGED)).cast("bigint")).otherwise(F.col("_run.before") + at)
-    return joined.withColumn(out, place).drop("_at", "_part", "_runs", "_run")
+    return _with_run(docs, runs).withColumn(out, place).drop("_at", "_run")
 
 
 def covering(docs: DataFrame, runs: list[Run], order: str, start: int, end: int | None) -> tuple[DataFrame, list[Run]]:
@@ -169,25 +184,44 @@ def covering(docs: DataFrame, runs: list[Run], order: str, start: int, end: int
     return docs, wanted
 
 
+def leading(docs: DataFrame, runs: list[Run], order: str, rows: int) -> tuple[DataFrame, list[Run]]:
+    """At least the first ``rows`` rows, less than twice as many: a bound on the key that reaches the scan."""
+    kept = []
+    for run in runs:
+        if run.before >= rows:
+            break
+        kept.append(run)
+    if kept and kept[-1].before + kept[-1].rows > rows:
+        number = (rows - kept[-1].before - 1).bit_length()
+        if number < len(kept[-1].marks):
+            kept[-1] = kept[-1]._replace(last=kept[-1].marks[number], rows=1 << number)
+    if kept == runs:
+        return docs, runs
+    return docs.where(F.col(order) <= kept[-1].last), kept
+
+
 class _Edges:
-    """Total and outer tokens of one run."""
+    """Total and outer tokens of one run, from rows of which only those near its ends bring tokens."""
 
     def __init__(self, edge: int):
-        self.edge, self.total, self.n_head = edge, 0, 0
+        self.edge, self.total, self.n_head, self.open = edge, 0, 0, True
         self.heads: list[pa.Array] = []
         self.tails: list[pa.Array] = []
 
     def see(self, counts: np.ndarray, head: pa.Array, tail: pa.Array) -> None:
         self.total += int(counts.sum())
-        cut = np.flatnonzero(counts > self.edge)
-        if self.n_head < self.edge:
-            # Up to the first text that is longer than its first tokens, these are the stream itself.
-            head = head.slice(0, int(cut[0]) + 1) if len(cut) else head
-            self.heads.append(head.flatten().slice(0, self.edge - self.n_head))
+        sent = pc.list_value_length(tail).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(sent < counts)  # Rows of which not all tokens were sent.
+        if self.open:
+            # Up to the first row that is not whole, its own first tokens included, these are the stream itself.
+            cut = int(whole[0]) + 1 if len(whole) else len(counts)
+            self.heads.append(head.slice(0, cut).flatten().slice(0, self.edge - self.n_head))
             self.n_head += len(self.heads[-1])
-        # From the last text that is longer than its last tokens on, these are the stream itself.
-        last = tail.slice(int(cut[-1]) if len(cut) else 0).flatten()
-        self.tails = [last] if len(last) >= self.edge else [*self.tails, last]
+            self.open = not len(whole) and self.n_head < self.edge
+        # From the last row that is not whole on, these are the stream itself.
+        if len(whole):
+            self.tails = []
+        self.tails.append(tail.slice(int(whole[-1]) if len(whole) else 0).flatten())
         if sum(map(len, self.tails)) > 4 * self.edge + 1024 or len(self.tails) > 64:
             self.tails = [self.tail()]
 
@@ -197,7 +231,10 @@ class _Edges:
 
 
 def _edge_tokens(length: int):
-    """(key, block, n, first tokens, last tokens) to one row per run with its total and its outer tokens."""
+    """(key, block, n, first tokens, last tokens) to one row per run with its total and its outer tokens.
+
+    Rows may leave out their tokens; where too many did, the run has fewer outer tokens than it should.
+    """
     def run_all(batches):
         found: dict[int, list[int]] = {}
         edges: dict[int, tuple] = {}
@@ -233,7 +270,7 @@ def _inner_windows(length: int, step: int, cap: int | None, runs: list[Run]):
         begin = k = 0
 
         def check() -> None:
-            if known is not None and tuple(found[known.run]) != (known.first, known.last, known.rows):
+            if known is not None and tuple(found[known.run][:3]) != (known.first, known.last, known.rows):
                 raise RuntimeError(CHANGED)
 
         for run, piece in _split(batches):
@@ -291,41 +328,49 @@ def ordered_windows(
     """Windows over the tokens of a corpus, or None if it is not stored in order.
 
     ``tokens`` gives a row's tokens, none for a row that is left out.  With a cap, leading
-    runs are counted in doubling numbers until they hold enough tokens, and the others are
-    left out of the scan.
+    rows are counted, more and more, until they hold enough tokens, and the others are left out of
+    the scan.
     """
-    places = _places(texts, order)
-
-    def edges(rows: DataFrame) -> DataFrame:
-        own = rows.select(*places, tokens().alias("t"))
-        edge = length - 1
-        first = F.slice("t", 1, edge) if edge else F.expr("cast(array() as array<string>)")
-        last = F.when(F.size("t") > edge, F.slice("t", -edge, edge)).otherwise(F.col("t")) if edge else first
+    keys = layout(texts, order)
+    if keys is None:
+        return None
+    places, edge = _places(texts, order), length - 1
+    none = F.expr("cast(array() as array<string>)")
+
+    def edges(rows: DataFrame, known: list[Run], margin: int) -> DataFrame:
+        """Outer tokens are sent by the rows near the ends of a run."""
+        own = _with_run(rows, known).select(*places, tokens().alias("t"), ((F.col("_at") < margin) | (F.col("_run.rows") - F.col("_at") <= margin)).alias("near"))
+        first, last = none, none
+        if edge:
+            first = F.when(F.col("near"), F.slice("t", 1, edge)).otherwise(none)
+            last = F.when(~F.col("near"), none).when(F.size("t") > edge, F.slice("t", -edge, edge)).otherwise(F.col("t"))
         narrow = own.select("key", "block", F.size("t").cast("bigint").alias("n"), first.alias("head"), last.alias("tail"))
         return cut_lineage(narrow.mapInArrow(_edge_tokens(length), _EDGES))
 
-    def totals(written: DataFrame) -> list:
-        return written.select("part", "run", "first", "last", "rows", "tokens").collect()
-
-    if cap is None:
-        written = edges(texts)
-        found = totals(written)
-    else:
-        keys = layout(texts, order)
-        if keys is None:
-            return None
-        need, take = (cap - 1) * step + length, 1
+    def counted(rows: DataFrame, known: list[Run]) -> tuple[DataFrame, list]:
+        margin, most = edge + 16, max((r.rows for r in known), default=0)
         while True:
-            rows = texts if take >= len(keys) else texts.where(F.col(order) <= keys[take - 1].last)
-            written = edges(rows)
-            found = totals(written)
-            if take >= len(keys) or sum(r["tokens"] for r in found) >= need:
-                texts = rows
-                break
-            take *= 2
+            written = edges(rows, known, margin)
+            short = F.least(F.size("head"), F.size("tail")) < F.least(F.lit(edge), F.col("tokens"))
+            found = written.select("part", "run", "first", "last", "rows", "marks", "tokens", short.alias("short")).collect()
+            if margin >= most or not any(r["short"] for r in found):
+                return written, found
+            margin *= 16  # Blank texts at an end.
+
+    total = sum(r.rows for r in keys)
+    take = total if cap is None else FIRST_ROWS
+    while True:
+        read, known = leading(texts, keys, order, take)
+        written, found = counted(read, known)
+        tokens_read, need = sum(r["tokens"] for r in found), 0 if cap is None else (cap - 1) * step + length
+        if take >= total or cap is not None and tokens_read >= need:
+            break
+        # About as many rows as the tokens so far let expect, and some more.
+        take = max(2 * take, int(1.25 * take * need / max(tokens_read, 1))) if tokens_read else 16 * take
+    texts = read
     runs = _runs(found, "tokens")
     if runs is None:
-        return None
+        raise RuntimeError(CHANGED)
     own = texts.select(*places, tokens().alias("t"))
     inner = own.mapInArrow(_inner_windows(length, step, cap, runs), "seq_id BIGINT, tokens ARRAY<STRING>")
     crossing = (

@@ -50,12 +50,13 @@ def stored(request, spark, docs, tmp_path_factory):
     spark.conf.unset("spark.sql.files.minPartitionNum")
 
 
-@pytest.mark.parametrize("length,stride,cap", [(8, None, None), (8, 3, None), (5, 11, None), (1, 1, None), (2, 5, None), (8, 3, 37), (8, 8, 1), (64, 64, 0), (300, 7, None)])
+@pytest.mark.parametrize("length,stride,cap", [(8, None, None), (8, 3, None), (5, 11, None), (1, 1, None), (2, 5, None), (8, 3, 37), (8, 8, 1), (4, 4, 190), (64, 64, 0), (300, 7, None)])
 def test_windows_of_a_stored_corpus_are_cut_in_place(stored, length, stride, cap, monkeypatch):
     table, texts, _ = stored
     runs = ordered.layout(table, "doc_id")
     assert len(runs) == 7 and (len({r.part for r in runs}) < 4) == (table.rdd.getNumPartitions() < 4)
     monkeypatch.setattr(ordered, "TOKENS", 50)
+    monkeypatch.setattr(ordered, "FIRST_ROWS", 3)
     frame = corpus.token_windows(table, length, stride, cap)
     assert {r["seq_id"]: r["tokens"] for r in frame.collect()} == model(texts, length, stride or length, cap or None)
 
@@ -66,8 +67,9 @@ def plan(frame, capsys):
     return capsys.readouterr().out
 
 
-def test_no_text_is_shuffled(stored, capsys):
+def test_no_text_is_shuffled(stored, capsys, monkeypatch):
     table, _, ids = stored
+    monkeypatch.setattr(ordered, "FIRST_ROWS", 5)
     shown = plan(corpus.row_slice(table, 10, 60), capsys)
     assert "Exchange hash" not in shown and "Exchange range" not in shown and "Exchange Round" not in shown
     assert f"LessThanOrEqual(doc_id,{ids[102]})" in shown  # Later partitions are not read.
@@ -77,6 +79,14 @@ def test_no_text_is_shuffled(stored, capsys):
     assert "LessThanOrEqual(doc_id" in shown
 
 
+def test_blank_texts_at_the_ends(spark):
+    texts = [" "] * 400 + [f"a{i} b{i}" for i in range(30)] + [""] * 300 + ["c " * 90] + [None] * 200
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    for length, stride in ((5, 3), (40, 40), (3, 1)):
+        found = corpus.token_windows(table, length, stride).collect()
+        assert {r["seq_id"]: r["tokens"] for r in found} == model([t or "" for t in texts], length, stride, None)
+
+
 def test_changed_partitions_are_noticed(spark, stored):
     table, _, ids = stored
     parts = ordered.layout(table, "doc_id")
