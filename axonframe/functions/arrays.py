@@ -64,3 +64,19 @@ def same_tokens(left: Column, right: Column) -> Column:
 
 def has_nan(activations: Column) -> Column:
     return F.exists(activations, F.isnan)
+
+
+def count_below(items: Column, value: Column, key: Callable[[Column], Column] = lambda item: item, inclusive: bool = False) -> Column:
+    """How many items of a sorted array have a key below ``value`` (or equal to it), found by halving.
+
+    The cost is the logarithm of the array's size.
+    """
+    steps = F.sequence(F.floor(F.log2(F.greatest(F.size(items), F.lit(1)))).cast("int"), F.lit(0), F.lit(-1))
+
+    def step(found: Column, exponent: Column) -> Column:
+        reach = found + F.call_function("shiftleft", F.lit(1), exponent)
+        item = key(F.get(items, reach - 1))
+        below = item <= value if inclusive else item < value
+        return F.when((reach <= F.size(items)) & below, reach).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), step)

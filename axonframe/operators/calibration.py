@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axonframe.functions.arrays import let
+from axonframe.functions.arrays import count_below, let
 from axonframe.operators.scale import BROADCAST_BYTES, TREE_FANOUT, fits, join_sized, ranked_counts, with_piece
 from axonframe.operators.scoring import EXPLANATION, paired_values
 from axonframe.schemas import NEURON_SCALE, check_choice
@@ -194,7 +194,7 @@ def apply_percentiles(values: DataFrame, knots: DataFrame, value: str = "value",
 
 
 def interpolated(knots: Column, value: Column) -> Column:
-    """One value between sorted knots (x, y_first, y_last), clamped at both ends."""
+    """One value between sorted knots (x, y_first, y_last), clamped at both ends; found by halving."""
 
     def place(below: Column) -> Column:
         u, o = F.get(knots, below - 1), F.get(knots, below)
@@ -205,7 +205,7 @@ def interpolated(knots: Column, value: Column) -> Column:
             .otherwise(u["y_last"] + slope * (value - u["x"]))
         )
 
-    return let(F.size(F.filter(knots, lambda k: k["x"] <= value)), place)
+    return let(count_below(knots, value, lambda k: k["x"], inclusive=True), place)
 
 
 def calibrate_percentiles(sims: DataFrame, calibration: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

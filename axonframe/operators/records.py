@@ -179,12 +179,15 @@ def neuron_records(
     quantiles: Sequence[float] | None = QUANTILES,
     per_quantile: int = 10,
     seed: int = SEED,
+    index: DataFrame | None = None,
+    boundaries: DataFrame | None = None,
 ) -> DataFrame:
     """All retained records, long: layer, neuron, kind, bucket, rank, seq_id, score, tokens, activations.
 
-    Two passes over the arrays: one builds the index, one fetches the retained records.
+    Two passes over the arrays: one builds the index, one fetches the retained records.  A caller
+    that has the index of ``acts``, or its ``boundaries`` for ``quantiles``, as written tables passes them on.
     """
-    index = cut_lineage(record_index(acts, seed))
+    index = cut_lineage(record_index(acts, seed)) if index is None else index
     edges = {"bucket": F.lit(None).cast("int"), "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")}
     lists = []
     if k > 0:
@@ -192,7 +195,7 @@ def neuron_records(
     if sample_size > 0:
         lists.append(sample_picks(index, sample_size).withColumn("kind", F.lit("random")).withColumns(edges))
     if quantiles:
-        boundaries = cut_lineage(quantile_boundaries(index, quantiles))
+        boundaries = cut_lineage(quantile_boundaries(index, quantiles)) if boundaries is None else boundaries
         drawn = sample_picks(bucketed(index, boundaries, written=True), per_quantile, [*NEURON, "bucket"])
         lists.append(
             join_sized(drawn, boundaries, NEURON, written=True)
@@ -240,20 +243,21 @@ def merge_moments(stats: DataFrame, keys: Sequence[str] = NEURON) -> DataFrame:
     """Combine (n_values, mean, m2) of several parts of each key, exactly.
 
     Deviations are taken from the common mean, so nothing cancels.  The input has one row per
-    key and part, so a key holds as many rows as there are parts.
+    key and part, so a key holds as many rows as there are parts; they are shuffled once.  A key
+    without values has 0 values and no mean, as ``moments`` has it.
     """
-    n = F.col("n_values")
-    centre = F.try_divide(F.sum("_nm"), F.sum("n_values"))
-    parts = stats.where(n > 0).withColumn("_nm", n * F.col("mean"))
-    means = parts.groupBy(*keys).agg(centre.alias("_mean"))
-    joined = parts.join(means, list(keys))
-    total = F.sum("n_values")
-    m2 = F.sum(F.col("m2") + n * (F.col("mean") - F.col("_mean")) * (F.col("mean") - F.col("_mean")))
-    return joined.groupBy(*keys).agg(
+    n, nan = F.col("n_values"), F.lit(float("nan"))
+    parts = Window.partitionBy(*keys)
+    weighed = F.sum(F.when(n > 0, n * F.col("mean"))).over(parts)
+    centred = stats.withColumn("_mean", F.try_divide(weighed, F.sum(n).over(parts)))
+    total = F.sum(n)
+    gap = F.col("mean") - F.col("_mean")
+    m2 = F.coalesce(F.sum(F.when(n > 0, F.col("m2") + n * gap * gap)), F.lit(0.0))
+    return centred.groupBy(*keys).agg(
         total.alias("n_values"),
-        F.first("_mean").alias("mean"),
+        F.coalesce(F.first("_mean"), nan).alias("mean"),
         m2.alias("m2"),
-        F.when(total >= 2, F.try_divide(m2, total - 1)).otherwise(float("nan")).alias("variance"),
+        F.when(total >= 2, F.try_divide(m2, total - 1)).otherwise(nan).alias("variance"),
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axonframe.functions.arrays import count_below
 from axonframe.session import cut_lineage
 
 #: A side of a join is broadcast only when its measured size stays below this.
@@ -169,9 +170,9 @@ def previous_value(
     )
 
 
-#: Distinct values that one sorted piece should hold, and the most pieces of a key.
+#: Distinct values that one sorted piece should hold, and those of them looked at for the cuts between pieces.
 PIECE_ROWS = 100_000
-MOST_PIECES = 4096
+PIECE_LOOKS = 16
 
 
 def with_piece(rows: DataFrame, points: DataFrame, keys: Sequence[str], value: str, pieces: int = 64) -> DataFrame:
@@ -181,19 +182,30 @@ def with_piece(rows: DataFrame, points: DataFrame, keys: Sequence[str], value: s
     """
     share = [i / pieces for i in range(1, pieces)]
     cuts = points.groupBy(*keys).agg(F.percentile_approx(value, share, 16 * pieces).alias("_cuts"))
-    number = F.size(F.filter("_cuts", lambda c: F.col(value) > c))
+    number = count_below(F.col("_cuts"), F.col(value))
     return join_sized(rows, cuts, keys).withColumn("piece", number).drop("_cuts")
 
 
 def ranked_counts(counts: DataFrame, keys: Sequence[str], value: str, weight: str = "n") -> DataFrame:
     """Distinct values with the positions [first, last], from 0, that they take when sorted.
 
-    ``counts``: a written table with one row per key and distinct value.  Values are split by
-    sketched cut points, so a heavy key is sorted piece by piece and not by one task; the
-    number of pieces follows the rows.
+    ``counts``: a written table with one row per key and distinct value.  A key of up to
+    ``PIECE_ROWS`` rows is sorted as it is.  A heavier one is cut into as many pieces as its own
+    rows need, at values that a hash picks from it, so it is not sorted by one task; only heavy
+    keys have cuts, about one per ``PIECE_ROWS`` of their rows.
     """
-    wanted = min(MOST_PIECES, max(64, -(-counts.count() // PIECE_ROWS)))
-    pieces = with_piece(counts, counts, keys, value, wanted)
+    heavy = cut_lineage(counts.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > PIECE_ROWS).select(*keys))
+    if heavy.isEmpty():
+        upto = F.sum(weight).over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        return counts.select(*keys, value, weight, upto.alias("_upto")).select(
+            *keys, value, (F.col("_upto") - F.col(weight)).alias("first"), (F.col("_upto") - 1).alias("last")
+        )
+    looked = F.pmod(F.xxhash64(value), F.lit(max(1, PIECE_ROWS // PIECE_LOOKS))) == 0
+    seen = join_sized(counts.where(looked), heavy, keys, written=True).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_seen"))
+    every = F.filter("_seen", lambda _, i: i % PIECE_LOOKS == PIECE_LOOKS - 1)
+    cuts = seen.select(*keys, every.alias("_cuts"))
+    piece = F.coalesce(count_below(F.col("_cuts"), F.col(value)), F.lit(0))
+    pieces = join_sized(counts, cuts, keys, how="left").withColumn("piece", piece).drop("_cuts")
     totals = pieces.groupBy(*keys, "piece").agg(F.sum(weight).alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "piece", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))

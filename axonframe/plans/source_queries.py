@@ -17,7 +17,7 @@ from axonframe.plans.record_queries import BOUNDS, K, N, SCORED
 from axonframe.plans.registry import ACTS, COARSE, LEVELS, PAIRS, SIMS, TOPS, VALS, query, sql_draw, sql_heap
 from axonframe.plans.score_queries import EDGES, RELATED, SCORE_SQL, connections
 from axonframe.schemas import NEURON
-from axonframe.session import shared_dir
+from axonframe.session import cut_lineage, shared_dir
 from axonframe.sources import neurons, texts
 from axonframe.streaming import running
 
@@ -46,9 +46,10 @@ def written_tree(spark, sf):
     from axonframe.plans.fixtures import coarse
 
     base = coarse(acts(spark, sf))
-    index = records.record_index(base)
-    kept = records.neuron_records(base, K, N, per_quantile=2)
-    nested = neurons.to_neuron_records(kept, records.moments(base), records.quantile_boundaries(index))
+    index = cut_lineage(records.record_index(base))
+    boundaries = cut_lineage(records.quantile_boundaries(index))
+    kept = records.neuron_records(base, K, N, per_quantile=2, index=index, boundaries=boundaries)
+    nested = neurons.to_neuron_records(kept, records.moments(base), boundaries)
     folder = new_folder(spark)
     neurons.write_neuron_records(nested, folder)
     return neurons.read_neuron_records(spark, f"{folder}/neurons")

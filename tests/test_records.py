@@ -122,6 +122,17 @@ def test_merged_moments_do_not_cancel(spark):
     assert merged["variance"] == pytest.approx(whole.var(ddof=1), rel=1e-6)
 
 
+def test_merged_moments_keep_neurons_without_values(make_acts):
+    table = make_acts({(0, 0): [[1.5, -2.0], [0.5]], (0, 1): [[], []], (0, 2): [[3.0], []]})
+    parts = records.moments(table, ["layer", "neuron", "seq_id"])
+    merged = {r["neuron"]: r for r in records.merge_moments(parts).collect()}
+    whole = {r["neuron"]: r for r in records.moments(table).collect()}
+    assert merged.keys() == whole.keys() == {0, 1, 2}
+    for n in whole:
+        for name in ("n_values", "mean", "m2", "variance"):
+            assert merged[n][name] == pytest.approx(whole[n][name], nan_ok=True)
+
+
 def test_merge_exact_ignores_grouping_and_repeats(make_acts):
     rng = random.Random(11)
     lists = {(0, n): [[rng.random() for _ in range(3)] for _ in range(30)] for n in range(4)}

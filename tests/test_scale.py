@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from axonframe.functions.arrays import count_below
 from axonframe.operators import scale
 
 
@@ -95,3 +96,30 @@ def test_prefix_sum_of_negative_null_and_repeated_keys(spark):
         scale.prefix_sum(df.unionByName(spark.createDataFrame([(None, 1)], "k BIGINT, w INT")), "k", "w").collect()
     with pytest.raises(Exception, match="must be unique"):
         scale.prefix_sum(df.unionByName(spark.createDataFrame([(5, 1)], "k BIGINT, w INT")), "k", "w").collect()
+
+
+@pytest.mark.parametrize("size", [50, 10_000_000])
+def test_ranked_counts_with_one_heavy_and_many_light_keys(spark, monkeypatch, size):
+    monkeypatch.setattr(scale, "PIECE_ROWS", size)
+    heavy = spark.range(20_000).select(F.lit(-1).alias("k"), (F.xxhash64("id") % 100_000 / 7.0).alias("v"), (F.col("id") % 3 + 1).alias("n")).dropDuplicates(["v"])
+    light = spark.range(100_000).select(F.col("id").cast("int").alias("k"), F.lit(0.5).alias("v"), F.lit(2).cast("bigint").alias("n"))
+    odd = spark.createDataFrame([(-2, float("nan"), 1), (-2, -0.5, 4), (-2, float("inf"), 2)], "k INT, v DOUBLE, n BIGINT")
+    counts = scale.cut_lineage(heavy.unionByName(light).unionByName(odd))
+    found = scale.cut_lineage(scale.ranked_counts(counts, ["k"], "v"))
+    assert found.count() == counts.count()
+    assert found.where("k >= 0 and not (first = 0 and last = 1)").count() == 0
+    assert [(str(r.v), r["first"], r["last"]) for r in found.where("k = -2").orderBy("first").collect()] == [("-0.5", 0, 3), ("inf", 4, 5), ("nan", 6, 6)]
+    place = 0
+    got = {r.v: (r["first"], r["last"]) for r in found.where("k = -1").collect()}
+    for r in counts.where("k = -1").orderBy("v").collect():
+        assert got[r.v] == (place, place + r.n - 1)
+        place += r.n
+
+
+def test_count_below_finds_by_halving(spark):
+    rng = random.Random(8)
+    rows = [(sorted(rng.randrange(20) / 2 for _ in range(n)), rng.randrange(-2, 24) / 2) for n in [*range(0, 40), 100, 255, 256, 257]]
+    table = spark.createDataFrame(rows, "items ARRAY<DOUBLE>, v DOUBLE")
+    found = table.select("items", "v", count_below(F.col("items"), F.col("v")).alias("lower"), count_below(F.col("items"), F.col("v"), inclusive=True).alias("upper"))
+    for r in found.collect():
+        assert (r.lower, r.upper) == (sum(x < r.v for x in r["items"]), sum(x <= r.v for x in r["items"]))
