@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonframe.functions.arrays import count_below, let
+from axonframe.operators import scale
 from axonframe.operators.scale import BROADCAST_BYTES, TREE_FANOUT, fits, join_sized, ranked_counts, with_piece
 from axonframe.operators.scoring import EXPLANATION, paired_values
 from axonframe.schemas import NEURON_SCALE, check_choice
@@ -123,13 +124,32 @@ def _value_at(sorted_values: DataFrame, positions: DataFrame, at: str, out: str)
     )
 
 
+def _fitted_in_place(ranked: DataFrame) -> DataFrame:
+    """Knots of explanations whose distinct values fit an array."""
+    def side(name: str, *columns: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("side") == name, F.struct(*columns))))
+
+    both = ranked.groupBy(*EXPLANATION).agg(side("y", "first", "v").alias("ys"), side("x", "v", "first", "last").alias("xs"))
+
+    def at(position: Column) -> Column:
+        return F.get("ys", count_below(F.col("ys"), position, lambda y: y["first"], inclusive=True) - 1)["v"]
+
+    knots = F.transform("xs", lambda x: F.struct(x["v"].alias("x"), at(x["first"]).alias("y_first"), at(x["last"]).alias("y_last")))
+    return both.select(*EXPLANATION, F.inline(knots))
+
+
 def fit_percentiles(paired: DataFrame) -> DataFrame:
     """Pair the sorted simulated values with the sorted real values.
 
     One row per distinct simulated value ``x``: the real values at its first and at its last
-    sorted position.
+    sorted position.  Where no explanation has more than ``PIECE_ROWS`` distinct values, its
+    values become sorted arrays and each position is found by halving; otherwise positions
+    are joined in blocks.
     """
     ranked = cut_lineage(_ranked_values(paired_values(paired)))
+    most = ranked.groupBy(*EXPLANATION).agg(F.count("*").alias("rows")).agg(F.max("rows")).first()[0] or 0
+    if most <= scale.PIECE_ROWS:
+        return _fitted_in_place(ranked)
     ys = ranked.where(F.col("side") == "y").drop("side")
     knots = ranked.where(F.col("side") == "x").select(*EXPLANATION, F.col("v").alias("x"), "first", "last")
     return _value_at(ys, _value_at(ys, knots, "first", "y_first"), "last", "y_last").select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from axonframe.operators.records import (
 )
 from axonframe.operators.scale import top_rows
 from axonframe.schemas import NEURON
+from axonframe.sources.neurons import record_rows, to_neuron_records
 
 # The order in which a shard's retained lists are fed to the merger.
 _KIND_ORDER = {"top": 0, "random": 1, "quantile": 2}
@@ -80,3 +83,22 @@ def merge_retained(
     top = heap_order(fed.where(F.col("n_values") > 0), k, arrival="arrival").withColumn("kind", F.lit("top"))
     drawn = top_rows(fed, NEURON, [F.col("draw"), F.col("arrival")], sample_size).withColumn("kind", F.lit("random"))
     return top.select(*columns).unionByName(drawn.select(*columns)), moments(fed)
+
+
+def merge_neuron_trees(trees: list[DataFrame], k: int = TOP_K, sample_size: int = SAMPLE_SIZE, seed: int = SEED) -> DataFrame:
+    """One tree from the trees of several shards, given as rows per neuron in shard order.
+
+    Every retained record is fed again (``merge_retained``).  A neuron that some shards lack is
+    merged from the others; one without any record stays with 0 values.  Returns rows per neuron,
+    ready to be written.
+    """
+    records = None
+    for number, tree in enumerate(trees):
+        own = record_rows(tree).withColumn("shard", F.lit(number))
+        records = own if records is None else records.unionByName(own)
+    if records is None:
+        raise ValueError("at least one tree is needed")
+    kept, stats = merge_retained(records, k, sample_size, seed)
+    names = reduce(DataFrame.unionByName, [tree.select(*NEURON) for tree in trees]).distinct()
+    stats = names.join(stats, NEURON, "left").withColumn("n_values", F.coalesce("n_values", F.lit(0)))
+    return to_neuron_records(kept.withColumn("bucket", F.lit(None).cast("int")), stats)

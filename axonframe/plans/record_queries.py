@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from axonframe.functions.arrays import record_score
@@ -11,7 +13,9 @@ from axonframe.operators.scale import exact_percentiles
 from axonframe.plans.fixtures import acts, coarse
 from axonframe.plans.registry import ACTS, COARSE, LEVELS, TOPS, VALS, query, sql_draw, sql_heap
 from axonframe.schemas import NEURON
-from axonframe.session import cut_lineage
+from axonframe.session import cut_lineage, shared_dir
+from axonframe.sources import neurons
+from axonframe.sources.neuron_files import write_neuron_files
 
 K, N = 12, 8
 SCORED = "scored AS (SELECT *, list_max(activations) AS score FROM coarse)"
@@ -315,3 +319,32 @@ def merge_retained_moments(spark, sf):
     kept, _ = shard_records(spark, sf, 5, 4)
     _, stats = merge.merge_retained(kept, 5, 4)
     return stats.select(*NEURON, "n_values", rounded("mean"), rounded("variance"))
+
+
+@query(
+    "merge_json_trees",
+    f"""{RETAINED_SQL}, {sql_heap("fed", 5, arrival="arrival")},
+    drawn AS (SELECT *, row_number() OVER (PARTITION BY layer, neuron ORDER BY {sql_draw(1234, "layer", "neuron", "shard", "kind_no", "bucket", "place")}, arrival) AS rank FROM fed),
+    merged AS (SELECT layer, neuron, 'top' AS kind, rank, seq_id FROM heap UNION ALL SELECT layer, neuron, 'random', rank, seq_id FROM drawn WHERE rank <= 4),
+    v AS (SELECT layer, neuron, unnest(activations) AS a FROM fed),
+    m AS (SELECT layer, neuron, round(avg(a), 6) + 0.0 AS mean, round(var_samp(a), 6) AS variance FROM v GROUP BY ALL)
+    SELECT layer, neuron, kind, rank, array_to_string(tokens, ' ') AS tokens, round(list_sum(activations), 6) + 0.0 AS total, mean, variance
+    FROM merged JOIN acts USING (layer, neuron, seq_id) JOIN m USING (layer, neuron)""",
+)
+def merge_json_trees(spark, sf):
+    """Four trees are written as <layer>/<neuron>.json and read, merged, written and read again."""
+    table = acts(spark, sf).withColumn("shard", F.expr("cast(seq_id % 4 as int)"))
+    folder = f"{shared_dir(spark)}/axonframe-trees-{uuid.uuid4().hex}"
+    trees = []
+    for shard in range(4):
+        part = table.where(F.col("shard") == shard).drop("shard")
+        nested = neurons.to_neuron_records(records.neuron_records(part, 5, 4, None), records.moments(part))
+        write_neuron_files(nested, f"{folder}/{shard}")
+        trees.append(neurons.read_neuron_records(spark, f"{folder}/{shard}/neurons"))
+    write_neuron_files(merge.merge_neuron_trees(trees, 5, 4), f"{folder}/merged")
+    found = neurons.read_neuron_records(spark, f"{folder}/merged/neurons")
+    total = F.aggregate("activations", F.lit(0.0), lambda a, b: a + b)
+    stats = found.select(*NEURON, (F.round("mean", 6) + 0.0).alias("mean"), F.round("variance", 6).alias("variance"))
+    return neurons.record_rows(found).join(stats, NEURON).select(
+        *NEURON, "kind", "rank", F.array_join("tokens", " ").alias("tokens"), (F.round(total, 6) + 0.0).alias("total"), "mean", "variance"
+    )

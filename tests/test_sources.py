@@ -4,8 +4,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from axonframe.operators import labels, records
+from axonframe.operators import labels, merge, records
 from axonframe.sources import neurons, texts
+from axonframe.sources.neuron_files import write_neuron_files
 
 
 def write(path, content):
@@ -216,3 +217,25 @@ def test_objects_and_text_streams(spark, tmp_path):
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True)
     query.start(f"{tmp_path}/out").awaitTermination()
     assert [r["text"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [" x "]
+
+
+def test_named_files_and_merged_trees(spark, make_acts, tmp_path):
+    trees = []
+    for shard, lists in enumerate(({(0, 1): [[1.0, 3.0], [0.5]], (2, 7): [[-1.0]]}, {(0, 1): [[2.0], []], (10, 0): [[]]})):
+        acts = make_acts(lists)
+        rows = neurons.to_neuron_records(records.neuron_records(acts, 2, 1, None), records.moments(acts))
+        write_neuron_files(rows, f"{tmp_path}/{shard}")
+        write_neuron_files(rows, f"{tmp_path}/{shard}")  # Again: files are replaced.
+        trees.append(neurons.read_neuron_records(spark, f"{tmp_path}/{shard}/neurons"))
+    found = sorted(p.relative_to(tmp_path).as_posix() for p in tmp_path.rglob("*") if p.is_file() and not p.name.endswith(".crc"))
+    assert found == ["0/neurons/0/1.json", "0/neurons/2/7.json", "0/neurons/_SUCCESS", "1/neurons/0/1.json", "1/neurons/10/0.json", "1/neurons/_SUCCESS"]
+    write_neuron_files(merge.merge_neuron_trees(trees, 2, 1), f"{tmp_path}/all")
+    merged = neurons.read_neuron_records(spark, f"{tmp_path}/all/neurons")
+    tops = {(r.layer, r.neuron): [x.activations for x in r.most_positive_activation_records] for r in merged.collect()}
+    # The record with 3 was fed as a top record and maybe as a sampled one, each time counted.
+    assert tops.keys() == {(0, 1), (2, 7), (10, 0)} and tops[2, 7] == [[-1.0], [-1.0]] and tops[10, 0] == []
+    assert tops[0, 1][0] == [1.0, 3.0] and tops[0, 1][1] in ([1.0, 3.0], [2.0])
+    with pytest.raises(Exception, match="two records of neuron 7 in layer 2"):
+        write_neuron_files(trees[0].unionByName(trees[0]).where("neuron = 7"), f"{tmp_path}/twice")
+    with pytest.raises(ValueError):
+        merge.merge_neuron_trees([])
