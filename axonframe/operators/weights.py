@@ -1,70 +1,116 @@
 """Connection strengths from model weights, and the strongest connections of every neuron.
 
 The strength between a source row and a target row is the weighted dot product of their
-vectors.  Rows are cut into blocks; one task multiplies two blocks as matrices and keeps only
-the strongest entries of each row and column, so pairs are never written out.
+vectors.  The rows searched are dealt once to sides of bounded size, per layer; rows that search
+go to every side of the layers they may connect to.  A task holds one side, longest vectors first, and
+multiplies blocks as matrices.  Each searching row keeps a running list of its strongest
+connections, and a block is skipped when its longest vector cannot reach any list any more, so
+pairs are never written out and a side returns no more rows than are asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.operators.scale import join_sized, top_rows
 from axonframe.schemas import NEURON
 
+#: Vectors multiplied at once, and blocks per side.
 BLOCK = 512
+SIDE_BLOCKS = 8
 KEPT = 10
 
-_CANDIDATES = """direction STRING, sign STRING, layer INT, neuron BIGINT, to_layer INT, to_neuron BIGINT,
-    weight DOUBLE"""
-
-
-def _strongest(product: np.ndarray, kept: int, sign: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) positions of the ``kept`` largest (sign 1) or smallest (-1) per row.
-
-    Equal strengths keep the lower column.
-    """
-    order = np.argsort(-sign * product, axis=1, kind="stable")[:, :kept]
-    rows = np.repeat(np.arange(product.shape[0]), order.shape[1])
-    return rows, order.ravel()
-
-
-def _block_candidates(kept: int):
-    def multiply(out: pd.DataFrame, into: pd.DataFrame) -> pd.DataFrame:
-        columns = ["direction", "sign", "layer", "neuron", "to_layer", "to_neuron", "weight"]
-        if out.empty or into.empty:
-            return pd.DataFrame(columns=columns)
-        out = out.sort_values("neuron", kind="stable")
-        into = into.sort_values("neuron", kind="stable")
-        left = np.stack(out["vector"].to_numpy())
-        right = np.stack(into["vector"].to_numpy())
-        product = left @ right.T
-        sides = {"output": (product, out, into), "input": (product.T, into, out)}
-        found = []
-        for direction, (matrix, here, there) in sides.items():
-            for name, sign in (("positive", 1), ("negative", -1)):
-                rows, cols = _strongest(matrix, kept, sign)
-                found.append(
-                    pd.DataFrame(
-                        {
-                            "direction": direction,
-                            "sign": name,
-                            "layer": here["layer"].to_numpy()[rows],
-                            "neuron": here["neuron"].to_numpy()[rows],
-                            "to_layer": there["layer"].to_numpy()[cols],
-                            "to_neuron": there["neuron"].to_numpy()[cols],
-                            "weight": matrix[rows, cols],
-                        }
-                    )
-                )
-        return pd.concat(found)[columns]
-
-    return multiply
+_CANDIDATES = "sign STRING, layer INT, neuron BIGINT, to_layer INT, to_neuron BIGINT, weight DOUBLE"
+
+
+class _Strongest:
+    """Running lists of the ``kept`` largest values of each row; equal ones go to the lower name."""
+
+    def __init__(self, rows: int, kept: int):
+        self.rows, self.kept = rows, kept
+        self.row, self.value, self.name = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.reached = np.full(rows, -np.inf)
+
+    def see(self, product: np.ndarray, names: np.ndarray) -> None:
+        if product.shape[1] > self.kept:
+            own = -np.partition(-product, self.kept - 1, axis=1)[:, self.kept - 1]
+        else:
+            own = np.full(self.rows, -np.inf)
+        # Not below the list's last value so far, nor below the block's own last value.
+        row, column = np.nonzero(product >= np.maximum(self.reached, own)[:, None])
+        row = np.concatenate([self.row, row])
+        value, name = np.concatenate([self.value, product[row[len(self.row) :], column]]), np.concatenate([self.name, names[column]])
+        order = np.lexsort((name, -value, row))
+        row, value, name = row[order], value[order], name[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        stay = rank < self.kept
+        self.row, self.value, self.name = row[stay], value[stay], name[stay]
+        full = rank == self.kept - 1
+        self.reached[row[full]] = value[full]
+
+
+def _search(kept: int, block: int):
+    """Sorted (to_layer, side, asks, layer, neuron, vector): holds one side, lets searching rows pass by."""
+    def answer(side, asking):
+        names, vectors, lengths = side
+        layers = np.array([a[0] for a in asking], np.int32)
+        own = np.array([a[1] for a in asking], np.int64)
+        query = np.stack([a[2] for a in asking])
+        reach = np.sqrt((query * query).sum(axis=1))
+        lists = [_Strongest(len(query), kept), _Strongest(len(query), kept)]
+        for start in range(0, len(names), block):
+            # Later blocks hold shorter vectors.  The margin is far above rounding errors.
+            most = reach * lengths[start] * (1 + 1e-9)
+            if start and (most < lists[0].reached).all() and (most < lists[1].reached).all():
+                break
+            product = query @ vectors[start : start + block].T
+            lists[0].see(product, names[start : start + block])
+            lists[1].see(-product, names[start : start + block])
+        for sign, found in zip(("positive", "negative"), lists):
+            value = found.value if sign == "positive" else -found.value
+            yield sign, layers[found.row], own[found.row], found.name, value
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, side, asking = None, [], None, []
+
+        def flush():
+            for sign, layer, neuron, name, value in answer(side, asking):
+                columns = [pa.array([sign] * len(layer)), pa.array(layer), pa.array(neuron), pa.array(np.full(len(layer), place[0], np.int32)), pa.array(name), pa.array(value)]
+                yield pa.RecordBatch.from_arrays(columns, ["sign", "layer", "neuron", "to_layer", "to_neuron", "weight"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(5))))
+            vectors = batch.column(5)
+            for i, (to_layer, number, asks, layer, neuron) in enumerate(keys):
+                if (to_layer, number) != place:
+                    if asking:
+                        yield from flush()
+                    place, held, side, asking = (to_layer, number), [], None, []
+                vector = vectors[i].values.to_numpy(zero_copy_only=False)
+                if not asks:
+                    held.append((neuron, vector))
+                    continue
+                if side is None:
+                    if not held:
+                        continue
+                    matrix = np.stack([h[1] for h in held])
+                    lengths = np.sqrt((matrix * matrix).sum(axis=1))
+                    order = np.argsort(-lengths, kind="stable")
+                    side, held = (np.array([h[0] for h in held], np.int64)[order], matrix[order], lengths[order]), []
+                asking.append((layer, neuron, vector))
+                if len(asking) == block:
+                    yield from flush()
+                    asking = []
+        if asking:
+            yield from flush()
+
+    return run
 
 
 def scaled(vectors: DataFrame, gains: DataFrame | None) -> DataFrame:
@@ -76,26 +122,41 @@ def scaled(vectors: DataFrame, gains: DataFrame | None) -> DataFrame:
     ).drop("gain")
 
 
-def _block_counts(rows: DataFrame, block: int) -> DataFrame:
-    """Blocks per layer: one row per layer of the model."""
-    return rows.groupBy("layer").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+def _layer_sides(rows: DataFrame, block: int) -> dict[int, int]:
+    """Sides per layer of the model."""
+    return {r["layer"]: -(-r["count"] // (block * SIDE_BLOCKS)) for r in rows.groupBy("layer").count().collect()}
+
 
+def _connected(
+    asking: DataFrame, searched: DataFrame, layers: list[int], sides: dict[int, int], kept: int, block: int, allowed: Callable[[int, int], bool]
+) -> DataFrame:
+    """Candidates for the ``kept`` strongest connections of each asking row, at most 2 * kept per row and side.
 
-def _sent(rows: DataFrame, meetings: DataFrame, layer: str, blocks: str, other: str, other_blocks: str) -> DataFrame:
-    """Each row once per block it meets: own layer, own block, other layer, other block, row."""
-    partners = (
-        meetings.select(F.col(layer).alias("layer"), F.col(blocks).alias("_blocks"), F.col(other).alias("_other"),
-                        F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1)).alias("_other_block"))
-        .groupBy("layer", "_blocks")
-        .agg(F.collect_list(F.struct("_other", "_other_block")).alias("_partners"))
+    ``layers`` are those of the asking rows, ``sides`` the sides per searched layer; both are as
+    short as the model has layers.
+    """
+    spark = asking.sparkSession
+    columns = ["to_layer", "side", "asks", "layer", "neuron", "vector"]
+    counts = spark.createDataFrame(list(sides.items()), "layer INT, sides INT")
+    base = searched.join(F.broadcast(counts), "layer").select(
+        F.col("layer").alias("to_layer"), F.pmod(F.xxhash64("neuron"), F.col("sides")).cast("int").alias("side"), F.lit(False).alias("asks"), "layer", "neuron", "vector"
     )
-    # Both sides of the later cogroup need the same key types: block numbers are INT everywhere.
-    own = F.pmod(F.xxhash64("neuron"), F.col("_blocks")).cast("int").alias("_block")
-    return (
-        join_sized(rows, partners, ["layer"])
-        .select("layer", own, F.explode("_partners").alias("_p"), "neuron", "vector")
-        .select(F.col("layer").alias("_own"), "_block", "_p._other", "_p._other_block", "layer", "neuron", "vector")
+    met = [(layer, [(to, n) for to, n in sides.items() if allowed(layer, to)]) for layer in layers]
+    table = spark.createDataFrame(met, "layer INT, met ARRAY<STRUCT<to_layer: INT, sides: INT>>")
+    asked = asking.join(F.broadcast(table), "layer").select("layer", "neuron", "vector", F.inline("met")).select(
+        "to_layer", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), F.lit(True).alias("asks"), "layer", "neuron", "vector"
     )
+    both = base.select(columns).unionByName(asked.select(columns))
+    ordered = both.repartition("to_layer", "side").sortWithinPartitions("to_layer", "side", "asks")
+    return ordered.mapInArrow(_search(kept, block), _CANDIDATES)
+
+
+def _listed(candidates: DataFrame, kept: int) -> DataFrame:
+    strength = F.when(F.col("sign") == "positive", -F.col("weight")).otherwise(F.col("weight"))
+    return top_rows(candidates, [*NEURON, "direction", "sign"], [strength, F.col("to_layer"), F.col("to_neuron")], kept)
+
+
+DIRECTIONS = ("output", "input")
 
 
 def strongest_connections(
@@ -105,37 +166,55 @@ def strongest_connections(
     kept: int = KEPT,
     block: int = BLOCK,
     later_layers_only: bool = True,
+    directions: tuple[str, ...] = DIRECTIONS,
 ) -> DataFrame:
     """The ``kept`` most positive and most negative connections of every neuron, both ways.
 
     ``outgoing`` and ``incoming`` have the columns layer, neuron, vector.  With
     ``later_layers_only`` a source connects to targets of higher layers.  ``direction`` is
-    'output' seen from the source and 'input' seen from the target.
+    'output' seen from the source and 'input' seen from the target; ``directions`` leaves one out.
+    """
+    sources = outgoing.select(F.col("layer").cast("int"), F.col("neuron").cast("bigint"), F.col("vector").cast("array<double>"))
+    targets = scaled(incoming, gains).select(F.col("layer").cast("int"), F.col("neuron").cast("bigint"), F.col("vector").cast("array<double>"))
+    counts = [_layer_sides(side, block) for side in (sources, targets)]
+    found = []
+    for direction in directions:
+        here, there = (0, 1) if direction == "output" else (1, 0)
+
+        def allowed(own: int, other: int) -> bool:
+            return not later_layers_only or (own < other if direction == "output" else own > other)
 
-    A layer is cut by hash into blocks of about ``block`` rows, so a wide layer becomes many
-    blocks, and each block is sent once to every block it meets.
+        rows = (sources, targets)
+        candidates = _connected(rows[here], rows[there], list(counts[here]), counts[there], kept, block, allowed)
+        found.append(candidates.withColumn("direction", F.lit(direction)))
+    return _listed(reduce(DataFrame.unionByName, found), kept)
+
+
+def sparse_connections(
+    outgoing: DataFrame, incoming: DataFrame, gains: DataFrame | None = None, kept: int = KEPT, later_layers_only: bool = True,
+    directions: tuple[str, ...] = DIRECTIONS,
+) -> DataFrame:
+    """The same lists for sparse vectors: tables layer, neuron, d, value with one row per non-zero component.
+
+    Sources and targets meet on their dimension, and products are summed before they are ranked.
+    Only neurons that share a dimension are connected.  ``gains`` has layer, d, gain; a
+    dimension without gain counts nothing.
     """
-    sources = outgoing.select("layer", F.col("neuron").cast("bigint").alias("neuron"), "vector")
-    targets = scaled(incoming, gains).select("layer", F.col("neuron").cast("bigint").alias("neuron"), "vector")
-    source_blocks, target_blocks = _block_counts(sources, block), _block_counts(targets, block)
-    lowest, highest = target_blocks.agg(F.min("layer"), F.max("layer")).first()
-    start = F.col("layer") + 1 if later_layers_only else F.lit(lowest)
-    meetings = (
-        source_blocks.withColumn("to_layer", F.explode(F.when(start <= highest, F.sequence(start, F.lit(highest)))))
-        .join(target_blocks.select(F.col("layer").alias("to_layer"), F.col("blocks").alias("to_blocks")), "to_layer")
-    )
-    pair = ["_l", "_b", "_tl", "_tb"]
-    left = _sent(sources, meetings, "layer", "blocks", "to_layer", "to_blocks").toDF(*pair, *NEURON, "vector")
-    right = _sent(targets, meetings, "to_layer", "to_blocks", "layer", "blocks").toDF(
-        "_tl", "_tb", "_l", "_b", *NEURON, "vector"
-    )
-    # Both sides may come from one table; fresh names keep their columns apart.
-    left, right = (side.select(*[F.col(c).alias(c) for c in [*pair, *NEURON, "vector"]]) for side in (left, right))
-    candidates = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(_block_candidates(kept), _CANDIDATES)
-    strength = F.when(F.col("sign") == "positive", -F.col("weight")).otherwise(F.col("weight"))
-    return top_rows(
-        candidates, [*NEURON, "direction", "sign"], [strength, F.col("to_layer"), F.col("to_neuron")], kept
-    )
+    if gains is not None:
+        incoming = join_sized(incoming, gains, ["layer", "d"]).withColumn("value", F.col("value") * F.col("gain"))
+    sources = outgoing.select("d", F.col("layer").cast("int").alias("s_layer"), F.col("neuron").cast("bigint").alias("s_neuron"), F.col("value").alias("s_value"))
+    targets = incoming.select("d", F.col("layer").cast("int").alias("t_layer"), F.col("neuron").cast("bigint").alias("t_neuron"), F.col("value").alias("t_value"))
+    met = sources.join(targets, "d")
+    if later_layers_only:
+        met = met.where("t_layer > s_layer")
+    summed = met.groupBy("s_layer", "s_neuron", "t_layer", "t_neuron").agg(F.sum(F.col("s_value") * F.col("t_value")).alias("weight"))
+    source, target = [F.col("s_layer"), F.col("s_neuron")], [F.col("t_layer"), F.col("t_neuron")]
+    lists = [
+        F.struct(F.lit(direction).alias("direction"), F.lit(sign).alias("sign"), *[c.alias(n) for c, n in zip([*here, *there], [*NEURON, "to_layer", "to_neuron"])])
+        for direction, here, there in (("output", source, target), ("input", target, source)) if direction in directions
+        for sign in ("positive", "negative")
+    ]
+    return _listed(summed.select("weight", F.inline(F.array(*lists))), kept)
 
 
 def token_connections(
@@ -147,8 +226,8 @@ def token_connections(
     input weights, output vectors with the final gain for output weights.
     """
     vocabulary = embedding.select(F.lit(0).alias("layer"), F.col("token_id").alias("neuron"), "vector")
-    found = strongest_connections(scaled(neurons, gains), vocabulary, None, kept, block, later_layers_only=False)
+    found = strongest_connections(scaled(neurons, gains), vocabulary, None, kept, block, False, ("output",))
     names = embedding.select(F.col("token_id").alias("to_neuron"), "token")
-    return join_sized(found.where(F.col("direction") == "output"), names, ["to_neuron"]).select(
+    return join_sized(found, names, ["to_neuron"]).select(
         *NEURON, "sign", "rank", "token", "weight"
     )

@@ -216,6 +216,28 @@ for _sign in ("positive", "negative"):
     _side(_sign)
 
 
+SPARSE = """sparse AS (SELECT layer, neuron, d, x FROM (SELECT layer, neuron, unnest(vector) AS x, unnest(range(len(vector))) AS d FROM n) WHERE abs(x) > 0.15),
+sparse_dots AS (
+  SELECT a.layer AS l1, a.neuron AS n1, b.layer AS l2, b.neuron AS n2, sum(a.x * b.x * (1.0 + b.layer / 10.0::DOUBLE)) AS weight
+  FROM sparse a JOIN sparse b ON a.d = b.d AND a.layer < b.layer GROUP BY ALL)"""
+
+
+@query(
+    "dot_top_sparse",
+    f"""WITH {EDGES}, {SPARSE}, both_ends AS (
+      SELECT *, row_number() OVER (PARTITION BY l1, n1 ORDER BY weight DESC, l2, n2) AS up,
+             row_number() OVER (PARTITION BY l1, n1 ORDER BY weight, l2, n2) AS down FROM sparse_dots)
+    SELECT 'positive' AS sign, l1 AS layer, n1 AS neuron, up AS rank, l2 AS to_layer, n2 AS to_neuron, round(weight, 6) AS weight FROM both_ends WHERE up <= 5
+    UNION ALL SELECT 'negative', l1, n1, down, l2, n2, round(weight, 6) FROM both_ends WHERE down <= 5""",
+)
+def dot_top_sparse(spark, sf):
+    """Vectors of which small components are left out, as rows of components."""
+    rows = vectors(spark, sf).select(*NEURON, F.posexplode("vector").alias("d", "value")).where(F.abs("value") > 0.15)
+    layers = gains(spark, sf).select("layer", F.posexplode("gain").alias("d", "gain"))
+    found = weights.sparse_connections(rows, rows, layers, 5, directions=("output",))
+    return found.select("sign", *CONNECTION_COLUMNS[1:], F.round("weight", 6).alias("weight"))
+
+
 @query(
     "token_weights",
     f"""WITH {EDGES}, dots AS (

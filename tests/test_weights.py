@@ -41,3 +41,53 @@ def test_related_explanations_keep_missing_ones(spark):
     texts = spark.createDataFrame([(1, 1, "e", 0.5)], "layer INT, neuron INT, explanation STRING, score DOUBLE")
     rows = page.related_explanations(page.listed_related(related), texts).orderBy("rank").collect()
     assert [(r["rank"], r["to_explanation"]) for r in rows] == [(1, "e"), (2, None), (3, None)]
+
+
+def collected(frame):
+    return {(r["direction"], r["sign"], r["layer"], r["neuron"], r["rank"]): (r["to_layer"], r["to_neuron"], round(r["weight"], 9)) for r in frame.collect()}
+
+
+def test_equal_strengths_go_to_the_lower_neuron(spark):
+    """More equal vectors than a block or a list holds, and zero vectors."""
+    rows = [(0, i, [1.0, 2.0]) for i in range(9)] + [(1, 100 - i, [3.0, 1.0]) for i in range(30)] + [(1, 200 + i, [0.0, 0.0]) for i in range(5)]
+    table = spark.createDataFrame(rows, "layer INT, neuron BIGINT, vector ARRAY<DOUBLE>").repartition(4)
+    found = collected(weights.strongest_connections(table, table, None, 3, 4, directions=("output",)))
+    assert len(found) == 9 * 2 * 3
+    for neuron in range(9):
+        assert [found["output", "positive", 0, neuron, r] for r in (1, 2, 3)] == [(1, 71, 5.0), (1, 72, 5.0), (1, 73, 5.0)]
+        assert [found["output", "negative", 0, neuron, r] for r in (1, 2, 3)] == [(1, 200, 0.0), (1, 201, 0.0), (1, 202, 0.0)]
+
+
+def test_short_blocks_are_skipped(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(400, 8)) * np.geomspace(1, 1e-6, 400)[:, None]
+    rows = [(1, 0, False, 1, i, v.tolist()) for i, v in enumerate(vectors)] + [(1, 0, True, 0, i, rng.normal(size=8).tolist()) for i in range(7)]
+    batch = pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(("to_layer", "side", "asks", "layer", "neuron", "vector"))})
+    seen = []
+    see = weights._Strongest.see
+    monkeypatch.setattr(weights._Strongest, "see", lambda self, product, names: (seen.append(len(names)), see(self, product, names))[1])
+    out = list(weights._search(5, 20)([batch]))
+    assert sum(seen) < 2 * 400 / 2  # Both signs; less than half of the vectors were multiplied.
+    assert sum(b.num_rows for b in out) == 7 * 5 * 2  # No more candidates than are asked for.
+    for b in out:
+        for sign, neuron, name, weight in zip(*(b.column(c).to_pylist() for c in ("sign", "neuron", "to_neuron", "weight"))):
+            product = vectors @ np.array(rows[400 + neuron][5])
+            order = np.sort(product if sign == "negative" else -product)[:5]
+            assert np.isclose(product[name], weight) and abs(weight) >= abs(order[4]) - 1e-12
+
+
+def test_sparse_form_agrees_with_the_dense_one(spark):
+    rng = np.random.default_rng(6)
+    sizes = {0: 12, 1: 15, 3: 9}
+    dense = [(layer, i, (rng.normal(size=10) * (rng.random(10) < 0.7)).tolist()) for layer, n in sizes.items() for i in range(n)]
+    sparse = [(layer, i, d, x) for layer, i, v in dense for d, x in enumerate(v) if x]
+    gains = [(layer, rng.normal(size=10).tolist()) for layer in sizes]
+    a = spark.createDataFrame(dense, "layer INT, neuron BIGINT, vector ARRAY<DOUBLE>")
+    b = spark.createDataFrame(sparse, "layer INT, neuron BIGINT, d INT, value DOUBLE")
+    g = spark.createDataFrame(gains, "layer INT, gain ARRAY<DOUBLE>")
+    h = spark.createDataFrame([(layer, d, x) for layer, v in gains for d, x in enumerate(v)], "layer INT, d INT, gain DOUBLE")
+    want = collected(weights.strongest_connections(a, a, g, 3))
+    assert collected(weights.sparse_connections(b, b, h, 3)) == want
+    assert {k[0] for k in collected(weights.sparse_connections(b, b, None, 3, directions=("input",)))} == {"input"}
