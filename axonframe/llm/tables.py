@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -54,9 +55,23 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, chosen)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and wait with what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # Only some C libraries have it.
+        pass
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def run_and_give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(run_and_give_back, schema)
 
 
 def text_pieces(texts: pa.Array) -> Iterator[pa.Array]:

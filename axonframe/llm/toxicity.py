@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonframe.llm.tables import Scratch, map_batches, text_rows, utf8_rows
-from axonframe.llm.words import REMEMBERED, WordHashes, Words, mix, shingle_sets
+from axonframe.llm.words import WordHashes, Words, mix, shingle_sets
 
 #: Labelled documents (about half of them from each side) and features, at most.
 SAMPLE = 16_000
@@ -34,6 +34,9 @@ SPREAD = 5.0
 #: Letters of a head.
 HEAD = 5
 
+#: Words remembered per task; beyond it the memory of words starts afresh.
+KNOWN_WORDS = 150_000
+
 _SEEN = "feature BIGINT, n BIGINT, n_above BIGINT"
 
 
@@ -43,16 +46,19 @@ def _hash(text: str) -> int:
 
 
 class _Features(dict):
-    """Words to slots; each slot holds the word's features, -1 for none."""
+    """Words to slots; each slot holds the word's features, -1 for none.  Words without known features share slot 0."""
 
     def __init__(self, known: dict[int, int] | None):
-        self.known, self.pairs = known, []
+        self.known, self.pairs = known, [(-1, -1)] if known is not None else []
 
     def __missing__(self, word: str) -> int:
         bare = "".join(filter(str.isalpha, word.lower()))
         names = (_hash("w" + bare), _hash("h" + bare[:HEAD]) if len(bare) > HEAD else 0) if bare else (0, 0)
         if self.known is not None:
             names = tuple(self.known.get(name, -1) if name else -1 for name in names)
+            if names == (-1, -1):
+                self[word] = 0
+                return 0
         self[word] = slot = len(self.pairs)
         self.pairs.append(names)
         return slot
@@ -65,7 +71,7 @@ class Reader:
         self.known, self.slots = known, _Features(known)
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.slots) > REMEMBERED:
+        if len(self.slots) > KNOWN_WORDS:
             self.slots = _Features(self.known)
         words = text.split()
         at, counts = np.unique(np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words)), return_counts=True)
