@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,30 @@ def score_sequences(paired: DataFrame, scores: ScoreFunctions = SCORES) -> DataF
     return paired_values(paired).groupBy(*EXPLANATION, "seq_id").agg(*aggregates)
 
 
+ArrayScores = Mapping[str, Callable[[np.ndarray, np.ndarray], float]]
+
+
+def score_arrays(paired: DataFrame, scores: ArrayScores) -> DataFrame:
+    """Scores of each sequence by functions of numpy arrays (real, predicted), for scores that no aggregate expresses.
+
+    A row's arrays are handed over as they are, in Arrow batches, in the stage that pairs them.  Values that
+    are missing are NaN in the arrays; a row without arrays has no score.
+    """
+    def column(function: Callable[[np.ndarray, np.ndarray], float]) -> Column:
+        @F.arrow_udf("double")
+        def run(real: pa.Array, predicted: pa.Array) -> pa.Array:
+            found = []
+            for r, p in zip(real, predicted):
+                both = [side.values for side in (r, p)]
+                arrays = [None if v is None else v.to_numpy(zero_copy_only=False).astype(np.float64) for v in both]
+                found.append(None if None in both else float(function(*arrays)))
+            return pa.array(found, pa.float64())  # NaN stays NaN.
+
+        return run("activations", "expected")
+
+    return paired.select(*EXPLANATION, "seq_id", *[column(f).alias(name) for name, f in scores.items()])
+
+
 def score_explanations(paired: DataFrame, scores: ScoreFunctions = SCORES) -> DataFrame:
     """Scores over the values of all sequences at once (not a mean of sequence scores).
 

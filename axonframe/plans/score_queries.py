@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from axonframe.operators import calibration, page, scoring, weights
@@ -83,6 +84,20 @@ def custom_score(spark, sf):
 
 
 
+@query(
+    "numpy_score",
+    f"""{BASE} SELECT layer, neuron, explanation_id, seq_id, round(median(abs(r - p / 10)), 6) AS middle,
+    round(1 - avg(abs(r - p)) / avg(abs(r)), 6) AS explained FROM pairs GROUP BY layer, neuron, explanation_id, seq_id""",
+)
+def numpy_score(spark, sf):
+    """A caller's own score functions of whole arrays."""
+    own = {
+        "middle": lambda r, p: np.median(np.abs(r - p / 10)),
+        "explained": lambda r, p: 1 - np.abs(r - p).mean() / np.abs(r).mean(),
+    }
+    return scoring.score_arrays(paired(spark, sf), own).select(*EXPLANATION, "seq_id", *[F.round(c, 6).alias(c) for c in own])
+
+
 def flat(calibrated):
     zipped = F.arrays_zip("uncalibrated", "expected")
     return calibrated.select(*EXPLANATION, "seq_id", "scale", F.posexplode(zipped).alias("pos", "z")).select(

@@ -63,6 +63,20 @@ def test_own_score_functions(spark):
     assert row["bias"] == 1.0
 
 
+@pytest.mark.filterwarnings("ignore")
+def test_numpy_scores_equal_their_column_twins(spark):
+    table = pairs(spark, [(i, r, p) for i, (r, p) in enumerate(CASES)])
+    own = {
+        "rsquared_score": lambda r, p: 1 - np.mean((r - p) ** 2) / np.mean(r**2),
+        "absolute_dev_explained_score": lambda r, p: 1 - np.mean(abs(r - p)) / np.mean(abs(r)),
+    }
+    found = {r["explanation_id"]: r for r in scoring.score_arrays(table, own).collect()}
+    for row in scoring.score_sequences(table).collect():
+        assert all(same(found[row["explanation_id"]][name], row[name]) for name in own)
+    none = table.limit(1).withColumn("activations", F.lit(None).cast("array<double>"))
+    assert scoring.score_arrays(none, {"bias": lambda r, p: 1.0}).first()["bias"] is None
+
+
 def test_best_explanation_prefers_defined_scores(spark):
     rows = [(0, 0, 0, float("nan")), (0, 0, 1, -0.5), (0, 1, 0, 0.3), (0, 1, 1, 0.3), (0, 2, 0, None)]
     scored = spark.createDataFrame(rows, "layer INT, neuron INT, explanation_id INT, ev_correlation_score DOUBLE")
