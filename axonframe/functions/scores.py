@@ -23,7 +23,7 @@ def correlation(real: Column, predicted: Column) -> Column:
     return F.when(F.count(real) == 0, F.lit(None).cast("double")).when(varies, F.coalesce(ratio, F.lit(NAN))).otherwise(NAN)
 
 
-def _explained(error: Column, scale: Column) -> Column:
+def explained(error: Column, scale: Column) -> Column:
     """1 - error / scale, with the limits of floating-point division by zero."""
     undefined = F.coalesce(error, F.lit(0.0)) == 0
     return (
@@ -36,12 +36,12 @@ def _explained(error: Column, scale: Column) -> Column:
 def rsquared(real: Column, predicted: Column) -> Column:
     """1 - mean squared error / mean square of the real values (not centred)."""
     error = real - predicted
-    return _explained(F.avg(error * error), F.avg(real * real))
+    return explained(F.avg(error * error), F.avg(real * real))
 
 
 def absolute_dev_explained(real: Column, predicted: Column) -> Column:
     """1 - mean absolute error / mean absolute real value."""
-    return _explained(F.avg(F.abs(real - predicted)), F.avg(F.abs(real)))
+    return explained(F.avg(F.abs(real - predicted)), F.avg(F.abs(real)))
 
 
 SCORES: dict[str, Callable[[Column, Column], Column]] = {

@@ -57,6 +57,48 @@ def test_pooled_score_uses_all_values_and_empty_is_null(spark):
     assert {r["explanation_id"]: r["ev_correlation_score"] for r in both}[0] == pytest.approx(found[0]["ev_correlation_score"])
 
 
+def test_sums_give_the_scores_of_all_values(spark):
+    rng = np.random.default_rng(4)
+    far = [(0, list(1e7 + rng.normal(size=n)), list(1e7 + rng.normal(size=n))) for n in (1, 7, 40)]
+    table = pairs(spark, [*[(i + 1, r, p) for i, (r, p) in enumerate(CASES)], *far, (9, [], []), (9, [1, 2], [2, 5])])
+    plain = {r["explanation_id"]: r for r in scoring.score_explanations(table).collect()}
+    both = scoring.score_both(table).collect()
+    pooled = {r["explanation_id"]: r for r in both if r["pooled"]}
+    assert pooled.keys() == plain.keys() and all(r["seq_id"] is None for r in pooled.values())
+    for key, row in pooled.items():
+        assert all(same(row[name], plain[key][name]) for name in scoring.SCORES), (row, plain[key])
+    single = {(r["explanation_id"], r["seq_id"]): r for r in scoring.score_sequences(table).collect()}
+    for row in both:
+        if not row["pooled"]:
+            other = single.pop((row["explanation_id"], row["seq_id"]))
+            assert all(same(row[name], other[name]) for name in scoring.SCORES), (row, other)
+    assert not single
+
+
+def test_sums_of_two_runs_merge(spark):
+    table = pairs(spark, [(0, [1, 2, 3], [3, 2, 1]), (0, [10, 20], [100, 210]), (1, [4, 5], [4, 6])])
+    runs = [scoring.score_sums(table.where(F.col("seq_id") % 2 == part)) for part in (0, 1)]
+    each = [scoring.merge_score_sums(run) for run in runs]
+    merged = scoring.scores_of_sums(scoring.merge_score_sums(each[0].unionByName(each[1])))
+    found = {r["explanation_id"]: r for r in merged.collect()}
+    for row in scoring.score_explanations(table).collect():
+        assert all(same(found[row["explanation_id"]][name], row[name]) for name in scoring.SCORES)
+
+
+@pytest.mark.parametrize("limit, strategy", [(10**8, "broadcast"), (400, "keys"), (150, "ranges"), (0, "plain")])
+def test_only_simulated_sequences_are_exchanged(spark, make_acts, monkeypatch, limit, strategy):
+    acts = make_acts({(0, n): [[n, s] for s in range(20)] for n in range(4)})
+    sims = acts.where("neuron = 1 and seq_id in (3, 5, 7)").select(
+        "layer", "neuron", F.lit(0).alias("explanation_id"), "seq_id", "tokens", F.col("activations").alias("expected")
+    )
+    monkeypatch.setattr(scoring, "BROADCAST_BYTES", limit)
+    found = scoring.pair_sequences(acts, sims)
+    assert sorted((r["seq_id"], r["activations"]) for r in found.collect()) == [(s, [1.0, float(s)]) for s in (3, 5, 7)]
+    keys = scoring.cut_lineage(sims.select("layer", "neuron", "seq_id").distinct())
+    left = {"broadcast": 3, "keys": 3, "ranges": 5, "plain": 80}[strategy]
+    assert scoring.matching_sequences(acts, keys).count() == left
+
+
 def test_own_score_functions(spark):
     table = pairs(spark, [(0, [1, 2], [1, 4])])
     row = scoring.score_explanations(table, {"bias": lambda r, p: F.avg(p - r)}).first()
