@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonframe.functions.arrays import nonzero_count, to_levels, upto
@@ -204,7 +204,9 @@ def explain_prompts(
     ``neurons``: layer, neuron, records (a train split).  ``examples``: example_no, records,
     explanation.  A prompt that does not fit loses the last record of its first example, then
     of the second, and so on; all these heads are rendered once and each row takes the first
-    that fits.  The 2k context shows one record per example and two of the neuron's.
+    that fits.  Where lengths add up (message lists, or the default counter, which never joins a
+    head's last mark with the line break after it) a head is measured once as well; other counters
+    measure whole texts.  The 2k context shows one record per example and two of the neuron's.
     With ``numbered_list`` the prompt shows the activations as well.
     """
     check_choice("prompt format", fmt, FORMATS)
@@ -232,18 +234,35 @@ def explain_prompts(
     own = F.slice("records", 1, 2) if small else F.col("records")
     ask = _explain_request(own, F.lit(len(rows) + 1), fmt, repeat_nonzero, numbered_list, 0)
     turns = [message("user", F.col("_ask"))] + ([message("assistant", lead)] if lead else [])
-    choices = [F.concat(_literal(head), F.array(*turns)) for head in heads]
-    picked = choices[-1]
-    for choice in reversed(choices[:-1]):
-        fits = prompt_length(choice, fmt, counter) + max_completion <= context_size
-        picked = F.when(fits, choice).otherwise(picked)
-    return (
-        neurons.withColumn("_ask", ask)
-        .withColumn("messages", picked)
-        .withColumn("n_tokens", prompt_length(F.col("messages"), fmt, counter))
-        .withColumn("prompt", finish(F.col("messages"), fmt))
-        .drop("_ask", "records")
-    )
+    asked = neurons.withColumn("_ask", ask)
+    room = context_size - max_completion
+    if fmt == "harmony_v4" or counter is rough_tokens:
+        # Heads are measured once, here; a row measures its own messages only.
+        sizes = _head_lengths(neurons.sparkSession, heads, fmt, counter)
+        tail = prompt_length(F.array(*turns), fmt, counter)
+        lengths = F.array(*[F.lit(size) for size in sizes])
+        first = F.array_min(F.filter(F.transform(lengths, lambda size, i: F.when(size + F.col("_tail") <= room, i)), F.isnotnull))
+        placed = asked.withColumn("_tail", tail).withColumn("_head", F.coalesce(first, F.lit(len(heads) - 1)))
+        found = placed.withColumn(
+            "messages", F.concat(F.get(F.array(*[_literal(head) for head in heads]), F.col("_head")), F.array(*turns))
+        ).withColumn("n_tokens", F.get(lengths, F.col("_head")) + F.col("_tail")).drop("_tail", "_head")
+    else:
+        choices = [F.concat(_literal(head), F.array(*turns)) for head in heads]
+        picked = choices[-1]
+        for choice in reversed(choices[:-1]):
+            picked = F.when(prompt_length(choice, fmt, counter) <= room, choice).otherwise(picked)
+        found = asked.withColumn("messages", picked).withColumn("n_tokens", prompt_length(F.col("messages"), fmt, counter))
+    return found.withColumn("prompt", finish(F.col("messages"), fmt)).drop("_ask", "records")
+
+
+def _head_lengths(spark: SparkSession, heads: list, fmt: str, counter: TokenCounter) -> list[int]:
+    """Tokens of each head: the sum of its messages' in message lists, those of its joined text elsewhere."""
+    def size(head: list) -> Column:
+        if fmt == "harmony_v4":
+            return counter(contents(_literal(head))) + 4 * len(head)
+        return counter(F.array(F.lit("".join(content for _, content in head))))
+
+    return list(spark.range(1).select(*[size(head).alias(f"_{i}") for i, head in enumerate(heads)]).first())
 
 
 def _token_turns(tokens: Column, fmt: str, numbered: bool) -> tuple[Column, str]:

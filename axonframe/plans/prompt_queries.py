@@ -124,10 +124,17 @@ def _ask_sql(number: str, tail: str) -> str:
     )
 
 
-def _explain_sql(lead: str, answer: str, mark: str) -> str:
+def _explain_sql(lead: str, answer: str, mark: str, several: int | None = None) -> str:
     tail = lambda n: f"chr(10) || 'Explanation of neuron ' || {n} || ' behavior:' || {lead}"
-    example = _ask_sql("(key_neuron + 1)", tail("(key_neuron + 1)"))
-    own = _ask_sql("3", tail("3"))
+    shown = own_tail = tail
+    if several is not None:
+        listed = lambda n, head, each: (
+            f"chr(10) || '{head} for neuron ' || {n} || ' behavior, {each} with \"{PREFIX}\":' || chr(10) || '1. {PREFIX}'"
+        )
+        shown = lambda n: listed(n, "Here is 1 possible explanation", "beginning")
+        own_tail = lambda n: listed(n, f"Here are {several} possible explanations", "each beginning")
+    example = _ask_sql("(key_neuron + 1)", shown("(key_neuron + 1)"))
+    own = _ask_sql("3", own_tail("3"))
     return f"""WITH {ACTS}, {EXAMPLES_SQL}, {OWNED}, {RENDERED},
     head AS (SELECT {q(prompts.EXPLAIN_SYSTEM)} || string_agg({example} || {answer} || ' ' || explanation || '.', '' ORDER BY key_neuron) AS head
       FROM bodies JOIN ex ON key_neuron = example_no WHERE key_layer = -1)
@@ -144,6 +151,46 @@ def explain_prompts_instruction(spark, sf):
     return prompts.explain_prompts(train_lists(spark, sf), examples(spark, sf), "instruction_following").select(*NEURON, "prompt")
 
 
+@query("explain_prompts_numbered", _explain_sql("''", "''", "''", 3))
+def explain_prompts_numbered(spark, sf):
+    found = prompts.explain_prompts(train_lists(spark, sf), examples(spark, sf), "none", numbered_list=3)
+    return found.select(*NEURON, "prompt")
+
+
+# The small context: one record per example, two of the neuron's own.
+OWNED_SMALL = """owned AS (
+  SELECT layer AS key_layer, neuron AS key_neuron, list(struct_pack(t := tokens, a := activations) ORDER BY position) AS records
+  FROM train WHERE position < 2 GROUP BY ALL
+  UNION ALL SELECT -1, example_no, records[1:1] FROM ex)"""
+
+
+@query("explain_prompts_2k", _explain_sql(q(f" {PREFIX}"), "''", "''").replace(OWNED, OWNED_SMALL))
+def explain_prompts_2k(spark, sf):
+    found = prompts.explain_prompts(train_lists(spark, sf), examples(spark, sf), "none", context_size=2049)
+    return found.select(*NEURON, "prompt")
+
+
+# Room for a completion that leaves some prompts whole and makes others give up records of their examples.
+LONG_ANSWER = 3692
+OWNED_FEWER = f"""{OWNED[:-1]} UNION ALL SELECT -2, example_no, records[1:1] FROM ex)"""
+_TURN = lambda n: _ask_sql(n, f"chr(10) || 'Explanation of neuron ' || {n} || ' behavior:' || {q(f' {PREFIX}')}")
+
+
+@query(
+    "explain_prompts_shrunk",
+    f"""WITH {ACTS}, {EXAMPLES_SQL}, {OWNED_FEWER}, {RENDERED},
+    heads AS (SELECT dropped, {q(prompts.EXPLAIN_SYSTEM)} || string_agg({_TURN("(key_neuron + 1)")} || ' ' || explanation || '.', '' ORDER BY key_neuron) AS head
+      FROM bodies JOIN ex ON key_neuron = example_no, range(3) d(dropped) WHERE key_layer = CASE WHEN key_neuron < dropped THEN -2 ELSE -1 END GROUP BY dropped),
+    texts AS (SELECT key_layer AS layer, key_neuron AS neuron, dropped, head || {_TURN("3")} AS prompt FROM bodies, heads WHERE key_layer >= 0),
+    measured AS (SELECT *, len(regexp_extract_all(prompt, '(\w+|[^\w\s])'))::BIGINT AS n_tokens FROM texts),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY layer, neuron ORDER BY CASE WHEN n_tokens + {LONG_ANSWER} <= 4097 THEN dropped ELSE 9 - dropped END) AS place FROM measured)
+    SELECT layer, neuron, n_tokens, prompt FROM placed WHERE place = 1""",
+)
+def explain_prompts_shrunk(spark, sf):
+    found = prompts.explain_prompts(train_lists(spark, sf), examples(spark, sf), "none", max_completion=LONG_ANSWER)
+    return found.select(*NEURON, "n_tokens", "prompt")
+
+
 _ASKED = _ask_sql("(key_neuron + 1)", f"chr(10) || 'Explanation of neuron ' || (key_neuron + 1) || ' behavior:' || {q(f' {PREFIX}')}")
 
 
@@ -180,6 +227,22 @@ def token_prompts(spark, sf):
     return prompts.token_prompts(table.select(*NEURON, "tokens"), fmt="none").select(*NEURON, "prompt")
 
 
+@query(
+    "token_prompts_examples",
+    f"""WITH {ACTS}, {VALS}, {TABLE}, turns AS (
+      SELECT layer, neuron, repeat(chr(10), 4) || 'Tokens:' || chr(10) || shown || chr(10) || chr(10) || 'Explanation:' || chr(10) AS ask FROM lists),
+    head AS (SELECT {q(prompts.TOKENS_SYSTEM)} || string_agg(ask || {q(prompts.LOOKING_FOR)} || CASE neuron WHEN 0 THEN ' vowels.' ELSE ' numbers.' END, '' ORDER BY neuron) AS head
+      FROM turns WHERE layer = 0 AND neuron < 2)
+    SELECT layer, neuron, head || ask || {q(prompts.END_OF_PROMPT + prompts.LOOKING_FOR)} AS prompt FROM turns, head""",
+)
+def token_prompts_examples(spark, sf):
+    """Two neurons' lists with their explanations come before each neuron's own."""
+    lists = cut_lineage(tokens.token_lists(tokens.token_averages(acts(spark, sf), 5)).select(*NEURON, "tokens"))
+    explanation = F.when(F.col("neuron") == 0, " vowels").otherwise(" numbers").alias("explanation")
+    shown = select_neurons(lists, [0], [0, 1]).select(F.col("neuron").alias("example_no"), "tokens", explanation)
+    return prompts.token_prompts(lists, shown, "instruction_following").select(*NEURON, "prompt")
+
+
 def sequences(spark, sf):
     explanation = F.concat(F.lit(" neuron "), F.col("neuron").cast("string"), F.lit(" "))
     return acts(spark, sf).select(*NEURON, "seq_id", "tokens", explanation.alias("explanation"))
@@ -278,13 +341,18 @@ def completion_parse(spark, sf):
     )
 
 
-def echo_responses(spark, sf):
+def echo_responses(spark, sf, accent=""):
     """An echoed prompt per sequence.  Every fifth token is split in two by the responding
-    model, every seventh one has the newline before it folded in."""
+    model, every seventh one has the newline before it folded in.  With an ``accent`` before each
+    token, those that are split start with its bytes, one response token each."""
     rows = levelled(spark, sf).where(F.size("tokens") > 0)
+    rows = rows.withColumn("tokens", F.transform("tokens", lambda t: F.concat(F.lit(accent), t)))
+    octets = F.array(*[F.lit(f"bytes:\\x{octet:02x}") for octet in accent.encode()])
 
     def pieces(t, i):
         split = F.array(F.substr(t, F.lit(1), F.lit(1)), F.substr(t, F.lit(2)))
+        if accent:
+            split = F.concat(octets, F.array(F.substr(t, F.lit(len(accent) + 1))))
         folded = F.array(F.concat(F.lit("\n"), t))
         name = F.when((i + F.col("seq_id")) % 7 == 3, folded).when(
             (i + F.col("seq_id")) % 5 == 1, F.concat(F.array(F.lit("\n")), split)
@@ -319,15 +387,13 @@ def echo_responses(spark, sf):
     return staged.select(*NEURON, "seq_id", "tokens", F.struct(F.array(choice).alias("choices")).alias("response"))
 
 
-@query(
-    "response_align",
-    f"""{BASE}, v AS (SELECT layer, neuron, seq_id, unnest(range(len(levels))) AS pos, unnest(levels) AS l FROM levels)
+ALIGNED = f"""{BASE}, v AS (SELECT layer, neuron, seq_id, unnest(range(len(levels))) AS pos, unnest(levels) AS l FROM levels)
     SELECT layer, neuron, seq_id, pos, 'simulated_normalized_activations' AS scale,
       CASE WHEN (pos + seq_id) % 7 = 3 THEN 0.0 ELSE round(0.75::DOUBLE * l + 0.25::DOUBLE * ((l + 1) % 11), 6) END AS expected,
-      CAST(CASE WHEN (pos + seq_id) % 7 = 3 THEN 0 ELSE 2 END AS BIGINT) AS n_levels FROM v""",
-)
-def response_align(spark, sf):
-    found = responses.parse_echo_responses(echo_responses(spark, sf))
+      CAST(CASE WHEN (pos + seq_id) % 7 = 3 THEN 0 ELSE 2 END AS BIGINT) AS n_levels FROM v"""
+
+
+def aligned(found):
     rows = found.select(*NEURON, "seq_id", "scale", F.posexplode(F.arrays_zip("expected", "dist_values")).alias("pos", "z"))
     return rows.select(
         *NEURON, "seq_id", F.col("pos").cast("bigint").alias("pos"), "scale",
@@ -335,6 +401,17 @@ def response_align(spark, sf):
     )
 
 
+@query("response_align", ALIGNED)
+def response_align(spark, sf):
+    return aligned(responses.parse_echo_responses(echo_responses(spark, sf)))
+
+
+@query("response_bytes", ALIGNED)
+def response_bytes(spark, sf):
+    """Tokens whose first letter comes back as two byte tokens."""
+    return aligned(responses.parse_echo_responses(echo_responses(spark, sf, "é")))
+
+
 @query(
     "single_token_responses",
     f"""{BASE} SELECT layer, neuron, seq_id, array_to_string(tokens, ' ') AS tokens,

@@ -364,6 +364,17 @@ def puzzle_json(spark, sf):
     )
 
 
+def tagged_rows(spark, sf):
+    """JSON objects with a tag, with all fields of a type, and with only some of them."""
+    kind = F.col("seq_id") % 4
+    tagged = F.to_json(F.struct("tokens", "activations", F.lit("ActivationRecord").alias("dataclass_name")))
+    untagged = F.to_json(F.struct("tokens", "activations"))
+    ids = F.to_json(F.struct(F.col("layer").alias("layer_index"), F.col("neuron").alias("neuron_index")))
+    some = F.to_json(F.struct(F.col("activations").alias("average_activations")))
+    value = F.when(kind == 0, tagged).when(kind == 1, untagged).when(kind == 2, ids).otherwise(some)
+    return acts(spark, sf).select(*NEURON, "seq_id", value.alias("value"))
+
+
 @query(
     "tagged_json",
     f"""WITH {ACTS} SELECT layer, neuron, seq_id, CASE seq_id % 4 WHEN 0 THEN 'ActivationRecord' WHEN 1 THEN 'ActivationRecord'
@@ -377,18 +388,39 @@ def tagged_json(spark, sf):
         "NeuronId": ["layer_index", "neuron_index"],
         "TokenLookupTableSummaryOfNeuron": ["tokens", "average_activations"],
     }
-    kind = F.col("seq_id") % 4
-    tagged = F.to_json(F.struct("tokens", "activations", F.lit("ActivationRecord").alias("dataclass_name")))
-    untagged = F.to_json(F.struct("tokens", "activations"))
-    ids = F.to_json(F.struct(F.col("layer").alias("layer_index"), F.col("neuron").alias("neuron_index")))
-    some = F.to_json(F.struct(F.col("activations").alias("average_activations")))
-    value = F.when(kind == 0, tagged).when(kind == 1, untagged).when(kind == 2, ids).otherwise(some)
-    rows = acts(spark, sf).select(*NEURON, "seq_id", value.alias("value"))
+    rows = tagged_rows(spark, sf)
     return rows.select(
         *NEURON, "seq_id", texts.resolve_tag(F.col("value"), fields).alias("kind"), (F.size(texts.tagged_fields(F.col("value"))) == 1).alias("partial")
     )
 
 
+@query(
+    "typed_json",
+    f"""WITH {ACTS} SELECT layer, neuron, seq_id, CASE seq_id % 4 WHEN 0 THEN 'ActivationRecord' WHEN 1 THEN 'ActivationRecord'
+      WHEN 2 THEN 'NeuronId' ELSE 'TokenLookupTableSummaryOfNeuron' END AS kind,
+      CASE WHEN seq_id % 4 < 2 THEN array_to_string(tokens, ' ') END AS tokens,
+      CASE WHEN seq_id % 4 < 2 THEN round(list_sum(activations), 6) END AS total,
+      CASE WHEN seq_id % 4 = 2 THEN layer END AS layer_index, CASE WHEN seq_id % 4 = 2 THEN neuron END AS neuron_index,
+      CASE WHEN seq_id % 4 = 3 THEN 0::BIGINT END AS n_listed, CASE WHEN seq_id % 4 = 3 THEN round(list_max(activations), 6) END AS highest FROM acts""",
+)
+def typed_json(spark, sf):
+    """The same objects read as records; tokens that a token table lacks are an empty list."""
+    types = {
+        "ActivationRecord": "tokens ARRAY<STRING>, activations ARRAY<DOUBLE>",
+        "NeuronId": "layer_index INT, neuron_index INT",
+        "TokenLookupTableSummaryOfNeuron": "tokens ARRAY<STRING>, average_activations ARRAY<DOUBLE>",
+    }
+    table_name = "TokenLookupTableSummaryOfNeuron"
+    found = texts.typed_objects(tagged_rows(spark, sf), types, {table_name: {"tokens": F.array().cast("array<string>")}})
+    total = F.aggregate("ActivationRecord.activations", F.lit(0.0), lambda a, b: a + b)
+    listed = F.col(f"{table_name}.tokens")
+    return found.select(
+        *NEURON, "seq_id", "kind", F.array_join("ActivationRecord.tokens", " ").alias("tokens"), F.round(total, 6).alias("total"),
+        "NeuronId.layer_index", "NeuronId.neuron_index", F.when(listed.isNotNull(), F.size(listed)).alias("n_listed"),
+        F.round(F.array_max(f"{table_name}.average_activations"), 6).alias("highest"),
+    )
+
+
 @query(
     "chained_splits",
     "SELECT CASE WHEN doc_id % 2 = 0 THEN 0::BIGINT ELSE 1 END AS split_no, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY ALL",

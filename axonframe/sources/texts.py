@@ -211,3 +211,45 @@ def check_fields(text: Column, allowed: Sequence[str], required: Sequence[str])
         .when(F.size(missing) > 0, problem("missing", missing))
         .otherwise(text)
     )
+
+
+def typed_objects(
+    objects: DataFrame, types: Mapping[str, str], defaults: Mapping[str, Mapping[str, Column]] | None = None,
+    column: str = "value", strict: bool = False,
+) -> DataFrame:
+    """JSON objects as records of their types.
+
+    ``types`` gives the fields of each type as DDL.  The type is found as in ``resolve_tag``.  Every
+    type has a struct column, which is NULL in rows of other types; ``kind`` names the type; objects
+    of no type stay as VARIANT in ``other``.  Fields that an object lacks take their default, which
+    ``defaults`` holds by type and field.  A field that the type does not have, one that is missing
+    without default, and a value that does not fit its field fail.
+    """
+    defaults = defaults or {}
+    shapes = {name: T.StructType.fromDDL(ddl) for name, ddl in types.items()}
+    names = {name: shape.fieldNames() for name, shape in shapes.items()}
+    keep = [F.col(f"`{c}`") for c in objects.columns if c != column]
+    kinds = objects.withColumn("kind", resolve_tag(F.col(column), names, strict))
+
+    def checked(name: str) -> Column:
+        needed = [f for f in names[name] if f not in defaults.get(name, {})]
+        return F.parse_json(check_fields(F.col(column), names[name], needed))
+
+    parsed = F.lit(None).cast("variant")
+    for name in types:
+        parsed = F.when(F.col("kind") == name, checked(name)).otherwise(parsed)
+    parsed = F.when(F.col("kind").isNull(), F.parse_json(column)).otherwise(parsed)
+    rows = kinds.withColumns({"_object": parsed, "_present": tagged_fields(F.col(column))})
+
+    def record(name: str) -> Column:
+        def value(field: T.StructField) -> Column:
+            found = F.variant_get("_object", f"$['{field.name}']", field.dataType.simpleString())
+            default = defaults.get(name, {}).get(field.name)
+            if default is None:
+                return found
+            return F.when(F.array_contains("_present", field.name), found).otherwise(default.cast(field.dataType))
+
+        return F.when(F.col("kind") == name, F.struct(*[value(f).alias(f.name) for f in shapes[name]])).alias(name)
+
+    other = F.when(F.col("kind").isNull(), F.col("_object")).alias("other")
+    return rows.select(*keep, "kind", *[record(name) for name in types], other)

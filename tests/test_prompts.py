@@ -187,6 +187,15 @@ def test_long_prompts_drop_example_records(spark, neurons, examples):
     assert shown(render(context_size=2049)) == 4
 
 
+@pytest.mark.parametrize("fmt", prompts.FORMATS)
+def test_heads_measured_once_choose_as_whole_texts_do(neurons, examples, fmt):
+    whole = lambda texts: prompts.rough_tokens(texts)  # another function: every prompt is measured as a whole
+    longest = prompts.explain_prompts(neurons, examples, fmt).first()["n_tokens"]
+    for room in range(4097 - longest - 2, 4097 - longest + 30, 4):
+        plain = prompts.explain_prompts(neurons, examples, fmt, max_completion=room, counter=whole).collect()
+        assert prompts.explain_prompts(neurons, examples, fmt, max_completion=room).collect() == plain
+
+
 def test_numbered_lists_show_the_activations(neurons, examples):
     chat = as_pairs(prompts.explain_prompts(neurons, examples, "harmony_v4", numbered_list=3).first()["prompt"])
     assert chat[1][1].endswith('Here is 1 possible explanation for neuron 1 behavior, beginning with "the main thing this neuron does is find":\n1. the main thing this neuron does is find')

@@ -196,6 +196,30 @@ def test_strict_types_and_field_checks(spark):
         one('{"s2": "t"}').select(check).collect()
 
 
+def test_typed_objects(spark):
+    types = {"A": "tokens ARRAY<STRING>, size INT", "B": "name STRING, inner STRUCT<x: DOUBLE>"}
+    data = [
+        '{"dataclass_name": "A", "tokens": ["a", null], "size": 2}', '{"tokens": []}', '{"name": "n", "inner": {"x": 1, "dataclass_name": "C"}}',
+        '{"name": null, "inner": null}', '{"z": [1]}', '{"dataclass_name": "Z", "size": 1}', '[1]', "{}", None,
+    ]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "kind_no INT, value STRING")
+    read = texts.typed_objects(rows, types, {"A": {"size": F.lit(7)}})
+    found = {r["kind_no"]: r for r in read.withColumn("other", F.to_json("other")).collect()}
+    assert tuple(found[0]["A"]) == (["a", None], 2) and tuple(found[1]["A"]) == ([], 7)
+    assert found[2]["B"]["inner"]["x"] == 1.0 and found[2]["A"] is None and found[2]["kind"] == "B"
+    assert tuple(found[3]["B"]) == (None, None)
+    assert [found[i]["kind"] for i in range(4, 9)] == [None] * 5
+    assert [found[i]["other"] for i in range(4, 9)] == ['{"z":[1]}', '{"dataclass_name":"Z","size":1}', "[1]", "{}", None]
+    assert texts.typed_objects(rows.limit(0), types).count() == 0
+    one = lambda text: texts.typed_objects(spark.createDataFrame([(text,)], "value STRING"), types).collect()
+    with pytest.raises(Exception, match="missing fields: size"):
+        one('{"tokens": ["a"]}')
+    with pytest.raises(Exception, match="unknown fields: more"):
+        one('{"dataclass_name": "A", "tokens": [], "size": 1, "more": 2}')
+    with pytest.raises(Exception, match="INVALID_VARIANT_CAST"):
+        one('{"dataclass_name": "A", "tokens": [], "size": "x"}')
+
+
 def test_generic_texts(spark, tmp_path):
     write(f"{tmp_path}/t.json", '{"text": " a "}\n{"text": "  "}\n{"text": null}\n{"other": 1}\n')
     assert [r["text"] for r in texts.read_texts(spark, f"{tmp_path}/t.json", "json").collect()] == [" a "]

@@ -38,11 +38,37 @@ def test_batches_equal_one_pass_and_replays_replace_themselves(spark, rows, tmp_
         assert stats[row["neuron"]]["variance"] == pytest.approx(row["variance"])
 
 
+def test_folded_batches_are_not_read_again(spark, rows, tmp_path):
+    path = str(tmp_path / "out")
+    for number in range(6):
+        running.write_batch(rows.where(F.floor(F.col("seq_id") / 10) == number), path, number, 4, 3)
+        if number in (2, 4):
+            running.fold(spark, path, number - 1)
+    running.fold(spark, path, 1)  # done before: nothing happens
+    assert found(spark, path) == expected(rows)
+    # What a batch that is part of the folding wrote does not count any more.
+    running.write_batch(rows.limit(0), path, 0, 4, 3)
+    assert found(spark, path) == expected(rows)
+    assert {r["n_values"] for r in running.read_stats(spark, path).collect()} == {60}
+    read = running._parts(spark, path, "records").select(F.input_file_name().alias("file")).distinct().collect()
+    assert sorted({r["file"].split("/")[-2] for r in read}) == ["batch=4", "batch=5", "upto=3"]
+    # A folding without its mark is not valid.
+    spark.range(1).write.parquet(f"{path}/folded/records/upto=9")
+    assert found(spark, path) == expected(rows)
+
+
+def test_more_than_the_batches_kept_fails(spark, rows, tmp_path):
+    running.write_batch(rows, str(tmp_path), 0, 4, 3)
+    for k, n in ((5, 3), (4, 4)):
+        with pytest.raises(ValueError, match="kept 4 top records and 3 sampled"):
+            running.read_records(spark, str(tmp_path), k, n)
+
+
 def test_stream_with_many_files(spark, rows, tmp_path):
     for b in range(4):
         rows.where(F.floor(F.col("seq_id") / 15) == b).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    running.start_running_summary(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 4, 3).awaitTermination()
+    running.start_running_summary(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 4, 3, fold_every=2).awaitTermination()
     assert found(spark, str(tmp_path / "out")) == expected(rows)
 
 
