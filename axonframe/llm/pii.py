@@ -1,8 +1,10 @@
 """Personal data in texts, with DataFrame functions only.
 
 Regular expressions propose spans.  Validators confirm them: part values of addresses, digit
-counts of phone numbers, the Luhn check of card numbers and the mod-97 check of account numbers.
-Context words before a span raise its score, words that speak against it lower it.  The base
+counts of phone numbers, the Luhn check of card numbers, the mod-97 check and the country's length
+of account numbers.
+Whole context words near a span, before or after it, raise its score, words that speak against
+it lower it.  The base
 kinds email, ip, card and phone are always kept once their validator holds; account numbers and
 long bare digit strings (phone numbers without a plus sign) need their score.
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of personal data.  ``likely`` and ``unlikely`` are words looked for before a span."""
+    """A kind of personal data.  ``likely`` and ``unlikely`` are words looked for on both sides of a span."""
 
     name: str
     pattern: str
@@ -37,19 +39,28 @@ class Kind:
 
 #: Base kinds come first, in the order of ties.  ``hint`` is a cheap test of the whole text.
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, ("mail", "contact", "write")),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, ("mail", "email", "contact", "write")),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, ("ip", "host", "server", "address"), ("version", "section"), "parts"),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", r"[0-9]", 0.7, ("card", "visa", "credit", "payment"), ("order", "isbn", "serial"), "luhn", 0.0, (14, 19)),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7, ("phone", "call", "tel", "mobile", "fax"), (), "digits", 0.0, (10, 15)),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7, ("phone", "telephone", "call", "tel", "mobile", "fax"), (), "digits", 0.0, (10, 15)),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.8, ("iban", "account", "konto", "compte"), ("part", "model"), "mod97", 0.5),
-    Kind("number", r"(?<![0-9+.-])[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])", r"[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}", 0.3, ("phone", "call", "tel", "mobile", "fax"), ("order", "id", "no"), "digits", 0.5, (10, 10)),
+    Kind("number", r"(?<![0-9+.-])[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])", r"[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}", 0.3, ("phone", "telephone", "call", "tel", "mobile", "fax"), ("order", "id", "no"), "digits", 0.5, (10, 10)),
 )
 BASE = ("email", "ip", "card", "phone")
 
-#: Code points before a span in which context words count, and what each adds or takes.
+#: Code points on each side of a span, up to the next span of its kind, in which whole context words
+#: count, and what a word adds or takes.
 CONTEXT = 40
 STEP = 0.25
 
+# Characters of an account number by country.
+IBAN_SIZES = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 "
+    "GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 "
+    "MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 "
+    "VA22 VG24 XK20"
+)
+
 SPANS = "array<struct<start:bigint,kind_no:int,kind:string,stop:bigint,score:double>>"
 
 
@@ -76,18 +87,24 @@ def _valid(kind: Kind, match: Column) -> Column:
         small = lambda p: F.coalesce(F.when(part(p), F.lpad(F.ltrim(p, F.lit("0")), 3, "0") <= "255"), F.lit(False))
         return F.forall(F.split(match, r"\."), small)
     if kind.validator == "mod97":
-        return mod97(F.regexp_replace(match, " ", ""))
+        account = F.regexp_replace(match, " ", "")
+        sizes = F.str_to_map(F.lit(",".join(f"{c[:2]}:{c[2:]}" for c in IBAN_SIZES.split())))
+        wanted = F.try_element_at(sizes, F.substring(account, 1, 2)).cast("int")  # Other countries have no known length.
+        return F.when(F.coalesce(wanted, F.length(account)) == F.length(account), mod97(account)).otherwise(False)
     if kind.validator in ("luhn", "digits"):
         right = F.length(digits).between(*kind.digits)
         return F.when(right, luhn(digits)).otherwise(False) if kind.validator == "luhn" else right
     return F.lit(True)
 
 
-def _score(kind: Kind, before: Column) -> Column:
+def _score(kind: Kind, before: Column, after: Column) -> Column:
+    """The score of a span between two pieces of text.  A word that is cut where the context ends does not count."""
+    blank = F.lit(" ")
+    near = F.concat(F.right(F.concat(blank, before), F.lit(CONTEXT + 1)), blank, F.left(F.concat(after, blank), F.lit(CONTEXT + 1)))
     score = F.lit(kind.score)
     for words, step in ((kind.likely, STEP), (kind.unlikely, -STEP)):
         if words:
-            score = score + F.when(before.rlike(rf"(?i)\b(?:{'|'.join(words)})"), step).otherwise(0.0)
+            score = score + F.when(near.rlike(rf"(?i)(?<=[^\p{{L}}])(?:{'|'.join(words)})(?=[^\p{{L}}])"), step).otherwise(0.0)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
 
 
@@ -95,9 +112,10 @@ def _spans(kind: Kind, number: int, text: Column) -> Column:
     """Confirmed spans of one kind: leftmost matches that do not overlap."""
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     pieces = F.split(text, kind.pattern, -1)
-    steps = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.struct(
-        F.length(p).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("size"),
-        _valid(kind, m).alias("valid"), _score(kind, F.right(p, F.lit(CONTEXT))).alias("score"),
+    sides = F.zip_with(F.slice(pieces, 1, F.size(matches)), F.slice(pieces, 2, F.size(matches)), lambda p, q: F.struct(p.alias("before"), q.alias("after")))
+    steps = F.zip_with(matches, sides, lambda m, s: F.struct(
+        F.length(s["before"]).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("size"),
+        _valid(kind, m).alias("valid"), _score(kind, s["before"], s["after"]).alias("score"),
     ))
     # Running ends in two levels, so that the work stays in proportion to the matches.
     ends = _running(F.transform(steps, lambda s: s["gap"] + s["size"]))

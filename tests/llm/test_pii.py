@@ -3,7 +3,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from axonframe.llm.pii import BASE, find_pii, masked, spans_text
+from axonframe.llm.pii import BASE, KINDS, find_pii, masked, spans_text
+
+IBAN = next(k for k in KINDS if k.name == "iban")
 
 
 def luhn(digits):
@@ -64,6 +66,30 @@ def test_account_numbers_and_context(make_docs):
     assert [s.kind for s in rows[3]] == ["number"] and rows[4] == []
 
 
+def test_whole_context_words_on_both_sides(make_docs):
+    far = "x" * 60
+    cases = [
+        ("call me now 212-555-0100", 1), ("phone in november: 212-555-0100", 1), ("212-555-0100 is my phone", 1), ("recall 212-555-0100", 0),
+        ("callers 212-555-0100", 0), ("212-555-0100", 0), (f"call {far} 212-555-0100", 0), ("call: order no 212-555-0100", 0), ("TEL212-555-0100", 1),
+        (f"{'a' * 30} tel {'b' * 34} 212-555-0100", 1), (f"xxtel {'b' * 35} 212-555-0100", 0), (f"212-555-0100 {'b' * 35} tela", 0),
+    ]
+    rows = {r.row_id: r.spans for r in find_pii(make_docs([text for text, _ in cases])).collect()}
+    for i, (text, n) in enumerate(cases):
+        assert [s.kind for s in rows[i]] == ["number"] * n, text
+    scores = {r.row_id: r.spans[0].score for r in find_pii(make_docs(["ipsum 1.2.3.4", "ip 1.2.3.4", "1.2.3.4 is a version"])).collect()}
+    assert scores[0] == 0.6 and abs(scores[1] - 0.85) < 1e-9 and abs(scores[2] - 0.35) < 1e-9
+
+
+def test_account_numbers_have_their_countrys_length(make_docs):
+    def account(country, body):
+        digits = "".join(str(int(c, 36)) for c in body + country + "00")
+        return f"{country}{98 - int(digits) % 97:02d}{body}"
+
+    texts = [account("DE", "1" * 18), account("DE", "1" * 16), account("NO", "1" * 11), account("ZZ", "1" * 16)]
+    rows = {r.row_id: len(r.spans) for r in find_pii(make_docs([f"iban {t} end" for t in texts]), kinds=(IBAN,)).collect()}
+    assert rows == {0: 1, 1: 0, 2: 1, 3: 1}
+
+
 def test_masks_and_odd_rows(make_docs):
     docs = make_docs([(1, "mail a@b.co, ip 1.2.3.4!"), (1, "mail a@b.co, ip 1.2.3.4!"), (None, None), (2, "none")]).withColumn("spans", F.lit(1)).withColumn("row_id", F.lit("x"))
     rows = find_pii(docs).select("row_id", masked(F.col("text"), F.col("spans")).alias("t")).collect()
