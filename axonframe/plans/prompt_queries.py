@@ -182,7 +182,7 @@ _TURN = lambda n: _ask_sql(n, f"chr(10) || 'Explanation of neuron ' || {n} || '
     heads AS (SELECT dropped, {q(prompts.EXPLAIN_SYSTEM)} || string_agg({_TURN("(key_neuron + 1)")} || ' ' || explanation || '.', '' ORDER BY key_neuron) AS head
       FROM bodies JOIN ex ON key_neuron = example_no, range(3) d(dropped) WHERE key_layer = CASE WHEN key_neuron < dropped THEN -2 ELSE -1 END GROUP BY dropped),
     texts AS (SELECT key_layer AS layer, key_neuron AS neuron, dropped, head || {_TURN("3")} AS prompt FROM bodies, heads WHERE key_layer >= 0),
-    measured AS (SELECT *, len(regexp_extract_all(prompt, '(\w+|[^\w\s])'))::BIGINT AS n_tokens FROM texts),
+    measured AS (SELECT *, len(regexp_extract_all(prompt, '(\\w+|[^\\w\\s])'))::BIGINT AS n_tokens FROM texts),
     placed AS (SELECT *, row_number() OVER (PARTITION BY layer, neuron ORDER BY CASE WHEN n_tokens + {LONG_ANSWER} <= 4097 THEN dropped ELSE 9 - dropped END) AS place FROM measured)
     SELECT layer, neuron, n_tokens, prompt FROM placed WHERE place = 1""",
 )
