@@ -1,13 +1,16 @@
-"""License notices and whole license texts: anchor words pick candidates, banded alignment confirms them.
-
-Templates and texts become bare lower-case words.  If ``m - k`` of a template's ``m`` words may be
-missing, one of any ``m - k + 1`` of them is in each match; the rarest are its anchors.  An
-inverted index of the anchors, whose size is bounded by the templates, finds template, place and
-diagonal, and so misses no match.  Where the longest common subsequence near a hit is long enough,
-a banded alignment counts the template's words that occur in order, and reports coverage and span.
-
-Templates of more than ``LONG`` words are whole texts.  A text that lacks their words, however ordered,
-is passed over; in others the longest common subsequence is taken exactly, by windows.
+"""License notices and whole license texts: winnowed fingerprints pick candidates, banded alignment confirms them.
+
+Templates and texts become bare lower-case words.  If ``e`` of a template's ``m`` words may be missing,
+the others form at most ``e + 1`` runs, so some run has at least ``(m - e) / (e + 1)`` words.  Of each
+window of so many words of a template, the gram that comes first (rarest first) is selected.  An inverted
+index of the selected grams, whose size is bounded by the templates, gives template, place and diagonal of
+each hit in a text.  A missing word takes away as many selected grams as it has words at most, so
+a match must hold several of them.
+
+Notices (up to ``LONG`` words) have grams of one word, which words added in between do not break; hits
+near one diagonal lead to a banded alignment of the whole notice.  Whole texts have grams of two words;
+their hits are chained along diagonals, also over interruptions, and the words between
+neighbours in a chain are aligned in a band around it.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.llm.tables import map_batches, text_rows
-from axonframe.llm.words import REMEMBERED
+from axonframe.llm.words import REMEMBERED, mix
 
 #: Opening or notice lines of common licenses.
 TEMPLATES = {
@@ -98,6 +101,11 @@ COMMON = frozenset(
 #: Words by which an alignment may leave its diagonal, to either side.
 BAND = 8
 
+#: Words of a gram of whole texts, how often it may occur in a template to be chained, and earlier hits that a hit may follow.
+GRAM = 2
+FEW = 4
+LOOK = 1024
+
 _SCHEMA = "row_id BIGINT, license STRING, coverage DOUBLE, matched BIGINT, start BIGINT, stop BIGINT"
 
 
@@ -161,8 +169,66 @@ def _common(masks: dict[int, int], m: int, words: list[int]) -> tuple[int, int]:
     return best, last
 
 
+def grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """One number for each run of ``size`` words."""
+    out = hashes
+    for i in range(1, size):
+        out = mix(out[:-1]) + hashes[i:]
+    return out
+
+
+def longest_run(size: int, needed: int) -> int:
+    """Words in a row that are left of ``size`` wherever the missing ones are."""
+    return -(-needed // (size - needed + 1))
+
+
+def winnowed(order: np.ndarray, window: int) -> np.ndarray:
+    """Places that come first in one of the windows."""
+    if len(order) <= window:
+        return np.array([order.argmin()]) if len(order) else np.zeros(0, np.int64)
+    views = np.lib.stride_tricks.sliding_window_view(order, window)
+    return np.unique(np.arange(len(views)) + views.argmin(axis=1))
+
+
+class Fingerprints:
+    """Inverted index from the selected grams of templates, given as hashed words, to template and place."""
+
+    def __init__(self, words: list[np.ndarray], needed: list[int], size: int):
+        runs = [longest_run(len(w), k) for w, k in zip(words, needed) if len(w)]
+        self.size = max(1, min([size, *runs]))
+        own = [grams(w, self.size) for w in words]
+        usual = np.array(sorted(Hasher().of(sorted(COMMON)).tolist()), np.uint64)
+        every, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_counts=True)
+        rows, self.required = [], np.ones(len(words), np.int64)
+        self.repeats = []
+        for i, (w, g) in enumerate(zip(words, own)):
+            common = sum(np.isin(w[j : j + len(g)], usual).astype(np.int64) for j in range(self.size))
+            often = counts[np.searchsorted(every, g)]
+            order = np.empty(len(g), np.int64)
+            order[np.lexsort((np.arange(len(g)), often, common))] = np.arange(len(g))
+            places = winnowed(order, longest_run(len(w), needed[i]) - self.size + 1) if len(g) else np.zeros(0, np.int64)
+            self.required[i] = max(1, len(places) - self.size * (len(w) - needed[i]))
+            _, back, same = np.unique(g, return_inverse=True, return_counts=True)
+            rows.append((g[places], np.full(len(places), i), places, same[back[places]] if len(g) else places))
+        keys, template, place, repeats = (np.concatenate([np.zeros(0, kind), *c]) for kind, c in zip((np.uint64, np.int64, np.int64, np.int64), zip(*rows) if rows else [()] * 4))
+        at = np.lexsort((place, template, keys))
+        self.template, self.place, self.repeats = template[at], place[at], repeats[at]
+        self.keys, self.low, self.many = np.unique(keys[at], return_index=True, return_counts=True)
+
+    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the text, entry of the index), ascending, of each selected gram in the text."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = grams(hashes, self.size)
+        key = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+        some = np.flatnonzero(self.keys[key] == found)
+        low, size = self.low[key[some]], self.many[key[some]]
+        entry = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+        return np.repeat(some, size), entry
+
+
 class Index:
-    """Inverted index of the templates' anchors."""
+    """Notices with the index of their selected words."""
 
     def __init__(self, templates: dict[str, str], coverage: float = 0.8):
         hasher = Hasher()
@@ -173,29 +239,23 @@ class Index:
             self.words.append(hashes[hashes != 0])
         self.needed = [needed_words(len(w), coverage) for w in self.words]
         self.masks = [_masks(w.tolist()) for w in self.words]
-        usual = set(hasher.of(sorted(COMMON)).tolist())
-        words, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]), return_counts=True)
-        often = dict(zip(words.tolist(), counts.tolist()))
-        anchors = []
-        for i, w in enumerate(self.words):
-            rarest = sorted(range(len(w)), key=lambda p: (int(w[p]) in usual, often[int(w[p])], p))
-            anchors += [(int(w[p]), i, p) for p in rarest[: len(w) - self.needed[i] + 1]]
-        anchors.sort()
-        self.keys = np.array([k for k, _, _ in anchors], np.uint64)
-        self.template = np.array([t for _, t, _ in anchors], np.int64)
-        self.place = np.array([p for _, _, p in anchors], np.int64)
+        self.prints = Fingerprints(self.words, self.needed, 1)
+        self.longest = max(map(len, self.words), default=0)
 
     def hits(self, hashes: np.ndarray) -> list[tuple[int, int]]:
-        """(template, place in the text where it would begin) of each anchor in the text."""
-        low, high = np.searchsorted(self.keys, hashes), np.searchsorted(self.keys, hashes, "right")
-        some = np.flatnonzero(high > low)
-        return [(int(self.template[j]), int(i - self.place[j])) for i in some.tolist() for j in range(int(low[i]), int(high[i]))]
+        """(template, place in the text where it would begin), ascending, where enough selected words are near that diagonal."""
+        at, entry = self.prints.hits(hashes)
+        reach = len(hashes) + self.longest + 4 * BAND
+        key = np.sort(self.prints.template[entry] * reach + at - self.prints.place[entry] + self.longest)
+        near = np.searchsorted(key, key + 2 * BAND, "right") - np.searchsorted(key, key - 2 * BAND)
+        key = np.unique(key[near >= self.prints.required[key // reach]])
+        return list(zip((key // reach).tolist(), (key % reach - self.longest).tolist()))
 
     def found(self, hashes: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
         """Template to (-matched, first, last) of its matches; they may overlap."""
         out: dict[int, list[tuple[int, int, int]]] = {}
         words: list[int] = []
-        for template, begin in sorted(set(self.hits(hashes))):
+        for template, begin in self.hits(hashes):
             words = words or hashes.tolist()
             size, needed = len(self.words[template]), self.needed[template]
             # An alignment that holds the anchor may have its diagonal up to BAND beside it.
@@ -240,63 +300,109 @@ def aligned(template: np.ndarray, text: np.ndarray, begin: int) -> tuple[int, in
     return max(best, key=better)
 
 
+def chained(x: np.ndarray, p: np.ndarray, cost: float) -> list[np.ndarray]:
+    """Hits at text places ``x`` (ascending) and template places ``p`` in chains that ascend in both, longest first.
+
+    A word by which neighbours leave their diagonal, beyond ``BAND``, costs as much as ``cost`` hits.  Each
+    hit is in one chain, and follows one of the ``LOOK`` before it.
+    """
+    score, before = np.ones(len(x)), np.full(len(x), -1)
+    most = 1.0
+    for i in range(1, len(x)):
+        if score[i - 1] == most and x[i] - x[i - 1] == p[i] - p[i - 1] > 0:  # Nothing better to follow.
+            score[i], before[i] = most + 1, i - 1
+        else:
+            low = max(0, i - LOOK)
+            dx, dp = x[i] - x[low:i], p[i] - p[low:i]
+            reach = np.where((dx > 0) & (dp > 0), score[low:i] - cost * np.maximum(0, np.abs(dx - dp) - BAND), 0.0)
+            j = i - 1 - int(reach[::-1].argmax())
+            if reach[j - low] > 0:
+                score[i], before[i] = reach[j - low] + 1, j
+        most = max(most, score[i])
+    chains, used = [], np.zeros(len(x), bool)
+    for end in np.argsort(-score, kind="stable").tolist():
+        chain = []
+        while end >= 0 and not used[end]:
+            used[end] = True
+            chain.append(end)
+            end = int(before[end])
+        if chain:
+            chains.append(np.array(chain[::-1]))
+    return sorted(chains, key=len, reverse=True)
+
+
+def _reach(words: int) -> int:
+    """Words of a text next to a hit in which so many of a template are looked for."""
+    return words + max(BAND, words // 4)
+
+
+def _between(template: list[int], text: list[int]) -> int:
+    """Words in common, in order, of which those of the text lie in the band behind the left end or before the right end."""
+    if template == text or not template or not text:
+        return len(template) if template == text else 0
+    reach = _reach(len(template))
+    near = text if len(text) <= 2 * reach else text[:reach] + text[-reach:]
+    return _common(_masks(template), len(template), near)[0]
+
+
+def sure_hits(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Hits of a chain with at least two neighbours on their diagonal, or all if there are none; others are left to the alignment."""
+    turns = np.flatnonzero(np.diff(x - p)) + 1
+    sizes = np.diff(np.concatenate([[0], turns, [len(x)]]))
+    sure = np.repeat(sizes >= 3, sizes)
+    return sure if sure.any() else ~sure
+
+
+def aligned_chain(template: list[int], text: list[int], x: list[int], p: list[int]) -> tuple[int, int, int]:
+    """(matched words, first, last place) of the banded alignment around a chain."""
+    head, tail = template[: p[0]][::-1], template[p[-1] + 1 :]
+    ahead, first = _common(_masks(head), len(head), text[max(0, x[0] - _reach(len(head))) : x[0]][::-1])
+    behind, last = _common(_masks(tail), len(tail), text[x[-1] + 1 : x[-1] + 1 + _reach(len(tail))])
+    inner = sum(_between(template[p[i] + 1 : p[i + 1]], text[x[i] + 1 : x[i + 1]]) for i in range(len(x) - 1))
+    return len(x) + ahead + inner + behind, x[0] - 1 - first, x[-1] + 1 + last
+
+
 class Wholes:
-    """Templates of whole texts, with an index from words to how often each template has them."""
+    """Whole texts with the index of their selected grams."""
 
     def __init__(self, templates: dict[str, str], coverage: float):
         hasher = Hasher()
         self.names = sorted(templates)
-        self.words, self.masks, self.backward, rows = [], [], [], []
-        for i, name in enumerate(self.names):
+        words = []
+        for name in self.names:
             hashes = hasher.of(templates[name].split())
-            hashes = hashes[hashes != 0]
-            self.words.append(np.unique(hashes, return_counts=True))
-            rows.append((*self.words[-1], np.full(len(self.words[-1][0]), i)))
-            self.masks.append(_masks(hashes.tolist()))
-            self.backward.append(_masks(hashes[::-1].tolist()))
-        self.sizes = np.array([int(counts.sum()) for _, counts in self.words], np.int64)
-        self.needed = np.array([needed_words(int(m), coverage) for m in self.sizes], np.int64)
-        keys, counts, of = (np.concatenate(c) for c in zip(*rows)) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        order = np.argsort(keys, kind="stable")
-        keys, self.counts, self.of = keys[order], counts[order], of[order]
-        self.keys, self.low = np.unique(keys, return_index=True)
-        self.high = np.append(self.low[1:], len(keys))
-
-    def possible(self, bare: np.ndarray) -> list[int]:
-        """Templates of whose words the text has enough, in any order."""
-        if not len(self.keys) or len(bare) < self.needed.min():
-            return []
-        words, counts = np.unique(bare, return_counts=True)
-        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
-        known = self.keys[at] == words
-        at, counts = at[known], counts[known]
-        size = self.high[at] - self.low[at]
-        entry = np.arange(size.sum()) + np.repeat(self.low[at] - (np.cumsum(size) - size), size)
-        common = np.bincount(self.of[entry], weights=np.minimum(self.counts[entry], np.repeat(counts, size)), minlength=len(self.names))
-        return np.flatnonzero(common >= self.needed).tolist()
-
-    def found(self, template: int, bare: np.ndarray) -> list[tuple[int, int, int]]:
-        """(-matched, first, last) of each window that covers enough of the template.
-
-        A window is half as long again as the template, and any stretch a quarter longer than it
-        lies in one.
-        """
-        m, (words, wanted) = int(self.sizes[template]), self.words[template]
-        slack = max(BAND, m // 4)
-        at = np.minimum(np.searchsorted(words, bare), len(words) - 1)
-        at = np.where(words[at] == bare, at, len(words))
-        out = set()
-        for begin in range(0, max(1, len(bare) - m + slack), slack):
-            end = begin + m + 2 * slack
-            counts = np.bincount(at[begin:end], minlength=len(words) + 1)[: len(words)]
-            if np.minimum(counts, wanted).sum() < self.needed[template]:
-                continue
-            window = bare[begin:end].tolist()
-            n, last = _common(self.masks[template], m, window)
-            if n >= self.needed[template]:
-                _, back = _common(self.backward[template], m, window[last::-1])
-                out.add((-n, begin + last - back, begin + last))
-        return sorted(out)
+            words.append(hashes[hashes != 0])
+        self.words = [w.tolist() for w in words]
+        self.needed = [needed_words(len(w), coverage) for w in words]
+        self.prints = Fingerprints(words, self.needed, GRAM)
+        # Half of what missing words leave: the other half is room for added ones.
+        self.required = np.maximum(1, self.prints.required // 2)
+        self.few = self.prints.repeats <= FEW
+        self.chainable = np.bincount(self.prints.template[self.few], minlength=len(words))
+
+    def found(self, bare: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """Template to (-matched, first, last) of its matches; they may overlap."""
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        if len(bare) < self.prints.size or not self.names:
+            return out
+        at, entry = self.prints.hits(bare)
+        held = np.bincount(self.prints.template[np.unique(entry)], minlength=len(self.names))
+        possible = np.flatnonzero(held >= self.required).tolist()
+        text = bare.tolist() if possible else []
+        of, place = self.prints.template[entry], self.prints.place[entry]
+        for t in possible:
+            # A template that only repeats itself is chained by all of its grams.
+            own = (of == t) & self.few[entry] if self.chainable[t] >= self.required[t] else of == t
+            x, p, size = at[own], place[own], len(self.words[t])
+            least = max(1, min(self.required[t], self.chainable[t] // 20))
+            for chain in chained(x, p, len(np.unique(p)) / (4 * size)):
+                if len(chain) < least:
+                    break
+                chain = chain[sure_hits(x[chain], p[chain])]
+                n, first, last = aligned_chain(self.words[t], text, x[chain].tolist(), p[chain].tolist())
+                if n >= self.needed[t]:
+                    out.setdefault(t, []).append((-n, first, last))
+        return out
 
 
 def _told_apart(rows: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
@@ -328,13 +434,8 @@ def matches(text: str, index: Index, hasher: Hasher, wholes: Wholes) -> list[tup
     hashes = hasher.of(text.split())
     places = np.flatnonzero(hashes)
     bare = hashes[places]
-    found, large = index.found(bare), wholes.possible(bare)
-    if not found and not large:
-        return []
-    ranked = [(index.names[t], len(index.words[t]), sorted(set(options))) for t, options in found.items()]
-    # Of whole texts, the closest stretches first: a window may reach into a second copy.
-    ranked += [(wholes.names[t], int(wholes.sizes[t]), sorted(wholes.found(t, bare), key=lambda o: (3 * o[0] + o[2] - o[1], o))) for t in large]
     out = []
+    ranked = [(known.names[t], len(known.words[t]), sorted(set(options))) for known in (index, wholes) for t, options in known.found(bare).items()]
     for name, size, options in ranked:
         taken: list[tuple[int, int]] = []
         for n, first, last in options:
@@ -374,7 +475,8 @@ def license_scan(
     """License notices, whole license texts and SPDX lines: row_id, license, coverage (share of the template's words), matched, start, stop.
 
     One row per notice or text; positions are code points of the text, the stop exclusive.  A text may
-    hold several notices, also of one license; those do not overlap.  Where two templates match
+    hold several notices, also of one license; those do not overlap.  Whole texts may be interrupted; around a
+    chain the alignment may count a few words less than the longest common subsequence (3 % at most in tests).  Where two templates match
     nearly the same stretch, the one with more words in it is reported, then the one with the
     larger share; ties are both reported.  An SPDX line gives a row per identifier.  Null and empty texts have
     none.  Repeated rows and null ids are kept; other columns are ignored; an empty table gives
