@@ -7,6 +7,9 @@ stays a candidate if its upper bound reaches the k-th largest lower bound seen.
 are then read in the order of their bounds: first the few with the best bounds of each query,
 then only those whose bound still reaches the k-th exact score so far, after which the result is
 certain.
+
+Equal vectors are searched once: each different vector stands for its rows, of which the k + 1 with
+the smallest ids can be in a result.
 """
 
 from __future__ import annotations
@@ -24,6 +27,12 @@ CELLS = 64
 VECTORS, QUERIES = 4096, 512
 MET = 16
 
+#: Components beyond it are refused, so that differences of two fit 64 bits.
+LARGEST = 2.0**61
+
+#: Scores are two limbs, high * LIMB + low.
+LIMB = 1 << 62
+
 
 def _whole(scale: float):
     """(id, vector) to (uid, id, d, ints): rows with a finite vector; uid numbers the rows."""
@@ -41,7 +50,10 @@ def _whole(scale: float):
                     uids.append(uid)
                     ids.append(name)
                     sizes.append(len(values))
-                    ints.append(np.clip(np.floor(scale * values), -(2.0**62), 2.0**62).astype("<i8").tobytes())
+                    whole = np.floor(scale * values)
+                    if np.abs(whole).max() > LARGEST:
+                        raise OverflowError(f"a component of row {name} does not fit 62 bits")
+                    ints.append(whole.astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(uids, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(ints, pa.binary())], ["uid", "id", "d", "ints"]
             )
@@ -112,16 +124,21 @@ def cell_width(ranges: tuple[np.ndarray, np.ndarray], cells: int) -> np.ndarray:
     return (ranges[1] - ranges[0]) // cells + 1
 
 
+def largest_product(queries: np.ndarray, ranges: tuple[np.ndarray, np.ndarray]) -> float:
+    """No inner product, nor a sum on the way to it, is larger."""
+    return float(np.abs(queries).max(initial=0)) * float(max(np.abs(ranges[0]).max(initial=0), np.abs(ranges[1]).max(initial=0))) * queries.shape[-1]
+
+
 def bounds(queries: np.ndarray, codes: np.ndarray, ranges, cells: int) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of the inner products of queries x approximations."""
     low, width = ranges[0], cell_width(ranges, cells)
     bottom = low + codes.astype(np.int64) * width
     top = np.minimum(bottom + width - 1, ranges[1])
-    plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-    largest = float(np.abs(queries).max(initial=0)) * float(max(np.abs(bottom).max(initial=0), np.abs(top).max(initial=0))) * queries.shape[1]
-    if largest < 2.0**52:  # Exact in floating point.
-        plus, minus, bottom, top = (x.astype(np.float64) for x in (plus, minus, bottom, top))
-    return plus @ bottom.T + minus @ top.T, plus @ top.T + minus @ bottom.T
+    plus, minus, bottom, top = (x.astype(np.float64) for x in (np.maximum(queries, 0), np.minimum(queries, 0), bottom, top))
+    largest = largest_product(queries, ranges)
+    # Exact in floating point up to 2^52; beyond, the bounds give way by more than all roundings.
+    slack = 0.0 if largest < 2.0**52 else largest * (queries.shape[1] + 4) * 2.0**-50
+    return plus @ bottom.T + minus @ top.T - slack, plus @ top.T + minus @ bottom.T + slack
 
 
 def _scan(k: int, grid, cells: int):
@@ -136,29 +153,33 @@ def _scan(k: int, grid, cells: int):
                 for block in blocks:
                     uids = np.frombuffer(block["uids"], "<i8")
                     lower, upper = bounds(queries, np.frombuffer(block["data"], np.uint8).reshape(-1, d), grid[d], cells)
-                    own = quids[:, None] == uids[None, :] if np.isin(quids, uids).any() else None
-                    if own is not None:
-                        lower, upper = np.where(own, -np.inf, lower), np.where(own, -np.inf, upper)
                     top = lower if lower.shape[1] <= k else -np.partition(-lower, k - 1, axis=1)[:, :k]
                     best = -np.sort(-np.concatenate([best, top], axis=1), axis=1)[:, :k]
                     # Bounds of other blocks may be better still, so this keeps too many at first.
-                    q, v = np.nonzero((upper >= best[:, -1:]) & (upper > -np.inf))
+                    q, v = np.nonzero(upper >= best[:, -1:])
                     kept.append([q, uids[v], lower[q, v], upper[q, v]])
                 q, v, low, high = (np.concatenate(x) for x in zip(*kept))
                 stay = high >= best[q, -1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(quids[q[stay]]), pa.array(v[stay]), pa.array(low[stay].astype(np.int64)), pa.array(high[stay].astype(np.int64))],
+                    [pa.array(quids[q[stay]]), pa.array(v[stay]), pa.array(low[stay]), pa.array(high[stay])],
                     ["query", "uid", "lower", "upper"],
                 )
 
     return run
 
 
-def _scores(batches):
-    for batch in batches:
-        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        found = np.array([int(np.frombuffer(x, "<i8") @ np.frombuffer(y, "<i8")) for x, y in zip(a, b)], np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["query", "uid", "score"])
+def _scores(large: set[int]):
+    """Pairs of vectors to their inner products: (query, uid, high, low, near), near rounded to floating point."""
+    def run(batches):
+        for batch in batches:
+            found = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                a, b = np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")
+                found.append(sum(x * y for x, y in zip(a.tolist(), b.tolist())) if len(a) in large else int(a @ b))
+            limbs = [pa.array([x // LIMB for x in found], pa.int64()), pa.array([x % LIMB for x in found], pa.int64()), pa.array([float(x) for x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *limbs], ["query", "uid", "high", "low", "near"])
+
+    return run
 
 
 def top_k(
@@ -170,12 +191,21 @@ def top_k(
     go to the smaller id, then to the row read first.  A row is no candidate for itself, but a
     repeated row with the same id is.  Vectors that are null, empty, or hold null or non-finite
     components, and rows without id, take no part; vectors only meet vectors of equal length.
-    Other columns are ignored; an empty table gives no rows.
+    A component that does not fit 62 bits is an error, as is a score of the result beyond 64 bits; larger
+    scores on the way are exact.  Other columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vafile")
     source = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    exact = scratch.write(map_batches(source, _whole(scale), "uid BIGINT, id BIGINT, d INT, ints BINARY"), "exact")
+    rows = scratch.write(map_batches(source, _whole(scale), "uid BIGINT, id BIGINT, d INT, ints BINARY"), "rows")
+    # One more than asked for: a query's own row is left out at the end.
+    more = k + 1
+    equal = Window.partitionBy("d", "ints").orderBy("id", "uid")
+    members = rows.withColumn("n", F.row_number().over(equal)).where(F.col("n") <= more).withColumn("class", F.first("uid").over(equal))
+    members = scratch.write(members.select("class", "n", "uid", "id", "d", F.when(F.col("n") == 1, F.col("ints")).alias("ints")), "members")
+    exact = members.where("n = 1").select("uid", "id", "d", "ints")
+    asking = rows.where(F.col("id") % every == 0).join(exact.select(F.col("uid").alias("query"), "d", "ints"), ["d", "ints"])
+    asking = scratch.write(asking.select("query", F.col("uid").alias("query_uid"), F.col("id").alias("query_id")), "asking")
     limits = map_batches(exact.select("d", "ints"), _ranges, "d INT, dim INT, low BIGINT, high BIGINT")
     limits = limits.groupBy("d", "dim").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("d", "dim").collect()
     grid: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -183,17 +213,19 @@ def top_k(
         own = [r for r in limits if r["d"] == d]
         grid[d] = (np.array([r["low"] for r in own], np.int64), np.array([r["high"] for r in own], np.int64))
     block = "d INT, side INT, uids BINARY, data BINARY"
-    rows = exact.select("uid", "d", "ints")
+    large = {d for d, ranges in grid.items() if largest_product(np.maximum(np.abs(ranges[0]), np.abs(ranges[1])), ranges) >= 2.0**62}
+    different = exact.select("uid", "d", "ints")
     sides = max(MET, -(-exact.count() // (VECTORS * MET)))
-    approximate = map_batches(rows, _blocks(VECTORS, sides, grid, cells), block)
-    asked = map_batches(exact.where(F.col("id") % every == 0).select("uid", "d", "ints"), _blocks(QUERIES, sides, grid, None), block)
+    approximate = map_batches(different, _blocks(VECTORS, sides, grid, cells), block)
+    asked = different.join(asking.select(F.col("query").alias("uid")).distinct(), "uid").select("uid", "d", "ints")
+    asked = map_batches(asked, _blocks(QUERIES, sides, grid, None), block)
     # Every block of queries goes to each side of the approximations; a side holds a bounded number of blocks.
     spread = asked.select("d", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("side"), F.col("uids").alias("quids"), F.col("data").alias("queries"))
     gathered = approximate.groupBy("d", "side").agg(F.collect_list(F.struct("uids", "data")).alias("blocks"))
     cells_met = spread.join(gathered, ["d", "side"]).select("d", "quids", "queries", "blocks")
-    found = scratch.write(map_batches(cells_met, _scan(k, grid, cells), "query BIGINT, uid BIGINT, lower BIGINT, upper BIGINT"), "candidates")
+    found = scratch.write(map_batches(cells_met, _scan(more, grid, cells), "query BIGINT, uid BIGINT, lower DOUBLE, upper DOUBLE"), "candidates")
     by_lower = Window.partitionBy("query").orderBy(F.desc("lower"), "uid")
-    least = found.withColumn("n", F.row_number().over(by_lower)).where(F.col("n") == k).select("query", F.col("lower").alias("least"))
+    least = found.withColumn("n", F.row_number().over(by_lower)).where(F.col("n") == more).select("query", F.col("lower").alias("least"))
     order = Window.partitionBy("query").orderBy(F.desc("upper"), "uid")
     left = found.join(least, "query", "left").where("least is null or upper >= least").withColumn("turn", F.row_number().over(order))
     left = scratch.write(left.select("query", "uid", "upper", "turn"), "ordered")
@@ -201,13 +233,20 @@ def top_k(
     def read(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(exact.select("uid", F.col("ints").alias("vector")), "uid")
         pairs = pairs.join(exact.select(F.col("uid").alias("query"), F.col("ints").alias("asked")), "query")
-        return map_batches(pairs.select("query", "uid", "vector", "asked"), _scores, "query BIGINT, uid BIGINT, score BIGINT")
-
-    first = scratch.write(read(left.where(F.col("turn") <= 2 * k)), "first")
-    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "uid")
-    reached = first.withColumn("n", F.row_number().over(by_score)).where(F.col("n") == k).select("query", F.col("score").alias("reached"))
-    second = read(left.where(F.col("turn") > 2 * k).join(reached, "query").where("upper >= reached"))
-    scored = first.unionByName(second)
-    scored = scored.join(exact.select("uid", F.col("id").alias("vec_id")), "uid").join(exact.select(F.col("uid").alias("query"), F.col("id").alias("query_id")), "query")
-    final = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid")
-    return scored.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return map_batches(pairs.select("query", "uid", "vector", "asked"), _scores(large), "query BIGINT, uid BIGINT, high BIGINT, low BIGINT, near DOUBLE")
+
+    first = scratch.write(read(left.where(F.col("turn") <= 2 * more)), "first")
+    score = [F.desc("high"), F.desc("low")]
+    by_score = Window.partitionBy("query").orderBy(*score, "uid")
+    reached = first.withColumn("n", F.row_number().over(by_score)).where(F.col("n") == more).select("query", F.col("near").alias("reached"))
+    second = read(left.where(F.col("turn") > 2 * more).join(reached, "query").where("upper >= reached"))
+    scored = first.unionByName(second).join(exact.select("uid", "id"), "uid")
+    best = scored.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*score, "id", "uid"))).where(F.col("n") <= more)
+    best = best.select("query", "high", "low", F.col("uid").alias("class")).join(members.select("class", "uid", "id"), "class")
+    best = best.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*score, "id", "uid"))).where(F.col("n") <= more)
+    lists = scratch.write(best.select("query", "uid", "id", "high", "low"), "lists")
+    others = asking.join(lists, "query").where("uid <> query_uid")
+    final = Window.partitionBy("query_uid").orderBy(*score, "id", "uid")
+    top = others.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
+    whole = F.when(F.col("high").between(-2, 1), F.col("high") * LIMB + F.col("low")).otherwise(F.raise_error(F.lit("a score does not fit 64 bits")))
+    return top.select("query_id", "rank", F.col("id").alias("vec_id"), whole.cast("bigint").alias("score"))

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import axonframe.llm.vafile as vafile
@@ -51,3 +52,22 @@ def test_bounds_hold():
         lower, upper = bounds(queries, cell_numbers(vectors, ranges, cells), ranges, cells)
         exact = queries @ vectors.T
         assert (lower <= exact).all() and (exact <= upper).all()
+
+
+def test_equal_vectors_and_large_scores(spark, monkeypatch):
+    for name, value in (("VECTORS", 16), ("QUERIES", 2), ("MET", 2)):
+        monkeypatch.setattr(vafile, name, value)
+    rng = random.Random(4)
+    few = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(9)]
+    rows = [(i, few[i % 9 if i % 3 else 0]) for i in range(400)]  # A third of the rows hold one vector.
+    rows += [(50, few[0]), (50, few[0]), (100, few[1])]
+    assert result(spark, rows, every=10) == brute(rows, 5, 10)
+    # Scores of a row with itself leave 64 bits, those with others do not.
+    huge = [(1000 * (i + 1), [3e9 if i == j else 1.0 for j in range(4)]) for i in range(4)]
+    assert result(spark, huge + rows[:60], k=2) == brute(huge + rows[:60], 2)
+
+
+@pytest.mark.parametrize("huge", [[1e10] * 4, [1e30] * 4])
+def test_refused_scores(spark, huge):
+    with pytest.raises(Exception, match="does not fit"):
+        result(spark, [(0, huge), (1, huge)])
