@@ -1,7 +1,8 @@
 """Severity of toxic language by cumulative-link ordinal regression on sparse text features.
 
 For grades 0..K-1 the model is P(grade > k) = 1 / (1 + exp(threshold_k - x.w)): one weight vector
-for all thresholds, which ascend.  The expected severity is the sum of these probabilities.
+for all thresholds, which ascend; the fit maximises the likelihood of the grades, differences of
+neighbouring probabilities.  The expected severity is the sum of these probabilities.
 
 Features are words and their five-letter heads (which catch inflected and compounded forms),
 weighted by log(1 + count).  The model is fitted on at most ``SAMPLE`` labelled documents, and
@@ -31,6 +32,9 @@ FEATURES = 4_096
 SUPPORT = 8
 SPREAD = 5.0
 
+#: Numbers of marked words from which a toxic document is graded 2 and 3.
+MARKED = (3, 7)
+
 #: Letters of a head.
 HEAD = 5
 
@@ -82,6 +86,14 @@ class Reader:
         return names, np.bincount(at, weights=counts[real], minlength=len(names)).astype(np.int64) if len(names) else np.zeros(0, np.int64)
 
 
+    def marked(self, text: str) -> int:
+        """How many words of a text have a known feature."""
+        words = text.split()
+        if len(self.slots) > KNOWN_WORDS:
+            self.slots = _Features(self.known)
+        return sum(self.slots[word] > 0 for word in words)
+
+
 @dataclass
 class OrdinalModel:
     features: np.ndarray
@@ -122,8 +134,8 @@ def _counted(known: dict[int, int]):
     return run
 
 
-def choose_features(sample: DataFrame) -> np.ndarray:
-    """Features of (text, grade) whose share above grade 0 differs most from the sample's."""
+def choose_features(sample: DataFrame, most: int = FEATURES) -> np.ndarray:
+    """At most ``most`` features of (text, grade) whose share above grade 0 differs most from the sample's."""
     total = sample.agg(F.count("*").alias("n"), F.sum((F.col("grade") > 0).cast("bigint")).alias("above")).first()
     n, above = total["n"], total["above"] or 0
     if not 0 < above < n:
@@ -132,7 +144,7 @@ def choose_features(sample: DataFrame) -> np.ndarray:
     counts = map_batches(sample.select("text", (F.col("grade") > 0).cast("bigint").alias("above")), _seen, _SEEN)
     counts = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_above").alias("n_above")).where(F.col("n") >= SUPPORT)
     z = (F.col("n_above") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    best = counts.withColumn("z", F.abs(z)).where(F.col("z") >= SPREAD).orderBy(F.desc("z"), "feature").limit(FEATURES)
+    best = counts.withColumn("z", F.abs(z)).where(F.col("z") >= SPREAD).orderBy(F.desc("z"), "feature").limit(most)
     return np.array(sorted(r["feature"] for r in best.select("feature").collect()), np.int64)
 
 
@@ -155,20 +167,22 @@ def fit_ordinal(sample: DataFrame, features: np.ndarray | None = None, steps: in
     value = np.log1p(np.concatenate([np.frombuffer(r["counts"], "<i4") for r in rows]).astype(np.float64))
     # Parameters: weights, the first threshold, logarithms of the steps between thresholds.
     w, base, gaps = np.zeros(len(features)), 0.0, np.zeros(len(levels) - 2)
-    above = (y[:, None] > np.arange(len(levels) - 1)[None, :]).astype(np.float64)
     n = len(rows)
+    one, at_y = np.ones((n, 1)), (np.arange(n), y)
     share = np.array([r["weight"] for r in rows], np.float64)
-    share = (share / share.sum())[:, None]
+    share = share / share.sum()
     moment = [np.zeros(len(w) + 1 + len(gaps)) for _ in range(2)]
     for step in range(1, steps + 1):
         thresholds = base + np.append(0, np.cumsum(np.exp(gaps)))
         score = np.bincount(row, weights=value * w[at], minlength=n)
         p = 1 / (1 + np.exp(np.clip(thresholds[None, :] - score[:, None], -50, 50)))
-        # Each threshold's own logistic loss, with shared weights.
-        error = (p - above) * share
-        by_row = error.sum(axis=1)
+        # Likelihood of a grade: P(grade > y - 1) - P(grade > y), which is reached * (1 - passed) * apart.
+        reached, passed = np.append(one, p, axis=1)[at_y], np.append(p, 0 * one, axis=1)[at_y]
+        apart = np.concatenate([[1.0], -np.expm1(-np.diff(thresholds)), [1.0]])[y]
+        by_row = (reached + passed - 1) * share
         grad_w = np.bincount(at, weights=value * by_row[row], minlength=len(w)) + penalty * w
-        by_level = -error.sum(axis=0)
+        up, down = share * (1 - reached) / ((1 - passed) * apart), share * passed / (reached * apart)
+        by_level = np.bincount(y, weights=up, minlength=len(levels))[1:] - np.bincount(y, weights=down, minlength=len(levels))[:-1]
         grad_gaps = np.exp(gaps) * np.cumsum(by_level[::-1])[::-1][1:]
         grad = np.concatenate([grad_w, [by_level.sum()], grad_gaps])
         moment[0] = 0.9 * moment[0] + 0.1 * grad
@@ -259,8 +273,10 @@ def graded(sample: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
     """Severity grades from yes/no labels, with the features chosen for them.
 
     The labels say whether a document is toxic, not how much.  Grade 0 is not toxic; toxic
-    documents are graded 1, 2 or 3 by how many of their words are ones that the labels mark as
-    toxic: up to 2, up to 6, or more.
+    documents are graded 1, 2 or 3 by how many of their words have a feature which the labels mark as
+    toxic: fewer than the first of ``MARKED``, than the second, or more.  It is a proxy, by which longer texts
+    are graded higher; grades by the share of such words do not follow the features, and the fit then rejects fewer toxic
+    documents.
     """
     stored = scratch.write(sample.withColumnRenamed("toxic", "grade"), "sample")
     features = choose_features(stored)
@@ -289,8 +305,8 @@ def _hits(toxic: set[int]):
         reader = Reader(known)
         for batch in batches:
             texts = text_rows(batch.column(0))
-            hits = [int(reader.of(text)[1].sum()) for text in texts]
-            grades = [0 if not grade else 1 + (n > 4) + (n > 12) for grade, n in zip(batch.column(1).to_pylist(), hits)]
+            marked = [reader.marked(text) for text in texts]
+            grades = [0 if not grade else 1 + sum(n >= least for least in MARKED) for grade, n in zip(batch.column(1).to_pylist(), marked)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(grades, pa.int32()), batch.column(2)], ["text", "grade", "weight"])
 
     return run

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from axonframe.llm.license_scan import NOTICES, TEMPLATES, Hasher, Index, aligned, all_templates, license_scan
-from axonframe.llm.toxicity import OrdinalModel, accepted, choose_features, fit_ordinal, labelled_sample, severity, toxicity_model
+from axonframe.llm.toxicity import OrdinalModel, _hash, accepted, choose_features, fit_ordinal, labelled_sample, severity, toxicity_model
 
 WORDS = [a + b for a in ("river", "stone", "cloud", "lamp", "green") for b in ("", "s", "ly", "ish", "er", "ing")]
 
@@ -35,6 +35,34 @@ def test_held_out_grades(spark):
     assert means[0] < 0.2 < means[1] < means[2]
 
 
+def likelihood(model, rows, weights):
+    """Logarithm of the weighed likelihood of the grades, straight from their definition, less the fit's penalty."""
+    score = np.array([sum(w * np.log1p(n) for w, n in zip(weights, counts)) for counts, _ in rows])
+    above = 1 / (1 + np.exp(model[None, :] - score[:, None]))
+    reached = np.concatenate([np.ones((len(rows), 1)), above, np.zeros((len(rows), 1))], axis=1)
+    grades = np.array([g for _, g in rows])
+    return np.mean(np.log(reached[np.arange(len(rows)), grades] - reached[np.arange(len(rows)), grades + 1])) - 1e-4 / 2 * (weights**2).sum()
+
+
+def test_fit_is_the_most_likely_one(spark):
+    rng = random.Random(7)
+    rows = []
+    for _ in range(400):
+        counts = (rng.randrange(5), rng.randrange(5))
+        rows.append((counts, min(2, max(0, round(0.8 * counts[0] - 0.3 * counts[1] + rng.gauss(0, 0.9))))))
+    texts = [(" ".join(["vile"] * a + ["calm"] * b), g) for (a, b), g in rows]
+    features = np.array(sorted(_hash("w" + w) for w in ("vile", "calm")), np.int64)
+    model = fit_ordinal(spark.createDataFrame(texts, "text STRING, grade INT"), features)
+    at = [int(np.searchsorted(features, _hash("w" + w))) for w in ("vile", "calm")]
+    weights, best = model.weights[at], model.thresholds
+    most = likelihood(best, rows, weights)
+    assert weights[0] > 0 > weights[1] and most > -1.0
+    moves = np.random.default_rng(1).normal(size=(200, 4))
+    for size in (0.3, 0.03):
+        for move in size * moves:
+            assert likelihood(np.sort(best + move[:2]), rows, weights + move[2:]) <= most + 1e-5
+
+
 def test_labels_to_decisions(spark, make_docs):
     rng = random.Random(2)
     rows = graded_texts(rng, 400)
