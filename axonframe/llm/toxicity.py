@@ -269,7 +269,7 @@ def _smallest(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least[0], pa.int64()), pa.array(least[1], pa.int64())], ["text", "toxic", "draw", "weight", "m0", "m1"])
 
 
-def graded(sample: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
+def graded(sample: DataFrame, scratch: Scratch, most: int = FEATURES) -> tuple[DataFrame, np.ndarray]:
     """Severity grades from yes/no labels, with the features chosen for them.
 
     The labels say whether a document is toxic, not how much.  Grade 0 is not toxic; toxic
@@ -279,7 +279,7 @@ def graded(sample: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
     documents.
     """
     stored = scratch.write(sample.withColumnRenamed("toxic", "grade"), "sample")
-    features = choose_features(stored)
+    features = choose_features(stored, most)
     one_sided = _toxic_side(stored, features)
     counted = map_batches(stored.select("text", "grade", "weight"), _hits(one_sided), "text STRING, grade INT, weight DOUBLE")
     return counted, features
@@ -312,10 +312,10 @@ def _hits(toxic: set[int]):
     return run
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> OrdinalModel:
-    """The model of ``docs``' labels, fitted on a bounded sample."""
+def toxicity_model(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, most: int = FEATURES) -> OrdinalModel:
+    """The model of ``docs``' labels, fitted on at most ``bound`` labelled documents and ``most`` features."""
     scratch = Scratch(docs.sparkSession, "toxicity")
-    sample, features = graded(labelled_sample(docs, labels, bound), scratch)
+    sample, features = graded(labelled_sample(docs, labels, bound), scratch, most)
     model = fit_ordinal(sample, features)
     scratch.clear("sample")
     return model

@@ -72,6 +72,7 @@ def test_labels_to_decisions(spark, make_docs):
     kept = {r.doc_id for r in accepted(docs, model).collect()}
     assert sum((g == 0) == (i in kept) for i, (_, g) in enumerate(rows)) >= 396
     assert accepted(docs, model).columns == docs.columns
+    assert len(toxicity_model(docs, labels, most=1).features) == 1
 
 
 def test_bounded_sample_rejects_like_all_labels(spark, make_docs):
