@@ -91,3 +91,80 @@ def test_sparse_form_agrees_with_the_dense_one(spark):
     want = collected(weights.strongest_connections(a, a, g, 3))
     assert collected(weights.sparse_connections(b, b, h, 3)) == want
     assert {k[0] for k in collected(weights.sparse_connections(b, b, None, 3, directions=("input",)))} == {"input"}
+
+
+def sparse_batch(rows):
+    """(asks, layer, neuron, {d: value}) as a batch of one side."""
+    import pyarrow as pa
+
+    columns = [[1] * len(rows), [0] * len(rows), *([r[i] for r in rows] for i in range(3)), [list(r[3]) for r in rows], [list(r[3].values()) for r in rows]]
+    kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+    names = ["to_layer", "side", "asks", "layer", "neuron", "dims", "values"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
+@pytest.mark.parametrize("cost", [0, 400, 10**9])  # Products listed, whichever is less, blocks multiplied.
+@pytest.mark.parametrize("odd", [None, np.inf, np.nan])
+def test_sparse_pairs_stay_in_their_task(monkeypatch, cost, odd):
+    """Only the lists leave a side; pairs without a shared dimension are on none, pairs that cancel to 0 are."""
+    monkeypatch.setattr(weights, "LISTED_COST", cost)
+    monkeypatch.setattr(weights, "LISTED", 50)
+    monkeypatch.setattr(weights, "SLAB", 3)
+    rng = np.random.default_rng(8)
+    vector = lambda: {int(d) * 1000: float(rng.integers(-2, 3)) for d in sorted(rng.choice(12, rng.integers(1, 5), False))}
+    side, asks = [vector() for _ in range(60)], [vector() for _ in range(17)]
+    if odd is not None:
+        side[3][min(side[3])] = odd
+    batch = sparse_batch([(False, 1, i, v) for i, v in enumerate(side)] + [(True, 0, i, v) for i, v in enumerate(asks)])
+    got = {}
+    for b in weights._search(4, 8, form=weights._Sparse)([batch]):
+        for sign, neuron, name, weight in zip(*(b.column(c).to_pylist() for c in ("sign", "neuron", "to_neuron", "weight"))):
+            got.setdefault((sign, neuron), []).append((weight, name))
+    for i, own in enumerate(asks):
+        met = [(sum(own[d] * v[d] for d in own.keys() & v.keys()), j) for j, v in enumerate(side) if own.keys() & v.keys()]
+        for sign, factor in (("positive", -1), ("negative", 1)):
+            best = sorted(met, key=lambda m: (np.isnan(m[0]), 0 if np.isnan(m[0]) else factor * m[0], m[1]))[:4]
+            assert str([(w + 0.0, n) for w, n in got.get((sign, i), [])]) == str([(w + 0.0, n) for w, n in best])
+
+
+def test_rows_travel_to_few_sides(spark, monkeypatch):
+    """Rows dealt to tasks, for a table of many blocks: each goes to a few sides or parts, not to one per few blocks."""
+    def passed(*_):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                n = batch.num_rows
+                columns = [pa.array(["positive"] * n), batch.column(3), batch.column(4), batch.column(0), batch.column(4), pa.array([0.0] * n)]
+                yield pa.RecordBatch.from_arrays(columns, ["sign", "layer", "neuron", "to_layer", "to_neuron", "weight"])
+
+        return run
+
+    monkeypatch.setattr(weights, "_search", passed)
+    rows = spark.range(2000).selectExpr("0 AS layer", "id AS neuron", "array(1.0D, 2.0D) AS vector")
+    found = weights.strongest_connections(rows, rows, None, 10**6, 4, False, ("output",))
+    assert found.count() <= 16 * 2000
+
+
+def test_equal_vectors_are_searched_once(monkeypatch):
+    """Of many copies only as many as a list holds are multiplied; near ones are told apart exactly."""
+    import pyarrow as pa
+
+    near = [[1.0, 1.0 + i * 1e-13] for i in range(6)]
+    vectors = [[1.0, 1.0]] * 500 + near
+    rows = [(1, 0, False, 1, i, v) for i, v in enumerate(vectors)] + [(1, 0, True, 0, 0, [3.0, 1.0])]
+    names = ("to_layer", "side", "asks", "layer", "neuron", "vector")
+    batch = pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(names)})
+    seen = []
+    see = weights._Strongest.see
+    monkeypatch.setattr(weights._Strongest, "see", lambda self, product, names: (seen.append(len(names)), see(self, product, names))[1])
+    lists = {b.column(0)[0].as_py(): b.column(4).to_pylist() for b in weights._search(4, 8)([batch])}
+    assert sum(seen) <= 2 * (4 + 6)
+    assert lists == {"positive": [505, 504, 503, 502], "negative": [0, 1, 2, 3]}
+
+
+def test_missing_layers_connect_with_nothing(spark):
+    rows = [(0, 1, [1.0]), (1, 2, [2.0]), (None, 3, [5.0])]
+    table = spark.createDataFrame(rows, "layer INT, neuron BIGINT, vector ARRAY<DOUBLE>")
+    found = weights.strongest_connections(table, table, None, 3, signs=("negative",)).collect()
+    assert {(r["direction"], r["sign"], r["neuron"], r["to_neuron"]) for r in found} == {("output", "negative", 1, 2), ("input", "negative", 2, 1)}
