@@ -19,6 +19,7 @@ from axonframe.plans.score_queries import EDGES, RELATED, SCORE_SQL, connections
 from axonframe.schemas import NEURON
 from axonframe.session import cut_lineage, shared_dir
 from axonframe.sources import neurons, texts
+from axonframe.sources.neuron_files import write_neuron_files
 from axonframe.streaming import running
 
 
@@ -196,9 +197,9 @@ def related_json(spark, sf):
         ])
         return F.when(F.size(f"{d}_positive") > 0, lists)
 
-    whole = F.struct(matrix("output").alias("c_proj"), matrix("input").alias("c_fc"))
     folder = new_folder(spark)
-    sides.select(*NEURON, F.to_json(whole).alias("value")).write.partitionBy(*NEURON).text(folder)
+    # Tasks place their own files: no folder per neuron, and no file that the driver moves.
+    write_neuron_files(sides.select(*NEURON, matrix("output").alias("c_proj"), matrix("input").alias("c_fc")), folder)
     related = page.listed_related(neurons.read_related(spark, folder))
     return related.select("direction", *NEURON, "rank", "to_layer", "to_neuron", F.round("weight", 6).alias("weight"))
 
