@@ -299,7 +299,7 @@ def text_scan_text(spark, sf):
 def text_stream(spark, sf):
     """New files of texts as a stream, written on as they come."""
     folder = new_folder(spark)
-    table(spark, sf, "documents").select("doc_id", "text").repartition(3).write.json(f"{folder}/in")
+    table(spark, sf, "documents").select("doc_id", "text").write.json(f"{folder}/in")
     stream = texts.stream_texts(spark, f"{folder}/in", "json", "doc_id BIGINT, text STRING")
     digests = stream.select("doc_id", F.md5("text").alias("digest"))
     digests.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out", "parquet").awaitTermination()

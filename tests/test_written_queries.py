@@ -21,3 +21,15 @@ def test_related_files_lie_in_one_folder_per_layer(spark, tmp_path, folder):
     names = [p.relative_to(folder) for p in Path(folder).rglob("*.json")]
     assert sorted(map(str, names)) == sorted(f"neurons/{i % 3}/{i}.json" for i in range(30))
     assert sum(p.is_dir() for p in Path(folder).rglob("*")) == 1 + 3
+
+
+def documents(spark, tmp_path):
+    rows = [(i, f"text {i}\nof \"two\" lines " * 5) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    return rows
+
+
+def test_streamed_files_are_as_many_as_the_parts_read(spark, tmp_path, folder):
+    rows = documents(spark, tmp_path)
+    assert source_queries.text_stream(spark, str(tmp_path)).count() == len(rows)
+    assert len(list(Path(folder, "in").glob("part-*"))) == 5
