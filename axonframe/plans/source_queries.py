@@ -23,6 +23,10 @@ from axonframe.sources.neuron_files import write_neuron_files
 from axonframe.streaming import running
 
 
+#: Bytes of text in one file that one task has to read.
+FILE_BYTES = 64 * 1024 * 1024
+
+
 def new_folder(spark) -> str:
     return f"{shared_dir(spark)}/axonframe-{uuid.uuid4().hex}"
 
@@ -242,7 +246,10 @@ def labelled_windows(spark, sf):
         F.col("text").alias("Premise"),
     )
     for part, name in enumerate(("a.tsv", "b.tsv")):
-        side = rows.where(F.col("doc_id") % 2 == part).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").drop("doc_id")
+        own = rows.where(F.col("doc_id") % 2 == part)
+        # A file with quoted line breaks is read by one task, so there are more files for more text.
+        size = own.agg(F.sum(F.octet_length("Premise"))).first()[0] or 0
+        side = own.repartitionByRange(max(3, -(-size // FILE_BYTES)), "doc_id").sortWithinPartitions("doc_id").drop("doc_id")
         side.write.option("sep", "\t").option("header", "true").option("quote", '"').option("escape", '"').option("quoteAll", "true").csv(f"{folder}/{name}")
     found = with_corpus_order(texts.read_labelled_texts(spark, folder, ["a.tsv", "b.tsv"]))
     return token_windows(found, 64, order="corpus_no").select("seq_id", F.array_join("tokens", " ").alias("tokens"))

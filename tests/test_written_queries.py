@@ -33,3 +33,14 @@ def test_streamed_files_are_as_many_as_the_parts_read(spark, tmp_path, folder):
     rows = documents(spark, tmp_path)
     assert source_queries.text_stream(spark, str(tmp_path)).count() == len(rows)
     assert len(list(Path(folder, "in").glob("part-*"))) == 5
+
+
+def test_labelled_files_stay_small(spark, tmp_path, folder, monkeypatch):
+    rows = documents(spark, tmp_path)
+    monkeypatch.setattr(source_queries, "FILE_BYTES", 400, raising=False)
+    found = {r["seq_id"]: r["tokens"] for r in source_queries.labelled_windows(spark, str(tmp_path)).collect()}
+    words = [w for side in (0, 1) for i, text in rows if i % 2 == side for w in text.split()]
+    assert found == {k: " ".join(words[64 * k : 64 * k + 64]) for k in range(len(words) // 64)}
+    for name in ("a.tsv", "b.tsv"):
+        files = list(Path(folder, name).glob("part-*"))
+        assert len(files) > 3 and max(f.stat().st_size for f in files) < 3 * 400
