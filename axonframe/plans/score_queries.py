@@ -208,9 +208,9 @@ def gains(spark, sf):
     return layers.withColumn("gain", F.array_repeat(1.0 + F.col("layer") / 10.0, 64))
 
 
-def connections(spark, sf):
+def connections(spark, sf, signs=weights.SIGNS):
     rows = vectors(spark, sf)
-    return weights.strongest_connections(rows, rows, gains(spark, sf), 10)
+    return weights.strongest_connections(rows, rows, gains(spark, sf), 10, signs=signs)
 
 
 CONNECTION_COLUMNS = ["direction", *NEURON, "rank", "to_layer", "to_neuron"]
@@ -222,7 +222,7 @@ def _side(sign):
         f"WITH {EDGES} SELECT direction, layer, neuron, rank, to_layer, to_neuron, round(weight, 6) AS weight FROM connections WHERE sign = '{sign}'",
     )
     def run(spark, sf):
-        return connections(spark, sf).where(F.col("sign") == sign).select(*CONNECTION_COLUMNS, F.round("weight", 6).alias("weight"))
+        return connections(spark, sf, (sign,)).where(F.col("sign") == sign).select(*CONNECTION_COLUMNS, F.round("weight", 6).alias("weight"))
 
     return run
 
