@@ -283,7 +283,7 @@ def explanation_texts(spark, sf):
 
 @query("related_top10", f"WITH {EDGES}, {RELATED} SELECT direction, layer, neuron, rank, to_layer, to_neuron, round(weight, 6) AS weight FROM related")
 def related_top10(spark, sf):
-    return page.listed_related(connections(spark, sf)).select(*CONNECTION_COLUMNS, F.round("weight", 6).alias("weight"))
+    return page.listed_related(connections(spark, sf, ("positive",))).select(*CONNECTION_COLUMNS, F.round("weight", 6).alias("weight"))
 
 
 @query(
