@@ -293,7 +293,7 @@ def related_top10(spark, sf):
     FROM related r LEFT JOIN texts t ON t.layer = r.to_layer AND t.neuron = r.to_neuron WHERE r.rank <= 3""",
 )
 def related_explanations(spark, sf):
-    related = page.listed_related(connections(spark, sf))
+    related = page.listed_related(connections(spark, sf, ("positive",)))
     joined = page.related_explanations(related, explanation_texts(spark, sf))
     return joined.select(*CONNECTION_COLUMNS, "to_explanation", F.round("to_score", 6).alias("to_score"))
 
