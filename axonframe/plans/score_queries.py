@@ -308,7 +308,7 @@ def related_explanations(spark, sf):
 )
 def neuron_page(spark, sf):
     rows = vectors(spark, sf)
-    related = page.listed_related(connections(spark, sf)).groupBy(*NEURON).agg(
+    related = page.listed_related(connections(spark, sf, ("positive",))).groupBy(*NEURON).agg(
         F.count("*").alias("n_related"), F.round(F.max("weight"), 6).alias("strongest")
     )
     stats = rows.where(F.col("neuron") % 5 != 0).select(*NEURON, F.round(F.array_max("vector"), 6).alias("top_value"))
