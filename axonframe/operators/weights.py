@@ -6,7 +6,8 @@ size, per layer searched; one task holds one side, longest vectors first, lets o
 multiplies blocks as matrices.  Each searching row keeps a running list of its strongest
 connections, and a block is skipped when its longest vector cannot reach any list any more, so
 pairs are never written out and a side returns no more rows than are asked for.  A row travels
-once per side or part it meets: sides and parts are large, so that this stays far below the pairs.
+once per side or part it meets: sides and parts are as few as the tasks wanted and their bounds
+allow, so that this stays far below the pairs and, until the bounds are met, in proportion to the rows.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axonframe.operators.scale import join_sized, top_rows
+from axonframe.operators.scale import join_sized
 from axonframe.schemas import NEURON
 from axonframe.session import cut_lineage
 
@@ -28,9 +29,14 @@ from axonframe.session import cut_lineage
 BLOCK = 512
 SIDE_BLOCKS = 256
 SIDE_BYTES = 64 * 1024 * 1024
-#: The most and the fewest blocks of searching rows per part; the fewer, the more tasks share the work.
-PART_BLOCKS = 128
-LEAST_PART_BLOCKS = 4
+#: The most blocks of searching rows per part, and the most bytes of a part's vectors.
+PART_BLOCKS = 256
+PART_BYTES = 128 * 1024 * 1024
+#: Sides and parts of fewer blocks are not made for the sake of more tasks.
+LEAST_BLOCKS = 4
+#: Bytes of a row besides its vector, and of a candidate, as they are shuffled.
+ROW_BYTES = 64
+CANDIDATE_BYTES = 32
 #: Sparse vectors: dimensions multiplied at once, products listed at once, and the time of a listed one in multiplied ones.
 SLAB = 1024
 LISTED = 4_000_000
@@ -334,7 +340,29 @@ def scaled(vectors: DataFrame, gains: DataFrame | None) -> DataFrame:
 def _layer_rows(rows: DataFrame, width: str) -> dict[int, tuple[int, int]]:
     """Rows per layer of the model, and the most components of one."""
     found = rows.groupBy("layer").agg(F.count("*").alias("n"), F.max(F.size(width)).alias("width")).collect()
-    return {r["layer"]: (r["n"], r["width"]) for r in found if r["layer"] is not None}
+    return {r["layer"]: (r["n"], r["width"] or 0) for r in found if r["layer"] is not None}
+
+
+def _shape(searched: tuple[int, int], asking: tuple[int, int], tasks: int, answers: int, block: int) -> tuple[int, int]:
+    """Sides and parts for rows that are searched and rows that ask, both given as rows and components.
+
+    A searched row travels once per part, an asking one once per side, which gives it up to ``answers``
+    candidates.  Of the shapes that make the wanted tasks, the one that moves the fewest bytes is taken.
+    Its copies per row grow with the root of the tasks and do not depend on the rows until the bounds are met.
+    """
+    fewest, most = [], []
+    for (rows, width), blocks, room in ((searched, SIDE_BLOCKS, SIDE_BYTES), (asking, PART_BLOCKS, PART_BYTES)):
+        held = max(block, min(block * blocks, room // (8 * max(width, 1))))
+        fewest.append(-(-rows // held))
+        most.append(max(fewest[-1], -(-rows // (block * LEAST_BLOCKS))))
+    shapes = []
+    for sides in range(fewest[0], max(fewest[0], min(most[0], tasks)) + 1):
+        parts = max(fewest[1], min(most[1], -(-tasks // sides)))
+        moved = searched[0] * parts * (8 * searched[1] + ROW_BYTES) + asking[0] * sides * (
+            8 * asking[1] + ROW_BYTES + min(answers, searched[0] // sides) * CANDIDATE_BYTES
+        )
+        shapes.append((-min(sides * parts, tasks), moved, sides, parts))
+    return min(shapes)[2:]
 
 
 def _connected(
@@ -348,18 +376,15 @@ def _connected(
     """
     spark = asking.sparkSession
     met = {to: [own for own in layers if allowed(own, to)] for to in sizes}
-    asks = {to: sum(layers[own][0] for own in owns) for to, owns in met.items() if owns}
-    sides = {}
-    for to in asks:
-        rows, width = sizes[to]
-        most = max(block, min(block * SIDE_BLOCKS, SIDE_BYTES // (8 * max(width, 1))))
-        sides[to] = -(-rows // most)
-    wanted = -(-2 * spark.sparkContext.defaultParallelism // max(sum(sides.values()), 1))
+    asks = {to: (sum(layers[own][0] for own in owns), max(layers[own][1] for own in owns)) for to, owns in met.items() if owns}
+    pairs = {to: sizes[to][0] * n for to, (n, _) in asks.items()}
+    wanted = 2 * spark.sparkContext.defaultParallelism
     places, tasks = {}, 0
-    for to, n in asks.items():
-        parts = max(-(-n // (block * PART_BLOCKS)), min(wanted, -(-n // (block * LEAST_PART_BLOCKS))))
-        places[to] = sides[to], parts, tasks
-        tasks += sides[to] * parts
+    for to in asks:
+        share = -(-wanted * pairs[to] // sum(pairs.values()))
+        sides, parts = _shape(sizes[to], asks[to], share, kept * len(signs), block)
+        places[to] = sides, parts, tasks
+        tasks += sides * parts
     shape = "to_layer INT, sides INT, parts INT, first INT"
     # The column side numbers the tasks: first + side * parts + part.
     base_places = spark.createDataFrame([(to, *p) for to, p in places.items()], shape)
@@ -403,8 +428,13 @@ def _both_ways(
 
 
 def _listed(candidates: DataFrame, kept: int) -> DataFrame:
+    """The ``kept`` strongest of a neuron's candidates, ranked in one round: a neuron has at most ``kept`` per side.
+
+    Where neurons repeat, Spark's group limit trims each task's candidates to ``kept`` per neuron before the shuffle.
+    """
     strength = F.when(F.col("sign") == "positive", -F.col("weight")).otherwise(F.col("weight"))
-    return top_rows(candidates, [*NEURON, "direction", "sign"], [strength, F.col("to_layer"), F.col("to_neuron")], kept)
+    strongest = Window.partitionBy(*NEURON, "direction", "sign").orderBy(strength, "to_layer", "to_neuron")
+    return candidates.withColumn("rank", F.row_number().over(strongest)).where(F.col("rank") <= kept)
 
 
 DIRECTIONS = ("output", "input")

@@ -168,3 +168,54 @@ def test_missing_layers_connect_with_nothing(spark):
     table = spark.createDataFrame(rows, "layer INT, neuron BIGINT, vector ARRAY<DOUBLE>")
     found = weights.strongest_connections(table, table, None, 3, signs=("negative",)).collect()
     assert {(r["direction"], r["sign"], r["neuron"], r["to_neuron"]) for r in found} == {("output", "negative", 1, 2), ("input", "negative", 2, 1)}
+
+
+def test_copies_of_a_row_do_not_grow_with_the_table(spark, monkeypatch):
+    """Rows dealt: twice the root of the tasks per row at most, and ten times as many for ten times the table."""
+    def passed(*_):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                n = batch.num_rows
+                columns = [pa.array(["positive"] * n), batch.column(3), batch.column(4), batch.column(0), pa.array(range(n), pa.int64()), pa.array([0.0] * n)]
+                yield pa.RecordBatch.from_arrays(columns, ["sign", "layer", "neuron", "to_layer", "to_neuron", "weight"])
+
+        return run
+
+    monkeypatch.setattr(weights, "_search", passed)
+
+    def dealt(n):
+        rows = spark.range(n).selectExpr("0 AS layer", "id AS neuron", "array_repeat(1.0D, 512) AS vector")
+        # Lists longer than any row's copies, so that every copy is counted.
+        return weights.strongest_connections(rows, rows, None, 20, 4, False, ("output",), ("positive",)).count()
+
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    assert dealt(100) <= 100 * (2 * tasks**0.5 + 2)
+    assert dealt(1000) <= 10 * dealt(100)
+
+
+@pytest.mark.parametrize("repeated", [1, 40])
+def test_lists_of_many_sides_are_merged(spark, repeated):
+    """Candidates come from several sides; neurons that occur more than once share one list."""
+    rng = np.random.default_rng(12)
+    side = [(1, i, rng.normal(size=3).tolist()) for i in range(90)]
+    asks = [(0, i // repeated, rng.normal(size=3).tolist()) for i in range(80)]
+    shape = "layer INT, neuron BIGINT, vector ARRAY<DOUBLE>"
+    found = collected(weights.strongest_connections(spark.createDataFrame(asks, shape), spark.createDataFrame(side, shape), None, 3, 2, directions=("output",)))
+    assert len(found) == 80 // repeated * 2 * 3
+    for neuron in range(80 // repeated):
+        met = [(float(np.dot(v, w)), j) for _, i, v in asks if i == neuron for _, j, w in side]
+        for sign, factor in (("positive", -1), ("negative", 1)):
+            best = sorted(met, key=lambda m: (factor * m[0], m[1]))[:3]
+            assert [found["output", sign, 0, neuron, r] for r in (1, 2, 3)] == [(1, j, round(w, 9)) for w, j in best]
+
+
+def test_sides_and_parts_stay_bounded():
+    """Few bytes moved for the wanted tasks, but no side or part beyond its bounds, however many rows there are."""
+    wide = weights.SIDE_BYTES // (8 * weights.BLOCK)  # A side holds one block of such vectors.
+    for rows, asks, width in ((10**4, 10**4, 64), (10**6, 10**4, 64), (10**4, 10**6, 64), (10**7, 10**7, 64), (5000, 300_000, wide)):
+        sides, parts = weights._shape((rows, width), (asks, width), 24, 20, weights.BLOCK)
+        assert rows / sides <= min(weights.BLOCK * weights.SIDE_BLOCKS, weights.SIDE_BYTES / (8 * width))
+        assert asks / parts <= min(weights.BLOCK * weights.PART_BLOCKS, weights.PART_BYTES / (8 * width))
+        assert sides * parts >= 24
